@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
 
+from . import retrieval
 
-def oracle_sql() -> dict:
-    return {}
+MODULES = (retrieval,)
+flagship = retrieval.flagship
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {name: f for module in MODULES for name, f in module.QUERIES.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {name: sql for module in MODULES for name, sql in module.SQL.items()}
