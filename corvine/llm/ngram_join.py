@@ -1,22 +1,26 @@
 """Jaccard self-join of documents on word n-grams, by prefix trees over globally ordered sets.
 
-1. Every text becomes its set of hashed n-grams in a global order (hash order, with n-grams found
-   in more than ``HEAVY`` of all documents last).  Equal sets are one class from here on.
-2. By the prefix principle two sets of similarity ``t`` share one of the first
-   ``n - ceil(t n) + 1`` n-grams of both.  Each task links its own classes that share such an n-gram
-   and have sizes within ``t``, and sends on one representative of each linked run (the run's range of
-   sizes) an n-gram; buckets of n-grams link the representatives the same way.  Linking is by
-   union-find along sorted sizes, so a group of ``m`` costs ``m`` edges, never ``m ** 2`` pairs.
-3. The connected groups hold every similar pair.  In a group the sets are put one by one into a prefix tree
+1. Every text becomes its set of hashed n-grams; equal sets are one class from here on.
+2. The global order puts rare n-grams first: by document frequency (in powers of two), then by hash;
+   n-grams in more than ``HEAVY`` of all documents come last.  Frequencies are counted in buckets of
+   n-grams: tasks send 32-bit fingerprints packed by bucket, and buckets tell the tasks' packets which of theirs
+   are found twice or more.
+3. By the prefix principle two sets of similarity ``t`` share one of the first
+   ``n - ceil(t n) + 1`` n-grams of both.  N-grams found once can't be shared, so nearly all documents
+   drop out here.  Packets link their own classes that share a prefix n-gram and have sizes within
+   ``t``, and send on one representative of each linked run (the run's range of sizes) an n-gram;
+   buckets link the representatives the same way.  Linking is by union-find along sorted sizes, so a group
+   of ``m`` costs ``m`` edges, never ``m ** 2`` pairs.
+4. The connected groups hold every similar pair.  In a group the sets are put one by one into a prefix tree
    (common n-grams first, so near copies share their paths).  A new set walks the tree with the
    overlap so far and the sizes still possible below; subtrees that cannot reach the threshold, or that
    are already in the new set's component, are pruned.  Every link between components is found.
    Groups of more than ``GROUP_TOKENS`` n-grams are walked as pairs of blocks in separate tasks.
-4. Components are closed by distributed label propagation with pointer jumping.
+5. Components are closed by distributed label propagation with pointer jumping.
 
-Heaviness only changes the order, never the result: any global order is exact.  The list of heavy
-n-grams has at most ``2 * mean set size / HEAVY`` entries whatever the input, so it is sent to all.
-The result is exact but for 64-bit hash collisions.
+The order never changes the result: any global order is exact, and fingerprints that collide only add
+candidates.  The list of heavy n-grams has at most ``2 * mean set size / HEAVY`` entries whatever the
+input, so it is sent to all.  The result is exact but for collisions of 64-bit hashes in a pair.
 
 Defined results: null and blank texts have an empty set and are linked with nothing; a text of fewer
 than ``n`` words is one n-gram; repeated rows are linked as equal sets; other columns are ignored.
@@ -39,6 +43,9 @@ from ._common import by_bytes, find_words, hash_words, kept, mix, text_arrays
 HEAVY = 1 / 256
 GROUP_TOKENS = 8_000_000
 BUCKET_ROWS = 1 << 18
+#: A packet's n-grams and documents (numbered in 16 bits), and suspects that may be broadcast.
+PACKET_GRAMS, PACKET_DOCS, BROADCAST_ROWS = 4_000_000, 60_000, 500_000
+SMALL_EDGES = 500_000
 SLICE = 1 << 20
 
 
@@ -217,7 +224,30 @@ def link_group(sets: list[np.ndarray], t: float) -> list[int]:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """``node, label`` for edges ``a, b``: the smallest node that links reach; checkpoints each round."""
+    """``node, label`` for edges ``a, b``: the smallest node that links reach.
+
+    Up to ``SMALL_EDGES`` (counted first) are closed by one task; more go in rounds, each checkpointed.
+    """
+    if edges.count() <= SMALL_EDGES:
+
+        def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            found = list(batches)
+            if not found:
+                return
+            ends = [np.concatenate([x.column(k).to_numpy() for x in found]) for k in (0, 1)]
+            names, number = np.unique(np.concatenate(ends), return_inverse=True)
+            union = Union(len(names))
+            for i, j in number.reshape(2, -1).T.tolist():
+                union.join(i, j)
+            label = names[[union.find(i) for i in range(len(names))]] if len(names) else names
+            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(label)], ["node", "label"])
+
+        return edges.select("a", "b").repartition(1).mapInArrow(close, "node long, label long")
+    return components_in_rounds(edges)
+
+
+def components_in_rounds(edges: DataFrame) -> DataFrame:
+    """The same by least labels of neighbours and pointer jumping."""
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
     # large-star and small-star in one: every node points at the least of its neighbours' labels
     labels = kept(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")).withColumnRenamed("a", "node"))
@@ -278,62 +308,103 @@ def similar_classes(docs: DataFrame, t: float = 0.75, n: int = 5, doc_id: str =
     last = np.sort(heavy.where(F.col("times") >= floor).select("gram").toArrow().column("gram").to_numpy().view(np.uint64))
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(last)
-    buckets = max(1, math.ceil(size["grams"] * (1 - t) / BUCKET_ROWS))
-
-    def prefixes(grams: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        late, size = shared.value, np.diff(edges)
-        owner = np.repeat(np.arange(len(size)), size)
-        rank = np.arange(len(grams)) - edges[:-1][owner]
-        if len(late) and len(grams):
-            slow = late[np.minimum(np.searchsorted(late, grams), len(late) - 1)] == grams
-            before = np.r_[0, np.cumsum(slow)]
-            slow_before = before[:-1] - before[edges[:-1]][owner]
-            quick = size - (before[edges[1:]] - before[edges[:-1]])
-            rank = np.where(slow, quick[owner] + slow_before, rank - slow_before)
-        need = size - np.ceil(t * size - 1e-9).astype(np.int64) + 1
-        first = rank < need[owner]
-        return grams[first], owner[first]
-
-    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    buckets = max(1, math.ceil(size["grams"] / BUCKET_ROWS))
+    prefix = lambda n_: n_ - np.ceil(t * n_ - 1e-9).astype(np.int64) + 1
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[int, int] = {}
-        sizes: list[int] = []
-        grams_, nodes_ = [], []
+        sizes, grams_, owner_ = [], [], []
+        late, packet = shared.value, (TaskContext.get().partitionId() if TaskContext.get() else 0) << 24
 
         def flush() -> Iterator[pa.RecordBatch]:
             if not known:
                 return
-            names, size = np.array(list(known), np.int64), np.array(sizes, np.int64)
-            gram, node = np.concatenate(grams_), np.concatenate(nodes_)
-            union, order, begin = link_runs(gram, size[node], size[node], node, len(names), t)
-            root = np.array([union.find(i) for i in range(len(names))])
-            moved = np.flatnonzero(root != np.arange(len(names)))
-            yield from _edges(names[moved], names[root[moved]])
-            gram, node = gram[order], node[order]
-            if not len(gram):
-                return
-            low = size[node][begin].astype(np.int32)
-            high = np.maximum.reduceat(size[node], begin).astype(np.int32)
-            bucket = (gram[begin] % np.uint64(buckets)).astype(np.int64)
-            yield from _postings(bucket, gram[begin], names[root[node[begin]]], low, high)
+            gram, owner, n_ = np.concatenate(grams_), np.concatenate(owner_), np.array(sizes, np.int64)
+            heavy = np.zeros(len(gram), bool)
+            if len(late):
+                heavy = late[np.minimum(np.searchsorted(late, gram), len(late) - 1)] == gram
+            h = np.bincount(owner[heavy], minlength=len(n_))
+            reach = prefix(n_) - (n_ - h)  # heavy n-grams that the prefix reaches
+            hot, whose = gram[heavy], owner[heavy]
+            place = np.arange(len(hot)) - np.searchsorted(whose, np.arange(len(n_)))[whose]
+            hot, whose = hot[place < reach[whose]], whose[place < reach[whose]]
+            own = (np.array(list(known), np.int64), n_.astype(np.int32), h.astype(np.int32), whose.astype(np.uint16), hot)
+            yield _packets([-1 - packet], packet, [[x.tobytes()] for x in own])
+            gram, owner = gram[~heavy], owner[~heavy]
+            bucket = (gram % np.uint64(buckets)).astype(np.int32)
+            order = np.argsort(bucket, kind="stable")
+            edge = np.flatnonzero(np.r_[True, np.diff(bucket[order]) != 0, True]) if len(order) else [0]
+            mark, to = (gram[order] >> np.uint64(32)).astype(np.uint32), owner[order]
+            spans = list(zip(edge[:-1], edge[1:], strict=True))
+            whom = [np.diff(to[i:j], prepend=0).astype(np.uint16).tobytes() for i, j in spans]
+            names = bucket[order[edge[:-1]]].tolist() if spans else []
+            yield _packets(names, packet, [[mark[i:j].tobytes() for i, j in spans], whom, *[[None] * len(spans)] * 3])
 
         for part in by_bytes(batches, "text", SLICE):
             grams, edges = shingle_sets(*text_arrays(part.column(1)), n)
-            signs = signatures(grams, edges)
-            gram, owner = prefixes(grams, edges)
+            signs, n_ = signatures(grams, edges), np.diff(edges)
             number = np.full(len(signs), -1)
-            for i, (sign, n_) in enumerate(zip(signs.tolist(), np.diff(edges).tolist(), strict=True)):
-                if n_ and sign not in known:
+            for i, (sign, k) in enumerate(zip(signs.tolist(), n_.tolist(), strict=True)):
+                if k and sign not in known:
                     number[i] = known[sign] = len(sizes)
-                    sizes.append(n_)
-            new = number[owner] >= 0
-            grams_.append(gram[new])
-            nodes_.append(number[owner[new]])
-            if sum(map(len, grams_)) > 4_000_000:
+                    sizes.append(k)
+            whose = np.repeat(number, n_)
+            grams_.append(grams[whose >= 0])
+            owner_.append(whose[whose >= 0])
+            if sum(map(len, grams_)) > PACKET_GRAMS or len(sizes) > PACKET_DOCS - 20_000:
                 yield from flush()
-                known.clear(), sizes.clear(), grams_.clear(), nodes_.clear()
+                known.clear(), sizes.clear(), grams_.clear(), owner_.clear()
+                packet += 1
         yield from flush()
 
-    first = docs.mapInArrow(local, _FIRST)
+    def tell(key: tuple, table: pa.Table) -> pa.Table:
+        """Of a bucket's fingerprints those found in two packets or sets, with their frequency class."""
+        if key[0].as_py() < 0:
+            return table
+        marks = [np.frombuffer(x, np.uint32) for x in table.column("a").to_pylist()]
+        _, back, times = np.unique(np.concatenate(marks), return_inverse=True, return_counts=True)
+        kind = np.minimum(np.log2(times), 250).astype(np.uint8)[back]
+        rows, at = [], 0
+        for mark, whom in zip(marks, table.column("b").to_pylist(), strict=True):
+            own = kind[at : at + len(mark)]
+            at += len(mark)
+            some = own > 0
+            to = np.cumsum(np.frombuffer(whom, np.uint16).astype(np.int64)).astype(np.uint16)
+            rows.append((mark[some].tobytes(), to[some].tobytes(), own[some].tobytes()))
+        a, b, c = (pa.array(x, pa.binary()) for x in zip(*rows, strict=True))
+        none = pa.nulls(len(rows), pa.binary())
+        return pa.table([table.column("key"), table.column("packet"), a, b, c, none, none], names=_PACKET)
+
+    def meet_own(table: pa.Table) -> pa.Table:
+        """Prefixes of a packet's sets in the global order, linked among themselves."""
+        keys = table.column("key").to_numpy()
+        head = table.slice(int(np.flatnonzero(keys < 0)[0]), 1).to_pylist()[0]
+        signs, n_, h = np.frombuffer(head["a"], np.int64), np.frombuffer(head["b"], np.int32).astype(np.int64), np.frombuffer(head["c"], np.int32)
+        rest = table.filter(pa.array(keys >= 0))
+        join = lambda c, kind: np.frombuffer(b"".join(rest.column(c).to_pylist()), kind)
+        mark, owner, rarity = join("a", np.uint32), join("b", np.uint16).astype(np.int64), join("c", np.uint8)
+        lengths = [len(x) for x in rest.column("c").to_pylist()]
+        gram = (np.repeat(rest.column("key").to_numpy(), lengths).astype(np.uint64) << np.uint64(32)) | mark
+        order = np.lexsort((gram, rarity, owner))
+        gram, owner = gram[order], owner[order]
+        once = n_ - h - np.bincount(owner, minlength=len(n_))
+        place = np.arange(len(gram)) - np.searchsorted(owner, np.arange(len(n_)))[owner]
+        first = place < (prefix(n_) - once)[owner]
+        hot, whose = np.frombuffer(head["e"], np.uint64), np.frombuffer(head["d"], np.uint16).astype(np.int64)
+        gram, node = np.concatenate([gram[first], hot]), np.concatenate([owner[first], whose])
+        if not len(gram):
+            return _table([])
+        union, order, begin = link_runs(gram, n_[node], n_[node], node, len(n_), t)
+        root = np.array([union.find(i) for i in range(len(n_))])
+        moved = np.flatnonzero(root != np.arange(len(n_)))
+        gram, node = gram[order], node[order]
+        low, high = n_[node][begin].astype(np.int32), np.maximum.reduceat(n_[node], begin).astype(np.int32)
+        places = max(1, buckets // 4)
+        bucket = (mix(gram[begin]) % np.uint64(places)).astype(np.int64)
+        return _table([*_edges(signs[moved], signs[root[moved]]), *_postings(bucket, gram[begin], signs[root[node[begin]]], low, high)])
+
+    told = docs.mapInArrow(send, _PACKET_SCHEMA).groupBy("key").applyInArrow(tell, _PACKET_SCHEMA)
+    first = told.groupBy("packet").applyInArrow(meet_own, _FIRST)
 
     def meet(key: tuple, table: pa.Table) -> pa.Table:
         if key[0].as_py() < 0:
@@ -366,6 +437,8 @@ def similar_classes(docs: DataFrame, t: float = 0.75, n: int = 5, doc_id: str =
             yield pa.RecordBatch.from_arrays([part.column(0), *part.columns[2:], sets], ["doc_id", "sign", "group", "blocks", "grams"])
 
     # equal ids with different texts: the set of the class is told by its signature
+    if suspects.count() <= BROADCAST_ROWS:
+        suspects = F.broadcast(suspects)
     spelt = docs.join(suspects.select("doc_id", "sign", "group", "blocks"), "doc_id").select("doc_id", "text", "sign", "group", "blocks")
     spelt = spelt.mapInArrow(spell, "doc_id long, sign long, `group` long, blocks long, grams binary")
     block = F.pmod(F.xxhash64("sign"), "blocks")
@@ -397,10 +470,22 @@ def _joined(members: DataFrame, classes: DataFrame, found: DataFrame) -> DataFra
     return members.join(own, "sign", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
+_PACKET_SCHEMA = "key long, packet long, a binary, b binary, c binary, d binary, e binary"
+_PACKET = [x.split()[0] for x in _PACKET_SCHEMA.split(", ")]
 _FIRST = "bucket long, grams binary, nodes binary, lows binary, highs binary, a long, b long"
 _NAMES = ["bucket", "grams", "nodes", "lows", "highs", "a", "b"]
 
 
+def _packets(keys: list[int], packet: int, columns: list[list]) -> pa.RecordBatch:
+    values = [pa.array(keys, pa.int64()), pa.array([packet] * len(keys), pa.int64()), *(pa.array(c, pa.binary()) for c in columns)]
+    return pa.RecordBatch.from_arrays(values, _PACKET)
+
+
+def _table(batches: list[pa.RecordBatch]) -> pa.Table:
+    kinds = [pa.int64(), *[pa.binary()] * 4, pa.int64(), pa.int64()]
+    return pa.Table.from_batches(batches, pa.schema(list(zip(_NAMES, kinds, strict=True))))
+
+
 def _edges(a: np.ndarray, b: np.ndarray) -> Iterator[pa.RecordBatch]:
     if len(a):
         task = TaskContext.get().partitionId() if TaskContext.get() else 0
