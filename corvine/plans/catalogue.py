@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import retrieval
+from . import documents, evaluation, operations, retrieval, store
 
-MODULES = (retrieval,)
+MODULES = (retrieval, documents, store, evaluation, operations)
 flagship = retrieval.flagship
 
 

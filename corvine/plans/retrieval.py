@@ -8,19 +8,9 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import retrieval as R
 from ..tables import CHUNK_SQL, chunks, load, questions
+from .registry import registry
 
-QUERIES, SQL = {}, {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
+QUERIES, SQL, query = registry()
 
 TOKENS = "regexp_extract_all(lower({}), '[a-z0-9_]+|[一-鿿]+')"
 
