@@ -250,3 +250,18 @@ def title_acronyms(title: Column) -> Column:
 
 #: Words that take no part in acronyms.
 ACRONYM_STOPWORDS = ("a", "an", "and", "for", "in", "of", "on", "the", "to", "with")
+
+
+def title_alias(title: Column) -> Column:
+    """Initials of the title's head phrase: two to eight letters that the title does not have, else null."""
+    head = F.get(F.split(title, r"\s*[:：–—]\s*|\s+-\s+"), 0)
+    words = F.filter(F.regexp_extract_all(head, F.lit(r"([A-Za-z][A-Za-z0-9]*)"), F.lit(1)), lambda w: ~F.lower(w).isin(*ACRONYM_STOPWORDS))
+    made = F.array_join(F.transform(words, lambda w: F.upper(F.left(w, F.lit(1)))), "")
+    return F.when(F.length(made).between(2, 8) & ~F.contains(title, made), made)
+
+
+def merged_variants(*variants: Column, most: int = 12) -> Column:
+    """Query variants of several origins in order, once each but for case and blanks."""
+    flat = F.filter(F.transform(F.flatten(F.array(*variants)), collapsed), lambda v: v != "")
+    first = F.filter(flat, lambda v, i: ~F.exists(F.slice(flat, 1, i), lambda u: F.lower(u) == F.lower(v)))
+    return F.slice(first, 1, most)

@@ -76,3 +76,27 @@ def index_quantile(values: Column, q: float) -> Column:
     """The sorted value at ``floor(q n)``, the last at most."""
     ordered = F.sort_array(F.collect_list(values))
     return F.get(ordered, F.least(F.size(ordered) - 1, F.floor(F.lit(q) * F.size(ordered)).cast("int")))
+
+
+def composite(backends: dict[str, DataFrame]) -> DataFrame:
+    """Long metrics ``query_id, metric, value`` of several evaluators, names prefixed by the evaluator's."""
+    out = None
+    for name, frame in backends.items():
+        own = frame.select("query_id", F.concat(F.lit(f"{name}."), "metric").alias("metric"), F.col("value").cast("double").alias("value"))
+        out = own if out is None else out.unionByName(own)
+    if out is None:
+        raise ValueError("a composite needs an evaluator")
+    return out
+
+
+def parse_thresholds(values: list[str], supported: tuple[str, ...] = METRICS) -> dict[str, float]:
+    """``metric=value`` pairs; unknown metrics and values outside 0 to 1 are errors."""
+    out = {}
+    for value in values:
+        name, _, number = value.partition("=")
+        if name not in supported:
+            raise ValueError(f"unknown metric {name!r}")
+        if not 0 <= (bound := float(number)) <= 1:
+            raise ValueError(f"{name}: {number} is not between 0 and 1")
+        out[name] = bound
+    return out

@@ -127,3 +127,21 @@ def concept_issues(entries: DataFrame, min_chars: int = 40) -> DataFrame:
         )
     )
     return entries.select("entry_id", checks.alias("issues")).where(F.size("issues") > 0)
+
+
+def pair_assets(figures: DataFrame, layout: DataFrame) -> DataFrame:
+    """Figure references with what the layout says of the asset; its tables turn figures into tables.
+
+    ``figures`` has ``asset``, ``layout`` has ``path, kind, page``; they meet by the last part of the path.
+    """
+    base = lambda c: F.element_at(F.split(c, "/"), -1)
+    known = layout.select(base(F.col("path")).alias("name"), "kind", "page").dropDuplicates(["name"])
+    joined = figures.join(known, base(figures["asset"]) == known["name"], "left").drop("name")
+    return joined.withColumn("modality", F.when(F.col("kind") == "table", "table").otherwise("figure"))
+
+
+def authorised(traces: DataFrame, trace_id: Column, tenant: Column, user: Column, now: Column) -> DataFrame:
+    """A stored trace for its own tenant and user while it lives; others fail at run time."""
+    bad = F.when(F.col("expires_at") <= now, "expired").when((F.col("tenant") != tenant) | (F.col("user_id") != user), "permission denied")
+    checked = F.when(bad.isNotNull(), F.raise_error(bad).cast("boolean")).otherwise(True)
+    return traces.where(F.col("trace_id") == trace_id).withColumn("ok", checked).where("ok").drop("ok")

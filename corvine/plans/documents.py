@@ -212,3 +212,18 @@ def ordered_dedupe(spark: SparkSession, d: str) -> DataFrame:
     lines = load(spark, d, "documents").select("doc_id", F.posexplode(F.transform(F.split("text", "\n"), T.collapsed)).alias("pos", "line")).where("line <> ''")
     first = R.best(lines.withColumn("low", F.lower("line")), ["doc_id", "low"], [F.asc("pos")], 1)
     return first.groupBy("doc_id").agg(F.count("*").alias("n_lines"), (F.min("pos") + 1).cast("long").alias("first_pos"))
+
+
+@query("""WITH w AS (SELECT p_partkey, p_name, list_filter(regexp_extract_all(p_name, '[A-Za-z][A-Za-z0-9]*'), lambda x: NOT list_contains(['a','an','and','for','in','of','on','the','to','with'], lower(x))) AS w FROM part),
+a AS (SELECT p_partkey, p_name, upper(array_to_string(list_transform(w, lambda x: left(x, 1)), '')) AS a FROM w) SELECT p_partkey, CASE WHEN length(a) BETWEEN 2 AND 8 AND NOT contains(p_name, a) THEN a END AS alias FROM a""")
+def title_alias(spark: SparkSession, d: str) -> DataFrame:
+    return load(spark, d, "part").select("p_partkey", T.title_alias(F.col("p_name")).alias("alias"))
+
+
+@query("""WITH f AS (SELECT page_id, 'img/' || page_id || '.png' AS asset FROM pages), l AS (SELECT page_id, page_id || '.png' AS name, CASE WHEN page_id % 3 = 0 THEN 'table' ELSE 'image' END AS kind, page_id % 5 AS page FROM pages WHERE page_id % 2 = 0)
+SELECT f.page_id, CASE WHEN kind = 'table' THEN 'table' ELSE 'figure' END AS modality, page FROM f LEFT JOIN l USING (page_id)""")
+def asset_pairing(spark: SparkSession, d: str) -> DataFrame:
+    pages, n = load(spark, d, "pages"), F.col("page_id").cast("string")
+    figures = pages.select("page_id", F.concat(F.lit("img/"), n, F.lit(".png")).alias("asset"))
+    layout = pages.where("page_id % 2 = 0").select(F.concat(F.lit("out/auto/"), n, F.lit(".png")).alias("path"), F.when(F.col("page_id") % 3 == 0, "table").otherwise("image").alias("kind"), (F.col("page_id") % 5).alias("page"))
+    return S.pair_assets(figures, layout).select("page_id", "modality", "page")

@@ -98,3 +98,16 @@ def golden_referential_check(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT sha256(string_agg(source, chr(10) ORDER BY source)) AS manifest FROM (SELECT DISTINCT source FROM documents)")
 def corpus_manifest(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "documents").agg(F.sha2(F.array_join(F.array_sort(F.collect_set("source")), "\n"), 256).alias("manifest"))
+
+
+@query("SELECT doc_id AS query_id, 'a.quality' AS metric, quality::DOUBLE AS value FROM labels UNION ALL SELECT doc_id, 'b.toxic', toxic::DOUBLE FROM labels WHERE doc_id % 2 = 0")
+def composite_metrics(spark: SparkSession, d: str) -> DataFrame:
+    labels = load(spark, d, "labels").withColumnRenamed("doc_id", "query_id")
+    one = lambda c: labels.select("query_id", F.lit(c).alias("metric"), F.col(c).alias("value"))
+    return E.composite({"a": one("quality"), "b": one("toxic").where("query_id % 2 = 0")})
+
+
+@query("SELECT doc_id FROM labels WHERE quality * 0.5 + (doc_id % 10) / 20 >= 0.7")
+def self_evaluation_gate(spark: SparkSession, d: str) -> DataFrame:
+    score = F.col("quality") * 0.5 + (F.col("doc_id") % 10) / 20
+    return load(spark, d, "labels").where(F.round(score, 9) >= 0.7).select("doc_id")
