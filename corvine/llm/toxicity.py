@@ -43,8 +43,8 @@ def subwords(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     buckets, owners = [], []
     for n in GRAMS:
         at = place[place + n <= edges[word + 1]]
-        buckets.append((hash_words(data, at, at + n) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64))
-        owners.append(word[at])
+        buckets.append((hash_words(data, at, at + n) >> np.uint64(64 - BUCKET_BITS)).astype(np.int32))
+        owners.append(word[at].astype(np.int32))
     return np.concatenate(buckets), np.concatenate(owners)
 
 
@@ -70,7 +70,7 @@ def fit(texts: list[str], labels: np.ndarray, seed: int = 7) -> Toxicity | None:
     raw = data.tobytes()
     buckets, owners = subwords([raw[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])
     words, docs, size = len(at), len(texts), 1 << BUCKET_BITS
-    share = 1 / np.maximum(np.bincount(owners, minlength=words), 1)[owners]
+    share = (1 / np.maximum(np.bincount(owners, minlength=words), 1)).astype(np.float32)[owners]
     length = np.bincount(rows, minlength=docs) + BLANKS
     weight = np.where(labels == 1, PRIOR / labels.mean(), (1 - PRIOR) / (1 - labels.mean())) / docs
     rng = np.random.default_rng(seed)
@@ -78,11 +78,11 @@ def fit(texts: list[str], labels: np.ndarray, seed: int = 7) -> Toxicity | None:
     state = [[np.zeros_like(p), np.zeros_like(p)] for p in (table, softmax, bias)]
     for step in range(1, STEPS + 1):
         lean = softmax[:, 1] - softmax[:, 0]
-        each = table @ lean
+        each = (table @ lean).astype(np.float32)
         of_word = np.bincount(owners, each[buckets] * share, words)
         logit = BOOST * np.bincount(rows, of_word[word], docs) / length + bias[1] - bias[0]
         error = (1 / (1 + np.exp(-logit)) - labels) * weight
-        back = np.bincount(word, (BOOST * error / length)[rows], words)
+        back = np.bincount(word, (BOOST * error / length)[rows], words).astype(np.float32)
         slope = np.bincount(buckets, back[owners] * share, size)
         turn = slope @ table
         grads = (np.outer(slope, lean), np.stack([-turn, turn], 1), np.array([-error.sum(), error.sum()]))
@@ -94,19 +94,25 @@ def fit(texts: list[str], labels: np.ndarray, seed: int = 7) -> Toxicity | None:
     return Toxicity((table @ (softmax[:, 1] - softmax[:, 0])).astype(np.float32), float(bias[1] - bias[0]))
 
 
-def score_texts(docs: DataFrame, labels: DataFrame, learn_from, rows_a_label: int = 2500, train_bytes: int = 32768, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> DataFrame:
+def score_texts(docs: DataFrame, labels: DataFrame, learn_from, rows_a_label: int = 2500, train_bytes: int = 16384, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> DataFrame:
     """``doc_id, score`` for every row of ``docs``; ``learn_from`` is a condition on the id column."""
     spark = docs.sparkSession
     docs = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].cast("string").alias("text"))
     marks = labels.select(labels[doc_id].cast("long").alias("doc_id"), labels[label].cast("int").alias("label"))
     marks = marks.where(learn_from(F.col("doc_id")) & F.col("label").isin(0, 1)).groupBy("doc_id").agg(F.max("label").alias("label"))
-    chosen = [r for k in (0, 1) for r in marks.where(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows_a_label).collect()]
-    model = None
-    if chosen:
-        sample = spark.createDataFrame(chosen, marks.schema)
-        fitting = docs.where(F.octet_length("text") <= train_bytes).join(F.broadcast(sample), "doc_id")
-        rows = fitting.orderBy("doc_id", "text").limit(2 * rows_a_label).toArrow()
-        model = fit(rows.column("text").to_pylist(), rows.column("label").to_numpy())
+    few = lambda k: marks.where(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows_a_label)
+    fitting = docs.where(F.octet_length("text") <= train_bytes).join(F.broadcast(few(0).unionByName(few(1))), "doc_id")
+    fitting = fitting.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("label").alias("label"))
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted(zip(*(sum((b.column(k).to_pylist() for b in held), []) for k in range(3)), strict=True)) if (held := list(batches)) else []
+        model = fit([r[1] for r in rows], np.array([r[2] for r in rows])) if rows else None
+        if model is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([model.weights.tobytes()], pa.binary()), pa.array([model.bias])], ["weights", "bias"])
+
+    # the sample is bounded, so one task can train; a lost executor trains again
+    got = fitting.select("doc_id", "text", "label").repartition(1).mapInArrow(learn, "weights binary, bias double").collect()
+    model = Toxicity(np.frombuffer(got[0]["weights"], np.float32), got[0]["bias"]) if got else None
     if model is None:
         return docs.select("doc_id", F.lit(0.0).alias("score"))
     shared = spark.sparkContext.broadcast((model.weights, model.bias))
