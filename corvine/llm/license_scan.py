@@ -63,11 +63,16 @@ def template_weights(templates=TEMPLATES) -> tuple[dict[str, float], list[tuple[
     return idf, out
 
 
+#: Words so usual that they are anchors only where a template needs them.
+USUAL = frozenset("a all and any are as be by can for from in is it may not of on or that the this to under was with you".split())
+
+
 def anchors(vectors: list[tuple[str, dict[str, float]]], threshold: float) -> list[str]:
+    """Words, one of which any line at the threshold has; usual words come last."""
     found: set[str] = set()
     for _, vector in vectors:
         rest = sum(v * v for w, v in vector.items() if w not in found)
-        for word, v in sorted(vector.items(), key=lambda x: (-x[1], x[0])):
+        for word, v in sorted(vector.items(), key=lambda x: (x[0] in USUAL, -x[1], x[0])):
             if rest < threshold**2 * 0.999:
                 break
             if word not in found:
@@ -85,20 +90,29 @@ def best_match(line: Column, threshold: float) -> Column:
     """``struct(score, license)`` of the best template for a line, null below the threshold."""
     idf, vectors = template_weights()
 
-    def compare(words: Column) -> Column:
-        one = F.array_distinct(words)
-        heavy = F.transform(one, lambda w: F.struct(w.alias("w"), (F.size(F.filter(words, lambda x: x == w)) * _lookup(idf, w, idf[""])).alias("v")))
+    known = [w for w in idf if w]
+
+    def norm(ordered: Column) -> Column:
+        """Length of the line's vector: words come sorted, so a run's square grows by ``2 run + 1`` with each."""
+        start = F.struct(F.lit("").alias("word"), F.lit(0).alias("run"), F.lit(0.0).alias("sum"))
 
-        def dot(bag: Column, vector: dict[str, float]) -> Column:
-            return F.aggregate(bag, F.lit(0.0), lambda a, b: a + b["v"] * _lookup(vector, b["w"], 0.0))
+        def add(a: Column, w: Column) -> Column:
+            run = F.when(w == a["word"], a["run"]).otherwise(0)
+            weight = F.when(w.isin(known), _lookup(idf, w, idf[""])).otherwise(idf[""])
+            return F.struct(w.alias("word"), (run + 1).alias("run"), (a["sum"] + weight * weight * (2 * run + 1)).alias("sum"))
 
-        def scores(bag: Column) -> Column:
-            norm = F.sqrt(F.aggregate(bag, F.lit(0.0), lambda a, b: a + b["v"] * b["v"]))
-            dots = [F.struct(F.round(dot(bag, v) / norm, 9).alias("score"), F.lit(n).alias("license")) for n, v in vectors]
-            ranked = F.array_sort(F.array(*dots), lambda a, b: F.when(a["score"] > b["score"], -1).when(a["score"] < b["score"], 1).when(a["license"] < b["license"], -1).when(a["license"] > b["license"], 1).otherwise(0))
-            return F.get(ranked, 0)
+        return F.aggregate(ordered, start, add, lambda a: F.sqrt(a["sum"]))
+
+    def dot(words: Column, vector: dict[str, float]) -> Column:
+        return F.aggregate(words, F.lit(0.0), lambda a, w: a + _lookup({k: v * idf[k] for k, v in vector.items()}, w, 0.0))
+
+    def compare(words: Column) -> Column:
+        def ranked(length: Column, own: Column) -> Column:
+            dots = [F.struct((-F.round(dot(own, v) / length, 9)).alias("score"), F.lit(n).alias("license")) for n, v in vectors]
+            return F.array_min(F.array(*dots))
 
-        return _with(heavy, scores)
+        least = _with(norm(F.array_sort(words)), lambda length: _with(F.filter(words, lambda w: w.isin(known)), lambda own: ranked(length, own)))
+        return _with(least, lambda m: F.struct((-m["score"]).alias("score"), m["license"].alias("license")))
 
     folded = F.translate(line, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     words = F.filter(F.split(folded, "[^a-z0-9]+"), lambda w: w != "")
