@@ -24,6 +24,7 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._common import kept
 from .quality_rules import _with, words_of
 
 THRESHOLD, FILE_SHARE = 0.6, 0.2
@@ -136,6 +137,7 @@ def scan(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text",
         "doc_id", "path", directory.alias("directory"), best["license"].alias("own_license"), (-best["score"]).alias("score"),
         ((F.size("found") > 0) & ((share >= file_share) | F.coalesce(name.rlike(FILE_NAME), F.lit(False)))).alias("license_file"),
     )
+    own = kept(own)  # a few short columns, read three times below
     inherited = inherit(own)
     joined = own.join(inherited, own["directory"] == inherited["of_directory"], "left")
     return joined.select(
