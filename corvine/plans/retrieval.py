@@ -250,8 +250,5 @@ def evidence_format(spark: SparkSession, d: str) -> DataFrame:
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
-    """Hybrid retrieval, the decision whether to answer, and the evidence for the answers."""
-    decided = R.decide(_described(spark, d)).select("query_id", "decision", F.col("evidence_score").alias("evidence"))
-    rows = _described(spark, d).drop("score_dense", "score_bm25").join(questions(spark, d), "query_id")
-    chosen = R.select_evidence(rows).select("query_id", "chunk_id", "paper_id", "select_score", "selected")
-    return chosen.join(decided.where("decision <> 'no_evidence'"), "query_id")
+    """Hybrid retrieval of all questions and the evidence for their answers."""
+    return evidence_select(spark, d)
