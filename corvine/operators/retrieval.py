@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 
-#: Dense queries of one call; a larger batch is an error, as all tasks get them.
+#: Dense queries of one block, as all tasks get a block's vectors; more queries are more blocks.
 MOST_QUERIES = 4096
+#: Scores of one matrix product.
+MOST_SCORES = 1 << 22
 #: Scores that tell relevance, best first, and those that only rank.
 SCORE_FIELDS = ("score_effective", "score_rerank", "score_dense", "score", "score_bm25", "score_rrf")
 LOW_QUALITY = ("score_bm25", "score_rrf")
@@ -60,33 +63,45 @@ def bm25(chunks: DataFrame, queries: DataFrame, variant: str = "okapi", top_k: i
 def dense(points: DataFrame, queries: DataFrame, top_k: int = 20) -> DataFrame:
     """``query_id, chunk_id, score_dense, rank_dense`` by cosine; ``points`` has ``chunk_id, vector``.
 
-    The query vectors (a checked number) go to all tasks; a task keeps its ``top_k`` of each query
-    from a matrix product, so that the shuffle is ``top_k`` rows a query and task.
+    The query vectors go to all tasks in blocks of ``MOST_QUERIES``, as many as there are; a task keeps
+    its ``top_k`` of each query from a matrix product, so that the shuffle is ``top_k`` rows a query and task.
+    The driver holds one block of rows at a time.
     """
-    asked = queries.select("query_id", "vector").orderBy("query_id").limit(MOST_QUERIES + 1).collect()
-    if len(asked) > MOST_QUERIES:
-        raise ValueError(f"more than {MOST_QUERIES} dense queries in a batch")
+    points = points.select("chunk_id", "vector").where("vector is not null")
+    asked = queries.select("query_id", "vector").toLocalIterator()
+    found = None
+    while (block := list(islice(asked, MOST_QUERIES))) or found is None:
+        some = _search(points, block, top_k)
+        found = some if found is None else found.unionByName(some)
+    return best(found, ["query_id"], [F.desc("score_dense"), F.asc("chunk_id")], top_k, "rank_dense")
+
+
+def _search(points: DataFrame, asked: Sequence[Row], top_k: int) -> DataFrame:
+    """Each task's ``top_k`` points of each query of a block."""
     ids = np.array([r["query_id"] for r in asked], np.int64)
     unit = np.array([np.asarray(r["vector"], float) / max(np.linalg.norm(np.asarray(r["vector"], float)), 1e-30) for r in asked])
-    schema = "query_id long, chunk_id long, score_dense double"
+    shared = points.sparkSession.sparkContext.broadcast((ids, unit))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, unit = shared.value
         held: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0)) for _ in ids]
         for batch in batches:
             if not batch.num_rows or not len(ids):
                 continue
-            rows = np.stack(batch.column(1).to_numpy(zero_copy_only=False)).astype(float)
-            score = np.round(unit @ (rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-30)).T, 9)
-            chunk = batch.column(0).to_numpy()
-            for q in range(len(ids)):
-                c, s = np.concatenate([held[q][0], chunk]), np.concatenate([held[q][1], score[q]])
-                first = np.lexsort((c, -s))[:top_k]
-                held[q] = c[first], s[first]
+            step = max(1, MOST_SCORES // len(ids))
+            for begin in range(0, batch.num_rows, step):
+                part = batch.slice(begin, step)
+                rows = np.stack(part.column(1).to_numpy(zero_copy_only=False)).astype(float)
+                score = np.round(unit @ (rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-30)).T, 9)
+                chunk = part.column(0).to_numpy()
+                for q in range(len(ids)):
+                    c, s = np.concatenate([held[q][0], chunk]), np.concatenate([held[q][1], score[q]])
+                    first = np.lexsort((c, -s))[:top_k]
+                    held[q] = c[first], s[first]
         for q, (c, s) in enumerate(held):
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(c), ids[q])), pa.array(c), pa.array(s)], ["query_id", "chunk_id", "score_dense"])
 
-    found = points.select("chunk_id", "vector").where("vector is not null").mapInArrow(search, schema)
-    return best(found, ["query_id"], [F.desc("score_dense"), F.asc("chunk_id")], top_k, "rank_dense")
+    return points.mapInArrow(search, "query_id long, chunk_id long, score_dense double")
 
 
 def rrf(legs: Sequence[tuple[DataFrame, str]], k: int = 60, keep: Sequence[str] = ()) -> DataFrame:

@@ -104,6 +104,19 @@ def test_grades_media_and_pages():
     assert chunking.page_of(paged, paged.index("second")) == 2 and chunking.page_of(paged, 0) == 1
 
 
+def test_dense_takes_more_queries_than_a_block(spark, monkeypatch):
+    monkeypatch.setattr(R, "MOST_QUERIES", 3)
+    points = [(i, [float(i % 7) - 3, float(i % 5) - 2, 1.0]) for i in range(40)]
+    asked = [(q, [float(q % 3) - 1, float(q % 4), 0.5]) for q in range(10)]
+    frames = [spark.createDataFrame(rows, f"{name} long, vector array<double>").repartition(2) for rows, name in ((points, "chunk_id"), (asked, "query_id"))]
+    got = R.dense(*frames, 4).collect()
+    unit = lambda v: [x / sum(y * y for y in v) ** 0.5 for x in v]
+    cosine = lambda a, b: round(sum(x * y for x, y in zip(unit(a), unit(b), strict=True)), 9)
+    want = {(q, c, n) for q, v in asked for n, (_, c) in enumerate(sorted((-cosine(v, p), c) for c, p in points)[:4])}
+    assert {(r["query_id"], r["chunk_id"], r["rank_dense"]) for r in got} == want and len(got) == 40
+    assert R.dense(frames[0], frames[1].where("query_id < 0"), 4).count() == 0
+
+
 def test_fusion_and_pool(spark):
     dense = spark.createDataFrame([(1, "a", 0, 0.9), (1, "b", 1, 0.8)], "query_id long, chunk_id string, rank int, score_dense double")
     sparse = spark.createDataFrame([(1, "a", 0, 5.0), (1, "c", 1, 4.0)], "query_id long, chunk_id string, rank int, score_bm25 double")
