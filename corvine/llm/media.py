@@ -17,6 +17,7 @@ import re
 import struct
 import zlib
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import ahocorasick
 import pyarrow as pa
@@ -105,28 +106,87 @@ def _gzip(b: memoryview, at: int) -> int:
     return min(place, len(b)) - at - len(engine.unused_data) if engine.eof else 0
 
 
+_PDF_HEAD, _PDF_END = re.compile(rb"%PDF-[12]\.\d[\r\n ]"), re.compile(rb"startxref\s+(\d{1,18})\s+%%EOF")
+_PDF_XREF = re.compile(rb"(?s)\s*(xref\s|\d+\s+\d+\s+obj\s*<<.{0,2048}?/Type\s*/XRef)")
+
+
 def _pdf(b: memoryview, at: int) -> int:
-    if not re.compile(rb"%PDF-[12]\.\d[\r\n ]").match(b, at):
+    """Up to the file's own last end: one whose cross-references lie in it.
+
+    Behind another header only an update's end is its own, whose cross-references are new; the end of a copy
+    that follows points back.  Without any such end it is the last one before the next header.
+    """
+    if not _PDF_HEAD.match(b, at):
         return 0
-    last = None
-    for last in re.compile(rb"startxref\s+\d+\s+%%EOF").finditer(b, at):
-        pass
-    return last.end() - at if last else 0
+    own, other = 0, None  # the last own end, and the first header behind it
+    for m in _PDF_END.finditer(b, at):
+        place = at + int(m[1])
+        fits = at < place < m.start() and _PDF_XREF.match(b, place, m.start()) is not None
+        if fits and (place >= own or other is None or other.start() > m.start()):
+            own, other = m.end(), _PDF_HEAD.search(b, m.end())
+    if not own:
+        following = _PDF_HEAD.search(b, at + 1)
+        for m in _PDF_END.finditer(b, at, following.start() if following else len(b)):
+            own = m.end()
+    return max(own - at, 0)
+
+
+def _wide(b: memoryview, extra: int, size: int, skip: int) -> int | None:
+    """The value at ``skip`` of the zip64 field among extra fields."""
+    end = extra + size
+    while extra + 4 <= end:
+        kind, n = struct.unpack_from("<HH", b, extra)
+        if kind == 1:
+            return struct.unpack_from("<Q", b, extra + 4 + skip)[0] if skip + 8 <= n and extra + 4 + n <= end else None
+        extra += 4 + n
+    return None
+
+
+def _directory(b: memoryview, end: int) -> tuple[int, int] | None:
+    """Start and end of the archive whose end-of-central-directory record is at ``end``, if its members are there."""
+    if end + 22 > len(b):
+        return None
+    entries, size, offset, comment = struct.unpack_from("<HIIH", b, end + 10)
+    close, stop = end, end + 22 + comment
+    if end >= 76 and bytes(b[end - 20 : end - 16]) == b"PK\6\7" and bytes(b[end - 76 : end - 72]) == b"PK\6\6":
+        close = end - 76
+        entries, size, offset = struct.unpack_from("<QQQ", b, close + 32)
+    place, base = close - size, close - size - offset
+    if not entries or base < 0 or stop > len(b):
+        return None
+    first, directory = place, place
+    for _ in range(entries):
+        if place + 46 > close or bytes(b[place : place + 4]) != b"PK\1\2":
+            return None
+        packed, full, name, extra, note = struct.unpack_from("<IIHHH", b, place + 20)
+        begin = struct.unpack_from("<I", b, place + 42)[0]
+        fields, skip = place + 46 + name, 8 * (full == 0xFFFFFFFF)
+        if packed == 0xFFFFFFFF:
+            packed, skip = _wide(b, fields, extra, skip), skip + 8
+        if begin == 0xFFFFFFFF:
+            begin = _wide(b, fields, extra, skip)
+        if packed is None or begin is None:
+            return None
+        begin += base
+        if begin + 30 > directory or bytes(b[begin : begin + 4]) != b"PK\3\4" or begin + 30 + sum(struct.unpack_from("<HH", b, begin + 26)) + packed > directory:
+            return None
+        first, place = min(first, begin), place + 46 + name + extra + note
+    return (first, stop) if place == close else None
+
+
+@lru_cache(maxsize=1)
+def _archives(b: memoryview) -> dict[int, int]:
+    """Ends of all zip archives of a value by their starts, the longest of a start."""
+    found: dict[int, int] = {}
+    for m in re.compile(rb"PK\x05\x06").finditer(b):
+        if place := _directory(b, m.start()):
+            found[place[0]] = max(place[1], found.get(place[0], 0))
+    return found
 
 
 def _zip(b: memoryview, at: int) -> int:
-    place = at
-    while place + 30 <= len(b) and bytes(b[place : place + 4]) == b"PK\3\4":
-        flags, size, name, extra = struct.unpack_from("<H", b, place + 6)[0], *struct.unpack_from("<I4xHH", b, place + 18)
-        if flags & 8:
-            return 0
-        place += 30 + name + extra + size
-    while place + 46 <= len(b) and bytes(b[place : place + 4]) == b"PK\1\2":
-        place += 46 + sum(struct.unpack_from("<HHH", b, place + 28))
-    if place == at or place + 22 > len(b) or bytes(b[place : place + 4]) != b"PK\5\6":
-        return 0
-    end = place + 22 + struct.unpack_from("<H", b, place + 20)[0]
-    return end - at if end <= len(b) else 0
+    """The central directory has the members' sizes, also where their headers leave them to descriptors."""
+    return _archives(b).get(at, at) - at
 
 
 #: Magic bytes of the formats, with the media type and the validator of each.
@@ -168,7 +228,7 @@ def sniff(value: bytes) -> tuple[str, list[tuple[str, int, int]]]:
     goes on after the end of what was carved.
     """
     kind, carved, free = UNKNOWN, [], 0
-    view = memoryview(value)
+    view = memoryview(bytes(value))
     for last, magic in _search().iter(value.decode("latin-1")):
         at = last + 1 - len(magic)
         if at < free:
@@ -213,7 +273,7 @@ def sniff_column(frame: DataFrame, value: str, declared: str, keys: list[str]) -
                 columns = [*part.columns[: len(keys)], pa.array(kinds), pa.array(said, pa.string()), pa.array(wrong), pa.array(carved, _CARVED)]
                 yield pa.RecordBatch.from_arrays(columns, [*keys, "media_type", "declared_type", "corrected", "carved"])
 
-    picked = frame.select(*keys, frame[value].cast("binary"), frame[declared].cast("string"))
+    picked = frame.select(*keys, frame[value].cast("binary").alias("_value"), frame[declared].cast("string").alias("_declared"))
     own = ", ".join(f"`{k}` {frame.schema[k].dataType.simpleString()}" for k in keys)
     return picked.mapInArrow(run, f"{own}, media_type string, declared_type string, corrected boolean, carved array<struct<media_type:string,start:bigint,length:bigint>>")
 

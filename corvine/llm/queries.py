@@ -56,23 +56,32 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each text is stored as a WAV file of 8-bit samples under a wrong declared type, sniffed and read back."""
+    """Each text is stored as a WAV file of 8-bit samples under a wrong declared type, whose correction tells how to read it back."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in by_bytes(batches, "text"):
             data, offsets = text_arrays(part.column(1))
-            raw, rows = data.tobytes(), []
-            for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
-                stored = media.to_wave(raw[a:b].ljust(max(64, (b - a + 63) // 64 * 64), b"\0"))
-                kind, carved = media.sniff(stored)
-                back = media.from_wave(stored) if kind == "audio/wav" else b""
-                feature = ";".join([kind, *(f"{k}@{at}+{n}" for k, at, n in carved)])
-                rows.append((b - a, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(stored), hashlib.sha256(stored).hexdigest(), feature))
-            columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)]
-            yield pa.RecordBatch.from_arrays([part.column(0), *columns], ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+            raw = data.tobytes()
+            stored = [media.to_wave(raw[a:b].ljust(max(64, (b - a + 63) // 64 * 64), b"\0")) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(offsets), pa.int64()), pa.array(stored, pa.binary()), pa.array(["image/png"] * len(stored))], ["doc_id", "n_bytes", "stored", "declared"])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for stored, used, found, carved in zip(*batch.columns[2:], strict=True):
+                value = stored.as_py()
+                back = media.from_wave(value) if used.as_py() == "audio/wav" else b""
+                feature = ";".join([found.as_py(), *(f"{c['media_type']}@{c['start']}+{c['length']}" for c in carved.as_py())])
+                rows.append((len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(value), hashlib.sha256(value).hexdigest(), feature))
+            if rows:
+                columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:2], *columns], ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return docs.mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    stored = docs.mapInArrow(store, "doc_id long, n_bytes long, stored binary, declared string")
+    sniffed = media.sniff_column(stored, "stored", "declared", ["doc_id", "n_bytes", "stored"])
+    used = F.when(F.col("corrected"), F.col("media_type")).otherwise(F.col("declared_type")).alias("used")
+    return sniffed.select("doc_id", "n_bytes", "stored", used, "media_type", "carved").mapInArrow(read, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

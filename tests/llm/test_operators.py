@@ -240,6 +240,80 @@ def test_media_sniffing(spark):
     assert (out[1]["media_type"], out[1]["corrected"], out[2]["media_type"], out[3]["corrected"]) == ("image/png", True, media.UNKNOWN, False)
 
 
+def streamed_zip(**options):
+    """An archive whose member headers leave sizes to descriptors."""
+    import io
+    import zipfile
+
+    class Pipe(io.RawIOBase):
+        data = b""
+
+        def writable(self):
+            return True
+
+        def write(self, part):
+            self.data += bytes(part)
+            return len(part)
+
+    pipe = Pipe()
+    with zipfile.ZipFile(pipe, "w", zipfile.ZIP_DEFLATED) as z:
+        for name in ("a.txt", "b.txt"):
+            with z.open(name, "w", **options) as f:
+                f.write(name.encode() * 50)
+    return pipe.data
+
+
+def pdf(body=b"", base=b""):
+    """A file, or an update of one, whose end tells the place of its cross-references."""
+    new = base + (b"\n" if base else b"%PDF-1.4\n") + body + b"\n"
+    return new + b"xref\n0 1\n0000000000 65535 f \ntrailer <<>>\nstartxref\n%d\n%%%%EOF" % len(new)
+
+
+def test_media_zip_with_descriptors_and_pdf_ends():
+    import io
+    import zipfile
+
+    for archive in (streamed_zip(), streamed_zip(force_zip64=True)):
+        assert archive[6] & 8
+        assert media.sniff(archive) == ("application/zip", [])
+        assert media.sniff(b"head" + archive + b"tail") == (media.UNKNOWN, [("application/zip", 4, len(archive))])
+        assert media.sniff(archive[:-1])[0] == media.UNKNOWN
+    outer = io.BytesIO()
+    with zipfile.ZipFile(outer, "w") as z:
+        z.writestr("in.zip", archive)
+    assert media.sniff(outer.getvalue()) == ("application/zip", [("application/zip", 36, len(archive))])
+    two = archive + outer.getvalue()
+    assert media.sniff(two) == ("application/zip", [("application/zip", 0, len(archive)), ("application/zip", len(archive), len(two) - len(archive))])
+
+    one, other = pdf(b"1 0 obj"), pdf(b"longer body of another file")
+    assert media.sniff(one) == media.sniff(pdf(b"new", one)) == ("application/pdf", [])
+    kind = "application/pdf"
+    for second in (other, one):
+        assert media.sniff(one + second) == (kind, [(kind, 0, len(one)), (kind, len(one), len(second))])
+        mixed = one + png() + second
+        assert media.sniff(mixed)[1] == [(kind, 0, len(one)), ("image/png", len(one), len(png())), (kind, len(one) + len(png()), len(second))]
+    holds = pdf(b"stream " + other + b" endstream", one)
+    assert media.sniff(b"x" + holds)[1] == [(kind, 1, len(holds))]
+    loose = b"%PDF-1.4\nbody\nstartxref\n7\n%%EOF"
+    assert media.sniff(loose + loose)[1] == [(kind, 0, len(loose)), (kind, len(loose), len(loose))]
+    assert media.sniff(b"%PDF-1.4\ncut off" + one)[1] == [(kind, 16, len(one))]
+
+
+def test_media_query_corrects_declared_types(spark, monkeypatch):
+    from corvine.llm.queries import op6_media
+
+    seen = []
+
+    def sniff_column(frame, value, declared, keys, real=media.sniff_column):
+        seen.append(real(frame, value, declared, keys))
+        return seen[-1]
+
+    monkeypatch.setattr(media, "sniff_column", sniff_column)
+    out = op6_media(spark, "/root/testdata/sf0.001").collect()
+    assert len(out) and all(r["feature"].startswith("audio/wav") and r["payload_bytes"] >= r["n_bytes"] for r in out)
+    assert {(r["declared_type"] == "audio/wav", r["media_type"], r["corrected"]) for r in seen[0].collect()} == {(False, "audio/wav", True)}
+
+
 def test_license_scan(spark, odd, empty):
     mit, gpl = "Released under the MIT License.", "This work is licensed under the GNU General Public License, version 3."
     rows = [(1, f"{mit}", "a/x.txt"), (2, "plain", "a/b/y.txt"), (3, f"{gpl}\n" + "word " * 200, "a/b/z.txt"), (4, gpl, "a/b/LICENSE"), (5, "plain", "a/b/c/w.txt"), (6, "plain", "q/w.txt"), (7, None, None), (8, "the mit license plate was under the sofa of all rights", "a/k.txt"), (9, "plain", "top.txt")]
