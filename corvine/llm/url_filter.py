@@ -1,9 +1,9 @@
 """URL verdicts: host and path rules, and a character model ratio for URLs that no rule fits.
 
 URLs that a rule decides train two smoothed variable-order Markov models over bytes, one for
-accepted and one for rejected URLs.  Counts of contexts and of their continuations live in one
-table of ``2 ** SLOT_BITS`` hashed slots a class: its size is fixed, so it may be collected and sent
-to all tasks whatever the number of pages; every URL counts, none is sampled.  The probability of a
+accepted and one for rejected URLs.  Counts of contexts and of their continuations are exact by key (a
+64-bit hash) and as many as there are keys; they are sorted by key, collected and sent to all tasks, 24
+bytes a key; every URL counts, none is sampled.  The probability of a
 byte backs off from order ``ORDER`` to 0 by ``(c(context, byte) + B * p_shorter) / (c(context) + B)``.
 The score is the difference of log-likelihoods a byte.  A fifth of the ruled URLs (by hash) is kept
 out of the counts; the threshold is the score that splits that fifth with the best balanced accuracy.
@@ -23,7 +23,9 @@ from pyspark.sql import functions as F
 
 from ._common import CASED, by_bytes, hash_words, text_arrays
 
-ORDER, SLOT_BITS, BACKOFF = 5, 18, 2.0
+ORDER, BACKOFF = 5, 2.0
+#: Keys that a task holds before it sends their counts.
+MOST_HELD = 2_000_000
 #: Scores are counted in bins of this width up to this size, to find the threshold.
 BIN, FAR = 0.005, 8.0
 
@@ -49,35 +51,40 @@ def ruling(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -> tupl
 
 
 def _grams(data: np.ndarray, offsets: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bytes that have ``order`` bytes before them in their URL; slots of context and of continuation."""
+    """Bytes that have ``order`` bytes before them in their URL; keys of context and of continuation."""
     place = np.arange(len(data))
     row = np.searchsorted(offsets, place, "right") - 1
     place = place[place - offsets[row] >= order]
-    shift = np.uint64(64 - SLOT_BITS)
     salt = np.uint64(order * 0x9E3779B97F4A7C15 & (2**64 - 1))
     context = hash_words(data, place - order, place, CASED) ^ salt
     longer = hash_words(data, place - order, place + 1, CASED) ^ salt ^ np.uint64(0xA5A5A5A5A5A5A5A5)
-    return place, (context >> shift).astype(np.int64), (longer >> shift).astype(np.int64)
+    return place, context, longer
 
 
-def _loglik(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> np.ndarray:
-    chance = np.full(len(data), 1 / 256)
-    for order in range(ORDER + 1):
-        place, context, longer = _grams(data, offsets, order)
-        chance[place] = (table[longer] + BACKOFF * chance[place]) / (table[context] + BACKOFF)
-    return np.add.reduceat(np.r_[np.log(chance), 0], offsets[:-1]) * (np.diff(offsets) > 0)
+def _counts(model: tuple[np.ndarray, np.ndarray], wanted: np.ndarray) -> np.ndarray:
+    """Counts of keys in both classes, 0 of those that no URL has."""
+    keys, counts = model
+    if not len(keys):
+        return np.zeros((2, len(wanted)))
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return counts[:, at] * (keys[at] == wanted)
 
 
-def _score(part: pa.RecordBatch, models: np.ndarray) -> np.ndarray:
+def _score(part: pa.RecordBatch, model: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     data, offsets = text_arrays(part.column(part.schema.get_field_index("address")))
-    gap = _loglik(data, offsets, models[1]) - _loglik(data, offsets, models[0])
-    return gap / np.maximum(np.diff(offsets), 1)
+    chance = np.full((2, len(data)), 1 / 256)
+    for order in range(ORDER + 1):
+        place, context, longer = _grams(data, offsets, order)
+        chance[:, place] = (_counts(model, longer) + BACKOFF * chance[:, place]) / (_counts(model, context) + BACKOFF)
+    gap = np.log(chance[1]) - np.log(chance[0])
+    size = np.diff(offsets)
+    return np.add.reduceat(np.r_[gap, 0], offsets[:-1]) * (size > 0) / np.maximum(size, 1)
 
 
 def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str]], page_id: str = "page_id", url: str = "url") -> DataFrame:
     """``page_id, host, path, rule, verdict, score`` for every row of ``pages``.
 
-    Two passes count (models, threshold) and one scores; what is shuffled is a few MB of slots.
+    Two passes count (models, threshold) and one scores; what is shuffled are the counts of keys.
     """
     host, path = host_and_path(pages[url].cast("string"))
     pages = pages.select(pages[page_id].alias("page_id"), host.alias("host"), path.alias("path"))
@@ -87,7 +94,16 @@ def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str]], page_id: str
     held = F.pmod(F.xxhash64("address"), F.lit(5)) == 0
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, 1 << SLOT_BITS), np.int64)
+        held: list[list[tuple[np.ndarray, np.ndarray]]] = [[], []]
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for k in (0, 1):
+                if held[k]:
+                    keys, back = np.unique(np.concatenate([h for h, _ in held[k]]), return_inverse=True)
+                    n = np.bincount(back, np.concatenate([c for _, c in held[k]]), len(keys)).astype(np.int64)
+                    held[k].clear()
+                    yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n * (1 - k)), pa.array(n * k)], ["key", "bad", "good"])
+
         for part in by_bytes(batches, "address"):
             good = part.column(1).to_numpy()
             data, offsets = text_arrays(part.column(0))
@@ -95,17 +111,17 @@ def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str]], page_id: str
                 place, context, longer = _grams(data, offsets, order)
                 kind = good[np.searchsorted(offsets, place, "right") - 1]
                 for k in (0, 1):
-                    for slot in (context, longer):
-                        total[k] += np.bincount(slot[kind == k], minlength=1 << SLOT_BITS)
-        for k in (0, 1):
-            used = np.flatnonzero(total[k])
-            yield pa.RecordBatch.from_arrays([pa.array(used + (k << SLOT_BITS)), pa.array(total[k][used])], ["slot", "n"])
-
-    slots = ruled.where(~held).mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
-    got = slots.toArrow()  # at most two slots tables
-    models = np.zeros((2, 1 << SLOT_BITS))
-    models.reshape(-1)[got.column("slot").to_numpy()] = got.column("n").to_numpy()
-    shared = pages.sparkSession.sparkContext.broadcast(models.astype(np.float32))
+                    held[k].append(np.unique(np.concatenate([context[kind == k], longer[kind == k]]), return_counts=True))
+            if sum(len(h) for own in held for h, _ in own) > MOST_HELD:
+                yield from flush()
+        yield from flush()
+
+    counted = ruled.where(~held).mapInArrow(count, "key long, bad long, good long").groupBy("key").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    got = counted.toArrow()
+    keys = got.column("key").to_numpy().view(np.uint64)
+    order = np.argsort(keys)
+    counts = np.stack([got.column(c).to_numpy()[order] for c in ("bad", "good")]).astype(float)
+    shared = pages.sparkSession.sparkContext.broadcast((keys[order], counts))
 
     def bins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in by_bytes(batches, "address"):

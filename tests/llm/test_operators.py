@@ -118,6 +118,37 @@ def test_url_model_learns_its_labels(spark):
     assert np.mean([(r["verdict"] == "allow") == bool(r["page_id"] % 2) for r in out]) > 0.9
 
 
+def test_url_scores_are_exact_whatever_the_number_of_keys(spark):
+    rng = random.Random(6)
+    name = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=28))
+    rows = [(i, f"http://{'good.com' if i % 2 else 'spam.net'}{'/en/' if i % 2 else '/es/'}{name()}") for i in range(6000)]
+    rows += [(10_000 + i, f"http://else.org/{name()}") for i in range(40)]
+    out = {r["page_id"]: r for r in url_filter.judge_urls(spark.createDataFrame(rows, "page_id long, url string"), URL_RULES).collect()}
+    addresses = spark.createDataFrame([(i, u[7:]) for i, u in rows], "id long, address string").select("id", "address", F.pmod(F.xxhash64("address"), F.lit(5)).alias("fold")).collect()
+    counts = [Counter(), Counter()]
+    for r in addresses:
+        if r["id"] < 10_000 and r["fold"]:
+            a = r["address"]
+            for order in range(url_filter.ORDER + 1):
+                for at in range(order, len(a)):
+                    counts[r["id"] % 2].update([(a[at - order : at], ""), (a[at - order : at], a[at])])
+    assert min(map(len, counts)) > 1 << 18
+
+    def loglik(a, count):
+        total = 0.0
+        for at in range(len(a)):
+            chance = 1 / 256
+            for order in range(min(url_filter.ORDER, at) + 1):
+                context = a[at - order : at]
+                chance = (count[context, a[at]] + url_filter.BACKOFF * chance) / (count[context, ""] + url_filter.BACKOFF)
+            total += float(np.log(chance))
+        return total
+
+    for r in addresses[-40:] + addresses[:10]:
+        a = r["address"]
+        assert out[r["id"]]["score"] == pytest.approx((loglik(a, counts[1]) - loglik(a, counts[0])) / len(a), abs=1e-9)
+
+
 def test_best_threshold_splits_and_breaks_ties():
     assert url_filter.best_threshold([(-10, 0, 5), (20, 1, 5)]) == 0
     assert url_filter.best_threshold([(10, 0, 5), (20, 1, 5)]) == 11 * url_filter.BIN
