@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corvine.llm import mixing, ngram_join, packing, quality_rules, toxicity
@@ -14,25 +14,37 @@ from corvine.llm.queries import TOXIC_AT, fold, table, tokenizer_path
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """With ``row_key``, a 64-bit hash of the whole row: ids may be null or repeat, and equal rows are told apart by nothing."""
+    return docs.select(*COLUMNS, F.xxhash64(*COLUMNS, *[F.col(c).isNull() for c in COLUMNS]).alias("row_key"))
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents that the toxicity model scores at the threshold or above."""
-    scored = toxicity.score_texts(docs, table(spark, sf_dir, "labels"), lambda i: fold(i, 3) != 1)
-    toxic = scored.where(F.col("score") >= TOXIC_AT).select(F.col("doc_id").alias("toxic_id")).distinct()
-    return docs.join(toxic, docs["doc_id"] == toxic["toxic_id"], "left_anti").select(*COLUMNS)
+    """Without the rows that the toxicity model scores at the threshold or above, whatever their ids."""
+    docs = keyed(docs)
+    scored = toxicity.score_texts(docs, table(spark, sf_dir, "labels"), lambda i: fold(i, 3) != 1, key="row_key")
+    toxic = scored.where(F.col("score") >= TOXIC_AT).select(F.col("doc_id").alias("toxic_key")).distinct()
+    return docs.join(toxic, docs["row_key"] == toxic["toxic_key"], "left_anti").select(*COLUMNS)
 
 
 def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents that fail a base rule or whose host is rejected."""
-    judged = quality_rules.judge_documents(docs)
-    rejected = judged.where(~F.col("kept")).select(F.col("doc_id").alias("bad_id")).distinct()
-    return docs.join(rejected, docs["doc_id"].eqNullSafe(rejected["bad_id"]), "left_anti").select(*COLUMNS)
+    """Without the rows that fail a base rule or whose host is rejected, whatever their ids."""
+    docs = keyed(docs)
+    judged = quality_rules.judge_documents(docs, "row_key")
+    rejected = judged.where(~F.col("kept")).select(F.col("doc_id").alias("bad_key")).distinct()
+    return docs.join(rejected, docs["row_key"] == rejected["bad_key"], "left_anti").select(*COLUMNS)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked texts: the one with the smallest id."""
-    groups = ngram_join.similar_classes(docs)
-    copies = groups.where(F.col("component_id") < F.col("doc_id")).select(F.col("doc_id").alias("copy_id")).distinct()
-    return docs.join(copies, docs["doc_id"] == copies["copy_id"], "left_anti").select(*COLUMNS)
+    """One row of each group of linked texts: the one with the smallest id; null ids come last, and of equal rows one stays."""
+    docs = keyed(docs)
+    groups = ngram_join.similar_classes(docs, doc_id="row_key").select(F.col("doc_id").alias("key"), F.coalesce("component_id", "doc_id").alias("group"))
+    ids = docs.groupBy("row_key").agg(F.min("doc_id").alias("doc_id"))  # equal rows once, so that they don't meet one another
+    first = groups.join(ids, groups["key"] == ids["row_key"]).groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")).alias("first"))
+    first = first.select(F.col("first.row_key").alias("first_key"))
+    kept = docs.join(first, docs["row_key"] == first["first_key"], "left_semi")
+    once = F.row_number().over(Window.partitionBy("row_key").orderBy("doc_id"))
+    return kept.withColumn("once", once).where("once = 1").select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

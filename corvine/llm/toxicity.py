@@ -94,9 +94,13 @@ def fit(texts: list[str], labels: np.ndarray, seed: int = 7) -> Toxicity | None:
     return Toxicity((table @ (softmax[:, 1] - softmax[:, 0])).astype(np.float32), float(bias[1] - bias[0]))
 
 
-def score_texts(docs: DataFrame, labels: DataFrame, learn_from, rows_a_label: int = 2500, train_bytes: int = 16384, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> DataFrame:
-    """``doc_id, score`` for every row of ``docs``; ``learn_from`` is a condition on the id column."""
+def score_texts(docs: DataFrame, labels: DataFrame, learn_from, rows_a_label: int = 2500, train_bytes: int = 16384, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", key: str | None = None) -> DataFrame:
+    """``doc_id, score`` for every row of ``docs``; ``learn_from`` is a condition on the id column.
+
+    With ``key``, a long column of ``docs``, ``doc_id`` is that column in the result; labels still meet the id.
+    """
     spark = docs.sparkSession
+    told = docs.select(docs[key or doc_id].cast("long").alias("doc_id"), docs[text].cast("string").alias("text"))
     docs = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].cast("string").alias("text"))
     marks = labels.select(labels[doc_id].cast("long").alias("doc_id"), labels[label].cast("int").alias("label"))
     marks = marks.where(learn_from(F.col("doc_id")) & F.col("label").isin(0, 1)).groupBy("doc_id").agg(F.max("label").alias("label"))
@@ -114,7 +118,7 @@ def score_texts(docs: DataFrame, labels: DataFrame, learn_from, rows_a_label: in
     got = fitting.select("doc_id", "text", "label").repartition(1).mapInArrow(learn, "weights binary, bias double").collect()
     model = Toxicity(np.frombuffer(got[0]["weights"], np.float32), got[0]["bias"]) if got else None
     if model is None:
-        return docs.select("doc_id", F.lit(0.0).alias("score"))
+        return told.select("doc_id", F.lit(0.0).alias("score"))
     shared = spark.sparkContext.broadcast((model.weights, model.bias))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,4 +145,4 @@ def score_texts(docs: DataFrame, labels: DataFrame, learn_from, rows_a_label: in
             score = 1 / (1 + np.exp(-np.clip(BOOST * mean + model.bias, -500, 500)))
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(score)], ["doc_id", "score"])
 
-    return docs.mapInArrow(run, "doc_id long, score double")
+    return told.mapInArrow(run, "doc_id long, score double")

@@ -74,6 +74,35 @@ def test_pipeline_matches_brute_force(spark):
     assert sum(r["length"] for r in kept["packing"]) == want
 
 
+def test_stages_tell_rows_of_one_id_apart(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    text = lambda k: " ".join(f"word{k}x{i}" for i in range(80))
+    frame = lambda rows: spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    pairs = lambda out: sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=repr)
+
+    copies = [(2, text("a")), (1, text("a")), (1, text("a")), (None, text("a")), (None, text("b")), (None, text("b")), (5, text("c")), (5, text("d")), (4, text("d")), (6, ""), (7, None)]
+    want = [(1, text("a")), (None, text("b")), (5, text("c")), (4, text("d")), (6, ""), (7, None)]
+    assert pairs(corpus_pipeline.drop_near_copies(spark, frame(copies), DATA)) == sorted(want, key=repr)
+
+    rows = [(1, text("a")), (1, "short"), (None, text("b")), (None, "short"), (2, text("c")), (3, text("d"))]
+    whole = [x for x in rows if x[1] != "short"]
+    assert pairs(corpus_pipeline.apply_quality_rules(spark, frame(rows), DATA)) == sorted(whole, key=repr)
+
+    def score_texts(docs, labels, learn_from, key="doc_id"):
+        return docs.select(F.col(key).alias("doc_id"), (F.col("text") == "short").cast("double").alias("score"))
+
+    monkeypatch.setattr(toxicity, "score_texts", score_texts)
+    assert pairs(corpus_pipeline.drop_toxic(spark, frame(rows), DATA)) == sorted(whole, key=repr)
+
+
+def test_toxicity_scores_by_key(spark):
+    docs, labels = table(spark, DATA, "documents"), table(spark, DATA, "labels")
+    by_id = {r["doc_id"]: r["score"] for r in toxicity.score_texts(docs, labels, lambda i: fold(i, 3) != 1).collect()}
+    by_key = {r["doc_id"]: r["score"] for r in toxicity.score_texts(docs.selectExpr("*", "-1 - doc_id AS k"), labels, lambda i: fold(i, 3) != 1, key="k").collect()}
+    assert by_key == pytest.approx({-1 - i: s for i, s in by_id.items()})
+
+
 def test_run_gives_the_last_stage(spark):
     out = corpus_pipeline.run(spark, DATA)
     assert out.columns[:3] == ["doc_id", "start", "length"] and out.count() > 0
