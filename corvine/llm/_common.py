@@ -1,8 +1,10 @@
 """Helpers shared by the training-data operators: session folders, Arrow slices, word hashing.
 
 A *word* is a maximal run of bytes outside ``0x20`` and ``0x09``-``0x0D``; A-Z are folded to a-z
-and nothing else is.  Words are identified by a 64-bit hash (polynomial over random byte codes,
-then a splitmix finaliser): two different words collide with a probability near 2**-64.
+and nothing else is.  Words are identified by a 64-bit hash: the sum of splitmix finalisers of
+the word's 8-byte blocks, each keyed by its place, finalised again with the word's length.  Two different
+words of the same text collection collide with a probability near 2**-64; nobody is kept from making
+collisions on purpose, so whoever must not confuse words compares their bytes (``SpanTable``).
 """
 
 from __future__ import annotations
@@ -17,14 +19,14 @@ from pyspark.sql import DataFrame, SparkSession
 SLICE_BYTES = 1 << 18
 
 _U = np.uint64
-_P, _CODES_SEED = 0x9E3779B97F4A7C15, 20240607
-CASED = np.random.default_rng(_CODES_SEED).integers(1, 2**63, 256, dtype=np.uint64)
+CASED = np.arange(256, dtype=np.uint8)
 FOLDED = CASED.copy()
-FOLDED[65:91] = FOLDED[97:123]
+FOLDED[65:91] = CASED[97:123]
 WHITE, BLANK = np.zeros(256, bool), np.zeros(256, bool)
 WHITE[[32, 9, 10, 11, 12, 13]] = True
 BLANK[32] = True
-_powers: dict[str, np.ndarray] = {}
+_PLACE, _SIZE = _U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F)
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -34,16 +36,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers.get("up", ())) < n:
-        size = max(n, SLICE_BYTES + 4096)
-        for name, base in (("up", _P), ("down", pow(_P, -1, 1 << 64))):
-            table = np.full(size, base, np.uint64)
-            table[0] = 1
-            _powers[name] = np.multiply.accumulate(table)
-    return _powers["up"], _powers["down"]
-
-
 def text_arrays(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string column as one array, with ``len + 1`` offsets; null is empty."""
     if not len(column):
@@ -84,24 +76,28 @@ def find_words(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = WHITE)
     begin[1:] &= ~inside[:-1] | first[1:-1]
     end[:-1] &= ~inside[1:] | first[1:-1]
     starts = np.flatnonzero(begin)
-    return starts, np.flatnonzero(end) + 1, np.searchsorted(offsets, starts, "right") - 1
-
-
-def hash_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, codes: np.ndarray = FOLDED) -> np.ndarray:
-    """A 64-bit hash of each span; A-Z are folded unless ``codes`` is ``CASED``."""
-    out = np.empty(len(starts), np.uint64)
-    done = 0
-    while done < len(starts):
-        low = int(starts[done])
-        upto = max(int(np.searchsorted(ends, low + SLICE_BYTES, "right")), done + 1)
-        high = int(ends[upto - 1])
-        up, down = _power_tables(high - low + 1)
-        total = np.zeros(high - low + 1, np.uint64)
-        np.cumsum(codes[data[low:high]] * up[: high - low], out=total[1:])
-        a, b = starts[done:upto] - low, ends[done:upto] - low
-        out[done:upto] = (total[b] - total[a]) * down[a] + (b - a).astype(np.uint64)
-        done = upto
-    return mix(out)
+    return starts, np.flatnonzero(end) + 1, np.repeat(np.arange(len(offsets) - 1), np.diff(np.searchsorted(starts, offsets)))
+
+
+def blocks_of(data: np.ndarray, fold: np.ndarray = CASED) -> np.ndarray:
+    """The eight bytes from each place on as one number; zeros follow the end."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    np.take(fold, data, out=padded[: len(data)])
+    return np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+
+
+def hash_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: np.ndarray = FOLDED) -> np.ndarray:
+    """A 64-bit hash of each span; A-Z are folded unless ``fold`` is ``CASED``."""
+    blocks, size = blocks_of(data, fold), ends - starts
+    total = mix((blocks[starts] & _FIRST[np.minimum(size, 8)]) ^ _PLACE)
+    if (long_ := np.flatnonzero(size > 8)).size:
+        more = (size[long_] - 1) // 8
+        edge = np.r_[0, np.cumsum(more)]
+        nth = np.arange(edge[-1]) - np.repeat(edge[:-1], more) + 1
+        at = np.repeat(starts[long_], more) + 8 * nth
+        part = blocks[at] & _FIRST[np.minimum(np.repeat(ends[long_], more) - at, 8)]
+        total[long_] += np.add.reduceat(mix(part ^ mix((nth + 1).astype(np.uint64) * _PLACE)), edge[:-1])
+    return mix(total + size.astype(np.uint64) * _SIZE)
 
 
 def scratch_folder(spark: SparkSession) -> str:

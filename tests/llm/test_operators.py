@@ -85,19 +85,107 @@ def test_lm_score(spark, odd, empty):
     assert lm_score.score_documents(empty, learn).count() == 0
 
 
+def trained_model(seed, words=400, leaves=8):
+    rng = np.random.default_rng(seed)
+    names = rng.choice(2**62, words + 60, replace=False).astype(np.uint64) + np.uint64(1)
+    counts = np.sort(rng.integers(2, 900, words))[::-1]
+    leaf = lm_score.leaf_of(names[words:], leaves)
+    model = lm_score.Model(names[:words], counts, np.bincount(leaf, minlength=leaves) * 1.0, np.bincount(leaf, minlength=leaves), int(counts.sum()) + 60, len(names), bits=12)
+    stream = rng.choice(names, 900)
+    stream[[299, 699, 899]] = lm_score.END
+    edges = np.array([0, 300, 300, 700, 900])
+    model.learn(stream, edges, np.ones(len(model.table), np.float32))
+    return model, names, stream, edges
+
+
+def brute_path(model, rank):
+    return list(zip(model.of[model.edges[rank] : model.edges[rank + 1]].tolist(), model.digit[model.edges[rank] : model.edges[rank + 1]].tolist(), strict=True))
+
+
+def brute_chance(model, history, rank):
+    """P of a path by plain loops over features and choices; ``history`` is the last three tokens, nearest first."""
+    full, chance = 2**64 - 1, 1.0
+    a, b, c = history
+    odd = [int(x) for x in lm_score._ODD]
+    keys = [a * odd[0] & full, (a ^ (b << 1 & full)) * odd[1] & full, b * odd[2] & full, c * odd[3] & full]
+    for of, digit in brute_path(model, rank):
+        salt = (of * odd[2] + odd[1]) & full
+        rows = [((k ^ salt) * odd[0] & full) >> (64 - model.bits) for k in keys]
+        total = [np.exp(float(model.bias[of, j]) + sum(float(model.table[r, j]) for r in rows)) for j in range(lm_score.ARITY)]
+        chance *= total[digit] / sum(total)
+    return chance
+
+
+def test_lm_scores_are_the_brute_force_softmax():
+    model, names, stream, edges = trained_model(1)
+    assert np.abs(model.table).max() > 0.05
+    logs, target = model.score(stream, edges)
+    end = int(lm_score.END)
+    rank = {int(w): i for i, w in enumerate(model.head)}
+    for text in zip(edges[:-1], edges[1:], strict=True):
+        for at in range(*text):
+            back = [int(stream[at - k]) if at - k >= text[0] else end for k in (1, 2, 3)]
+            word = int(stream[at])
+            own = rank.get(word, len(model.head) + (word >> 20) % len(model.leaf_once))
+            assert target[at] == own and 10 ** logs[at] == pytest.approx(brute_chance(model, back, own), rel=1e-4)
+
+
 def test_lm_probabilities_sum_to_one():
-    rng = np.random.default_rng(0)
-    head = rng.integers(1, 2**62, lm_score.MODELLED + 50).astype(np.uint64)
-    counts = np.sort(rng.integers(1, 500, len(head)))[::-1]
-    model = lm_score.Model(head, counts, np.full(lm_score.TAIL, 40.0), np.full(lm_score.TAIL, 5.0), int(counts.sum()), len(head))
-    model.begin()
-    model.learn(head[:400], np.zeros(400, np.int64), np.array([0, 400]), [np.ones(lm_score.ROWS + 1, np.float32)] * 2)
-    rows = model.features(head[:3], np.array([0, 3]))[2:]
-    top = model._softmax(model.top, rows)[0]
-    total = top[: lm_score.SINGLE].sum() + top[lm_score.SINGLE + lm_score.SHARED :].sum()
-    for g in range(lm_score.SINGLE, lm_score.SINGLE + lm_score.SHARED):
-        total += top[g] * model._softmax_low(rows, np.array([g]))[0].sum()
-    assert total == pytest.approx(1, abs=1e-4)
+    model, names, _, _ = trained_model(0)
+    history = [int(names[3]), int(names[7]), int(names[1])]
+    assert sum(brute_chance(model, history, i) for i in range(len(model.head) + len(model.leaf_once))) == pytest.approx(1, abs=1e-4)
+
+
+@pytest.mark.parametrize("counts", [[5], [3, 3], [1] * 9, [1000, 1, 1, 1], list(range(5000, 0, -1)), [10**9] + [1] * 70])
+def test_lm_class_paths_tell_words_apart(counts):
+    edges, of, digit, sums = lm_score.cut_classes(np.array(counts, float))
+    paths = [tuple(zip(of[a:b].tolist(), digit[a:b].tolist(), strict=True)) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+    assert len(set(paths)) == len(counts) and all(p[0][0] == 0 for p in paths) and max(map(len, paths)) <= 12
+    assert not any(a != b and a == b[: len(a)] for a, b in zip(paths, paths[1:], strict=False))
+    assert sums[0].sum() == pytest.approx(sum(counts))
+
+
+def test_lm_head_cut_and_growth(spark):
+    counts = spark.createDataFrame([(i, n) for i, n in enumerate([9, 9, 7, 7, 7, 2, 1, 1, 1, 1])], "word long, n long")
+    assert [lm_score.head_count(counts, m) for m in (0, 1, 2, 4, 5, 6, 9, 10, 99)] == [10, 10, 9, 9, 7, 2, 2, 1, 1]
+    assert lm_score.head_count(counts.where("false"), 5) == 1
+    for grow in (lm_score.head_size, lambda v: lm_score.ARITY ** lm_score.leaf_digits(v), lambda v: 1 << lm_score.row_bits(v)):
+        assert grow(10**4) < grow(10**7) < grow(10**10)
+
+
+def test_lm_words_beyond_the_head(spark, monkeypatch):
+    monkeypatch.setattr(lm_score, "head_size", lambda v: 3)
+    rows = [(i, " ".join(f"w{(i * 7 + k) % 50}" for k in range(i % 9)) + " the the of") for i in range(200)] + [(300, "w1 w1 zz zz zz")]
+    learn = lambda i: i < 150
+    got = {r["doc_id"]: r for r in lm_score.score_documents(spark.createDataFrame(rows, "doc_id long, text string"), learn).collect()}
+    counts = Counter(w for i, t in rows if i < 150 for w in [*t.split(), None])
+    total, distinct = sum(counts.values()), len(counts)
+    for i, t in rows:
+        s = [*t.split(), None]
+        assert got[i]["base_score"] == pytest.approx(sum(np.log10((counts[w] + 1) / (total + distinct + 1)) for w in s))
+        assert got[i]["n_known"] == sum(counts[w] > 0 for w in s)
+    assert got[300]["score"] < 0
+
+
+def test_lm_equal_and_null_ids(spark):
+    rows = [(1, "a b c"), (1, "a b c"), (1, "d e f g"), (None, "a b"), (None, None)]
+    out = lm_score.score_documents(spark.createDataFrame(rows, "doc_id long, text string"), lambda i: F.lit(True)).collect()
+    assert sorted((str(r["doc_id"]), r["n_tokens"]) for r in out) == [("1", 4), ("1", 4), ("1", 5), ("None", 1), ("None", 3)]
+
+
+def shingled(n, a="a", b="b"):
+    """Thue-Morse words: a polynomial hash modulo a power of two confuses the two of a length."""
+    for _ in range(n):
+        a, b = a + b, b + a
+    return a, b
+
+
+def test_word_hashes_tell_thue_morse_words_apart():
+    for n in (3, 5, 10, 12):
+        data = " ".join(shingled(n)).encode()
+        starts, ends, _ = find_words(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
+        one, two = hash_words(np.frombuffer(data, np.uint8), starts, ends).tolist()
+        assert one != two
 
 
 def test_url_filter(spark):
