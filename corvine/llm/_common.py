@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-SLICE_BYTES = 1 << 18
+SLICE_BYTES, SLICE_ROWS = 1 << 18, 16384
 
 _U = np.uint64
 CASED = np.arange(256, dtype=np.uint8)
@@ -51,7 +51,7 @@ def text_arrays(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def by_bytes(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cuts batches so that each slice has at most ``most`` bytes of text, or a single row."""
+    """Cuts batches so that each slice has at most ``most`` bytes of text and ``SLICE_ROWS`` rows, or a single row."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -59,7 +59,7 @@ def by_bytes(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_B
         begin = 0
         while begin < batch.num_rows:
             end = int(np.searchsorted(offsets, offsets[begin] + most, "right")) - 1
-            end = min(max(end, begin + 1), batch.num_rows)
+            end = min(max(end, begin + 1), begin + SLICE_ROWS, batch.num_rows)
             yield batch.slice(begin, end - begin)
             begin = end
 
@@ -103,10 +103,12 @@ def hash_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: np.
 def scratch_folder(spark: SparkSession) -> str:
     """The folder all executors share, as ``spark.checkpoint.dir`` names it.
 
-    Only where that is unset (local sessions, tests) a temporary folder of this machine is used.
+    Where that is unset, a temporary folder of this machine serves local sessions only; on a cluster it is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        if not named and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="corvine-"))
     return named or spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
@@ -158,3 +160,59 @@ class Slots:
             self.values[at[open_[own]]] = values[open_[own]]
             open_ = open_[~own]
             at[open_] = (at[open_] + 1) & int(self.mask)
+
+
+class SpanTable:
+    """Numbers of byte spans, found by hash and confirmed by their bytes, so that colliding hashes confuse nothing."""
+
+    def __init__(self, bits: int) -> None:
+        self.slots = Slots(bits)
+        self.exact, self.size = np.zeros((2, 1 << bits), np.uint64), np.zeros(1 << bits, np.int64)
+        self.longer: dict[int, bytes] = {}
+
+    def find(self, spans: Spans) -> np.ndarray:
+        """The number of each span, -1 where it is unknown."""
+        out = self.slots.find(spans.hashes)
+        at = np.maximum(out, 0)
+        out[(self.size[at] != spans.size) | (self.exact[0, at] != spans.exact[0]) | (self.exact[1, at] != spans.exact[1])] = -1
+        for i in np.flatnonzero((out >= 0) & (spans.size > 16)).tolist():
+            if self.longer[int(out[i])] != spans.bytes(i):
+                out[i] = -1
+        return out
+
+    def add(self, spans: Spans, which: np.ndarray, numbers: np.ndarray) -> None:
+        """Remembers spans of distinct hashes if there is room; one whose hash is taken by another is left out."""
+        free = self.slots.find(spans.hashes[which]) < 0
+        which, numbers = which[free], numbers[free]
+        if not self.slots.room(len(which)):
+            return
+        self.slots.add(spans.hashes[which], numbers)
+        self.exact[:, numbers], self.size[numbers] = spans.exact[:, which], spans.size[which]
+        for i, n in zip(which.tolist(), numbers.tolist(), strict=True):
+            if spans.size[i] > 16:
+                self.longer[n] = spans.bytes(i)
+
+
+class Spans:
+    """Spans of a byte array: hashes, sizes, the first 16 bytes as two numbers."""
+
+    def __init__(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> None:
+        self.raw, self.starts, self.ends, self.hashes, self.size = data.tobytes(), starts, ends, hashes, ends - starts
+        blocks = blocks_of(data)
+        second = blocks[np.minimum(starts + 8, len(data))] & _FIRST[np.clip(self.size - 8, 0, 8)]
+        self.exact = np.stack([blocks[starts] & _FIRST[np.minimum(self.size, 8)], second])
+
+    def bytes(self, i: int) -> bytes:
+        return self.raw[self.starts[i] : self.ends[i]]
+
+    def distinct(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of the spans ``which``: one of each kind, and the kind of each; spans of a kind have equal bytes."""
+        _, at, back = np.unique(self.hashes[which], return_index=True, return_inverse=True)
+        first = which[at][back]
+        differs = (self.size[which] != self.size[first]) | (self.exact[:, which] != self.exact[:, first]).any(0)
+        for k in np.flatnonzero(~differs & (self.size[which] > 16) & (which != first)).tolist():
+            differs[k] = self.bytes(which[k]) != self.bytes(first[k])
+        if (odd := np.flatnonzero(differs)).size:  # spans that collide are kinds of their own
+            back[odd] = len(at) + np.arange(len(odd))
+            at = np.concatenate([at, odd])
+        return which[at], back

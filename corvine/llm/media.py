@@ -7,8 +7,13 @@ out, outermost first, so carved parts do not overlap.
 
 ``to_wave`` and ``from_wave`` are the lossless container of the query: 8-bit mono samples.
 
+The work on a value grows with its length however many magic bytes it has: walks from block to block remember
+where they failed, and ends, headers and directories are listed once a value.  Only gzip members are tried
+anew from each magic, up to their first error.
+
 Defined results: a null value is empty and of type ``application/octet-stream`` like any value that
-no validator accepts; equal values give equal results whatever their row.
+no validator accepts; equal values give equal results whatever their row; an empty table gives an empty result;
+the columns ``keys`` come back as they are and must not be named as the new ones, which is an error.
 """
 
 from __future__ import annotations
@@ -16,8 +21,9 @@ from __future__ import annotations
 import re
 import struct
 import zlib
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
-from functools import lru_cache
+from functools import cached_property
 
 import ahocorasick
 import pyarrow as pa
@@ -26,20 +32,105 @@ from pyspark.sql import DataFrame
 UNKNOWN = "application/octet-stream"
 
 
-def _chunks_png(b: memoryview, at: int) -> int:
-    end, kinds = at + 8, 0
-    while end + 12 <= len(b):
-        size, kind = struct.unpack_from(">I4s", b, end)
-        if end + 12 + size > len(b) or (kinds == 0) != (kind == b"IHDR") or zlib.crc32(b[end + 4 : end + 8 + size]) != struct.unpack_from(">I", b, end + 8 + size)[0]:
-            return 0
-        end, kinds = end + 12 + size, kinds + 1
-        if kind == b"IEND":
-            return end - at
-    return 0
+class Value:
+    """The bytes of one value, and what its validators have found out about places in it.
+
+    ``dead`` remembers, for a walk by format, the places from which it has failed before, so that walks from many
+    magic bytes that run together cost what one walk costs.
+    """
+
+    def __init__(self, data: bytes) -> None:
+        self.raw, self.b = data, memoryview(data)
+        self._dead: dict[str, bytearray] = {}
+
+    def __len__(self) -> int:
+        return len(self.raw)
+
+    def walk(self, name: str, step: Callable[[int], int], place: int) -> int:
+        """``step`` from place to place until it gives an end (as ``-1 - end``); 0 if it fails (``len`` or beyond)."""
+        if name not in self._dead:
+            self._dead[name] = bytearray(len(self) + 1)
+        dead = self._dead[name]
+        seen = []
+        while 0 <= place < len(self) and not dead[place]:
+            seen.append(place)
+            place = step(place)
+        if place < 0:
+            return -1 - place
+        for at in seen:
+            dead[at] = 1
+        return 0
 
+    @cached_property
+    def last_jpeg_end(self) -> int:
+        return self.raw.rfind(b"\xff\xd9")
+
+    @cached_property
+    def archives(self) -> dict[int, int]:
+        """Ends of all zip archives by their starts, the longest of a start."""
+        found: dict[int, int] = {}
+        for m in re.compile(rb"PK\x05\x06").finditer(self.raw):
+            if place := _directory(self.b, m.start()):
+                found[place[0]] = max(place[1], found.get(place[0], 0))
+        return found
+
+    @cached_property
+    def pdf_heads(self) -> list[int]:
+        return [m.start() for m in _PDF_HEAD.finditer(self.raw)]
+
+    @cached_property
+    def pdf_ends(self) -> list[tuple[int, int, int]]:
+        """Of each end: where it begins and ends, and the place it gives for its cross-references."""
+        return [(m.start(), m.end(), int(m[1])) for m in _PDF_END.finditer(self.raw)]
+
+    @cached_property
+    def pdf_tables(self) -> dict[int, int]:
+        """Places that may be given for cross-references: they begin there or behind white space."""
+        found = {}
+        for m in _PDF_TABLE.finditer(self.raw):
+            at = m.start()
+            if m[0][:1] != b"x" and not _PDF_STREAM.search(self.raw, m.end(), m.end() + 2048):
+                continue
+            found[at] = at
+            while at and self.raw[at - 1] in b" \t\r\n\0\x0c" and at - 1 not in found:
+                at -= 1
+                found[at] = at
+        return found
+
+    @cached_property
+    def pdf_own(self) -> dict[int, int]:
+        """The last end of each header whose cross-references lie between it and the end before."""
+        heads, found, before = set(self.pdf_heads), {}, 0
+        tables = sorted(self.pdf_tables)
+        k = 0
+        for start, end, given in self.pdf_ends:
+            while k < len(tables) and tables[k] < start:
+                if (at := tables[k] - given) in heads and tables[k] >= before and at < tables[k]:
+                    found[at] = end
+                k += 1
+            before = end
+        return found
+
+
+def _png(v: Value, at: int) -> int:
+    def chunk(place: int) -> int:
+        if place + 12 > len(v):
+            return len(v)
+        size, kind = struct.unpack_from(">I4s", v.b, place)
+        end = place + 12 + size
+        if end > len(v) or not kind.isalpha() or zlib.crc32(v.b[place + 4 : end - 4]) != struct.unpack_from(">I", v.b, end - 4)[0]:
+            return len(v)
+        return -1 - end if kind == b"IEND" else end
+
+    first = at + 8
+    if v.raw[first : first + 8] != b"\0\0\0\rIHDR" or chunk(first) == len(v):
+        return 0
+    return max(v.walk("png", chunk, first + 25) - at, 0)
 
-def _riff(form: bytes, first: bytes) -> Callable[[memoryview, int], int]:
-    def check(b: memoryview, at: int) -> int:
+
+def _riff(form: bytes, first: bytes) -> Callable[[Value, int], int]:
+    def check(v: Value, at: int) -> int:
+        b = v.b
         if at + 20 > len(b) or bytes(b[at + 8 : at + 12]) != form:
             return 0
         size = struct.unpack_from("<I", b, at + 4)[0] + 8
@@ -53,81 +144,95 @@ def _riff(form: bytes, first: bytes) -> Callable[[memoryview, int], int]:
     return check
 
 
-def _gif(b: memoryview, at: int) -> int:
-    if at + 13 > len(b):
+def _gif(v: Value, at: int) -> int:
+    b, n = v.b, len(v)
+    if at + 13 > n:
         return 0
-    place = at + 13 + (3 << (b[at + 10] & 7) + 1 if b[at + 10] & 128 else 0)
-    while place < len(b):
+
+    def block(place: int) -> int:
+        """From the place of a block, or of a part of one (kept apart by ``n``), to the next block."""
         if b[place] == 0x3B:
-            return place + 1 - at
+            return -2 - place
         if b[place] == 0x21:
             place += 2
-        elif b[place] == 0x2C and place + 10 < len(b):
+        elif b[place] == 0x2C and place + 10 < n:
             place += 11 + (3 << (b[place + 9] & 7) + 1 if b[place + 9] & 128 else 0)
         else:
-            return 0
-        while place < len(b) and b[place]:
-            place += b[place] + 1
-        place += 1
-    return 0
+            return n
+        end = v.walk("gif parts", part, place)
+        return end if end else n
+
+    def part(place: int) -> int:
+        return place + b[place] + 1 if b[place] else -2 - place
+
+    place = at + 13 + (3 << (b[at + 10] & 7) + 1 if b[at + 10] & 128 else 0)
+    return max(v.walk("gif", block, place) - at, 0)
 
 
-def _bmp(b: memoryview, at: int) -> int:
-    if at + 30 > len(b):
+def _bmp(v: Value, at: int) -> int:
+    if at + 30 > len(v):
         return 0
-    size, zero, start, header, _, _, planes, depth = struct.unpack_from("<IIIIiiHH", b, at + 2)
+    size, zero, start, header, _, _, planes, depth = struct.unpack_from("<IIIIiiHH", v.b, at + 2)
     fits = zero == 0 and header in (12, 40, 52, 56, 108, 124) and planes == 1 and depth in (1, 4, 8, 16, 24, 32)
-    return size if fits and 14 + header <= start <= size <= len(b) - at else 0
+    return size if fits and 14 + header <= start <= size <= len(v) - at else 0
 
 
-def _jpeg(b: memoryview, at: int) -> int:
-    place = at + 2
-    while place + 4 <= len(b) and b[place] == 0xFF:
-        kind, size = b[place + 1], struct.unpack_from(">H", b, place + 2)[0]
+def _jpeg(v: Value, at: int) -> int:
+    def segment(place: int) -> int:
+        if place + 4 > len(v) or v.b[place] != 0xFF:
+            return len(v)
+        kind, size = v.b[place + 1], struct.unpack_from(">H", v.b, place + 2)[0]
         if not 0xC0 <= kind <= 0xFE or size < 2 or 0xD0 <= kind <= 0xD9:
-            return 0
+            return len(v)
         place += 2 + size
-        if kind == 0xDA:
-            end = re.compile(rb"\xff\xd9").search(b, place)
-            return end.end() - at if end else 0
-    return 0
+        if kind != 0xDA:
+            return place
+        return -3 - v.raw.find(b"\xff\xd9", place) if place <= v.last_jpeg_end else len(v)
+
+    return max(v.walk("jpeg", segment, at + 2) - at, 0)
 
 
-def _gzip(b: memoryview, at: int) -> int:
+def _gzip(v: Value, at: int) -> int:
+    b = v.b
     if at + 18 > len(b) or b[at + 2] != 8 or b[at + 3] & 0xE0:
         return 0
     engine, place = zlib.decompressobj(31), at
     try:
         while place < len(b) and not engine.eof:
-            engine.decompress(b[place : place + 65536])
+            part = b[place : place + 65536]
+            while len(part) and not engine.eof:  # a bounded piece of output at a time
+                engine.decompress(part, 1 << 20)
+                part = engine.unconsumed_tail
             place += 65536
     except zlib.error:
         return 0
     return min(place, len(b)) - at - len(engine.unused_data) if engine.eof else 0
 
 
+#: How PDF files begin and end, and what their cross-references look like.
 _PDF_HEAD, _PDF_END = re.compile(rb"%PDF-[12]\.\d[\r\n ]"), re.compile(rb"startxref\s+(\d{1,18})\s+%%EOF")
-_PDF_XREF = re.compile(rb"(?s)\s*(xref\s|\d+\s+\d+\s+obj\s*<<.{0,2048}?/Type\s*/XRef)")
+_PDF_TABLE, _PDF_STREAM = re.compile(rb"(?<!start)xref\s|(?<!\d)\d{1,10}\s{1,4}\d{1,5}\s{1,4}obj\s{0,4}<<"), re.compile(rb"/Type\s{0,4}/XRef")
 
 
-def _pdf(b: memoryview, at: int) -> int:
-    """Up to the file's own last end: one whose cross-references lie in it.
+def _pdf(v: Value, at: int) -> int:
+    """Up to the file's own last end: one whose cross-references are the file's.
 
-    Behind another header only an update's end is its own, whose cross-references are new; the end of a copy
-    that follows points back.  Without any such end it is the last one before the next header.
+    They lie between the end before and this one, also in an update, whatever files the update holds.  In a file
+    laid out for the web the second end gives a place before the first, and no other header stands between them.
+    Without any such end it is the last one before the next header.
     """
-    if not _PDF_HEAD.match(b, at):
+    heads, ends = v.pdf_heads, v.pdf_ends
+    k = bisect_left(heads, at)
+    if k == len(heads) or heads[k] != at:
         return 0
-    own, other = 0, None  # the last own end, and the first header behind it
-    for m in _PDF_END.finditer(b, at):
-        place = at + int(m[1])
-        fits = at < place < m.start() and _PDF_XREF.match(b, place, m.start()) is not None
-        if fits and (place >= own or other is None or other.start() > m.start()):
-            own, other = m.end(), _PDF_HEAD.search(b, m.end())
+    following = heads[k + 1] if k + 1 < len(heads) else len(v)
+    e = bisect_left(ends, (at,))
+    own = v.pdf_own.get(at, 0)
+    if e + 1 < len(ends) and ends[e + 1][0] < following and at < at + ends[e + 1][2] < ends[e][0] and at + ends[e + 1][2] in v.pdf_tables:
+        own = max(own, ends[e + 1][1])
     if not own:
-        following = _PDF_HEAD.search(b, at + 1)
-        for m in _PDF_END.finditer(b, at, following.start() if following else len(b)):
-            own = m.end()
+        last = bisect_left(ends, (following,)) - 1
+        own = ends[last][1] if last >= e and ends[last][1] <= following else 0
     return max(own - at, 0)
 
 
@@ -174,24 +279,14 @@ def _directory(b: memoryview, end: int) -> tuple[int, int] | None:
     return (first, stop) if place == close else None
 
 
-@lru_cache(maxsize=1)
-def _archives(b: memoryview) -> dict[int, int]:
-    """Ends of all zip archives of a value by their starts, the longest of a start."""
-    found: dict[int, int] = {}
-    for m in re.compile(rb"PK\x05\x06").finditer(b):
-        if place := _directory(b, m.start()):
-            found[place[0]] = max(place[1], found.get(place[0], 0))
-    return found
-
-
-def _zip(b: memoryview, at: int) -> int:
+def _zip(v: Value, at: int) -> int:
     """The central directory has the members' sizes, also where their headers leave them to descriptors."""
-    return _archives(b).get(at, at) - at
+    return v.archives.get(at, at) - at
 
 
 #: Magic bytes of the formats, with the media type and the validator of each.
-FORMATS: dict[bytes, tuple[str, Callable[[memoryview, int], int]]] = {
-    b"\x89PNG\r\n\x1a\n": ("image/png", _chunks_png),
+FORMATS: dict[bytes, tuple[str, Callable[[Value, int], int]]] = {
+    b"\x89PNG\r\n\x1a\n": ("image/png", _png),
     b"\xff\xd8\xff": ("image/jpeg", _jpeg),
     b"GIF87a": ("image/gif", _gif),
     b"GIF89a": ("image/gif", _gif),
@@ -215,7 +310,7 @@ def _search() -> ahocorasick.Automaton:
     return _automaton[0]
 
 
-def confirm(value: memoryview, at: int, magic: bytes) -> tuple[str, int]:
+def confirm(value: Value, at: int, magic: bytes) -> tuple[str, int]:
     """Media type and length of what begins at ``at``; length 0 if the validator rejects it."""
     kinds = RIFF_KINDS if magic == b"RIFF" else (FORMATS[magic],)
     return next(((kind, n) for kind, check in kinds if (n := check(value, at))), (UNKNOWN, 0))
@@ -228,7 +323,7 @@ def sniff(value: bytes) -> tuple[str, list[tuple[str, int, int]]]:
     goes on after the end of what was carved.
     """
     kind, carved, free = UNKNOWN, [], 0
-    view = memoryview(bytes(value))
+    view = Value(bytes(value))
     for last, magic in _search().iter(value.decode("latin-1")):
         at = last + 1 - len(magic)
         if at < free:
@@ -273,6 +368,8 @@ def sniff_column(frame: DataFrame, value: str, declared: str, keys: list[str]) -
                 columns = [*part.columns[: len(keys)], pa.array(kinds), pa.array(said, pa.string()), pa.array(wrong), pa.array(carved, _CARVED)]
                 yield pa.RecordBatch.from_arrays(columns, [*keys, "media_type", "declared_type", "corrected", "carved"])
 
+    if taken := set(keys) & {"media_type", "declared_type", "corrected", "carved"}:
+        raise ValueError(f"columns {sorted(taken)} are names of the result's own")
     picked = frame.select(*keys, frame[value].cast("binary").alias("_value"), frame[declared].cast("string").alias("_declared"))
     own = ", ".join(f"`{k}` {frame.schema[k].dataType.simpleString()}" for k in keys)
     return picked.mapInArrow(run, f"{own}, media_type string, declared_type string, corrected boolean, carved array<struct<media_type:string,start:bigint,length:bigint>>")

@@ -4,13 +4,13 @@ A document is its token ids followed by one end id.  It is cut into full windows
 and one remainder; a full window is a sequence of its own.  Remainders are packed online: with
 ``open[h]`` the number of unfinished sequences at fill level ``h``, a remainder of ``r`` ids goes to
 the level (or to a new sequence) that minimises the sum over ``h`` of ``open[h] ** 2`` afterwards.
-The level array has ``WINDOW`` entries whatever the number of documents.  When a task has seen all
-its documents, the few sequences still open are laid end to end and cut anew into full windows,
-and what is left into powers of two, so that no padding remains.
+The level array has ``WINDOW`` entries whatever the number of documents; of equal levels the lowest wins.
+When a task has seen all its documents, the fullest sequences still open are filled from the emptiest, and
+the last one is cut into powers of two, so that no padding remains (``settle``).
 
 Every input partition is packed by itself (no shuffle); the partition number makes sequence ids
-unique and a task that runs again gives the same result.  Partitions of some megabytes hold
-thousands of remainders, so more of them cost nothing: each leaves no padding at all.
+unique and a task that runs again gives the same result.  The open sequences are few hundred whatever the
+partition's size, so the share of remainders that ``settle`` moves falls with it; README has it measured.
 
 Defined results: a null text is an empty document, which is the end id alone; repeated rows are
 separate documents; an empty table gives an empty result; other columns are ignored.
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from ._common import CASED, WHITE, Slots, by_bytes, hash_words, text_arrays
+from ._common import CASED, WHITE, Spans, SpanTable, by_bytes, hash_words, text_arrays
 
 #: Size of the table of parts whose ids a Python worker remembers; when full it starts anew.
 MEMORY_BITS = 20
@@ -44,6 +44,10 @@ _KIND[39] = _ODD
 _KIND[WHITE] = 0
 
 
+#: Pieces of the probes that tell whether a tokenizer cuts as ``parts_of`` does.
+_PROBES = ("", " ", "  ", "The", "theory", "ABC", "é", "Ä", "1", "23", "-", "!?", "...", "\n", "\t", "'s", "|", "<", "unbelievably", "x")
+
+
 def parts_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the parts of all texts, the row of each, and whether it is an odd word.
 
@@ -83,7 +87,8 @@ class WordIds:
     """Token ids of texts under a tokenizer that drops white space and never joins across it.
 
     Texts are cut into parts by array operations; each distinct part is encoded once by the
-    library's model and remembered.  Odd words go through the library whole.
+    library's model and remembered.  Odd words go through the library whole.  A tokenizer whose ids of the
+    probes differ from the library's does not split so, and whole texts go through the library.
     """
 
     def __init__(self, path: str) -> None:
@@ -95,52 +100,58 @@ class WordIds:
         level = ByteLevel(add_prefix_space=False, use_regex=False)
         shown = ((c, level.pre_tokenize_str(c)[0][0]) for c in map(chr, range(33, 256)) if c.isprintable())
         self.letters = str.maketrans(dict(shown))
+        self.splits = True
         self.forget()
+        probe = [p + q for p in _PROBES for q in _PROBES]
+        ids, edges = self.encode(*text_arrays(pa.array(probe)))
+        whole = [e.ids for e in self.tokenizer.encode_batch(probe, add_special_tokens=False)]
+        self.splits = whole == [ids[a:b].tolist() for a, b in zip(edges[:-1], edges[1:], strict=True)]
 
     def forget(self) -> None:
-        self.known, self.count = Slots(MEMORY_BITS), 0
-        self.ids, self.edges = np.zeros(1 << 16, np.uint32), np.zeros(1 << MEMORY_BITS, np.int64)
+        self.known, self.count = SpanTable(MEMORY_BITS), 0
+        self.ids, self.edges = np.zeros(1 << 16, np.uint32), np.zeros((1 << MEMORY_BITS) + 1, np.int64)
 
     def _encode(self, part: str, odd: bool) -> list[int]:
         if odd:
             return self.tokenizer.encode(part, add_special_tokens=False).ids
         return [t.id for t in self.tokenizer.model.tokenize(part.lower().translate(self.letters))]
 
-    def _learn(self, keys: np.ndarray, parts: list[str], odd: list[bool]) -> np.ndarray:
-        each = [self._encode(p, o) for p, o in zip(parts, odd, strict=True)]
+    def _learn(self, spans: Spans, kinds: np.ndarray, odd: list[bool]) -> np.ndarray:
+        each = [self._encode(spans.bytes(i).decode(), o) for i, o in zip(kinds.tolist(), odd, strict=True)]
         sizes = np.fromiter(map(len, each), np.int64, len(each))
         begin = self.edges[self.count]
         end = int(begin + sizes.sum())
         while end > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
         self.ids[begin:end] = np.fromiter(chain.from_iterable(each), np.uint32, end - begin)
-        numbers = np.arange(self.count, self.count + len(keys))
+        numbers = np.arange(self.count, self.count + len(kinds))
         self.edges[numbers + 1] = begin + np.cumsum(sizes)
-        self.count += len(keys)
-        self.known.add(keys, numbers)
+        self.count += len(kinds)
+        _, one = np.unique(spans.hashes[kinds], return_index=True)
+        self.known.add(spans, kinds[one], numbers[one])
         return numbers
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids, one text after the other, and the ``len + 1`` offsets of the texts."""
         if not len(data):
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
+        if not self.splits:
+            raw = data.tobytes()
+            each = [np.array(self.tokenizer.encode(raw[a:b].decode(), add_special_tokens=False).ids, np.uint32) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+            return np.concatenate(each), np.r_[0, np.cumsum([len(x) for x in each])]
         starts, ends, rows, odd = parts_of(data, offsets)
-        hashes = hash_words(data, starts, ends, CASED)
-        most = len(self.known.keys) // 2
-        if len(starts) > most and len(np.unique(hashes)) > most:  # one text of that many different parts
-            each = (self._encode(data[a:b].tobytes().decode(), o) for a, b, o in zip(starts, ends, odd, strict=True))
-            ids = [np.array(x, np.uint32) for x in each]
-            total = np.r_[0, np.cumsum([len(x) for x in ids])]
-            return np.concatenate(ids), total[np.searchsorted(rows, np.arange(len(offsets)))]
-        found = self.known.find(hashes)
+        spans = Spans(data, starts, ends, hash_words(data, starts, ends, CASED))
+        found = self.known.find(spans)
         if (miss := np.flatnonzero(found < 0)).size:
-            keys, at, back = np.unique(hashes[miss], return_index=True, return_inverse=True)
-            if not self.known.room(len(keys)):
+            kinds, back = spans.distinct(miss)
+            if self.count + len(kinds) > len(self.edges) * 7 // 10:
+                if not self.count:  # one text of that many different parts
+                    each = [np.array(self._encode(spans.bytes(i).decode(), o), np.uint32) for i, o in enumerate(odd.tolist())]
+                    total = np.r_[0, np.cumsum([len(x) for x in each])]
+                    return np.concatenate(each), total[np.searchsorted(rows, np.arange(len(offsets)))]
                 self.forget()
                 return self.encode(data, offsets)
-            raw, at = data.tobytes(), miss[at]
-            parts = [raw[a:b].decode() for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
-            found[miss] = self._learn(keys, parts, odd[at].tolist())[back]
+            found[miss] = self._learn(spans, kinds, odd[kinds].tolist())[back]
         begins = self.edges[found]
         sizes = self.edges[found + 1] - begins
         total = np.zeros(len(sizes) + 1, np.int64)
@@ -186,6 +197,42 @@ class SumOfSquares:
         return sequence, low
 
 
+def settle(open_: list[list[tuple]], window: int) -> list[list[tuple]]:
+    """Ends the sequences still open without padding: ``key, start, id bytes, document's ids`` pieces by sequence.
+
+    The fullest keep what the rule put there and are filled from the ends of the emptiest.  The one
+    that is left over is cut into powers of two.
+    """
+    size = lambda pieces: sum(len(p[2]) for p in pieces) // 4
+    order = sorted(open_, key=size, reverse=True)
+    done, low, high = [], 0, len(order) - 1
+    while low < high:
+        room = window - size(order[low])
+        while room and low < high:
+            key, start, raw, total = order[high].pop()
+            now = min(room, len(raw) // 4)
+            if now < len(raw) // 4:
+                order[high].append((key, start, raw[: -4 * now], total))
+            order[low].append((key, start + len(raw) // 4 - now, raw[-4 * now :], total))
+            room -= now
+            high -= not order[high]
+        if not room:
+            done.append(order[low])
+            low += 1
+    left = order[low] if low == high else []
+    while left:
+        room, own = 1 << (size(left).bit_length() - 1), []
+        while room:
+            key, start, raw, total = left.pop(0)
+            now = min(room, len(raw) // 4)
+            own.append((key, start, raw[: 4 * now], total))
+            if now < len(raw) // 4:
+                left.insert(0, (key, start + now, raw[4 * now :], total))
+            room -= now
+        done.append(own)
+    return done
+
+
 def pack(docs: DataFrame, tokenizer_path: str, end_id: int, window: int = 2048, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per piece: ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset``."""
 
@@ -214,23 +261,20 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int, window: int = 2048,
                 if rest:
                     sequence, offset = packer.put(rest, fresh)
                     fresh += sequence == fresh
-                    piece = (key, len(own) - rest, own[len(own) - rest :].tobytes(), len(own), base + sequence, offset)
-                    waiting.setdefault(sequence, []).append(piece)
+                    waiting.setdefault(sequence, []).append((key, len(own) - rest, own[len(own) - rest :].tobytes(), len(own)))
                     if offset + rest == window:
-                        rows += [(k, s, len(b) // 4, zlib.crc32(b), n, q, o) for k, s, b, n, q, o in waiting.pop(sequence)]
+                        at = 0
+                        for k, s, b, n in waiting.pop(sequence):
+                            rows.append((k, s, len(b) // 4, zlib.crc32(b), n, base + sequence, at))
+                            at += len(b) // 4
             if len(rows) > 20_000:
                 yield batch()
-        left = [p for pieces in waiting.values() for p in pieces]
-        room, offset = 0, 0
-        remaining = sum(len(p[2]) // 4 for p in left)
-        for key, start, raw, total, _, _ in left:
-            while raw:
-                if not room:
-                    room = window if remaining >= window else 1 << (remaining.bit_length() - 1)
-                    sequence, offset, fresh = fresh, 0, fresh + 1
-                now = min(room, len(raw) // 4)
-                rows.append((key, start, now, zlib.crc32(raw[: 4 * now]), total, base + sequence, offset))
-                start, raw, offset, room, remaining = start + now, raw[4 * now :], offset + now, room - now, remaining - now
+        for pieces in settle(list(waiting.values()), window):
+            number, offset = base + fresh, 0
+            fresh += 1
+            for key, start, raw, total in pieces:
+                rows.append((key, start, len(raw) // 4, zlib.crc32(raw), total, number, offset))
+                offset += len(raw) // 4
         if rows:
             yield batch()
 

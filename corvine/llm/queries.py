@@ -77,7 +77,7 @@ def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
                 columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)]
                 yield pa.RecordBatch.from_arrays([*batch.columns[:2], *columns], ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     stored = docs.mapInArrow(store, "doc_id long, n_bytes long, stored binary, declared string")
     sniffed = media.sniff_column(stored, "stored", "declared", ["doc_id", "n_bytes", "stored"])
     used = F.when(F.col("corrected"), F.col("media_type")).otherwise(F.col("declared_type")).alias("used")

@@ -5,7 +5,7 @@ and one long text cost the same.  Inside a slice every text is cut at safe bound
 SentencePiece vocabulary has no piece in which a word start follows another character, so no merge
 crosses a single blank, and the count of a text is the sum of the counts of its blank-separated
 segments.  Equal segments of a slice are encoded once, and a bounded table keeps the counts of
-segments seen before.  Vocabularies for which the rule does not hold are encoded as whole texts.
+segments seen before, confirmed by their bytes.  Vocabularies for which the rule does not hold are encoded as whole texts.
 
 Defined results: a null text counts as empty (0 bytes, 0 tokens); repeated rows each get a row; an
 empty table gives an empty result; columns other than the two named ones are ignored.
@@ -20,7 +20,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from ._common import BLANK, CASED, Slots, by_bytes, find_words, hash_words, text_arrays
+from ._common import BLANK, CASED, Spans, SpanTable, by_bytes, find_words, hash_words, text_arrays
 
 #: Size of the table of segments whose counts a Python worker remembers; when full it starts anew.
 MEMORY_BITS = 21
@@ -37,7 +37,10 @@ class SegmentCounter:
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
         pieces = (self.model.id_to_piece(i) for i in range(self.model.get_piece_size()))
         self.splits = not any("▁" in p.lstrip("▁") for p in pieces) and len(self.encode(["a  b "])[0]) == 4
-        self.known = Slots(MEMORY_BITS)
+        self.forget()
+
+    def forget(self) -> None:
+        self.known, self.of, self.used = SpanTable(MEMORY_BITS), np.zeros(1 << MEMORY_BITS, np.int64), 0
 
     def encode(self, texts: list) -> list[list[int]]:
         return self.model.encode(texts, num_threads=1)
@@ -60,17 +63,20 @@ class SegmentCounter:
             return out
         first = np.r_[True, rows[1:] != rows[:-1]]
         begins = np.where(first, offsets[rows], np.r_[0, ends[:-1]] + 1)
-        hashes = hash_words(data, begins, ends, CASED)
-        found = self.known.find(hashes)
-        if (miss := np.flatnonzero(found < 0)).size:
-            keys, at, back = np.unique(hashes[miss], return_index=True, return_inverse=True)
-            spans = zip(begins[miss[at]].tolist(), ends[miss[at]].tolist(), strict=True)
-            new = np.array([len(x) for x in self.encode([raw[a:b].decode() for a, b in spans])], np.int32)
+        spans = Spans(data, begins, ends, hash_words(data, begins, ends, CASED))
+        number = self.known.find(spans)
+        found = self.of[np.maximum(number, 0)]
+        if (miss := np.flatnonzero(number < 0)).size:
+            kinds, back = spans.distinct(miss)
+            new = np.array([len(x) for x in self.encode([spans.bytes(i).decode() for i in kinds.tolist()])], np.int64)
             found[miss] = new[back]
-            if not self.known.room(len(keys)):
-                self.known = Slots(MEMORY_BITS)
-            if self.known.room(len(keys)):
-                self.known.add(keys, new)
+            if not self.known.slots.room(len(kinds)):
+                self.forget()
+            if self.known.slots.room(len(kinds)):
+                numbers = self.used + np.arange(len(kinds))
+                self.of[numbers], self.used = new, self.used + len(kinds)
+                _, one = np.unique(spans.hashes[kinds], return_index=True)
+                self.known.add(spans, kinds[one], numbers[one])
         out += np.bincount(rows, found, len(out)).astype(np.int64)
         last = np.flatnonzero(np.r_[rows[1:] != rows[:-1], True])
         tail = offsets[rows[last] + 1] - ends[last]

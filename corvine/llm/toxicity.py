@@ -7,21 +7,23 @@ n-grams are hashed into ``2 ** BUCKET_BITS`` rows, a misspelt or unseen word sha
 its parts with words of the training texts.
 
 Training reads a sample of labelled rows of documented size: at most ``rows_a_label`` texts of each
-label, of at most ``train_bytes`` bytes each, those with the smallest hashes of their ids.  Scoring
+label, those with the smallest hashes of their ids, until they have ``train_bytes`` bytes; the sample takes
+texts whole, but for a single one longer than all of ``train_bytes``.  Scoring
 reads every text whole and needs no shuffle: a trained model is one number a bucket.
 
 Defined results: a null or empty text has no words and gets the score of an empty bag (below the
 training base rate, so it is clean); several labels of one id count as toxic if one is; without
-training rows of both labels every score is 0; rows may repeat and other columns are ignored.
+training rows of both labels every score is 0; rows may repeat (of one id's texts the first by code point
+trains); columns not carried are ignored, and a carried one must not be named ``doc_id`` or ``score``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import FOLDED, Slots, by_bytes, find_words, hash_words, text_arrays
@@ -94,19 +96,37 @@ def fit(texts: list[str], labels: np.ndarray, seed: int = 7) -> Toxicity | None:
     return Toxicity((table @ (softmax[:, 1] - softmax[:, 0])).astype(np.float32), float(bias[1] - bias[0]))
 
 
-def score_texts(docs: DataFrame, labels: DataFrame, learn_from, rows_a_label: int = 2500, train_bytes: int = 16384, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", key: str | None = None) -> DataFrame:
-    """``doc_id, score`` for every row of ``docs``; ``learn_from`` is a condition on the id column.
+def sample(docs: DataFrame, marks: DataFrame, rows_a_label: int, train_bytes: int) -> DataFrame:
+    """``doc_id, text, label``: of each label the ``rows_a_label`` ids in ``docs`` with the smallest hashes, to ``train_bytes`` of text.
 
-    With ``key``, a long column of ``docs``, ``doc_id`` is that column in the result; labels still meet the id.
+    Labels are counted first, so that only a few times as many rows as are wanted go to the task that sorts them.
     """
+    marks = marks.join(docs.select("doc_id"), "doc_id", "left_semi").withColumn("rank", F.xxhash64("doc_id"))
+    counts = {r["label"]: r["count"] for r in marks.groupBy("label").count().collect()}
+
+    def few(label: int) -> DataFrame:
+        own, share = marks.where(F.col("label") == label), 4 * rows_a_label / max(counts.get(label, 0), 1)
+        if share < 1:
+            own = own.where(F.col("rank") < int(share * 2**64) - 2**63)
+        return own.orderBy("rank", "doc_id").limit(rows_a_label)
+
+    chosen = docs.join(F.broadcast(few(0).unionByName(few(1))), "doc_id")
+    chosen = chosen.groupBy("doc_id", "rank").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"), F.max("label").alias("label"))
+    before = F.sum(F.octet_length("text")).over(Window.partitionBy("label").orderBy("rank", "doc_id")) - F.octet_length("text")
+    cut = F.when(F.octet_length("text") > train_bytes, F.left("text", F.lit(train_bytes))).otherwise(F.col("text"))
+    return chosen.withColumn("before", before).where(F.col("before") < train_bytes).select("doc_id", cut.alias("text"), "label")
+
+
+def score_texts(
+    docs: DataFrame, labels: DataFrame, learn_from, rows_a_label: int = 2500, train_bytes: int = 1 << 23, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", carry: Sequence[str] = ()
+) -> DataFrame:
+    """``doc_id, score`` and the columns ``carry`` for every row of ``docs``; ``learn_from`` is a condition on the id column."""
     spark = docs.sparkSession
-    told = docs.select(docs[key or doc_id].cast("long").alias("doc_id"), docs[text].cast("string").alias("text"))
-    docs = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].cast("string").alias("text"))
+    kinds = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
+    docs = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].cast("string").alias("text"), *[docs[c].alias(f"carried{i}") for i, c in enumerate(carry)])
     marks = labels.select(labels[doc_id].cast("long").alias("doc_id"), labels[label].cast("int").alias("label"))
     marks = marks.where(learn_from(F.col("doc_id")) & F.col("label").isin(0, 1)).groupBy("doc_id").agg(F.max("label").alias("label"))
-    few = lambda k: marks.where(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows_a_label)
-    fitting = docs.where(F.octet_length("text") <= train_bytes).join(F.broadcast(few(0).unionByName(few(1))), "doc_id")
-    fitting = fitting.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("label").alias("label"))
+    fitting = sample(docs.select("doc_id", "text"), marks, rows_a_label, train_bytes)
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = sorted(zip(*(sum((b.column(k).to_pylist() for b in held), []) for k in range(3)), strict=True)) if (held := list(batches)) else []
@@ -118,7 +138,7 @@ def score_texts(docs: DataFrame, labels: DataFrame, learn_from, rows_a_label: in
     got = fitting.select("doc_id", "text", "label").repartition(1).mapInArrow(learn, "weights binary, bias double").collect()
     model = Toxicity(np.frombuffer(got[0]["weights"], np.float32), got[0]["bias"]) if got else None
     if model is None:
-        return told.select("doc_id", F.lit(0.0).alias("score"))
+        return docs.select("doc_id", F.lit(0.0).alias("score"), *[F.col(f"carried{i}").alias(c) for i, c in enumerate(carry)])
     shared = spark.sparkContext.broadcast((model.weights, model.bias))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,6 +163,6 @@ def score_texts(docs: DataFrame, labels: DataFrame, learn_from, rows_a_label: in
             n = len(offsets) - 1
             mean = np.bincount(rows, value, n) / (np.bincount(rows, minlength=n) + BLANKS)
             score = 1 / (1 + np.exp(-np.clip(BOOST * mean + model.bias, -500, 500)))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(score)], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(score), *part.columns[2:]], ["doc_id", "score", *carry])
 
-    return told.mapInArrow(run, "doc_id long, score double")
+    return docs.mapInArrow(run, f"doc_id long, score double{kinds}")

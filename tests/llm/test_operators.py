@@ -283,6 +283,34 @@ def test_token_counts(spark, odd, empty):
     assert token_counts.count_tokens(empty, path, 1).count() == 0
 
 
+def weak_hash(data, starts, ends, fold=None):
+    """Nearly all spans collide."""
+    return ((ends - starts) % 3 + 1).astype(np.uint64)
+
+
+def test_colliding_hashes_confuse_no_tokens(monkeypatch):
+    rng = random.Random(12)
+    texts = [" ".join(rng.choice(["one", "two", "six", "extraordinarily", "extraordinarilz", "a" * 40, "a" * 39 + "b", "it's", "\u3000x", *shingled(10)]) for _ in range(rng.randint(0, 9))) for _ in range(300)]
+    arrays = text_arrays(pa.array(texts))
+    monkeypatch.setattr(token_counts, "hash_words", weak_hash)
+    monkeypatch.setattr(packing, "hash_words", weak_hash)
+    counter = token_counts.SegmentCounter(tokenizer_path("piece_bpe_32k.model"))
+    words_ = packing.WordIds(tokenizer_path("word_bpe_49k.json"))
+    for _ in range(2):
+        assert counter.counts(*arrays).tolist() == [len(x) for x in counter.encode(texts)]
+        ids, edges = words_.encode(*arrays)
+        assert [ids[a:b].tolist() for a, b in zip(edges[:-1], edges[1:], strict=True)] == [e.ids for e in words_.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_other_tokenizers_encode_whole_texts():
+    words_ = packing.WordIds(tokenizer_path("byte_bpe_50k.json"))
+    assert not words_.splits
+    texts = ["The cat  sat", "", "on  the\nmat. it's"]
+    ids, edges = words_.encode(*text_arrays(pa.array(texts)))
+    assert [ids[a:b].tolist() for a, b in zip(edges[:-1], edges[1:], strict=True)] == [e.ids for e in words_.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert packing.WordIds(tokenizer_path("word_bpe_49k.json")).splits
+
+
 def test_targets_by_water_filling(spark):
     for sizes in ({"a": 100, "b": 100, "c": 100}, {"a": 1, "b": 1000, "c": 10, None: 500}, {"a": 0, "b": 7}, {}):
         frame = spark.createDataFrame(list(sizes.items()), "source string, source_size long")
@@ -418,6 +446,36 @@ def test_media_zip_with_descriptors_and_pdf_ends():
     assert media.sniff(b"%PDF-1.4\ncut off" + one)[1] == [(kind, 16, len(one))]
 
 
+def test_media_work_is_linear():
+    import time
+
+    tricks = [b"%PDF-1.4 ", b"%PDF-1.4 xref\nstartxref\n9\n%%EOF ", b"GIF89a\x00\x00\x00\x00\x00\x00\x00!a!", b"GIF89a,,,,,,,,,,", b"\xff\xd8\xff\xe0\x00\x04ab\xff\xda\x00\x03x", b"PK\3\4PK\5\6", b"RIFF    WAVEfmt ", b"\x89PNG\r\n\x1a\n\0\0\0\rIHDR", b"startxref ", b"1 0 obj<<", b"BM"]
+    for trick in tricks:
+        began = time.perf_counter()
+        media.sniff(trick * (4_000_000 // len(trick)))
+        assert time.perf_counter() - began < 30, trick
+
+
+def test_media_web_layout_and_updates_of_a_pdf():
+    head = b"%PDF-1.5\nfirst page "
+    first = head + b"xref\n0 1\ntrailer\nstartxref\n0\n%%EOF\nrest of the file\nstartxref\n%d\n%%%%EOF" % len(head)
+    assert media.sniff(first) == ("application/pdf", [])
+    assert media.sniff(b"ab" + first + b"cd")[1] == [("application/pdf", 2, len(first))]
+    body = b"%PDF-1.5\nbody "
+    stream = body + b"7 0 obj << /Size 3 /Type /XRef >> stream endstream\nstartxref\n%d\n%%%%EOF" % len(body)
+    assert media.sniff(b"x" + stream + b" ")[1] == [("application/pdf", 1, len(stream))]
+
+
+def test_media_columns_on_odd_rows(spark):
+    rows = [(1, None, None), (1, bytearray(b""), "image/png"), (2, bytearray(png()), None), (2, bytearray(png()), None), (3, bytearray(b"GIF89a" * 200_000 + png()), "x")]
+    frame = spark.createDataFrame(rows, "id long, value binary, kind string")
+    out = media.sniff_column(frame, "value", "kind", ["id"]).collect()
+    assert sorted((r["id"], r["media_type"], bool(r["corrected"]), len(r["carved"])) for r in out) == [(1, media.UNKNOWN, False, 0)] * 2 + [(2, "image/png", True, 0)] * 2 + [(3, media.UNKNOWN, False, 1)]
+    assert media.sniff_column(frame.where("false"), "value", "kind", ["id"]).count() == 0
+    with pytest.raises(ValueError, match="media_type"):
+        media.sniff_column(frame.withColumnRenamed("id", "media_type"), "value", "kind", ["media_type"])
+
+
 def test_media_query_corrects_declared_types(spark, monkeypatch):
     from corvine.llm.queries import op6_media
 
@@ -497,6 +555,24 @@ def test_ngram_join_is_exact(spark, seed, monkeypatch):
     assert got == brute_components(texts)
 
 
+def test_ngram_join_links_all_in_large_batches(spark):
+    """Batches of more rows than a packet numbers."""
+    rng = random.Random(21)
+    rows = [(i, f"x{i} {rng.random()} a{rng.random()} b{i} c{rng.random()} d{i}") for i in range(70_000)]
+    pairs = 60
+    for k in range(pairs):
+        words_ = [f"p{k}q{j}" for j in range(40)]
+        rows[k * 5] = (k * 5, " ".join(words_))
+        rows[-1 - k * 3] = (rows[-1 - k * 3][0], " ".join(words_[:-1]))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "200000")
+    try:
+        got = {r["doc_id"]: r["component_id"] for r in ngram_join.similar_classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(1)).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert len(got) == len(rows) and all(got[rows[-1 - k * 3][0]] == k * 5 for k in range(pairs))
+
+
 def test_ngram_join_on_odd_rows(odd, empty):
     out = ngram_join.similar_classes(odd).collect()
     assert len(out) == len(ODD)
@@ -539,6 +615,24 @@ def test_toxicity(spark, odd, empty):
     assert toxicity.score_texts(empty, labels, learn).count() == 0
 
 
+def test_toxicity_sample(spark):
+    docs = spark.createDataFrame([(i, "x" * (i % 50) * 20, "c") for i in range(400)] + [(7, None, "c"), (None, "n", "c")], "doc_id long, text string, more string")
+    marks = spark.createDataFrame([(i, i % 2) for i in range(1000)], "doc_id long, label int")
+    rows = toxicity.sample(docs, marks, 30, 1 << 20).collect()
+    order = [r["doc_id"] for r in spark.range(400).select(F.col("id").alias("doc_id"), F.xxhash64(F.col("id")).alias("h")).orderBy("h").collect()]
+    for label in (0, 1):  # labelled ids without a document take no places
+        assert {r["doc_id"] for r in rows if r["label"] == label} == set([i for i in order if i % 2 == label][:30])
+    few = toxicity.sample(docs, marks, 30, 3000).collect()
+    assert 0 < len(few) < len(rows) and {(r["doc_id"], r["text"]) for r in few} < {(r["doc_id"], r["text"]) for r in rows}
+
+
+def test_toxicity_learns_from_long_texts(spark):
+    rows = [(i, ("vermin idiot " if i % 2 else "kind word ") * 2000, i % 2) for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    out = toxicity.score_texts(docs, docs.select("doc_id", "toxic"), lambda i: F.lit(True), carry=("toxic",)).collect()
+    assert all((r["score"] >= 0.5) == bool(r["toxic"]) for r in out)
+
+
 def test_word_ids_are_the_librarys():
     words_ = packing.WordIds(tokenizer_path("word_bpe_49k.json"))
     rng = random.Random(7)
@@ -565,6 +659,39 @@ def test_sum_of_squares_choice():
         packer.put(size, i)
 
 
+def test_packing_pieces_are_the_documents_ids(spark):
+    from tokenizers import Tokenizer
+
+    path = tokenizer_path("word_bpe_49k.json")
+    tokenizer, rng = Tokenizer.from_file(path), random.Random(13)
+    texts = [" ".join(rng.choice(["alpha", "of", "xylophone", "it's", "42", "\u3000é"]) for _ in range(rng.choice([0, 3, 30, 200]))) for _ in range(150)]
+    ids = [[*tokenizer.encode(t, add_special_tokens=False).ids, 1] for t in texts]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    rows = packing.pack(frame, path, 1, window=128).collect()
+    pieces = {}
+    for r in rows:
+        own = ids[r["doc_id"]]
+        assert r["doc_tokens"] == len(own)
+        assert r["ids_crc32"] == zlib.crc32(np.array(own[r["start"] : r["start"] + r["length"]], "<u4").tobytes())
+        pieces.setdefault(r["doc_id"], []).append((r["start"], r["length"]))
+    for i, own in enumerate(ids):
+        assert [k for start, n in sorted(pieces[i]) for k in range(start, start + n)] == list(range(len(own)))
+    filled = Counter()
+    for r in rows:
+        filled[r["sequence_id"]] += r["length"]
+    assert all(n == 128 or n & (n - 1) == 0 for n in filled.values())
+
+
+@pytest.mark.parametrize("sizes", [[], [5], [16], [100, 90, 3], [127, 126, 1, 2], [40] * 20, list(range(1, 128))])
+def test_settling_open_sequences(sizes):
+    open_ = [[(i, 0, np.arange(n, dtype="<u4").tobytes(), n)] for i, n in enumerate(sizes)]
+    done = packing.settle([list(p) for p in open_], 128)
+    got = [(key, start + k, v) for pieces in done for key, start, raw, _ in pieces for k, v in enumerate(np.frombuffer(raw, "<u4").tolist())]
+    assert sorted(got) == [(i, k, k) for i, n in enumerate(sizes) for k in range(n)]
+    lengths = [sum(len(p[2]) for p in pieces) // 4 for pieces in done]
+    assert all(n == 128 or n & (n - 1) == 0 for n in lengths) and sum(n < 128 for n in lengths) <= 7
+
+
 def test_packing_loses_nothing(spark, odd, empty):
     path = tokenizer_path("word_bpe_49k.json")
     rows = packing.pack(odd, path, 1, window=64).collect()
