@@ -15,6 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SLICE_BYTES, SLICE_ROWS = 1 << 18, 16384
 
@@ -119,6 +120,26 @@ def kept(frame: DataFrame) -> DataFrame:
     return frame.checkpoint(eager=True)
 
 
+#: Rows that may be broadcast after they have been counted, and the share of a frame's rows beyond which a key is hot.
+BROADCAST_ROWS, HOT = 500_000, 1 / 4096
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str, weight: str, how: str = "inner", most: int | None = None) -> DataFrame:
+    """``left`` joined with ``right``, which has one row a key and in ``weight`` the number of left rows with it.
+
+    Up to ``most`` rows (counted) are broadcast.  Beyond, hot keys are: there are at most ``1 / HOT`` of them;
+    the others meet in a shuffle that no key can skew.
+    """
+    total = right.agg(F.count("*").alias("rows"), F.coalesce(F.sum(weight), F.lit(0)).alias("weight")).first()
+    right_ = right.drop(weight)
+    if total["rows"] <= (BROADCAST_ROWS if most is None else most):
+        return left.join(F.broadcast(right_), key, how)
+    hot = F.col(weight) > total["weight"] * HOT
+    often, seldom = right.where(hot).drop(weight), right.where(~hot).drop(weight)
+    rest = left.join(F.broadcast(often.select(key)), key, "left_anti").join(seldom, key, how)
+    return left.join(F.broadcast(often), key).unionByName(rest)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -15,7 +15,8 @@
    (common n-grams first, so near copies share their paths).  A new set walks the tree with the
    overlap so far and the sizes still possible below; subtrees that cannot reach the threshold, or that
    are already in the new set's component, are pruned.  Every link between components is found.
-   Groups of more than ``GROUP_TOKENS`` n-grams are walked as pairs of blocks in separate tasks.
+   Groups of more than ``GROUP_TOKENS`` n-grams are cut into bands of sizes and those into parts, and pairs of parts
+   of the same band or of neighbours, which are all that can be similar, are walked in separate tasks.
 5. Components are closed by distributed label propagation with pointer jumping.
 
 The order never changes the result: any global order is exact, and fingerprints that collide only add
@@ -34,17 +35,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import by_bytes, find_words, hash_words, kept, mix, text_arrays
+from . import _common
+from ._common import by_bytes, find_words, hash_words, kept, mix, spread_join, text_arrays
 
 #: Share of the documents beyond which an n-gram is heavy; a task reports those beyond half of it.
 HEAVY = 1 / 256
 GROUP_TOKENS = 8_000_000
 BUCKET_ROWS = 1 << 18
-#: A packet's n-grams and documents (numbered in 16 bits), and suspects that may be broadcast.
-PACKET_GRAMS, PACKET_DOCS, BROADCAST_ROWS = 4_000_000, 60_000, 500_000
+#: A packet's n-grams and documents (numbered in 16 bits; a slice of at most 16,384 may come on top).
+PACKET_GRAMS, PACKET_DOCS = 4_000_000, 45_000
 SMALL_EDGES = 500_000
 SLICE = 1 << 20
 
@@ -302,7 +304,7 @@ def similar_classes(docs: DataFrame, t: float = 0.75, n: int = 5, doc_id: str =
     described = kept(docs.mapInArrow(describe, "doc_id long, sign long, n long, gram long, times long"))
     heavy = described.where("gram is not null").groupBy("gram").agg(F.sum("times").alias("times"))
     members = described.where("gram is null").select("doc_id", "sign", "n")
-    classes = kept(members.where("n > 0").groupBy("sign", "n").agg(F.min("doc_id").alias("doc_id")))
+    classes = kept(members.where("n > 0").groupBy("sign", "n").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")))
     size = classes.agg(F.count("*").alias("sets"), F.coalesce(F.sum("n"), F.lit(0)).alias("grams")).first()
     floor = max(8, size["sets"] * HEAVY / 2)
     last = np.sort(heavy.where(F.col("times") >= floor).select("gram").toArrow().column("gram").to_numpy().view(np.uint64))
@@ -351,7 +353,7 @@ def similar_classes(docs: DataFrame, t: float = 0.75, n: int = 5, doc_id: str =
             whose = np.repeat(number, n_)
             grams_.append(grams[whose >= 0])
             owner_.append(whose[whose >= 0])
-            if sum(map(len, grams_)) > PACKET_GRAMS or len(sizes) > PACKET_DOCS - 20_000:
+            if sum(map(len, grams_)) > PACKET_GRAMS or len(sizes) > PACKET_DOCS:
                 yield from flush()
                 known.clear(), sizes.clear(), grams_.clear(), owner_.clear()
                 packet += 1
@@ -423,9 +425,12 @@ def similar_classes(docs: DataFrame, t: float = 0.75, n: int = 5, doc_id: str =
         return _joined(members, classes, classes.select("sign", F.col("doc_id").alias("component_id")).where("false"))
     groups = components(edges)
     suspects = kept(classes.join(groups, classes["sign"] == groups["node"]).select("doc_id", "sign", "n", F.col("label").alias("group")))
-    tokens = suspects.groupBy("group").agg(F.sum("n").alias("tokens"))
-    blocks = tokens.select("group", F.ceil(F.col("tokens") / GROUP_TOKENS).alias("blocks"))
-    suspects = suspects.join(blocks, "group")
+    # a group of many n-grams is cut into bands of sizes, of which only neighbours can be similar, and those into parts
+    band = F.floor(F.log("n") / (math.log(1 / t) * (1 + 1e-9))).cast("int")
+    bands = suspects.groupBy("group", band.alias("band")).agg(F.sum("n").alias("tokens"), F.count("*").alias("sets"))
+    parts = F.map_from_entries(F.collect_list(F.struct("band", F.ceil(F.col("tokens") / GROUP_TOKENS).alias("parts"))))
+    plan = bands.groupBy("group").agg(F.sum("sets").alias("sets"), F.when(F.sum("tokens") > GROUP_TOKENS, parts).alias("parts"))
+    suspects = kept(spread_join(suspects.withColumn("band", band), kept(plan), "group", "sets"))
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in by_bytes(batches, "text", SLICE):
@@ -434,16 +439,30 @@ def similar_classes(docs: DataFrame, t: float = 0.75, n: int = 5, doc_id: str =
             sets = [raw[8 * a : 8 * b] for a, b in zip(edges_[:-1].tolist(), edges_[1:].tolist(), strict=True)]
             own = pa.array(signatures(grams, edges_) == part.column(2).to_numpy())
             part, sets = part.filter(own), pa.array(sets, pa.binary()).filter(own)
-            yield pa.RecordBatch.from_arrays([part.column(0), *part.columns[2:], sets], ["doc_id", "sign", "group", "blocks", "grams"])
+            yield pa.RecordBatch.from_arrays([part.column(0), *part.columns[2:], sets], ["doc_id", "sign", "group", "band", "parts", "grams"])
 
     # equal ids with different texts: the set of the class is told by its signature
-    if suspects.count() <= BROADCAST_ROWS:
+    if suspects.count() <= _common.BROADCAST_ROWS:
         suspects = F.broadcast(suspects)
-    spelt = docs.join(suspects.select("doc_id", "sign", "group", "blocks"), "doc_id").select("doc_id", "text", "sign", "group", "blocks")
-    spelt = spelt.mapInArrow(spell, "doc_id long, sign long, `group` long, blocks long, grams binary")
-    block = F.pmod(F.xxhash64("sign"), "blocks")
-    pair = F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda j: F.struct(F.least(block, j).alias("i"), F.greatest(block, j).alias("j"))))
-    spelt = spelt.select("sign", "group", pair.alias("pair"), "grams").select("sign", "group", "pair.*", "grams")
+    spelt = docs.join(suspects.select("doc_id", "sign", "group", "band", "parts"), "doc_id").select("doc_id", "text", "sign", "group", "band", "parts")
+    spelt = spelt.mapInArrow(spell, "doc_id long, sign long, `group` long, band int, parts map<int,bigint>, grams binary")
+    own = F.pmod(F.xxhash64("sign"), F.col("parts")[F.col("band")])
+    place = lambda i_band, i, j_band, j: F.struct(i_band.alias("i_band"), i.alias("i"), j_band.alias("j_band"), j.alias("j"))
+
+    def meeting(step: int, pair) -> Column:
+        """Pairs of the set's part with all parts of its band or of a band beside it."""
+        n = F.coalesce(F.try_element_at("parts", F.col("band") + step), F.lit(0).cast("long"))
+        return F.when(n > 0, F.transform(F.sequence(F.lit(0).cast("long"), n - 1), pair)).otherwise(F.array())
+
+    here, one = F.col("band"), F.lit(-1)
+    pairs = F.concat(
+        meeting(0, lambda j: place(here, F.least(own, j), here, F.greatest(own, j))),
+        meeting(1, lambda j: place(here, own, here + 1, j)),
+        meeting(-1, lambda j: place(here - 1, j, here, own)),
+    )
+    nought = F.lit(0).cast("long")
+    pair = F.explode(F.when(F.col("parts").isNull(), F.array(place(one, nought, one, nought))).otherwise(pairs)).alias("pair")
+    spelt = spelt.select("sign", "group", pair, "grams").select("sign", "group", "pair.*", "grams")
 
     def walk(table: pa.Table) -> pa.Table:
         names, raws = table.column("sign").to_pylist(), table.column("grams").to_pylist()
@@ -454,20 +473,24 @@ def similar_classes(docs: DataFrame, t: float = 0.75, n: int = 5, doc_id: str =
         moved = [i for i, r in enumerate(root) if i != r]
         return pa.table({"a": pa.array([keys[i] for i in moved], pa.int64()), "b": pa.array([keys[root[i]] for i in moved], pa.int64())})
 
-    links = kept(spelt.groupBy("group", "i", "j").applyInArrow(walk, "a long, b long"))
+    links = kept(spelt.groupBy("group", "i_band", "i", "j_band", "j").applyInArrow(walk, "a long, b long"))
     if links.isEmpty():
         found = classes.select("sign", F.col("doc_id").alias("component_id")).where("false")
     else:
         labels = components(links)
         own = classes.join(labels, classes["sign"] == labels["node"]).select("sign", "doc_id", "label")
-        least = own.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-        found = own.join(least, "label").select("sign", "component_id")
+        least = own.groupBy("label").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("sets"))
+        found = spread_join(own, kept(least), "label", "sets").select("sign", "component_id")
     return _joined(members, classes, found)
 
 
 def _joined(members: DataFrame, classes: DataFrame, found: DataFrame) -> DataFrame:
-    own = classes.join(found, "sign", "left").select("sign", F.coalesce("component_id", "doc_id").alias("component_id"))
-    return members.join(own, "sign", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    """Every member with its component; only classes of several members or links are joined."""
+    own = classes.join(found, "sign", "left").select("sign", "doc_id", "copies", F.coalesce("component_id", "doc_id").alias("component_id"))
+    several = kept(own.where((F.col("copies") > 1) | ~F.col("component_id").eqNullSafe(F.col("doc_id"))).select("sign", "copies", "component_id"))
+    full = spread_join(members.where("n > 0"), several, "sign", "copies", "left").select("doc_id", "n", "component_id")
+    blank = members.where("n = 0").select("doc_id", "n", F.lit(None).cast("long").alias("component_id"))
+    return full.unionByName(blank).select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 _PACKET_SCHEMA = "key long, packet long, a binary, b binary, c binary, d binary, e binary"

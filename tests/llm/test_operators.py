@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from corvine.llm import license_scan, lm_score, media, mixing, ngram_join, packing, quality_rules, token_counts, toxicity, url_filter
+from corvine.llm import _common, license_scan, lm_score, media, mixing, ngram_join, packing, quality_rules, token_counts, toxicity, url_filter
 from corvine.llm._common import FOLDED, Slots, find_words, hash_words, text_arrays
 from corvine.llm.queries import URL_RULES, fold, tokenizer_path
 
@@ -64,6 +64,15 @@ def test_slots_find_what_was_added():
     assert (table.find(keys[1::2]) == -1).all()
 
 
+def test_spread_join_equals_the_plain_join(spark):
+    left = spark.createDataFrame([(k, i) for k, n in ((1, 500), (2, 3), (3, 1), (4, 40), (9, 2)) for i in range(n)], "k long, v long")
+    right = spark.createDataFrame([(1, 500, "a"), (2, 3, "b"), (3, 1, "c"), (4, 40, "d"), (7, 0, "e")], "k long, n long, w string")
+    for how in ("inner", "left"):
+        want = sorted(map(str, left.join(right.drop("n"), "k", how).collect()))
+        for most in (0, 99):
+            assert sorted(map(str, _common.spread_join(left, right, "k", "n", how, most).collect())) == want
+
+
 def test_lm_score(spark, odd, empty):
     rng = random.Random(3)
     rows = [(i, " ".join(rng.choice(["the", "of", f"w{rng.randint(0, 300)}", "and"]) for _ in range(rng.randint(0, 60)))) for i in range(300)]
@@ -549,7 +558,8 @@ def test_ngram_join_is_exact(spark, seed, monkeypatch):
         monkeypatch.setattr(ngram_join, "GROUP_TOKENS", 150)
         monkeypatch.setattr(ngram_join, "SMALL_EDGES", 0)
         monkeypatch.setattr(ngram_join, "BUCKET_ROWS", 500)
-        monkeypatch.setattr(ngram_join, "BROADCAST_ROWS", 0)
+        monkeypatch.setattr(_common, "BROADCAST_ROWS", 0)
+        monkeypatch.setattr(_common, "HOT", 1 / 20)
     frame = spark.createDataFrame(texts, "doc_id long, text string").repartition(5)
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.similar_classes(frame).collect()}
     assert got == brute_components(texts)
