@@ -140,10 +140,12 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), shards: int = 8,
     along = Window.partitionBy("mix_source").orderBy(F.xxhash64(F.lit(seed + 1), "id"), "id")
     whole = Window.partitionBy("mix_source")
     cut = cut.withColumn("taken", F.lit(False)).withColumn("missing", F.col("lacking"))
-    for _ in range(FILLS):  # in permuted order, those that still fit; each turn passes over larger ones
-        able = ~F.col("taken") & (F.col("words") <= F.col("missing"))
-        cut = cut.withColumn("able", able).withColumn("upto", F.sum(F.when(F.col("able"), F.col("words")).otherwise(0)).over(along))
-        cut = cut.withColumn("now", F.col("able") & (F.col("upto") <= F.col("missing")))
+    downward = Window.partitionBy("mix_source").orderBy(F.desc("words"), F.xxhash64(F.lit(seed + 1), "id"), "id")
+    for turn in range(1 + FILLS):  # in permuted order while there is room for the largest; then the largest that still fit
+        goal = F.col("missing") - (F.max("words").over(whole) if turn == 0 else 0)
+        cut = cut.withColumn("goal", goal).withColumn("able", ~F.col("taken") & (F.col("words") <= F.col("goal")))
+        cut = cut.withColumn("upto", F.sum(F.when(F.col("able"), F.col("words")).otherwise(0)).over(downward if turn else along))
+        cut = cut.withColumn("now", F.col("able") & (F.col("upto") <= F.col("goal")))
         filled = F.sum(F.when(F.col("now"), F.col("words")).otherwise(0)).over(whole)
         cut = cut.withColumn("missing", F.col("missing") - filled).withColumn("taken", F.col("taken") | F.col("now"))
     cut = cut.withColumn("off", F.when(~F.col("taken"), F.abs(F.col("missing") - F.col("words"))))

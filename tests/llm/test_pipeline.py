@@ -89,20 +89,36 @@ def test_stages_tell_rows_of_one_id_apart(spark, monkeypatch):
     whole = [x for x in rows if x[1] != "short"]
     assert pairs(corpus_pipeline.apply_quality_rules(spark, frame(rows), DATA)) == sorted(whole, key=repr)
 
-    def score_texts(docs, labels, learn_from, key="doc_id"):
-        return docs.select(F.col(key).alias("doc_id"), (F.col("text") == "short").cast("double").alias("score"))
+    def score_texts(docs, labels, learn_from, carry=()):
+        return docs.select("doc_id", (F.col("text") == "short").cast("double").alias("score"), *carry)
 
     monkeypatch.setattr(toxicity, "score_texts", score_texts)
     assert pairs(corpus_pipeline.drop_toxic(spark, frame(rows), DATA)) == sorted(whole, key=repr)
 
 
-def test_toxicity_scores_by_key(spark):
+def test_toxicity_carries_columns(spark):
     docs, labels = table(spark, DATA, "documents"), table(spark, DATA, "labels")
-    by_id = {r["doc_id"]: r["score"] for r in toxicity.score_texts(docs, labels, lambda i: fold(i, 3) != 1).collect()}
-    by_key = {r["doc_id"]: r["score"] for r in toxicity.score_texts(docs.selectExpr("*", "-1 - doc_id AS k"), labels, lambda i: fold(i, 3) != 1, key="k").collect()}
-    assert by_key == pytest.approx({-1 - i: s for i, s in by_id.items()})
+    plain = {r["doc_id"]: r["score"] for r in toxicity.score_texts(docs, labels, lambda i: fold(i, 3) != 1).collect()}
+    out = toxicity.score_texts(docs.selectExpr("*", "-1 - doc_id AS k"), labels, lambda i: fold(i, 3) != 1, carry=("k", "lang")).collect()
+    assert {r["doc_id"]: r["score"] for r in out} == pytest.approx(plain) and all(r["k"] == -1 - r["doc_id"] for r in out)
+
+
+@pytest.mark.parametrize("stage", [f for _, f in corpus_pipeline.STAGES])
+def test_stages_on_odd_and_empty_tables(spark, stage):
+    ddl = "doc_id long, text string, lang string, source string, n_chars long, row_key long, score double, label int, mix_size long, word string"
+    long_ = "alpha beta gamma delta epsilon zeta " * 20_000
+    rows = [(None, None, None, None, None, 1, 0.1, 1, 1, "w"), (1, "", "en", "s", 0, 1, 0.1, 1, 1, None), (2, long_, None, "s", None, 2, 0.2, 0, 2, "w"), (2, long_, None, "s", None, 2, 0.2, 0, 2, "w"), (3, " ".join(f"v{i}" for i in range(90)), "fr", None, 3, 3, None, None, None, "w")]
+    frame = spark.createDataFrame(rows, ddl).repartition(2)
+    out = stage(spark, frame, DATA)
+    if stage is not corpus_pipeline.pack_sequences:
+        assert out.columns == list(corpus_pipeline.COLUMNS)
+    got = out.collect()
+    assert any(r["doc_id"] == 3 for r in got)
+    assert stage(spark, frame.where("false"), DATA).count() == 0
 
 
 def test_run_gives_the_last_stage(spark):
     out = corpus_pipeline.run(spark, DATA)
     assert out.columns[:3] == ["doc_id", "start", "length"] and out.count() > 0
+    folder = os.path.dirname(out.inputFiles()[0].removeprefix("file:"))
+    assert os.listdir(os.path.dirname(folder)) == [os.path.basename(folder)]
