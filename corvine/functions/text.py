@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -77,6 +78,17 @@ def index_tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(segment_cjk(text)), F.lit(rf"([a-z0-9_]+|[{CJK_INDEX}]+)"), F.lit(1))
 
 
+_RUNS, _INNER, _TERMS = re.compile(f"([{CJK_INDEX}]+)"), re.compile(f"(?<=[{CJK_INDEX}])([{CJK_INDEX}])(?=[{CJK_INDEX}])"), re.compile(f"[a-z0-9_]+|[{CJK_INDEX}]+")
+
+
+def index_terms(text: str | None) -> list[str]:
+    """``index_tokens`` of one text, for operators that walk texts in Arrow batches."""
+    text = text or ""
+    if not text.isascii() and _RUNS.search(text):
+        text = _INNER.sub(r"\1 \1", _RUNS.sub(r" \1 ", text))
+    return _TERMS.findall(text.lower())
+
+
 def segment_cjk(text: Column) -> Column:
     """Runs of three or more CJK characters become overlapping pairs; blanks are collapsed."""
     spaced = F.regexp_replace(text, rf"([{CJK_INDEX}]+)", " $1 ")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator, Sequence
 from itertools import islice
 
@@ -11,9 +12,12 @@ from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .topk import TopK
 
 #: Dense queries of one block, as all tasks get a block's vectors; more queries are more blocks.
 MOST_QUERIES = 4096
+#: Texts of queries or phrases of one block, terms that a task holds before it sends their counts, chunks of a matrix product.
+MOST_TEXTS, MOST_TERMS, MOST_ROWS = 1024, 1_000_000, 512
 #: Scores of one matrix product.
 MOST_SCORES = 1 << 22
 #: Scores that tell relevance, best first, and those that only rank.
@@ -27,37 +31,107 @@ def best(frame: DataFrame, by: Sequence[str], order: Sequence[Column], k: int, r
     return numbered.where(F.col(rank) <= k).withColumn(rank, F.col(rank) - 1)
 
 
+#: k1 and b of the two variants.
+BM25 = {"okapi": (1.5, 0.75), "fts": (1.2, 0.75)}
+
+
+def spread(frame: DataFrame) -> DataFrame:
+    """A frame of fewer partitions than there are cores, which is a small one, dealt to all of them."""
+    cores = frame.sparkSession.sparkContext.defaultParallelism
+    return frame.repartition(cores) if frame.rdd.getNumPartitions() < cores else frame
+
+
 def bm25(chunks: DataFrame, queries: DataFrame, variant: str = "okapi", top_k: int = 20, paper_ids: DataFrame | None = None) -> DataFrame:
-    """``query_id, chunk_id, score_bm25, rank_bm25`` for a batch of queries.
+    """``query_id, chunk_id, paper_id, score_bm25, rank_bm25`` for queries of any number, in blocks of ``MOST_TEXTS``.
 
     ``okapi`` has k1 1.5 and gives terms of more than half of the chunks a quarter of the mean idf;
     ``fts`` has k1 1.2 and an idf floor.  Statistics cover all chunks, a paper filter comes after.
-    Only the queries' own terms are exploded; chunks without them are met by their length alone.
+
+    One pass counts document frequencies within tasks, so that a task sends each term once; a second one
+    scores every chunk against a block's terms, which go to all tasks, and keeps ``top_k`` rows a query and task.
+    No postings are shuffled, so no frequent word is a hot key.
     """
-    k1, b = (1.5, 0.75) if variant == "okapi" else (1.2, 0.75)
-    tokens = chunks.select("chunk_id", "paper_id", T.index_tokens(F.col("text")).alias("tokens"))
-    asked = queries.select("query_id", F.explode(T.index_tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    sizes = tokens.agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("mean_size"))
-    spread = tokens.select("chunk_id", "paper_id", F.size("tokens").alias("size"), F.explode("tokens").alias("term"))
-    if variant == "okapi":
-        df = spread.select("chunk_id", "term").distinct().groupBy("term").agg(F.count("*").alias("df"))
-    wanted = spread.join(asked.select("term").distinct(), "term", "left_semi")
-    postings = wanted.groupBy("term", "chunk_id", "paper_id", "size").agg(F.count("*").alias("tf"))
-    if variant != "okapi":
-        df = postings.groupBy("term").agg(F.count("*").alias("df"))
-    idf = df.crossJoin(sizes).withColumn("idf", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-    if variant == "okapi":
-        mean = idf.agg(F.avg("idf").alias("mean_idf"))
-        idf = idf.crossJoin(mean).withColumn("idf", F.when(F.col("idf") < 0, 0.25 * F.col("mean_idf")).otherwise(F.col("idf")))
-    else:
-        idf = idf.withColumn("idf", F.greatest("idf", F.lit(1e-6)))
-    part = F.col("times") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("size") / F.col("mean_size")))
-    scored = postings.join(asked, "term").join(idf.select("term", "idf", "mean_size"), "term")
-    scored = scored.groupBy("query_id", "chunk_id", "paper_id").agg(F.round(F.sum(part), 9).alias("score_bm25")).where("score_bm25 > 0")
+    k1, b = BM25[variant]
+    texts = spread(chunks.select(F.col("chunk_id").cast("long").alias("chunk_id"), "text"))
+    n, mean_size, df, mean_idf = _statistics(texts, variant == "okapi")
+    idf = F.log((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     if paper_ids is not None:
-        scored = scored.join(paper_ids, "paper_id", "left_semi")
-    ranked = best(scored, ["query_id"], [F.desc("score_bm25"), F.asc("chunk_id")], top_k, "rank_bm25")
-    return ranked.select("query_id", "chunk_id", "paper_id", "score_bm25", "rank_bm25")
+        texts = texts.join(chunks.join(paper_ids, "paper_id", "left_semi").select("chunk_id"), "chunk_id", "left_semi")
+    asked, found = queries.select("query_id", "query").toLocalIterator(), None
+    spark = chunks.sparkSession
+    while (block := list(islice(asked, MOST_TEXTS))) or found is None:
+        terms = [Counter(T.index_terms(r["query"])) for r in block]
+        wanted = spark.createDataFrame([(t,) for t in sorted(set().union(*terms))], "term string")
+        known = {r["term"]: r["idf"] for r in df.join(F.broadcast(wanted), "term").select("term", idf.alias("idf")).toLocalIterator()}
+        known = {t: (0.25 * mean_idf if v < 0 else v) if variant == "okapi" else max(v, 1e-6) for t, v in sorted(known.items())}
+        number = {t: i for i, t in enumerate(known)}
+        weights = np.zeros((len(number), len(block)))
+        for q, own in enumerate(terms):
+            for t, times in own.items():
+                if t in number:
+                    weights[number[t], q] = times * known[t] * (k1 + 1)
+        shared = spark.sparkContext.broadcast((np.array([r["query_id"] for r in block], np.int64), number, weights))
+
+        def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            ids, number, weights = shared.value
+            top = TopK(len(ids), top_k)
+            for batch in batches:
+                for begin in range(0, batch.num_rows, MOST_ROWS):
+                    part = batch.slice(begin, MOST_ROWS)
+                    row, term, tfs, norms = [], [], [], []
+                    for text in part.column(1).to_pylist():
+                        tokens = T.index_terms(text)
+                        own = [(number[t], tf) for t, tf in Counter(tokens).items() if t in number]
+                        row.append(len(own))
+                        term += [t for t, _ in own]
+                        tfs += [tf for _, tf in own]
+                        norms.append(k1 * (1 - b + b * len(tokens) / mean_size) if mean_size else 0.0)
+                    if not term:
+                        continue
+                    used, column = np.unique(np.array(term), return_inverse=True)
+                    at, tf = np.repeat(np.arange(len(row)), row), np.array(tfs, float)
+                    dense = np.zeros((len(row), len(used)))
+                    dense[at, column] = tf / (tf + np.array(norms)[at])
+                    score = np.round(dense @ weights[used], 9)
+                    score[score <= 0] = -np.inf
+                    top.offer(score, part.column(0).to_numpy())
+            yield top.batch(ids, ["query_id", "chunk_id", "score_bm25"])
+
+        some = texts.mapInArrow(search, "query_id long, chunk_id long, score_bm25 double")
+        found = some if found is None else found.unionByName(some)
+    df.unpersist()
+    ranked = best(found, ["query_id"], [F.desc("score_bm25"), F.asc("chunk_id")], top_k, "rank_bm25")
+    return ranked.join(chunks.select("chunk_id", "paper_id"), "chunk_id").select("query_id", "chunk_id", "paper_id", "score_bm25", "rank_bm25")
+
+
+def _statistics(texts: DataFrame, mean: bool) -> tuple[int, float, DataFrame, float]:
+    """Number of texts, mean of their sizes in terms, ``term, df`` of all terms (persisted), and the mean idf if wanted."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df: Counter[str] = Counter()
+        rows = size = 0
+
+        def flush() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array([None, *df], pa.string()), pa.array([rows, *df.values()], pa.int64()), pa.array([size, *[0] * len(df)], pa.int64())], ["term", "df", "size"])
+            df.clear()
+            return out
+
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                tokens = T.index_terms(text)
+                rows, size = rows + 1, size + len(tokens)
+                df.update(set(tokens))
+            if len(df) > MOST_TERMS:
+                yield flush()
+                rows = size = 0
+        yield flush()
+
+    counted = texts.select("text").mapInArrow(count, "term string, df long, size long").groupBy("term").agg(F.sum("df").alias("df"), F.sum("size").alias("size")).persist()
+    all_ = counted.where("term is null").first()
+    n, size = (all_["df"], all_["size"]) if all_ else (0, 0)
+    df = counted.where("term is not null")
+    middle = df.agg(F.avg(F.log((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))).alias("m")).first()["m"] if mean else None
+    return n, size / n if n else 0.0, counted, middle or 0.0
 
 
 def dense(points: DataFrame, queries: DataFrame, top_k: int = 20) -> DataFrame:
@@ -84,26 +158,52 @@ def _search(points: DataFrame, asked: Sequence[Row], top_k: int) -> DataFrame:
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, unit = shared.value
-        held: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0)) for _ in ids]
+        top = TopK(len(ids), top_k)
         for batch in batches:
-            if not batch.num_rows or not len(ids):
-                continue
-            step = max(1, MOST_SCORES // len(ids))
-            for begin in range(0, batch.num_rows, step):
+            step = max(1, MOST_SCORES // max(len(ids), 1))
+            for begin in range(0, batch.num_rows if len(ids) else 0, step):
                 part = batch.slice(begin, step)
-                rows = np.stack(part.column(1).to_numpy(zero_copy_only=False)).astype(float)
-                score = np.round(unit @ (rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-30)).T, 9)
-                chunk = part.column(0).to_numpy()
-                for q in range(len(ids)):
-                    c, s = np.concatenate([held[q][0], chunk]), np.concatenate([held[q][1], score[q]])
-                    first = np.lexsort((c, -s))[:top_k]
-                    held[q] = c[first], s[first]
-        for q, (c, s) in enumerate(held):
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(c), ids[q])), pa.array(c), pa.array(s)], ["query_id", "chunk_id", "score_dense"])
+                values = part.column(1)
+                rows = values.flatten().to_numpy(zero_copy_only=False).reshape(len(values), -1).astype(float)
+                score = (rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-30)) @ unit.T
+                top.offer(np.round(score, 9), part.column(0).to_numpy())
+        yield top.batch(ids, ["query_id", "chunk_id", "score_dense"])
 
     return points.mapInArrow(search, "query_id long, chunk_id long, score_dense double")
 
 
+def containing(chunks: DataFrame, queries: DataFrame) -> DataFrame:
+    """``query_id, chunk_id, paper_id`` where a chunk's text has the query's text in it, by one automaton a block of queries."""
+    import ahocorasick
+
+    asked, found = queries.select("query_id", "query").where("query is not null").toLocalIterator(), None
+    while (block := list(islice(asked, MOST_TEXTS))) or found is None:
+        of: dict[str, list[int]] = {}
+        for r in block:
+            of.setdefault(r["query"], []).append(r["query_id"])
+        shared = chunks.sparkSession.sparkContext.broadcast(of)
+
+        def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            everywhere, automaton = shared.value.get("", []), ahocorasick.Automaton()
+            for text, ids in shared.value.items():
+                if text:
+                    automaton.add_word(text, ids)
+            automaton.make_automaton()
+            for batch in batches:
+                pairs = []
+                for row, text in enumerate(batch.column(2).to_pylist()):
+                    if text is not None:
+                        ids = set(everywhere)
+                        ids.update(*(own for _, own in automaton.iter(text))) if len(automaton) else None
+                        pairs += [(q, row) for q in sorted(ids)]
+                at = pa.array([row for _, row in pairs], pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array([q for q, _ in pairs], pa.int64()), batch.column(0).take(at), batch.column(1).take(at)], ["query_id", "chunk_id", "paper_id"])
+
+        some = spread(chunks.select("chunk_id", "paper_id", "text")).mapInArrow(search, "query_id long, chunk_id long, paper_id string")
+        found = some if found is None else found.unionByName(some)
+    return found
+
+
 def rrf(legs: Sequence[tuple[DataFrame, str]], k: int = 60, keep: Sequence[str] = ()) -> DataFrame:
     """Reciprocal rank fusion of ranked lists; ``legs`` are frames with the names of their ranks.
 
@@ -185,7 +285,7 @@ def select_evidence(rows: DataFrame, max_chunks: int = 4, max_per_paper: int = 2
     rows = rows.where(~T.is_reference(F.col("section")) | T.reference_intent(F.col("query")))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("position"))
     names = [c for c in ("score_rerank", "score_rrf", "score_dense", "score") if c in rows.columns]
-    rows = rows.withColumns({"rank": rank, "overlap": T.overlap(F.col("query"), F.concat_ws(" ", "section", "text")), "hint": T.section_hint(F.col("section"))})
+    rows = rows.withColumns({"rank": rank, "overlap": T.overlap(F.col("query"), F.concat_ws(" ", *[c for c in ("section", "title", "text") if c in rows.columns])), "hint": T.section_hint(F.col("section"))})
     score = F.coalesce(*[F.col(c) for c in names], F.lit(0.0)) + 0.2 * F.col("overlap") + 0.03 * F.col("hint") + 0.001 / F.col("rank")
     rows = rows.withColumn("select_score", F.round(F.round(score, 9), 6))
     order = [F.desc("select_score"), F.asc("rank")]
@@ -198,11 +298,30 @@ def select_evidence(rows: DataFrame, max_chunks: int = 4, max_per_paper: int = 2
 def phrase_hits(chunks: DataFrame, phrases: DataFrame) -> DataFrame:
     """``phrase_id, chunk_id, hits``: places where a phrase's tokens follow one another.
 
-    ``phrases`` has ``phrase_id, phrase``.  Positions of the phrases' tokens meet by term, and a
-    start counts when all tokens of the phrase point back to it.
+    ``phrases`` has ``phrase_id, phrase``; those of a block go to all tasks, which walk each chunk's tokens once
+    and compare a phrase only where its first two tokens are.  A phrase without tokens is nowhere.
     """
-    wanted = phrases.select("phrase_id", F.posexplode(T.index_tokens(F.col("phrase"))).alias("place", "term"), F.size(T.index_tokens(F.col("phrase"))).alias("n"))
-    spread = chunks.select("chunk_id", F.posexplode(T.index_tokens(F.col("text"))).alias("pos", "term"))
-    met = spread.join(wanted, "term").select("phrase_id", "chunk_id", "n", (F.col("pos") - F.col("place")).alias("start"), "place").distinct()
-    starts = met.groupBy("phrase_id", "chunk_id", "start", "n").agg(F.count("*").alias("got")).where("got = n")
-    return starts.groupBy("phrase_id", "chunk_id").agg(F.count("*").alias("hits"))
+    asked, found = phrases.select("phrase_id", "phrase").toLocalIterator(), None
+    while (block := list(islice(asked, MOST_TEXTS))) or found is None:
+        first: dict[tuple[str, ...], list[tuple[int, list[str]]]] = {}
+        for r in block:
+            if own := T.index_terms(r["phrase"]):
+                first.setdefault(tuple(own[:2]), []).append((r["phrase_id"], own))
+        shared = chunks.sparkSession.sparkContext.broadcast(first)
+
+        def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            first = shared.value
+            single = any(len(k) == 1 for k in first)
+            for batch in batches:
+                rows, names = [], batch.column(0).to_pylist()
+                for row, text in enumerate(batch.column(1).to_pylist()):
+                    tokens, hits = T.index_terms(text), Counter()
+                    for i, pair in enumerate(zip(tokens, [*tokens[1:], ""], strict=True)):
+                        for phrase, own in (*first.get(pair, ()), *(first.get(pair[:1], ()) if single else ())):
+                            hits[phrase] += tokens[i : i + len(own)] == own
+                    rows += [(p, names[row], n) for p, n in hits.items() if n]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows, strict=True) if rows else [[]] * 3)], ["phrase_id", "chunk_id", "hits"])
+
+        some = spread(chunks.select("chunk_id", "text")).mapInArrow(search, "phrase_id long, chunk_id long, hits long")
+        found = some if found is None else found.unionByName(some)
+    return found

@@ -20,7 +20,7 @@ def _runs(spark: SparkSession, d: str) -> DataFrame:
     ordered = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("rank_bm25", c))), lambda x: x[c])
     runs = found.groupBy("query_id").agg(ordered("chunk_id").alias("retrieved"), ordered("paper_id").alias("retrieved_papers"))
     q = questions(spark, d)
-    truth = chunks(spark, d).join(q, F.contains(F.col("text"), F.col("query")))
+    truth = R.containing(chunks(spark, d), q)
     truth = truth.groupBy("query_id").agg(F.array_sort(F.collect_set("chunk_id")).alias("expected"), F.collect_set("paper_id").alias("expected_papers"))
     rows = q.select("query_id").join(runs, "query_id", "left").join(truth, "query_id", "left")
     empty = lambda c, k: F.coalesce(c, F.array().cast(f"array<{k}>")).alias(c)
