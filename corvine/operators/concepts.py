@@ -2,10 +2,22 @@
 
 from __future__ import annotations
 
+import json
+import re
+import unicodedata
+from collections.abc import Sequence
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
+
+from ..functions.text import CJK_INDEX, CJK_WIDE, clip
 
-from ..functions.text import CHUNK_CITATION, CJK_WIDE
+#: Citations of chunks in definitions; words that no phrase needs.
+CITED = r"\s*[\[(]\s*chunk:[^\])]*[\])]"
+STOP_EN = ("and", "are", "for", "from", "into", "learn", "learns", "learning", "method", "paper", "that", "the", "this", "with")
+STOP_ZH = ("本文", "研究", "提出", "一种", "通过", "进行", "基于", "相关", "问题", "以及", "可以", "用于", "任务", "范式")
 
 #: Sections in the order in which their texts are sampled.
 SECTION_ORDER = (("abstract", "摘要"), ("introduction", "引言", "绪论", "背景"), ("conclusion", "discussion", "结论", "总结", "讨论"), ("method", "approach", "model", "方法", "模型"))
@@ -22,10 +34,10 @@ TOPICS = (
 )
 
 
-def label_norm(text: Column) -> Column:
-    """Letters and digits only, lower case; full-width forms fold to ASCII ones."""
-    wide = "".join(chr(0xFF01 + i) for i in range(94))
-    return F.regexp_replace(F.lower(F.translate(text, wide, "".join(chr(0x21 + i) for i in range(94)))), r"[^\p{L}\p{N}]", "")
+@F.pandas_udf(StringType())
+def label_norm(text: pd.Series) -> pd.Series:
+    """Letters and digits only, in compatibility form and case-folded, which no built-in function does; null is empty."""
+    return text.map(lambda x: "".join(c for c in unicodedata.normalize("NFKC", x or "").casefold() if c.isalnum()))
 
 
 def label_language(text: Column) -> Column:
@@ -62,11 +74,12 @@ def fill_budget(items: Column, budget: int) -> Column:
 
 
 def strip_citations(text: Column) -> Column:
-    return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), CHUNK_CITATION, ""))
+    """Without citations of chunks in brackets or parentheses and the blanks before them."""
+    return F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), CITED, ""), r"^\s+|\s+$", "")
 
 
 def clip_definition(text: Column, most: int = 1200) -> Column:
-    return F.left(strip_citations(text), F.lit(most))
+    return clip(strip_citations(text), most)
 
 
 def context_row(entries: DataFrame) -> DataFrame:
@@ -75,12 +88,17 @@ def context_row(entries: DataFrame) -> DataFrame:
     return entries.select("entry_id", "name", strip_citations(F.col("definition")).alias("definition"), aliases.alias("aliases"), F.slice("key_papers", 1, 8).alias("key_papers"), F.slice("evidence_chunks", 1, 8).alias("evidence_chunks"), "version")
 
 
-def definition_phrases(definition: Column, stopwords: tuple[str, ...]) -> Column:
-    """The first six and the last three words that are no stop words."""
-    words = F.filter(F.regexp_extract_all(F.lower(F.coalesce(definition, F.lit(""))), F.lit("([a-z][a-z0-9-]+)"), F.lit(1)), lambda w: ~w.isin(*stopwords))
+def definition_phrases(definition: Column, stopwords: Sequence[str] = STOP_EN, zh_stopwords: Sequence[str] = STOP_ZH) -> Column:
+    """The first six and the last three words that are no stop words, and the first eight characters of each
+    Chinese run without the stop words at its edges."""
+    text = F.coalesce(definition, F.lit(""))
+    words = F.filter(F.transform(F.regexp_extract_all(text, F.lit("([A-Za-z][A-Za-z0-9-]{2,})"), F.lit(1)), F.lower), lambda w: ~w.isin(*stopwords))
+    edge = "|".join(zh_stopwords)
+    runs = F.transform(F.regexp_extract_all(text, F.lit(f"([{CJK_INDEX}]{{2,}})"), F.lit(1)), lambda r: F.regexp_replace(r, f"^({edge})+|({edge})+$", ""))
+    runs = F.transform(F.filter(runs, lambda r: F.length(r) >= 2), lambda r: F.left(r, F.lit(8)))
     head = F.when(F.size(words) > 0, F.array_join(F.slice(words, 1, 6), " "))
     tail = F.when(F.size(words) >= 3, F.array_join(F.slice(words, -3, 3), " "))
-    return F.array_distinct(F.array_compact(F.array(head, tail)))
+    return F.array_distinct(F.concat(F.array_compact(F.array(head, tail)), runs))
 
 
 def apply_patches(edges: DataFrame, ops: DataFrame, allowed: DataFrame) -> DataFrame:
@@ -117,6 +135,31 @@ def scrub(values: Column) -> Column:
     return F.map_filter(values, lambda k, v: ~k.rlike(SENSITIVE))
 
 
+@F.pandas_udf(StringType())
+def scrub_json(text: pd.Series) -> pd.Series:
+    """A JSON text without sensitive keys at any depth, compact; what is no JSON becomes null."""
+
+    def clean(value):
+        if isinstance(value, dict):
+            return {k: clean(v) for k, v in value.items() if not re.search(SENSITIVE, k)}
+        return [clean(v) for v in value] if isinstance(value, list) else value
+
+    def one(value: str | None) -> str | None:
+        try:
+            return None if value is None else json.dumps(clean(json.loads(value)), ensure_ascii=False, separators=(",", ":"))
+        except ValueError:
+            return None
+
+    return text.map(one)
+
+
+def mask_message(message: Column, secrets: Sequence[str | None]) -> Column:
+    """An error's text in which each secret that is set reads ``***``."""
+    for secret in secrets:
+        message = F.replace(message, F.lit(secret), F.lit("***")) if secret else message
+    return message
+
+
 def cache_key(question: Column, fingerprint: Column, top_k: Column, rewrite: Column) -> Column:
     parts = F.concat_ws("\n", F.when(fingerprint != "", F.concat(F.lit("wiki_context_fingerprint:"), fingerprint)), F.concat(F.lit("retrieval_top_k:"), top_k.cast("string")), F.when(~rewrite, "query_rewrite:false"))
     return F.when(parts == "", question).otherwise(F.concat(question, F.lit("\n\n"), parts))

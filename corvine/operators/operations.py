@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Seconds of back-off by attempt, and attempts after which a job fails.
@@ -45,9 +46,27 @@ def retained(entries: DataFrame, now: Column, ttl: int, capacity: int) -> DataFr
 
 
 def first_in_window(items: DataFrame, by: Sequence[str], at: str, seconds: int, order: str) -> DataFrame:
-    """Items that come at least ``seconds`` after the item of the same kind before them."""
-    before = F.lag(at).over(Window.partitionBy(*by).orderBy(at, order))
-    return items.withColumn("before", before).where(F.col("before").isNull() | (F.col(at) >= F.timestamp_add("SECOND", F.lit(seconds), F.col("before")))).drop("before")
+    """Items that come more than ``seconds`` after the last item of their kind that was kept; those without a time are kept.
+
+    Whether an item stays depends on all before it, so a kind's items stream through one task in order of
+    time, which holds no more than the last kept time of the kind at hand.
+    """
+    names, kinds = items.columns, items.schema
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = kept = None
+        for batch in batches:
+            own = []
+            for *key, micros in zip(*(c.to_pylist() for c in batch.columns[len(names) :]), strict=True):
+                kind, kept = key, (kept if key == kind else None)
+                stays = micros is None or kept is None or micros > kept + seconds * 1_000_000
+                kept = micros if stays and micros is not None else kept
+                own.append(stays)
+            yield pa.RecordBatch.from_arrays(batch.columns[: len(names)], names).filter(pa.array(own, pa.bool_()))
+
+    keyed = items.select("*", *[F.col(c).alias(f"by_{i}") for i, c in enumerate(by)], F.unix_micros(F.col(at).cast("timestamp")).alias("micros"))
+    columns = [f"by_{i}" for i in range(len(by))]
+    return keyed.repartition(*columns).sortWithinPartitions(*columns, "micros", order).mapInArrow(fold, kinds)
 
 
 def histogram(values: DataFrame, value: str, by: str, edges: Sequence[float] = BUCKETS) -> DataFrame:

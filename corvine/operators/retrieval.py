@@ -216,6 +216,7 @@ def rrf(legs: Sequence[tuple[DataFrame, str]], k: int = 60, keep: Sequence[str]
         union = own if union is None else union.unionByName(own)
     first = [F.min_by(c, F.when(F.col(c).isNotNull(), F.col("leg"))).alias(c) for c in keep]
     share = F.lit(1.0) / (k + F.col("rank") + 1)
+    union = union.where("chunk_id is not null")  # such rows have used up their ranks
     return union.groupBy("query_id", "chunk_id").agg(F.round(F.sum(share), 9).alias("score_rrf"), F.min(F.struct("leg", "rank")).alias("seen"), *first)
 
 
@@ -316,7 +317,7 @@ def phrase_hits(chunks: DataFrame, phrases: DataFrame) -> DataFrame:
                 rows, names = [], batch.column(0).to_pylist()
                 for row, text in enumerate(batch.column(1).to_pylist()):
                     tokens, hits = T.index_terms(text), Counter()
-                    for i, pair in enumerate(zip(tokens, [*tokens[1:], ""], strict=True)):
+                    for i, pair in enumerate(zip(tokens, [*tokens[1:], ""], strict=False)):
                         for phrase, own in (*first.get(pair, ()), *(first.get(pair[:1], ()) if single else ())):
                             hits[phrase] += tokens[i : i + len(own)] == own
                     rows += [(p, names[row], n) for p, n in hits.items() if n]

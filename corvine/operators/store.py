@@ -79,15 +79,21 @@ def validate_scope(asked: DataFrame, papers: DataFrame, user: str) -> DataFrame:
 def resolve_redirects(entries: DataFrame, hops: int = 10) -> DataFrame:
     """``entry_id, target_id`` along ``merged_into``, at most ``hops`` steps; cycles stop where they close.
 
-    Each round doubles the steps taken, so ten hops are four joins.
+    Steps are doubled, and the powers of two that make up ``hops`` are taken one after the other: ten hops
+    are three doublings and two joins.
     """
-    to = entries.select("entry_id", F.coalesce("merged_into", "entry_id").alias("target_id"))
-    steps = 1
-    while steps < hops:
-        step = to.select(F.col("entry_id").alias("mid"), F.col("target_id").alias("far"))
-        to = to.join(step, to["target_id"] == step["mid"], "left").select("entry_id", F.coalesce("far", "target_id").alias("target_id"))
-        steps *= 2
-    return to
+    power = entries.select("entry_id", F.coalesce("merged_into", "entry_id").alias("target_id"))
+    out = entries.select("entry_id", F.col("entry_id").alias("target_id"))
+
+    def follow(a: DataFrame, b: DataFrame) -> DataFrame:
+        step = b.select(F.col("entry_id").alias("mid"), F.col("target_id").alias("far"))
+        return a.join(step, F.col("target_id") == F.col("mid"), "left").select("entry_id", F.coalesce("far", "target_id").alias("target_id"))
+
+    while hops:
+        out = follow(out, power) if hops & 1 else out
+        hops >>= 1
+        power = follow(power, power) if hops else power
+    return out
 
 
 def merge_edges(edges: DataFrame, source: Column, target: Column, owner: str = "entry_id") -> DataFrame:

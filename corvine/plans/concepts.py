@@ -41,30 +41,31 @@ def budget_fill(spark: SparkSession, d: str) -> DataFrame:
     return items.select("paper_id", F.array_join(C.fill_budget(F.col("items"), 12000), ",").alias("taken"))
 
 
-@query("SELECT conv_id, turn, left(trim(regexp_replace(text || ' [chunk:' || conv_id || ']', '\\[chunk:([^\\]\\s]+)\\]', '', 'g')), 1200) AS definition FROM conversations")
+@query("""WITH t AS (SELECT conv_id, turn, trim(regexp_replace(repeat(text || ' (chunk:' || conv_id || ') and [ chunk:x' || turn || ']. ', 4), '\\s*[\\[(]\\s*chunk:[^\\])]*[\\])]', '', 'g')) AS d FROM conversations)
+SELECT conv_id, turn, CASE WHEN length(d) > 1200 THEN rtrim(left(d, 1197)) || '...' ELSE d END AS definition FROM t""")
 def definition_clip(spark: SparkSession, d: str) -> DataFrame:
-    text = F.concat("text", F.lit(" [chunk:"), "conv_id", F.lit("]"))
+    text = F.repeat(F.concat("text", F.lit(" (chunk:"), "conv_id", F.lit(") and [ chunk:x"), "turn", F.lit("]. ")), F.lit(4))
     return load(spark, d, "conversations").select("conv_id", "turn", C.clip_definition(text).alias("definition"))
 
 
-STOP = ("the", "of", "and", "to", "in", "is", "that")
+STOP = C.STOP_EN
 
 
-@query(f"""WITH w AS (SELECT item_id, list_filter(regexp_extract_all(lower(text), '[a-z][a-z0-9-]+'), lambda x: NOT list_contains({list(STOP)}, x)) AS w FROM benchmark)
+@query(f"""WITH w AS (SELECT item_id, list_filter(regexp_extract_all(lower(text), '[a-z][a-z0-9-]{{2,}}'), lambda x: NOT list_contains({list(STOP)}, x)) AS w FROM benchmark)
 SELECT item_id, array_to_string(w[1:6], ' ') || ';' || array_to_string(w[len(w) - 2:len(w)], ' ') AS phrases FROM w""")
 def definition_phrases(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "benchmark").select("item_id", F.array_join(C.definition_phrases(F.col("text"), STOP), ";").alias("phrases"))
 
 
-@query("""WITH old AS (SELECT l_suppkey AS entry_id, 'paper' AS kind, l_partkey::VARCHAR AS value FROM lineitem WHERE l_orderkey % 5 = 0),
-ops AS (SELECT l_suppkey AS entry_id, CASE l_linenumber % 5 WHEN 0 THEN 'label' WHEN 1 THEN 'paper' WHEN 2 THEN 'evidence' WHEN 3 THEN 'problem' END AS kind, CASE WHEN l_orderkey % 7 = 1 THEN '' ELSE l_partkey::VARCHAR END AS value FROM lineitem WHERE l_orderkey % 5 = 1)
+@query("""WITH old AS (SELECT l_suppkey AS entry_id, 'paper' AS kind, l_partkey::VARCHAR AS value FROM lineitem WHERE l_orderkey % 2 = 0),
+ops AS (SELECT l_suppkey AS entry_id, CASE l_linenumber % 5 WHEN 0 THEN 'label' WHEN 1 THEN 'paper' WHEN 2 THEN 'evidence' WHEN 3 THEN 'problem' END AS kind, CASE WHEN l_orderkey % 7 = 1 THEN '' ELSE l_partkey::VARCHAR END AS value FROM lineitem WHERE l_orderkey % 2 = 1)
 SELECT * FROM old UNION SELECT * FROM ops WHERE kind IS NOT NULL AND value <> '' AND (kind <> 'evidence' OR value::BIGINT % 2 = 0)""")
 def patch_operations(spark: SparkSession, d: str) -> DataFrame:
     lines = load(spark, d, "lineitem")
     value = F.col("l_partkey").cast("string")
-    old = lines.where("l_orderkey % 5 = 0").select(F.col("l_suppkey").alias("entry_id"), F.lit("paper").alias("kind"), value.alias("value"))
+    old = lines.where("l_orderkey % 2 = 0").select(F.col("l_suppkey").alias("entry_id"), F.lit("paper").alias("kind"), value.alias("value"))
     op = F.get(F.array(*map(F.lit, ("add_label", "add_key_paper", "add_evidence", "add_open_problem", "unknown"))), F.col("l_linenumber") % 5)
-    ops = lines.where("l_orderkey % 5 = 1").select(F.col("l_suppkey").alias("entry_id"), op.alias("op"), F.when(F.col("l_orderkey") % 7 == 1, " ").otherwise(value).alias("value"))
+    ops = lines.where("l_orderkey % 2 = 1").select(F.col("l_suppkey").alias("entry_id"), op.alias("op"), F.when(F.col("l_orderkey") % 7 == 1, " ").otherwise(value).alias("value"))
     return C.apply_patches(old, ops, load(spark, d, "part").where("p_partkey % 2 = 0").select(F.col("p_partkey").cast("string").alias("value")))
 
 
@@ -76,16 +77,32 @@ def entry_upsert(spark: SparkSession, d: str) -> DataFrame:
     return C.upsert_entries(old, new)
 
 
-@query("""WITH q AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'What chunk size in production?' WHEN 1 THEN 'FactScore of it' WHEN 2 THEN 'latency of retrieval' ELSE 'nothing' END AS q FROM documents) SELECT doc_id, (CASE WHEN q = 'nothing' THEN 0 ELSE 3 END)::INT AS n FROM q""")
+#: Questions from parts, so that each topic comes with all, some and none of its words.
+ASKED = ("What is Recall@k", "the FactScore", "chunk size", "retrieval latency", "RAG-Sequence", "pre-retrieval", "reranking")
+ASKED_TOO = ("of it?", "and Precision@k in retrieval", "in production with embedding", "of RAG and rerank", "or RAG-Token", "fact score of post-retrieval")
+
+
+def _topic_sql() -> str:
+    quoted = lambda xs: "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in xs) + "]"
+    hits = (" AND ".join("(" + " OR ".join(f"contains(q, '{w}')" for w in words) + ")" for words in groups) for groups, _ in C.TOPICS)
+    found = " || ".join(f"CASE WHEN {hit} THEN {quoted(variants)} ELSE []::VARCHAR[] END" for hit, (_, variants) in zip(hits, C.TOPICS, strict=True))
+    asked = f"lower({quoted(ASKED)}[doc_id % {len(ASKED)} + 1] || ' ' || {quoted(ASKED_TOO)}[doc_id % {len(ASKED_TOO)} + 1])"
+    return f"WITH a AS (SELECT doc_id, {asked} AS q FROM documents) SELECT doc_id, array_to_string(({found})[1:5], ';') AS variants FROM a"
+
+
+@query(_topic_sql())
 def topical_rewrites(spark: SparkSession, d: str) -> DataFrame:
-    asked = F.get(F.array(*map(F.lit, ("What chunk size in production?", "FactScore of it", "latency of retrieval", "nothing"))), (F.col("doc_id") % 4).cast("int"))
-    return load(spark, d, "documents").select("doc_id", F.size(C.topical_variants(asked)).alias("n"))
+    part = lambda parts: F.get(F.array(*map(F.lit, parts)), (F.col("doc_id") % len(parts)).cast("int"))
+    asked = F.concat_ws(" ", part(ASKED), part(ASKED_TOO))
+    return load(spark, d, "documents").select("doc_id", F.array_join(C.topical_variants(asked), ";").alias("variants"))
 
 
-@query("SELECT event_id, 'page,user' AS kept FROM events")
+@query("""SELECT event_id, '{"user":' || user_id || ',"steps":[{"kind":"' || event_type || '"},{"note":"' || event_id || '"}]}' AS kept FROM events""")
 def secret_scrub(spark: SparkSession, d: str) -> DataFrame:
-    made = F.create_map(F.lit("page"), F.lit("x"), F.lit("API_KEY"), F.lit("y"), F.lit("user"), F.lit("z"), F.lit("source-path"), F.lit("w"))
-    return load(spark, d, "events").select("event_id", F.array_join(F.array_sort(F.map_keys(C.scrub(made))), ",").alias("kept"))
+    """Keys that must not be stored are hidden in a list of objects and beside it."""
+    template = '{"user":%d,"API_KEY":"%s","steps":[{"kind":"%s","user_password":"x"},{"note":"%d","nested-source-path":{"a":1}}],"prompt":["%s"]}'
+    made = F.format_string(template, "user_id", "event_type", "event_type", "event_id", "event_type")
+    return load(spark, d, "events").select("event_id", C.scrub_json(made).alias("kept"))
 
 
 @query("""SELECT item_id, text || CASE WHEN item_id % 2 = 0 OR item_id % 3 = 0 OR item_id % 5 = 0 THEN chr(10) || chr(10) || array_to_string(list_filter([CASE WHEN item_id % 2 = 0 THEN 'wiki_context_fingerprint:c' || item_id END, CASE WHEN item_id % 3 = 0 THEN 'retrieval_top_k:7' END, CASE WHEN item_id % 5 = 0 THEN 'query_rewrite:false' END], lambda x: x IS NOT NULL), chr(10)) ELSE '' END AS key FROM benchmark""")

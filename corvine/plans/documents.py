@@ -16,13 +16,14 @@ from .registry import registry
 QUERIES, SQL, query = registry()
 
 
-@query("""WITH n AS (SELECT doc_id, regexp_replace(lower(left(text, 80)), '[^\\p{L}\\p{N}]+', '', 'g') AS norm FROM documents)
-SELECT doc_id, first_id FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY norm) AS first_id FROM n WHERE norm <> '') WHERE first_id < doc_id""")
+@query("""WITH n AS (SELECT page_id, regexp_replace(lower(regexp_extract(html, '<title>([^<]*)', 1)), '[^\\p{L}\\p{N}]+', '', 'g') AS norm FROM pages)
+SELECT page_id, first_id FROM (SELECT page_id, min(page_id) OVER (PARTITION BY norm) AS first_id FROM n WHERE norm <> '') WHERE first_id < page_id""")
 def title_norm_dedup(spark: SparkSession, d: str) -> DataFrame:
-    """Documents whose normalised beginning an earlier one has."""
-    docs = load(spark, d, "documents").select("doc_id", T.title_norm(F.left("text", F.lit(80))).alias("norm")).where("norm <> ''")
-    first = docs.groupBy("norm").agg(F.min("doc_id").alias("first_id"))
-    return docs.join(first, "norm").where("first_id < doc_id").select("doc_id", "first_id")
+    """Pages whose normalised title an earlier one has."""
+    title = F.regexp_extract("html", "<title>([^<]*)", 1)
+    pages = load(spark, d, "pages").select("page_id", T.title_norm(title).alias("norm")).where("norm <> ''")
+    first = pages.groupBy("norm").agg(F.min("page_id").alias("first_id"))
+    return pages.join(first, "norm").where("first_id < page_id").select("page_id", "first_id")
 
 
 @query("""WITH k AS (SELECT page_id AS id, regexp_extract(url, '/([0-9]+)', 1) AS doi, regexp_extract(url, '://([^/]+)', 1) AS arxiv, regexp_replace(lower(regexp_extract(html, '<title>([^<]*)', 1)), '[^a-z0-9]+', '', 'g') AS title FROM pages),
@@ -123,15 +124,14 @@ def metadata_card(spark: SparkSession, d: str) -> DataFrame:
     return docs.select("doc_id", card.alias("card"))
 
 
-@query("""WITH n AS (SELECT source, list(DISTINCT list_extract(['Abstract','Introduction','Related Work','Method','Approach','Experiments','Results','Discussion','Conclusion','References'], (doc_id % 10)::INT + 1)) AS names FROM documents WHERE doc_id % 7 < 3 GROUP BY source),
+@query("""WITH n AS (SELECT source, list(DISTINCT list_extract(['Abstract','Introduction','Related Work','Method','Approach','Experiments','Results','Discussion','Conclusion','References'], (doc_id % 10)::INT + 1)) AS names FROM documents GROUP BY source),
 a AS (SELECT source, lower(array_to_string(names, '|')) AS s FROM n),
 f AS (SELECT source, regexp_matches(s, 'abstract|introduction|intro') AS i, regexp_matches(s, 'method|approach|model|framework|architecture|retrieval|generation|augmentation|training|implementation') AS m,
   regexp_matches(s, 'experiment|evaluation|metric|result|ablation|analysis|dataset|task') AS e, regexp_matches(s, 'conclusion|discussion|summary|limitation|future work') AS c FROM a)
 SELECT source, CASE WHEN i AND m AND e AND c THEN 'complete' WHEN i AND m AND (e OR c) THEN 'partial' WHEN i OR m THEN 'minimal' ELSE 'broken' END AS grade FROM f""")
 def section_completeness(spark: SparkSession, d: str) -> DataFrame:
-    some = chunks(spark, d).where(F.col("chunk_id") % 7 < 3)
-    has = {a: F.bool_or(T.any_of(F.lower("section"), chunking.AREAS["en"][a].split("|"))).alias(a) for a in chunking.AREAS["en"]}
-    out = some.groupBy(F.col("paper_id").alias("source")).agg(*has.values())
+    has = {a: F.bool_or(T.any_of(F.lower("section"), chunking.AREAS["en"][a])).alias(a) for a in chunking.AREAS["en"]}
+    out = chunks(spark, d).groupBy(F.col("paper_id").alias("source")).agg(*has.values())
     i, m, e, c = (F.col(x) for x in ("intro", "method", "experiment", "conclusion"))
     return out.select("source", F.when(i & m & e & c, "complete").when(i & m & (e | c), "partial").when(i | m, "minimal").otherwise("broken").alias("grade"))
 
@@ -173,20 +173,32 @@ def page_as_of(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("k", "pos", F.last("page", True).over(Window.partitionBy("k").orderBy("pos")).alias("page"))
 
 
-@query("""WITH m AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'CUDA out of memory' WHEN 1 THEN 'Request timed out after 30s' WHEN 2 THEN 'No such file or directory' WHEN 3 THEN 'Connection refused' ELSE 'odd' END AS e FROM documents)
-SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'out_of_memory' WHEN 1 THEN 'timeout' WHEN 2 THEN 'missing_file' WHEN 3 THEN 'network' ELSE 'unknown' END AS category FROM m""")
+#: Parts that messages of failures are made of, so that all classes and their borders come up.
+SAID_FIRST = ("Traceback: ", "ModuleNotFoundError: No module named 'cv2' ", "No module named shapely ", "No such file or directory: ", "ConnectionError to ", "Max retries for huggingface.co ", "weights ")
+SAID_THEN = ("", "magic-pdf", "https://github.com/x", "model.pt", "Model download broken", "MISSING_MODELS_OR_OFFLINE", "not found", "failed to resolve api.github.com", "mineru ended")
+
+
+def _part_sql(parts: tuple[str, ...]) -> str:
+    return "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in parts) + f"][doc_id % {len(parts)} + 1]"
+
+
+@query(f"""WITH m AS (SELECT doc_id, lower({_part_sql(SAID_FIRST)} || {_part_sql(SAID_THEN)}) AS e FROM documents)
+SELECT doc_id, CASE WHEN regexp_matches(e, 'no module named ''?cv2') THEN 'missing_cv2' WHEN regexp_matches(e, 'no module named ''?(doclayout_yolo|ultralytics|rapid_table|pyclipper|shapely)') THEN 'missing_mineru_full_extra'
+  WHEN contains(e, 'no such file or directory') AND regexp_matches(e, 'magic-pdf|mineru') THEN 'missing_cli'
+  WHEN contains(e, 'missing_models_or_offline') OR regexp_matches(e, 'github\\.com|huggingface\\.co') AND regexp_matches(e, 'failed to resolve|connectionerror|max retries|environment is not online') THEN 'missing_models_or_offline'
+  WHEN contains(e, 'model') AND regexp_matches(e, 'not found|no such file|download') THEN 'missing_models' ELSE 'unknown' END AS category FROM m""")
 def failure_classify(spark: SparkSession, d: str) -> DataFrame:
-    said = F.get(F.array(*map(F.lit, ("CUDA out of memory", "Request timed out after 30s", "No such file or directory", "Connection refused", "odd"))), (F.col("doc_id") % 5).cast("int"))
-    return load(spark, d, "documents").select("doc_id", I.failure_category(said).alias("category"))
+    part = lambda parts: F.get(F.array(*map(F.lit, parts)), (F.col("doc_id") % len(parts)).cast("int"))
+    return load(spark, d, "documents").select("doc_id", I.failure(F.concat(part(SAID_FIRST), part(SAID_THEN)))["category"].alias("category"))
 
 
-@query("""WITH w AS (SELECT doc_id, regexp_extract_all(lower(left(text, 300)), '[a-z]+') AS w FROM documents), u AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM w)
+@query("""WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]+') AS w FROM documents), u AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM w)
 SELECT doc_id, string_agg(word, ' ' ORDER BY pos) AS text FROM u GROUP BY doc_id""")
 def abstract_decode(spark: SparkSession, d: str) -> DataFrame:
-    """An inverted index (word to places) made of each text's beginning, and read back."""
-    words = F.regexp_extract_all(F.lower(F.left("text", F.lit(300))), F.lit("([a-z]+)"), F.lit(1))
-    docs = load(spark, d, "documents").select("doc_id", words.alias("w")).where("size(w) > 0")
-    inverted = docs.select("doc_id", F.map_from_entries(F.transform(F.array_distinct("w"), lambda x: F.struct(x, F.filter(F.transform("w", lambda y, i: F.when(y == x, i)), lambda i: i.isNotNull())))).alias("inverted"))
+    """An inverted index (word to places) made of each whole text, and read back."""
+    words = F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), F.lit(1))
+    places = load(spark, d, "documents").select("doc_id", F.posexplode(words).alias("at", "word")).groupBy("doc_id", "word").agg(F.collect_list("at").alias("at"))
+    inverted = places.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("word", "at"))).alias("inverted"))
     return inverted.select("doc_id", I.decode_inverted(F.col("inverted")).alias("text"))
 
 

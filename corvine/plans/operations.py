@@ -70,7 +70,9 @@ def ttl_lru_retention(spark: SparkSession, d: str) -> DataFrame:
     return O.retained(entries, F.col("now"), 2_590_000, 50).select("key")
 
 
-@query("""SELECT event_id FROM (SELECT event_id, ts, lag(ts) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS before FROM events) WHERE before IS NULL OR ts >= before + INTERVAL 86400 SECOND""")
+@query("""WITH RECURSIVE e AS (SELECT event_id, user_id, event_type, ts, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS n FROM events),
+f AS (SELECT a.event_id, arg_min(b.event_id, b.n) AS next_id FROM e a JOIN e b ON a.user_id = b.user_id AND a.event_type = b.event_type AND b.ts > a.ts + INTERVAL 86400 SECOND GROUP BY a.event_id),
+k AS (SELECT event_id FROM e WHERE n = 1 UNION ALL SELECT next_id FROM k JOIN f USING (event_id)) SELECT event_id FROM k""")
 def review_dedup_24h(spark: SparkSession, d: str) -> DataFrame:
     return O.first_in_window(_events(spark, d), ["user_id", "event_type"], "ts", 86400, "event_id").select("event_id")
 

@@ -86,13 +86,14 @@ def scope_validation(spark: SparkSession, d: str) -> DataFrame:
     return S.validate_scope(asked, papers, "me")
 
 
-@query("""WITH RECURSIVE e AS (SELECT p_partkey AS entry_id, CASE WHEN p_partkey % 8 <> 0 THEN p_partkey - 1 END AS merged_into FROM part),
-r AS (SELECT entry_id, entry_id AS target_id, 0 AS hop FROM e UNION ALL SELECT r.entry_id, e.merged_into, hop + 1 FROM r JOIN e ON e.entry_id = r.target_id JOIN e f ON f.entry_id = e.merged_into WHERE e.merged_into IS NOT NULL AND hop < 10)
+@query("""WITH RECURSIVE e AS (SELECT p_partkey AS entry_id, CASE WHEN p_partkey % 50 = 49 THEN p_partkey - 3 WHEN p_partkey % 50 = 46 THEN p_partkey + 3 WHEN p_partkey % 25 <> 0 THEN p_partkey - 1 END AS merged_into FROM part),
+r AS (SELECT entry_id, entry_id AS target_id, 0 AS hop FROM e UNION ALL SELECT r.entry_id, e.merged_into, hop + 1 FROM r JOIN e ON e.entry_id = r.target_id WHERE e.merged_into IS NOT NULL AND hop < 10)
 SELECT entry_id, arg_max(target_id, hop) AS target_id FROM r GROUP BY entry_id""")
 def redirect_closure(spark: SparkSession, d: str) -> DataFrame:
-    part = load(spark, d, "part").select(F.col("p_partkey").alias("entry_id"))
-    into = part.select((F.col("entry_id") + 1).alias("entry_id"), F.col("entry_id").alias("merged_into")).where("entry_id % 8 <> 0")
-    return S.resolve_redirects(part.join(into, "entry_id", "left"))
+    """Chains of up to 24 entries, longer than may be followed, and rings of two."""
+    key = F.col("p_partkey")
+    into = F.when(key % 50 == 49, key - 3).when(key % 50 == 46, key + 3).when(key % 25 != 0, key - 1)
+    return S.resolve_redirects(load(spark, d, "part").select(key.alias("entry_id"), into.alias("merged_into")))
 
 
 CONCEPTS = "concept AS (SELECT p_partkey AS entry_id, p_name AS name, regexp_replace(lower(p_brand), '[^a-z0-9]', '', 'g') AS label, p_size AS size FROM part)"
@@ -161,12 +162,12 @@ def merge_entries(spark: SparkSession, d: str) -> DataFrame:
     return S.merge_edges(edges, F.lit(3), F.lit(5).cast("long"))
 
 
-@query("""WITH n AS (SELECT l_suppkey, count(DISTINCT l_partkey) AS n FROM lineitem WHERE l_orderkey % 50 = 0 GROUP BY 1),
+@query("""WITH n AS (SELECT l_suppkey, count(DISTINCT l_partkey) AS n FROM lineitem GROUP BY 1),
 e AS (SELECT s_suppkey, s_name, coalesce(n, 0) AS n, s_nationkey AS version, s_acctbal FROM supplier LEFT JOIN n ON l_suppkey = s_suppkey),
 i AS (SELECT s_suppkey AS entry_id, array_to_string(list_filter([CASE WHEN length(s_name) < 40 THEN 'definition_too_short' END, CASE WHEN n = 0 THEN 'no_key_papers' END, CASE WHEN version > 10 AND n < 1 THEN 'high_version_no_evidence' END, CASE WHEN s_suppkey % 9 = 0 THEN 'empty_normalized_label' END, CASE WHEN s_suppkey % 4 = 0 THEN 'self_related' END], lambda x: x IS NOT NULL), ',') AS issues FROM e)
 SELECT * FROM i WHERE issues <> ''""")
 def consistency_checks(spark: SparkSession, d: str) -> DataFrame:
-    n = load(spark, d, "lineitem").where("l_orderkey % 50 = 0").groupBy(F.col("l_suppkey").alias("s_suppkey")).agg(F.count_distinct("l_partkey").alias("n"))
+    n = load(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("s_suppkey")).agg(F.count_distinct("l_partkey").alias("n"))
     entries = load(spark, d, "supplier").join(n, "s_suppkey", "left").select(
         F.col("s_suppkey").alias("entry_id"), F.col("s_name").alias("definition"), F.coalesce("n", F.lit(0)).alias("n_papers"), F.coalesce("n", F.lit(0)).alias("n_evidence"), F.col("s_nationkey").alias("version"),
         F.array("s_name", F.when(F.col("s_suppkey") % 9 == 0, "--").otherwise("x")).alias("labels"), F.array(F.when(F.col("s_suppkey") % 4 == 0, F.col("s_suppkey")).otherwise(-1)).alias("related"),
@@ -181,10 +182,10 @@ def compose_entries(spark: SparkSession, d: str) -> DataFrame:
     return S.compose(regions, edges, "n_name", "n_nationkey", "names").where("size(names) > 0").select("entry_id", F.array_join("names", ",").alias("names"))
 
 
-@query("SELECT DISTINCT l_suppkey AS entry_id, l_partkey FROM lineitem WHERE l_orderkey % 3 < 2")
+@query("SELECT DISTINCT l_suppkey AS entry_id, l_partkey FROM lineitem")
 def append_edges(spark: SparkSession, d: str) -> DataFrame:
     lines = load(spark, d, "lineitem").select(F.col("l_suppkey").alias("entry_id"), "l_partkey", "l_orderkey")
-    return S.append_edges(lines.where("l_orderkey % 3 = 0").drop("l_orderkey").distinct(), lines.where("l_orderkey % 3 = 1").drop("l_orderkey"))
+    return S.append_edges(lines.where("l_orderkey % 3 = 0").drop("l_orderkey").distinct(), lines.where("l_orderkey % 3 <> 0").drop("l_orderkey"))
 
 
 @query("SELECT source AS paper_id, sha1(string_agg(doc_id || chr(9) || sha256(text), chr(10) ORDER BY doc_id || chr(9) || sha256(text))) AS fingerprint FROM documents GROUP BY source")

@@ -5,18 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.text import arxiv_id, collapsed, doi
+from ..functions.text import any_of, arxiv_id, collapsed, doi
 
 OPENALEX = "https://api.openalex.org/works/"
-#: What the text of a parser's failure says, in the order tried.
-FAILURES = (
-    ("out_of_memory", ("out of memory", "cuda error", "oom")),
-    ("timeout", ("timed out", "timeout")),
-    ("missing_file", ("no such file", "not found")),
-    ("permission", ("permission denied",)),
-    ("network", ("connection", "network", "ssl")),
-    ("corrupt_file", ("corrupt", "not a pdf", "damaged")),
-)
+#: Modules whose absence means that a part of the parser is not installed; hosts of models; signs of no network; signs of no model.
+FULL_MODULES = ("doclayout_yolo", "ultralytics", "rapid_table", "pyclipper", "shapely")
+MODEL_HOSTS = ("api.github.com", "github.com", "huggingface.co")
+OFFLINE = ("failed to resolve", "connectionerror", "max retries", "environment is not online")
+NO_MODEL = ("not found", "no such file", "download")
+#: What a failure's class advises.
+HINTS = {
+    "missing_cv2": "安装 MinerU 依赖: {python} -m pip install -e '.[mineru]'",
+    "missing_mineru_full_extra": "安装完整 MinerU 依赖: {python} -m pip install -e '.[mineru]'",
+    "missing_cli": "安装 magic-pdf, 或在配置中设置 mineru.cli。",
+    "missing_models_or_offline": "MinerU 需要下载模型, 但当前 network/DNS 不可用。请提前下载模型并放入配置指定的模型目录。",
+    "missing_models": "请检查 config/magic-pdf.json 中的 models-dir, 并完成 MinerU 模型下载。",
+}
 #: The lines of a metadata card.
 CARD = (("title", "Title"), ("paper_id", "Paper id"), ("arxiv_id", "arXiv id"), ("aliases", "Title aliases and acronyms"), ("authors", "Authors"), ("year", "Year"), ("venue", "Venue"), ("doi", "DOI"), ("abstract", "Abstract"))
 
@@ -47,13 +51,20 @@ def is_meaningful(markdown: Column, marker: str = r"(?i)<!--\s*page\s+\d+\s*-->"
     return F.trim(F.regexp_replace(markdown, marker, "")) != ""
 
 
-def failure_category(message: Column) -> Column:
-    low, out = F.lower(message), F.lit("unknown")
-    for name, cues in reversed(FAILURES):
-        found = F.lit(False)
-        for cue in cues:
-            found = found | F.contains(low, F.lit(cue))
-        out = F.when(found, name).otherwise(out)
+def failure(message: Column, python: str = "python") -> Column:
+    """``struct(category, hint)`` of what a parser said when it failed; the first class that fits, else unknown without a hint."""
+    low = F.lower(F.coalesce(message, F.lit("")))
+    without = lambda *modules: any_of(low, [f"no module named {q}{m}{q}" for m in modules for q in ("'", "")])
+    classes = (
+        ("missing_cv2", without("cv2")),
+        ("missing_mineru_full_extra", without(*FULL_MODULES)),
+        ("missing_cli", F.contains(low, F.lit("no such file or directory")) & any_of(low, ("magic-pdf", "mineru"))),
+        ("missing_models_or_offline", F.contains(low, F.lit("missing_models_or_offline")) | any_of(low, MODEL_HOSTS) & any_of(low, OFFLINE)),
+        ("missing_models", F.contains(low, F.lit("model")) & any_of(low, NO_MODEL)),
+    )
+    out = F.struct(F.lit("unknown").alias("category"), F.lit("").alias("hint"))
+    for name, fits in reversed(classes):
+        out = F.when(fits, F.struct(F.lit(name).alias("category"), F.lit(HINTS[name].format(python=python)).alias("hint"))).otherwise(out)
     return out
 
 

@@ -2,21 +2,25 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import hashlib
 import json
 import uuid
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from corvine.functions import chunking, models
 from corvine.functions import text as T
+from corvine.operators import concepts, operations
 from corvine.operators import evaluation as E
 from corvine.operators import retrieval as R
 from corvine.operators import store as S
+from corvine.operators.topk import TopK
 from corvine.plans import answer
-from corvine.sources import files
+from corvine.sources import files, identifiers
 from corvine.streaming import events, ingest, queue
 
 
@@ -239,3 +243,94 @@ def test_streams(spark, tmp_path):
     docs.write.parquet(str(tmp_path / "docs"))
     drained(ingest.ingest(spark.readStream.schema(docs.schema).parquet(str(tmp_path / "docs")), str(tmp_path / "out"), str(tmp_path / "cp")))
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+
+
+@pytest.mark.parametrize(
+    ("name", "numbered", "plain"),
+    [
+        ("The Quick Brown Fox", False, False), ("Notes", False, False), ("results are shown below", False, False), ("Method (Ours)", False, False),
+        ("Method", True, True), ("Appendix B", True, True), ("Query tuning of the decoder", True, False), ("RELATED SYSTEMS", True, False),
+        ("Table 3 results", False, False), ("Training -", False, False), ("Training " * 13, False, False),
+    ],
+)
+def test_heading_rules(name, numbered, plain):
+    assert (chunking.is_heading(name, True), chunking.is_heading(name)) == (numbered, plain)
+
+
+def test_zh_heading_rules():
+    assert [chunking.is_zh_heading(x) for x in ("系统的总体设计", "表3结果", "倍的提升", "设计（初稿）", "甲，乙", "a" * 5, "图" * 31, "摘 要")] == [True, False, False, False, False, False, False, True]
+    assert chunking.clean_heading("##  2.1  Two   words. ") == "Two words" and chunking.clean_heading("1综合能源服务") == "综合能源服务" and chunking.clean_heading("2023年报告") == "2023年报告"
+
+
+def test_plain_headings_need_gaps_and_an_abstract():
+    text = "Some Title\n1.\nFancy Training Setup\nAbstract\nwords\n2.\nPrompt Tuning Works\nbody\nConclusion\nmore\n\nResults\nTable 1 rows\n\nAnalysis\n\nReferences\n3. Query Training\n\nAppendix A\n"
+    assert [(n, level) for _, _, n, level in chunking.plain_headings(text, "en")] == [("Abstract", 1), ("Prompt Tuning Works", 1), ("Results", 1), ("References", 1), ("Query Training", 1), ("Appendix A", 1)]
+    assert [s["name"] for s in chunking.sections(text, "en")] == ["Abstract", "Prompt Tuning Works", "Results", "References", "Appendix A"]
+    assert [n for _, _, n, _ in chunking.plain_headings("正文\n一、系统设计方案\n\n二、实验平台\n（三）细节说明", "zh")] == ["实验平台"]
+
+
+def test_redirects_stop_after_ten_hops(spark):
+    chain = spark.createDataFrame([(i, i + 1 if i < 30 else None) for i in range(31)] + [(100, 101), (101, 100), (102, 999)], "entry_id long, merged_into long")
+    got = {r["entry_id"]: r["target_id"] for r in S.resolve_redirects(chain).collect()}
+    assert (got[0], got[14], got[20], got[25], got[30], got[100], got[102]) == (10, 24, 30, 30, 30, 100, 999)
+
+
+def test_window_dedupe_compares_with_what_was_kept(spark):
+    hour = lambda h: dt.datetime(2024, 1, 1) + dt.timedelta(hours=h)
+    rows = [(i, k, hour(h)) for i, (k, h) in enumerate([("a", 0), ("a", 20), ("a", 40), ("a", 63), ("a", 65), ("b", 0), ("b", 24), ("b", 49), (None, 1), (None, 2)])] + [(99, "a", None)]
+    frame = spark.createDataFrame(rows, "id long, kind string, ts timestamp").repartition(3)
+    assert sorted(r["id"] for r in operations.first_in_window(frame, ["kind"], "ts", 86400, "id").collect()) == [0, 2, 4, 5, 7, 8, 99]
+
+
+def test_concept_texts(spark):
+    long_ = "word " * 400
+    rows = [(1, "ＲＬ-Straße ②", f"{long_}[chunk:a]"), (2, None, None), (3, "İx", "Attention (chunk: b) is a mechanism 本文提出一种注意力机制的方法问题 for sequence models"), (4, "", "short [ chunk:c ]")]
+    out = spark.createDataFrame(rows, "id int, label string, text string").select(
+        "id", concepts.label_norm(F.col("label")).alias("norm"), concepts.clip_definition(F.col("text")).alias("clip"), concepts.definition_phrases(F.col("text")).alias("phrases"),
+        concepts.mask_message(F.col("text"), ["word", None, ""]).alias("masked"),
+    ).collect()
+    assert [r["norm"] for r in out] == ["rlstrasse2", "", "ix", ""]
+    assert out[0]["clip"] == ("word " * 400)[:1197].rstrip() + "..." and out[1]["clip"] == "" and out[3]["clip"] == "short"
+    assert out[2]["phrases"] == ["attention chunk mechanism sequence models", "mechanism sequence models", "注意力机制的方法"]
+    assert out[0]["masked"].startswith("*** ***")
+
+
+def test_scrubbing_reaches_every_depth(spark):
+    rows = [('{"a":[{"Api-Key":1,"b":{"secret":2,"c":3}}],"password_hash":4}',), ("[1,{\"prompt\":2}]",), ("no json",), (None,)]
+    got = [r[0] for r in spark.createDataFrame(rows, "t string").select(concepts.scrub_json(F.col("t"))).collect()]
+    assert got == ['{"a":[{"b":{"c":3}}]}', "[1,{}]", None, None]
+
+
+def test_failure_classes_have_hints(spark):
+    said = ["No module named 'cv2'", "no module named ultralytics", "No such file or directory: 'magic-pdf'", "ConnectionError https://huggingface.co", "Model weights not found", "odd", None]
+    got = [r[0] for r in spark.createDataFrame([(s,) for s in said], "s string").select(identifiers.failure(F.col("s"), "py3")).collect()]
+    assert [r["category"] for r in got] == ["missing_cv2", "missing_mineru_full_extra", "missing_cli", "missing_models_or_offline", "missing_models", "unknown", "unknown"]
+    assert "py3 -m pip" in got[0]["hint"] and got[5]["hint"] == "" and all(r["hint"] for r in got[:5])
+
+
+def test_index_terms_are_the_columns(spark):
+    texts = ["Graph-Mamba 长程依赖建模 x", "图", "长程，依赖 A_b 3", "", None, "Kelvin \u212a ÀB İ 模型x模型名", "  \n\t "]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(T.index_tokens(F.col("t"))).collect()]
+    assert [x or [] for x in got] == [T.index_terms(t) for t in texts]
+
+
+def test_texts_are_found_in_chunks(spark):
+    chunks = spark.createDataFrame([(1, "p", "the cat sat"), (2, "q", "cat"), (3, "q", None), (4, None, "")], "chunk_id long, paper_id string, text string")
+    asked = spark.createDataFrame([(1, "cat"), (2, "cat sat"), (3, "dog"), (4, None), (5, "cat"), (6, "")], "query_id long, query string")
+    got = sorted((r["query_id"], r["chunk_id"]) for r in R.containing(chunks, asked).collect())
+    assert got == [(1, 1), (1, 2), (2, 1), (5, 1), (5, 2), (6, 1), (6, 2), (6, 4)]
+    phrases = asked.select(F.col("query_id").alias("phrase_id"), F.col("query").alias("phrase"))
+    assert sorted(map(tuple, R.phrase_hits(chunks, phrases).collect())) == [(1, 1, 1), (1, 2, 1), (2, 1, 1), (5, 1, 1), (5, 2, 1)]
+
+
+def test_top_k_keeps_the_best_with_ties():
+    rng = np.random.default_rng(5)
+    scores = np.round(rng.random((200, 7)) * 10)
+    scores[rng.random(scores.shape) < 0.3] = -np.inf
+    top = TopK(7, 9)
+    for a in range(0, 200, 33):
+        top.offer(scores[a : a + 33], np.arange(a, min(a + 33, 200)) * 3)
+    got = top.batch(np.arange(7) + 50, ["q", "row", "s"]).to_pylist()
+    for q in range(7):
+        want = sorted((-s, i * 3) for i, s in enumerate(scores[:, q]) if s > -np.inf)[:9]
+        assert [(-r["s"], r["row"]) for r in got if r["q"] == q + 50] == want
