@@ -46,7 +46,7 @@ HEAVY = 1 / 256
 GROUP_TOKENS = 8_000_000
 BUCKET_ROWS = 1 << 18
 #: A packet's n-grams and documents (numbered in 16 bits; a slice of at most 16,384 may come on top).
-PACKET_GRAMS, PACKET_DOCS = 4_000_000, 45_000
+PACKET_GRAMS, PACKET_DOCS = 2_500_000, 45_000
 SMALL_EDGES = 500_000
 SLICE = 1 << 20
 
@@ -345,7 +345,7 @@ def similar_classes(docs: DataFrame, t: float = 0.75, n: int = 5, doc_id: str =
         for part in by_bytes(batches, "text", SLICE):
             grams, edges = shingle_sets(*text_arrays(part.column(1)), n)
             signs, n_ = signatures(grams, edges), np.diff(edges)
-            number = np.full(len(signs), -1)
+            number = np.full(len(signs), -1, np.int32)
             for i, (sign, k) in enumerate(zip(signs.tolist(), n_.tolist(), strict=True)):
                 if k and sign not in known:
                     number[i] = known[sign] = len(sizes)
