@@ -107,7 +107,7 @@ def test_toxicity_carries_columns(spark):
 def test_stages_on_odd_and_empty_tables(spark, stage):
     ddl = "doc_id long, text string, lang string, source string, n_chars long, row_key long, score double, label int, mix_size long, word string"
     long_ = "alpha beta gamma delta epsilon zeta " * 20_000
-    rows = [(None, None, None, None, None, 1, 0.1, 1, 1, "w"), (1, "", "en", "s", 0, 1, 0.1, 1, 1, None), (2, long_, None, "s", None, 2, 0.2, 0, 2, "w"), (2, long_, None, "s", None, 2, 0.2, 0, 2, "w"), (3, " ".join(f"v{i}" for i in range(90)), "fr", None, 3, 3, None, None, None, "w")]
+    rows = [(None, None, None, None, None, 1, 0.1, 1, 1, "w"), (1, "", "en", "s", 0, 1, 0.1, 1, 1, None), (2, long_, None, "s", None, 2, 0.2, 0, 2, "w"), (2, long_, None, "s", None, 2, 0.2, 0, 2, "w"), (3, " ".join(f"word{i}" for i in range(90)), "fr", "t", 3, 3, None, None, None, "w")]
     frame = spark.createDataFrame(rows, ddl).repartition(2)
     out = stage(spark, frame, DATA)
     if stage is not corpus_pipeline.pack_sequences:
