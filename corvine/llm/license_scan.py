@@ -1,14 +1,17 @@
-"""Licence scans: TF-IDF cosines of text lines to templates, then inheritance along paths.
-
-Lines are the headers looked at, wherever in the text they stand.  A line is compared with all
-templates only if it holds an anchor word: for each template its heaviest words are anchors until
-the rest cannot reach the threshold (by Cauchy-Schwarz a line without anchors has a cosine below it),
-so nothing is lost and nearly all text is passed over by one scan.  The best line of a document
-that reaches the threshold names its own licence.
-
-A document whose matched lines make up ``FILE_SHARE`` of its words, or whose file name says so, is a
-licence file and speaks for its directory.  Documents without a licence of their own take the one
-of the nearest ancestor directory that has a licence file: the distinct directories are expanded
+"""Licence scans: TF-IDF cosines of headers and licence paragraphs to templates, then inheritance along paths.
+
+Three kinds of pieces of a text are compared with every template: its lines, its paragraphs (between
+blank lines, wrapped lines joined) and the sentences of its paragraphs, so that notices count wherever
+they stand, wrapped over lines, in a whole licence file, or beside other sentences.  A piece is compared
+only if it holds an anchor word: for each template its heaviest words are anchors until the rest cannot
+reach the threshold (by Cauchy-Schwarz a piece without anchors has a cosine below it), so nothing is
+lost and nearly all text is passed over by one scan.  A second exact bound, the share of a piece's
+length that known words have, passes over most of the rest.  The best piece of a document that
+reaches the threshold names its own licence.
+
+A document whose matched pieces of one kind make up ``FILE_SHARE`` of its words, or whose file name says
+so, is a licence file and speaks for its directory.  Documents without a licence of their own take the
+one of the nearest ancestor directory that has a licence file: the distinct directories are expanded
 to their ancestors and joined by path, and the result meets the documents by one equi-join.
 
 DataFrame operations only; the texts are neither exploded nor shuffled.  Defined results: a null
@@ -29,22 +32,60 @@ from .quality_rules import _with, words_of
 
 THRESHOLD, FILE_SHARE = 0.6, 0.2
 FILE_NAME = r"(?i)^(licen[sc]e|copying|notice|copyright)(\.[a-z]+)?$"
-#: Usual statements of public licences.
-TEMPLATES = (
+PARAGRAPH, SENTENCE, CUT = r"\n[ \t\r\n]*\n", r"([.!?])[ \t\r\n]+", "\x1e"
+#: Identifiers that headers name after "SPDX-License-Identifier:".
+SPDX = (
+    "AGPL-3.0", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "BSL-1.0", "CC-BY-4.0", "CC-BY-NC-4.0", "CC-BY-ND-4.0", "CC-BY-SA-4.0", "CC0-1.0",
+    "EPL-2.0", "GPL-2.0", "GPL-3.0", "ISC", "LGPL-2.1", "LGPL-3.0", "MIT", "MPL-2.0", "Unlicense", "Zlib",
+)
+#: Usual statements, headers, titles and paragraphs of public licences.
+STATEMENTS = (
+    ("AGPL-3.0", "GNU Affero General Public License Version 3, 19 November 2007"),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/"),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.'),
+    ("BSD-2-Clause", "BSD 2-Clause License"),
+    ("BSD-2-Clause", "Licensed under the 2-Clause BSD License, the Simplified BSD License."),
+    ("BSD-3-Clause", "BSD 3-Clause License"),
+    ("BSD-3-Clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"),
+    ("BSL-1.0", "Boost Software License - Version 1.0 - August 17th, 2003"),
+    ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0."),
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
+    ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+    ("CC-BY-ND-4.0", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."),
+    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
+    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
     ("CC0-1.0", "This work is dedicated to the public domain under CC0 1.0 Universal."),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
+    ("EPL-2.0", "Eclipse Public License - v 2.0"),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0."),
+    ("GPL-2.0", "GNU General Public License Version 2, June 1991"),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
+    ("GPL-3.0", "GNU General Public License Version 3, 29 June 2007"),
+    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
     ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, version 3."),
-    ("MIT", "Released under the MIT License."),
+    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("LGPL-2.1", "GNU Lesser General Public License Version 2.1, February 1999"),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("LGPL-3.0", "GNU Lesser General Public License Version 3, 29 June 2007"),
+    ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
+    ("MIT", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:'),
+    ("MIT", "Released under the MIT License."),
+    ("MIT", "The MIT License (MIT)"),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("Proprietary", "All rights reserved."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software."),
 )
+TEMPLATES = STATEMENTS + tuple((name, f"SPDX-License-Identifier: {name}") for name in SPDX)
 
 
 def terms(text: str) -> list[str]:
@@ -82,60 +123,89 @@ def anchors(vectors: list[tuple[str, dict[str, float]]], threshold: float) -> li
     return sorted(found)
 
 
-def _lookup(values: dict[str, float], word: Column, default: float) -> Column:
-    table = F.create_map(*[F.lit(x) for pair in values.items() for x in pair])
-    return F.coalesce(F.try_element_at(table, word), F.lit(default))
+def trie_pattern(words: list[str]) -> str:
+    """A regular expression for any of the words, with shared beginnings tried once."""
+    heads: dict[str, list[str]] = {}
+    for word in words:
+        heads.setdefault(word[:1], []).append(word[1:])
+    rest = "|".join(head + trie_pattern(tails) for head, tails in sorted(heads.items()) if head)
+    return f"(?:{rest})" + ("?" if "" in heads else "") if rest else ""
 
 
-def best_match(line: Column, threshold: float) -> Column:
-    """``struct(score, license)`` of the best template for a line, null below the threshold."""
+def _lookup(values: dict[str, float], word: Column, default: float) -> Column:
+    """A word's value; words of equal values share one set."""
+    of: dict[float, list[str]] = {}
+    for w, v in values.items():
+        of.setdefault(v, []).append(w)
+    found = F.lit(default)
+    for v, words in of.items():
+        found = F.when(word.isin(words), v).otherwise(found)
+    return found
+
+
+def best_match(piece: Column, threshold: float) -> Column:
+    """``struct(score, license)`` of the best template for a lower-case piece, null below the threshold."""
     idf, vectors = template_weights()
-
     known = [w for w in idf if w]
+    weights = {w: idf[w] for w in known}
 
-    def norm(ordered: Column) -> Column:
-        """Length of the line's vector: words come sorted, so a run's square grows by ``2 run + 1`` with each."""
-        start = F.struct(F.lit("").alias("word"), F.lit(0).alias("run"), F.lit(0.0).alias("sum"))
+    def lengths(ordered: Column) -> Column:
+        """Squared lengths of the piece's vector and of its known part: words come sorted, so a run's square grows by ``2 run + 1`` with each."""
+        start = F.struct(F.lit("").alias("word"), F.lit(0).alias("run"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("known"))
 
         def add(a: Column, w: Column) -> Column:
             run = F.when(w == a["word"], a["run"]).otherwise(0)
-            weight = F.when(w.isin(known), _lookup(idf, w, idf[""])).otherwise(idf[""])
-            return F.struct(w.alias("word"), (run + 1).alias("run"), (a["sum"] + weight * weight * (2 * run + 1)).alias("sum"))
 
-        return F.aggregate(ordered, start, add, lambda a: F.sqrt(a["sum"]))
+            def grown(weight: Column) -> Column:
+                more = F.coalesce(weight, F.lit(idf[""]))
+                step = more * more * (2 * run + 1)
+                return F.struct(w.alias("word"), (run + 1).alias("run"), (a["sum"] + step).alias("sum"), (a["known"] + F.when(weight.isNull(), 0.0).otherwise(step)).alias("known"))
+
+            return _with(F.when(w.isin(known), _lookup(weights, w, 0.0)), grown)
+
+        return F.aggregate(ordered, start, add, lambda a: F.struct(F.sqrt(a["sum"]).alias("all"), F.sqrt(a["known"]).alias("known")))
 
     def dot(words: Column, vector: dict[str, float]) -> Column:
-        return F.aggregate(words, F.lit(0.0), lambda a, w: a + _lookup({k: v * idf[k] for k, v in vector.items()}, w, 0.0))
+        return F.aggregate(words, F.lit(0.0), lambda a, w: a + F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for k, v in vector.items() for x in (k, v * idf[k])]), w), F.lit(0.0)))
 
-    def compare(words: Column) -> Column:
-        def ranked(length: Column, own: Column) -> Column:
-            dots = [F.struct((-F.round(dot(own, v) / length, 9)).alias("score"), F.lit(n).alias("license")) for n, v in vectors]
-            return F.array_min(F.array(*dots))
+    def ranked(own: Column, length: Column) -> Column:
+        dots = [F.struct((-F.round(dot(own, v) / length, 9)).alias("score"), F.lit(n).alias("license")) for n, v in vectors]
+        return _with(F.array_min(F.array(*dots)), lambda m: F.struct((-m["score"]).alias("score"), m["license"].alias("license")))
 
-        least = _with(norm(F.array_sort(words)), lambda length: _with(F.filter(words, lambda w: w.isin(known)), lambda own: ranked(length, own)))
-        return _with(least, lambda m: F.struct((-m["score"]).alias("score"), m["license"].alias("license")))
+    def compare(words: Column) -> Column:
+        own = F.filter(words, lambda w: w.isin(known))
+        return _with(lengths(F.array_sort(words)), lambda n: F.when(n["known"] >= 0.999 * threshold * n["all"], _with(own, lambda o: ranked(o, n["all"]))))
 
-    folded = F.translate(line, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    words = F.filter(F.split(folded, "[^a-z0-9]+"), lambda w: w != "")
+    words = F.filter(F.split(piece, "[^a-z0-9]+"), lambda w: w != "")
     return _with(_with(words, lambda ws: F.when(F.size(ws) > 0, compare(ws))), lambda m: F.when(m["score"] >= threshold, m))
 
 
 def scan(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, file_share: float = FILE_SHARE) -> DataFrame:
     """``doc_id, path, own_license, score, license_file, license, inherited_from`` for every row."""
     _, vectors = template_weights()
-    anchor = "(?i)(^|[^a-zA-Z0-9])(" + "|".join(anchors(vectors, threshold)) + ")([^a-zA-Z0-9]|$)"
-    docs = docs.select(docs[doc_id].alias("doc_id"), docs[path].cast("string").alias("path"), F.coalesce(docs[text].cast("string"), F.lit("")).alias("text"))
-    lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(anchor))
-    found = F.filter(F.transform(lines, lambda x: F.struct(best_match(x, threshold).alias("m"), x.alias("x"))), lambda x: x["m"].isNotNull())
-    docs = docs.select("doc_id", "path", "text", F.transform(found, lambda x: F.struct((-x["m"]["score"]).alias("score"), x["m"]["license"].alias("license"), F.size(words_of(x["x"])).alias("n"))).alias("found"))
-    evidence = F.aggregate("found", F.lit(0), lambda a, x: a + x["n"])
-    share = F.when(F.size("found") > 0, evidence / F.greatest(F.size(words_of(F.col("text"))), F.lit(1))).otherwise(0.0)
+    anchor = "(?:^|[^a-z0-9])" + trie_pattern(anchors(vectors, threshold)) + "(?:[^a-z0-9]|$)"
+    folded = F.translate(F.coalesce(docs[text].cast("string"), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    anchored = lambda pieces: F.filter(pieces, lambda x: x.rlike(anchor))
+    docs = docs.select(docs[doc_id].alias("doc_id"), docs[path].cast("string").alias("path"), folded.alias("text"))
+    docs = docs.select("doc_id", "path", "text", anchored(F.split("text", PARAGRAPH)).alias("paragraphs"))
+    within = lambda cut: anchored(F.flatten(F.transform("paragraphs", cut)))
+    sentences = within(lambda p: F.split(F.regexp_replace(p, SENTENCE, f"$1{CUT}"), CUT))
+
+    def matched(pieces: Column) -> Column:
+        found = F.filter(F.transform(pieces, lambda x: F.struct(best_match(x, threshold).alias("m"), x.alias("x"))), lambda x: x["m"].isNotNull())
+        return F.transform(found, lambda x: F.struct((-x["m"]["score"]).alias("score"), x["m"]["license"].alias("license"), F.size(words_of(x["x"])).alias("n")))
+
+    # one list, so that the templates stand in the plan once; repeated pieces of other kinds are told apart by the kind
+    kinds = F.array(F.col("paragraphs"), within(lambda p: F.split(p, "\n")), sentences)
+    docs = docs.select("doc_id", "path", "text", F.when(F.size("paragraphs") > 0, F.transform(kinds, matched)).alias("found"))
+    words = F.aggregate(F.transform("found", lambda k: F.aggregate(k, F.lit(0), lambda a, x: a + x["n"])), F.lit(0), lambda a, n: F.greatest(a, n))
+    flat = F.flatten("found")
+    docs = docs.select("doc_id", "path", F.array_min(flat).alias("best"), F.when(F.size(flat) > 0, words / F.greatest(F.size(words_of(F.col("text"))), F.lit(1))).otherwise(0.0).alias("share"))
     name = F.element_at(F.split("path", "/"), -1)
     directory = F.when(F.contains(F.col("path"), F.lit("/")), F.regexp_replace("path", "/[^/]*$", "")).otherwise(F.when(F.col("path").isNotNull(), ""))
-    best = F.array_min("found")
     own = docs.select(
-        "doc_id", "path", directory.alias("directory"), best["license"].alias("own_license"), (-best["score"]).alias("score"),
-        ((F.size("found") > 0) & ((share >= file_share) | F.coalesce(name.rlike(FILE_NAME), F.lit(False)))).alias("license_file"),
+        "doc_id", "path", directory.alias("directory"), F.col("best.license").alias("own_license"), (-F.col("best.score")).alias("score"),
+        (F.col("best").isNotNull() & ((F.col("share") >= file_share) | F.coalesce(name.rlike(FILE_NAME), F.lit(False)))).alias("license_file"),
     )
     own = kept(own)  # a few short columns, read three times below
     inherited = inherit(own)

@@ -130,14 +130,17 @@ FROM f JOIN ok ON f.source IS NOT DISTINCT FROM ok.source
 
 
 def license_sql() -> str:
-    """Plain SQL over all lines and words, without the anchor bound."""
+    """Plain SQL over all lines, paragraphs and sentences, without the bounds."""
     idf, vectors = license_scan.template_weights()
     rows = lambda values: ", ".join(f"({', '.join(repr(v) for v in r)})" for r in values)
     weights = rows((i, name, w, v) for i, (name, vector) in enumerate(vectors) for w, v in vector.items())
     return f"""
 WITH tw(t, license, word, w) AS (VALUES {weights}), idf(word, v) AS (VALUES {rows((w, v) for w, v in idf.items() if w)}),
 d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, concat_ws('/', source, (doc_id // 1000)::VARCHAR, (doc_id // 50)::VARCHAR, doc_id || '.txt') AS path FROM documents),
-l AS (SELECT r, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM d),
+p AS (SELECT r, unnest(regexp_split_to_array(text, '\\n[ \\t\\r\\n]*\\n')) AS p FROM d),
+pieces AS (SELECT r, 'line' AS kind, unnest(string_split(text, chr(10))) AS line FROM d UNION ALL SELECT r, 'paragraph', p FROM p
+  UNION ALL SELECT r, 'sentence', unnest(string_split(regexp_replace(p, '([.!?])[ \\t\\r\\n]+', '\\1' || chr(30), 'g'), chr(30))) FROM p),
+l AS (SELECT *, row_number() OVER () AS n FROM pieces),
 w AS (SELECT r, n, unnest(list_filter(regexp_split_to_array(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+'), lambda x: x <> '')) AS word FROM l),
 f AS (SELECT r, n, w.word, count(*) * coalesce(any_value(idf.v)::DOUBLE, {idf[""]!r}::DOUBLE) AS v FROM w LEFT JOIN idf ON w.word = idf.word GROUP BY r, n, w.word),
 norm AS (SELECT r, n, sqrt(sum(v * v)) AS norm FROM f GROUP BY r, n),
@@ -145,8 +148,9 @@ dot AS (SELECT r, n, t, license, sum(v * w::DOUBLE) AS dot FROM f JOIN tw ON f.w
 s AS (SELECT r, n, license, round(dot / norm, 9) AS score FROM dot JOIN norm USING (r, n)),
 b AS (SELECT * FROM s WHERE score >= {license_scan.THRESHOLD} QUALIFY row_number() OVER (PARTITION BY r, n ORDER BY score DESC, license) = 1),
 words AS (SELECT r, n, len(list_filter(regexp_split_to_array(line, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')) AS k FROM l),
-total AS (SELECT r, sum(k) AS k FROM words GROUP BY r),
-e AS (SELECT r, sum(words.k) AS evidence, arg_min(license, (-score, license)) AS own, max(score) AS score FROM b JOIN words USING (r, n) GROUP BY r),
+total AS (SELECT r, len(list_filter(regexp_split_to_array(text, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')) AS k FROM d),
+by_kind AS (SELECT r, kind, sum(words.k) AS evidence, arg_min(license, (-score, license)) AS own, max(score) AS score FROM b JOIN words USING (r, n) JOIN l USING (r, n) GROUP BY r, kind),
+e AS (SELECT r, max(evidence) AS evidence, arg_min(own, (-score, own)) AS own, max(score) AS score FROM by_kind GROUP BY r),
 o AS (SELECT d.r, doc_id, path, regexp_replace(path, '/[^/]*$', '') AS dir, own, score, coalesce(evidence >= {license_scan.FILE_SHARE} * greatest(k, 1), false) AS license_file FROM d JOIN total USING (r) LEFT JOIN e USING (r)),
 speaks AS (SELECT dir, arg_min(own, (-score, own)) AS license FROM o WHERE license_file GROUP BY dir),
 up AS (SELECT o.r, speaks.dir, speaks.license FROM o JOIN speaks ON o.dir = speaks.dir OR starts_with(o.dir, speaks.dir || '/') QUALIFY row_number() OVER (PARTITION BY o.r ORDER BY length(speaks.dir) DESC) = 1)

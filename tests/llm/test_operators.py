@@ -510,6 +510,22 @@ def test_license_scan(spark, odd, empty):
     assert license_scan.scan(empty.withColumn("path", F.col("source")), "path").count() == 0
 
 
+def test_license_scan_of_wrapped_headers_files_and_notices_beside_other_text(spark):
+    apache = '# Licensed under the Apache License, Version 2.0 (the\n# "License"); you may not use this file\n# except in compliance with the License.\n\ndef f(): pass'
+    mit = "The MIT License (MIT)\n\nCopyright (c) 2020 Jane Doe\n\nPermission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files, to deal in the Software\nwithout restriction, subject to the following conditions:"
+    beside = "Released under the MIT License. Contact the author for more details about using this software."
+    unknown = "Licensed under the Apache License, Version 2.0. " + " ".join(f"unknown{i}" for i in range(12))
+    want = {
+        1: (apache, "Apache-2.0"), 2: (mit, "MIT"), 3: (beside, "MIT"), 4: (unknown, "Apache-2.0"), 5: ("Copyright (c) 2020 Jane Doe. All rights reserved.", "Proprietary"),
+        6: ("// SPDX-License-Identifier: Apache-2.0", "Apache-2.0"), 7: ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "CC-BY-SA-4.0"),
+        8: ("This library is free software; you can redistribute it\nand/or modify it under the terms of the GNU Lesser General\nPublic License as published by the Free Software Foundation; either\nversion 2.1 of the License, or (at your option) any later version.", "LGPL-2.1"),
+        9: ("GNU GENERAL PUBLIC LICENSE\n  Version 2, June 1991\n\nbody " * 1, "GPL-2.0"), 10: ("The version of the license was granted to a person of the public.", None), 11: ("word " * 30000, None),
+    }
+    rows = [(i, text, f"d{i}/f") for i, (text, _) in want.items()]
+    out = license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string, path string"), "path").collect()
+    assert {r["doc_id"]: r["own_license"] for r in out} == {i: name for i, (_, name) in want.items()}
+
+
 def test_lines_without_anchors_are_below_the_threshold():
     idf, vectors = license_scan.template_weights()
     found = set(license_scan.anchors(vectors, license_scan.THRESHOLD))
