@@ -1,12 +1,12 @@
 """Licence scans: TF-IDF cosines of headers and licence paragraphs to templates, then inheritance along paths.
 
-Three kinds of pieces of a text are compared with every template: its lines, its paragraphs (between
+Three kinds of pieces of a text are compared by their weighted words (usual words have no weight) with every template: its lines, its paragraphs (between
 blank lines, wrapped lines joined) and the sentences of its paragraphs, so that notices count wherever
 they stand, wrapped over lines, in a whole licence file, or beside other sentences.  A piece is compared
 only if it holds an anchor word: for each template its heaviest words are anchors until the rest cannot
 reach the threshold (by Cauchy-Schwarz a piece without anchors has a cosine below it), so nothing is
-lost and nearly all text is passed over by one scan.  A second exact bound, the share of a piece's
-length that known words have, passes over most of the rest.  The best piece of a document that
+lost and nearly all text is passed over by one scan.  A second exact bound, of what a piece's
+known words can add up to against the length of its unknown ones, passes over most of the rest.  The best piece of a document that
 reaches the threshold names its own licence.
 
 A document whose matched pieces of one kind make up ``FILE_SHARE`` of its words, or whose file name says
@@ -86,10 +86,13 @@ STATEMENTS = (
     ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software."),
 )
 TEMPLATES = STATEMENTS + tuple((name, f"SPDX-License-Identifier: {name}") for name in SPDX)
+#: Words that carry no weight.
+USUAL = frozenset("a all an and any are as at be by can do for from has have if in is it its may no nor not of on or so that the this to under was will with you your".split())
 
 
 def terms(text: str) -> list[str]:
-    return [w for w in "".join(c.lower() if c.isascii() and c.isalnum() else " " for c in text).split()]
+    words = "".join(c.lower() if c.isascii() and c.isalnum() else " " for c in text).split()
+    return [w for w in words if w not in USUAL]
 
 
 def template_weights(templates=TEMPLATES) -> tuple[dict[str, float], list[tuple[str, dict[str, float]]]]:
@@ -105,16 +108,12 @@ def template_weights(templates=TEMPLATES) -> tuple[dict[str, float], list[tuple[
     return idf, out
 
 
-#: Words so usual that they are anchors only where a template needs them.
-USUAL = frozenset("a all and any are as be by can for from in is it may not of on or that the this to under was with you".split())
-
-
 def anchors(vectors: list[tuple[str, dict[str, float]]], threshold: float) -> list[str]:
-    """Words, one of which any line at the threshold has; usual words come last."""
+    """Words, one of which any piece at the threshold has."""
     found: set[str] = set()
     for _, vector in vectors:
         rest = sum(v * v for w, v in vector.items() if w not in found)
-        for word, v in sorted(vector.items(), key=lambda x: (x[0] in USUAL, -x[1], x[0])):
+        for word, v in sorted(vector.items(), key=lambda x: (-x[1], x[0])):
             if rest < threshold**2 * 0.999:
                 break
             if word not in found:
@@ -148,35 +147,37 @@ def best_match(piece: Column, threshold: float) -> Column:
     idf, vectors = template_weights()
     known = [w for w in idf if w]
     weights = {w: idf[w] for w in known}
+    most = {w: max(v.get(w, 0.0) for _, v in vectors) * idf[w] for w in known}
 
-    def lengths(ordered: Column) -> Column:
-        """Squared lengths of the piece's vector and of its known part: words come sorted, so a run's square grows by ``2 run + 1`` with each."""
-        start = F.struct(F.lit("").alias("word"), F.lit(0).alias("run"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("known"))
+    def norm(ordered: Column) -> Column:
+        """Length of the piece's vector: words come sorted, so a run's square grows by ``2 run + 1`` with each."""
+        start = F.struct(F.lit("").alias("word"), F.lit(0).alias("run"), F.lit(0.0).alias("sum"))
 
         def add(a: Column, w: Column) -> Column:
             run = F.when(w == a["word"], a["run"]).otherwise(0)
+            weight = F.when(w.isin(known), _lookup(weights, w, 0.0)).otherwise(idf[""])
+            return F.struct(w.alias("word"), (run + 1).alias("run"), (a["sum"] + weight * weight * (2 * run + 1)).alias("sum"))
 
-            def grown(weight: Column) -> Column:
-                more = F.coalesce(weight, F.lit(idf[""]))
-                step = more * more * (2 * run + 1)
-                return F.struct(w.alias("word"), (run + 1).alias("run"), (a["sum"] + step).alias("sum"), (a["known"] + F.when(weight.isNull(), 0.0).otherwise(step)).alias("known"))
-
-            return _with(F.when(w.isin(known), _lookup(weights, w, 0.0)), grown)
-
-        return F.aggregate(ordered, start, add, lambda a: F.struct(F.sqrt(a["sum"]).alias("all"), F.sqrt(a["known"]).alias("known")))
+        return F.aggregate(ordered, start, add, lambda a: F.sqrt(a["sum"]))
 
     def dot(words: Column, vector: dict[str, float]) -> Column:
-        return F.aggregate(words, F.lit(0.0), lambda a, w: a + F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for k, v in vector.items() for x in (k, v * idf[k])]), w), F.lit(0.0)))
+        table = F.create_map(*[F.lit(x) for k, v in vector.items() for x in (k, v * idf[k])])
+        return F.aggregate(words, F.lit(0.0), lambda a, w: a + F.coalesce(F.try_element_at(table, w), F.lit(0.0)))
 
     def ranked(own: Column, length: Column) -> Column:
         dots = [F.struct((-F.round(dot(own, v) / length, 9)).alias("score"), F.lit(n).alias("license")) for n, v in vectors]
         return _with(F.array_min(F.array(*dots)), lambda m: F.struct((-m["score"]).alias("score"), m["license"].alias("license")))
 
     def compare(words: Column) -> Column:
-        own = F.filter(words, lambda w: w.isin(known))
-        return _with(lengths(F.array_sort(words)), lambda n: F.when(n["known"] >= 0.999 * threshold * n["all"], _with(own, lambda o: ranked(o, n["all"]))))
+        def bounded(own: Column) -> Column:
+            """No template's product exceeds ``reach``, and each unknown word adds its square at least to the length's."""
+            reach = F.aggregate(own, F.lit(0.0), lambda a, w: a + _lookup(most, w, 0.0))
+            least = (F.size(words) - F.size(own)) * (0.999 * threshold * idf[""]) ** 2
+            return F.when((F.size(own) > 0) & (reach * reach >= least), _with(norm(F.array_sort(words)), lambda n: ranked(own, n)))
+
+        return _with(F.filter(words, lambda w: w.isin(known)), bounded)
 
-    words = F.filter(F.split(piece, "[^a-z0-9]+"), lambda w: w != "")
+    words = F.filter(F.split(piece, "[^a-z0-9]+"), lambda w: ~w.isin("", *sorted(USUAL)))
     return _with(_with(words, lambda ws: F.when(F.size(ws) > 0, compare(ws))), lambda m: F.when(m["score"] >= threshold, m))
 
 

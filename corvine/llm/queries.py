@@ -133,6 +133,7 @@ def license_sql() -> str:
     """Plain SQL over all lines, paragraphs and sentences, without the bounds."""
     idf, vectors = license_scan.template_weights()
     rows = lambda values: ", ".join(f"({', '.join(repr(v) for v in r)})" for r in values)
+    usual = ", ".join(map(repr, sorted(license_scan.USUAL)))
     weights = rows((i, name, w, v) for i, (name, vector) in enumerate(vectors) for w, v in vector.items())
     return f"""
 WITH tw(t, license, word, w) AS (VALUES {weights}), idf(word, v) AS (VALUES {rows((w, v) for w, v in idf.items() if w)}),
@@ -141,7 +142,7 @@ p AS (SELECT r, unnest(regexp_split_to_array(text, '\\n[ \\t\\r\\n]*\\n')) AS p
 pieces AS (SELECT r, 'line' AS kind, unnest(string_split(text, chr(10))) AS line FROM d UNION ALL SELECT r, 'paragraph', p FROM p
   UNION ALL SELECT r, 'sentence', unnest(string_split(regexp_replace(p, '([.!?])[ \\t\\r\\n]+', '\\1' || chr(30), 'g'), chr(30))) FROM p),
 l AS (SELECT *, row_number() OVER () AS n FROM pieces),
-w AS (SELECT r, n, unnest(list_filter(regexp_split_to_array(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+'), lambda x: x <> '')) AS word FROM l),
+w AS (SELECT r, n, unnest(list_filter(regexp_split_to_array(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+'), lambda x: x NOT IN ('', {usual}))) AS word FROM l),
 f AS (SELECT r, n, w.word, count(*) * coalesce(any_value(idf.v)::DOUBLE, {idf[""]!r}::DOUBLE) AS v FROM w LEFT JOIN idf ON w.word = idf.word GROUP BY r, n, w.word),
 norm AS (SELECT r, n, sqrt(sum(v * v)) AS norm FROM f GROUP BY r, n),
 dot AS (SELECT r, n, t, license, sum(v * w::DOUBLE) AS dot FROM f JOIN tw ON f.word = tw.word GROUP BY ALL),
