@@ -80,3 +80,28 @@ def histogram(values: DataFrame, value: str, by: str, edges: Sequence[float] = B
 def consumption(entries: DataFrame) -> DataFrame:
     """One row a paper: the papers named, else the entry's own, else one without paper."""
     return entries.select("entry_id", F.explode_outer(F.when(F.size("explicit") > 0, F.col("explicit")).otherwise(F.col("key_papers"))).alias("paper_id"))
+
+
+def outbox(entries: DataFrame, limit: int | None = None) -> DataFrame:
+    """Entries whose mirror is behind: never mirrored, or at another version; oldest change first, ``limit`` a round.
+
+    ``entries`` has ``entry_id, version, mirrored_version, updated_at``.  An entry leaves when its mirrored version is written back.
+    """
+    dirty = entries.where(~F.col("version").eqNullSafe(F.col("mirrored_version"))).orderBy("updated_at", "entry_id")
+    return dirty if limit is None else dirty.limit(limit)
+
+
+def stop_reason(found: Column, sufficiency: Column, follow_up: Column, last: Column) -> Column:
+    """Why a question's rounds end with this one: no_evidence or answered; null if its follow-up is asked next."""
+    asks = (F.coalesce(sufficiency, F.lit("")) != "sufficient") & (F.trim(F.coalesce(follow_up, F.lit(""))) != "")
+    return F.when(found == 0, "no_evidence").when(asks & ~last, F.lit(None)).otherwise("answered")
+
+
+def ended(rounds: DataFrame, most: int = 3) -> DataFrame:
+    """``query_id, rounds, stopped_by`` of logged rounds (``query_id, round, found, sufficiency, follow_up``); without an end, max_iters."""
+    reason = stop_reason(F.col("found"), F.col("sufficiency"), F.col("follow_up"), F.col("round") >= most - 1)
+    known = rounds.where(F.col("round") < most).withColumn("reason", reason)
+    first = F.min(F.when(F.col("reason").isNotNull(), F.struct("round", "reason")))
+    return known.groupBy("query_id").agg(first.alias("e"), F.max("round").alias("seen")).select(
+        "query_id", (F.coalesce("e.round", "seen") + 1).alias("rounds"), F.coalesce("e.reason", F.lit("max_iters")).alias("stopped_by")
+    )

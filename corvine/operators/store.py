@@ -41,6 +41,29 @@ def incremental_diff(new: DataFrame, old: DataFrame, key: str = "point_id") -> D
     return n.join(o, key, "full_outer").select(key, action.alias("action"))
 
 
+def apply_diff(new: DataFrame, old: DataFrame, key: str = "point_id") -> DataFrame:
+    """The points after the diff, with the ``action`` that made each: new rows where the vector or the payload moved, else old ones.
+
+    A ``vector`` column, where there is one, is the old one unless the action is vector, so new rows need none for other actions.
+    """
+    acts = incremental_diff(new, old, key).where("action <> 'delete'")
+    fresh = acts.join(new, key)
+    out = fresh.where("action = 'vector'").select("action", *new.columns)
+    kept = acts.where("action <> 'vector'").join(old, key)
+    if "vector" in old.columns:
+        payload = fresh.where("action = 'payload'").drop("vector").join(old.select(key, "vector"), key)
+    else:
+        payload = fresh.where("action = 'payload'")
+    return out.unionByName(payload.select("action", *new.columns)).unionByName(kept.where("action = 'skip'").select("action", *new.columns))
+
+
+def payload(frame: DataFrame, allowed: Sequence[str]) -> DataFrame:
+    """The allowed columns that the frame has, in their order; nested values as JSON."""
+    nested = ("array", "map", "struct")
+    kinds = dict(frame.dtypes)
+    return frame.select(*[F.to_json(c).alias(c) if kinds[c].startswith(nested) else F.col(c) for c in allowed if c in kinds])
+
+
 def assert_unique(frame: DataFrame, key: str) -> DataFrame:
     """The frame, failing at run time if a key comes twice."""
     n = F.count("*").over(Window.partitionBy(key))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import models
 from ..functions import text as T
+from ..operators import operations as O
 from ..operators import retrieval as R
 
 
@@ -46,24 +47,67 @@ def retrieve(chunks: DataFrame, questions: DataFrame, settings: Settings = Setti
     return R.diversify(scored, s.per_paper, s.top_k, [F.desc("score_effective"), F.asc("place")])
 
 
-def answer(chunks: DataFrame, questions: DataFrame, settings: Settings = Settings(), chat: Callable[[Column], Column] | None = None) -> DataFrame:
-    """``query_id, decision, evidence, answer, citations``; without ``chat`` the evidence is the answer.
+def loop(chunks: DataFrame, questions: DataFrame, settings: Settings = Settings(), reflect: Callable[[Column, Column], Column] | None = None, rounds: int = 3) -> tuple[DataFrame, DataFrame]:
+    """Rows found for a batch of questions in up to ``rounds`` rounds, and the trace of the rounds.
 
-    Citations that name no evidence are taken out, as are forms of citation that name no chunk.
+    ``reflect`` takes columns of question and evidence and gives a model's reply; a question whose evidence does not suffice
+    is asked again by the follow-up in that reply.  A chunk keeps its row of the first round that found it.  The trace has ``query_id, round,
+    query, found, sufficiency, follow_up, stopped_by``, the last null while the next round follows.
     """
-    rows = retrieve(chunks, questions, settings)
+    asked = questions.select("query_id", "query")
+    current, pools, traces = asked, [], []
+    for place in range(rounds if reflect else 1):
+        rows = retrieve(chunks, current, settings).withColumn("round", F.lit(place)).persist()
+        lines = F.array_sort(F.collect_list(F.struct((-F.col("score_effective")).alias("s"), F.col("chunk_id").alias("id"), F.col("text").alias("text"))))
+        seen = rows.groupBy("query_id").agg(F.count("*").alias("found"), F.array_join(F.transform(lines, lambda x: x["text"]), "\n").alias("context"))
+        seen = current.join(seen, "query_id", "left").join(asked.select("query_id", F.col("query").alias("question")), "query_id")
+        said = models.reflection(reflect(F.col("question"), F.coalesce("context", F.lit("")))) if reflect else F.lit(None).cast("struct<sufficiency:string,score:double,follow_up:string>")
+        found = F.coalesce("found", F.lit(0))
+        round_ = seen.select("query_id", F.lit(place).alias("round"), "query", found.alias("found"), said.alias("r"))
+        round_ = round_.select("query_id", "round", "query", "found", "r.sufficiency", "r.follow_up")
+        trace = round_.withColumn("stopped_by", O.stop_reason(F.col("found"), F.col("sufficiency"), F.col("follow_up"), F.lit(place >= rounds - 1))).persist()
+        pools.append(rows.drop("query"))
+        traces.append(trace)
+        current = trace.where("stopped_by is null").select("query_id", F.col("follow_up").alias("query"))
+    pool, log = pools[0], traces[0]
+    for more, trace in zip(pools[1:], traces[1:]):
+        pool, log = pool.unionByName(more), log.unionByName(trace)
+    first = R.best(pool, ["query_id", "chunk_id"], [F.asc("round")], 1, "earlier").drop("earlier")
+    return first.join(asked, "query_id"), log
+
+
+def prompt(question: Column, context: Column, evidence: Column, weak: Column) -> Column:
+    """What the chat model gets: question, evidence, the citation tokens that it may copy, and a hint where the evidence is weak."""
+    allowed = F.array_join(F.transform(evidence, lambda i: F.concat(F.lit("[chunk:"), i, F.lit("]"))), " ")
+    hint = F.when(weak, "\n\nThe evidence is weak: say what stays uncertain, and do not fill gaps.").otherwise("")
+    rule = F.lit("\n\nCite at most 2 of them, copied as they stand, and only where they support the answer.")
+    return F.concat(F.lit("Question: "), question, F.lit("\n\nEvidence:\n"), context, F.lit("\n\nAllowed citations: "), allowed, rule, hint)
+
+
+def answer(chunks: DataFrame, questions: DataFrame, settings: Settings = Settings(), chat: Callable[[Column], Column] | None = None, reflect: Callable[[Column, Column], Column] | None = None, rounds: int = 3) -> DataFrame:
+    """``query_id, decision, evidence, answer, citations, stopped_by``; without ``chat`` the evidence is the answer.
+
+    ``chat`` gets the prompt and gives an answer, null if it failed.  Citations that name no evidence are taken out, as are forms of
+    citation that name no chunk.  ``stopped_by`` is no_chunks, no_evidence_abstain, chat_error, or what ended the rounds.
+    """
+    rows, log = loop(chunks, questions, settings, reflect, rounds)
+    ended = log.groupBy("query_id").agg(F.max_by("stopped_by", "round").alias("ended"))
     decided = R.decide(rows, settings.low, settings.high)
     chosen = R.select_evidence(rows, settings.most_evidence)
     line = F.concat(F.lit("[chunk:"), F.col("chunk_id").cast("string"), F.lit("] "), T.clip(F.col("text"), 1500))
     packed = F.array_sort(F.collect_list(F.struct("selected", F.col("chunk_id").cast("string").alias("id"), line.alias("line"))))
     evidence = chosen.groupBy("query_id").agg(packed.alias("e")).select("query_id", F.transform("e", lambda x: x["id"]).alias("evidence"), F.array_join(F.transform("e", lambda x: x["line"]), "\n").alias("context"))
-    out = questions.join(decided.select("query_id", "decision"), "query_id", "left").join(evidence, "query_id", "left")
+    out = questions.join(decided.select("query_id", "decision"), "query_id", "left").join(evidence, "query_id", "left").join(ended, "query_id", "left")
     none = F.array().cast("array<string>")
     decision = F.coalesce("decision", F.lit("no_chunks"))
-    said = F.when(decision.isin("no_chunks", "no_evidence"), "").otherwise(chat(F.col("context")) if chat else F.coalesce("context", F.lit("")))
-    out = out.select("query_id", decision.alias("decision"), F.coalesce("evidence", none).alias("evidence"), said.alias("said"))
+    context, ids = F.coalesce("context", F.lit("")), F.coalesce("evidence", none)
+    said = chat(prompt(F.col("query"), context, ids, decision == "weak_evidence")) if chat else context
+    silent = decision.isin("no_chunks", "no_evidence")
+    out = out.select("query_id", decision.alias("decision"), ids.alias("evidence"), F.when(silent, "").otherwise(said).alias("said"), "ended")
+    ended_by = F.when(F.col("decision") == "no_chunks", "no_chunks").when(F.col("decision") == "no_evidence", "no_evidence_abstain").when(F.col("said").isNull(), "chat_error").otherwise(F.col("ended"))
+    out = out.select("query_id", "decision", "evidence", F.coalesce("said", F.lit("")).alias("said"), ended_by.alias("stopped_by"))
     clean = T.without_suspicious(T.without_invalid(F.col("said"), F.col("evidence")))
-    return out.select("query_id", "decision", "evidence", clean.alias("answer"), T.valid_citations(F.col("said"), F.col("evidence")).alias("citations"))
+    return out.select("query_id", "decision", "evidence", clean.alias("answer"), T.valid_citations(F.col("said"), F.col("evidence")).alias("citations"), "stopped_by")
 
 
 def events(answers: DataFrame) -> DataFrame:

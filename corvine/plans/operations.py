@@ -133,3 +133,21 @@ def latest_value(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT event_id FROM events WHERE event_type = 'click' ORDER BY event_id OFFSET 20 LIMIT 30")
 def history_page(spark: SparkSession, d: str) -> DataFrame:
     return _events(spark, d).where("event_type = 'click'").orderBy("event_id").offset(20).limit(30).select("event_id")
+
+
+@query("SELECT event_id AS entry_id FROM events WHERE event_id % 3 = 0 OR event_id % 5 <> 0")
+def mirror_outbox(spark: SparkSession, d: str) -> DataFrame:
+    i = F.col("event_id")
+    entries = _events(spark, d).select(i.alias("entry_id"), F.lit(2).alias("version"), F.when(i % 3 == 0, F.lit(None)).when(i % 5 == 0, 2).otherwise(1).alias("mirrored_version"), F.col("ts").alias("updated_at"))
+    return O.outbox(entries).select("entry_id")
+
+
+@query("""WITH r AS (SELECT conv_id, turn, CASE WHEN conv_id % 4 = 1 AND turn = 1 THEN 'n' WHEN conv_id % 4 = 2 AND turn = 0 THEN 's' WHEN conv_id % 4 = 3 THEN 'e' END AS k FROM conversations WHERE turn < 3),
+c AS (SELECT conv_id, min(turn) FILTER (k IS NOT NULL) AS e, arg_min(k, turn) FILTER (k IS NOT NULL) AS k, max(turn) AS last FROM r GROUP BY conv_id)
+SELECT conv_id AS query_id, (coalesce(e, last) + 1)::BIGINT AS rounds, CASE WHEN k = 'n' THEN 'no_evidence' WHEN k IS NOT NULL OR last = 2 THEN 'answered' ELSE 'max_iters' END AS stopped_by FROM c""")
+def loop_stops(spark: SparkSession, d: str) -> DataFrame:
+    """Rounds of a conversation: in every fourth one the second finds nothing, in others the first suffices, or none has a follow-up."""
+    c, turn = F.col("conv_id") % 4, F.col("turn")
+    said = F.when((c == 2) & (turn == 0), "sufficient").otherwise("partial")
+    rounds = load(spark, d, "conversations").select(F.col("conv_id").alias("query_id"), turn.cast("long").alias("round"), F.when((c == 1) & (turn == 1), 0).otherwise(5).alias("found"), said.alias("sufficiency"), F.when(c == 3, " ").otherwise("more").alias("follow_up"))
+    return O.ended(rounds)

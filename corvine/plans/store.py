@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import index as I
 from ..operators import retrieval as R
 from ..operators import store as S
 from ..tables import load
@@ -212,3 +213,40 @@ def response_budget(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT event_id, CASE WHEN json_extract_string(props, '$.page') IS NOT NULL THEN json_extract_string(props, '$.page') ELSE '' END AS page FROM events")
 def metadata_decode(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "events").select("event_id", F.coalesce(F.get_json_object("props", "$.page"), F.lit("")).alias("page"))
+
+
+@query("""WITH n AS (SELECT c_custkey AS k, c_nationkey, c_acctbal, c_name FROM customer WHERE c_custkey % 17 <> 1),
+o AS (SELECT c_custkey AS k, c_nationkey, CASE WHEN c_custkey % 5 = 2 THEN c_acctbal + 1 ELSE c_acctbal END AS c_acctbal, CASE WHEN c_custkey % 7 = 3 THEN c_name || '.' ELSE c_name END AS c_name, c_custkey::VARCHAR AS vector FROM customer WHERE c_custkey % 19 <> 1)
+SELECT k AS point_id, CASE WHEN o.k IS NULL OR n.c_name <> o.c_name THEN 'vector' WHEN n.c_acctbal <> o.c_acctbal THEN 'payload' ELSE 'skip' END AS action, n.c_name AS content_id, n.c_acctbal::VARCHAR AS payload_fingerprint,
+  CASE WHEN o.k IS NULL OR n.c_name <> o.c_name THEN 'new' ELSE o.vector END AS vector FROM n LEFT JOIN o USING (k)""")
+def increment_apply(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("c_custkey")
+
+    def points(rows, name, balance, vector):
+        return rows.select(k.alias("point_id"), name.alias("content_id"), F.lit("v").alias("embedding_version"), balance.cast("string").alias("payload_fingerprint"), vector.alias("vector"))
+
+    rows, name, balance = load(spark, d, "customer"), F.col("c_name"), F.col("c_acctbal")
+    new = points(rows.where("c_custkey % 17 <> 1"), name, balance, F.lit("new"))
+    old = points(rows.where("c_custkey % 19 <> 1"), F.when(k % 7 == 3, F.concat(name, F.lit("."))).otherwise(name), F.when(k % 5 == 2, balance + 1).otherwise(balance), k.cast("string"))
+    return S.apply_diff(new, old).select("point_id", "action", "content_id", "payload_fingerprint", "vector")
+
+
+@query("""WITH t AS (SELECT c_custkey AS chunk_id, c_nationkey AS paper_id, array_to_string(regexp_extract_all(lower(c_name || ' ' || c_mktsegment), '[a-z0-9_]+'), ' ') AS text FROM customer)
+SELECT chunk_id, paper_id, text FROM t WHERE paper_id % 3 <> 2""")
+def index_sync(spark: SparkSession, d: str) -> DataFrame:
+    """The mirror knew old names of all papers; of every third the chunks were deleted, another third came anew, the rest had not changed."""
+    rows = load(spark, d, "customer").select(F.col("c_custkey").alias("chunk_id"), F.col("c_nationkey").alias("paper_id"), F.concat_ws(" ", "c_name", "c_mktsegment").alias("text"))
+    before = rows.withColumn("text", F.when(F.col("paper_id") % 3 == 0, F.col("text")).otherwise("old name"))
+    return I.sync(I.rows(before), rows.where("paper_id % 3 <> 2"), rows.where("paper_id % 3 <> 0").select("paper_id"))
+
+
+@query("SELECT (SELECT count(*) FROM customer WHERE c_custkey % 2 = 0) AS indexed, (SELECT count(*) FROM customer) AS chunks, (SELECT count(*) FROM customer WHERE c_custkey % 2 = 0) <> (SELECT count(*) FROM customer) AS stale")
+def index_stale(spark: SparkSession, d: str) -> DataFrame:
+    rows = load(spark, d, "customer")
+    return I.stale(rows.where("c_custkey % 2 = 0"), rows)
+
+
+@query("SELECT l_orderkey AS entry_id, '[' || string_agg(l_linenumber::VARCHAR, ',' ORDER BY l_linenumber) || ']' AS lines FROM lineitem GROUP BY l_orderkey")
+def payload_projection(spark: SparkSession, d: str) -> DataFrame:
+    lines = F.array_sort(F.collect_list("l_linenumber")).alias("lines")
+    return S.payload(load(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("entry_id")).agg(lines, F.count("*").alias("secret")), ("entry_id", "lines", "absent"))

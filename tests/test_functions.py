@@ -334,3 +334,23 @@ def test_top_k_keeps_the_best_with_ties():
     for q in range(7):
         want = sorted((-s, i * 3) for i, s in enumerate(scores[:, q]) if s > -np.inf)[:9]
         assert [(-r["s"], r["row"]) for r in got if r["q"] == q + 50] == want
+
+
+def test_rounds_follow_up_until_the_evidence_suffices(spark):
+    from pyspark.sql import functions as F
+
+    from corvine.operators import index
+    from corvine.operators import retrieval as R
+    from corvine.plans import answer
+
+    chunks = spark.createDataFrame([(1, "a", "alpha beta", "Intro", "T", "text"), (2, "b", "gamma delta", "Intro", "T", "text")], "chunk_id long, paper_id string, text string, section string, title string, modality string")
+    asked = spark.createDataFrame([(1, "alpha"), (2, "gamma")], "query_id long, query string")
+    reply = lambda q, e: F.when(q == "alpha", '{"sufficiency": "partial", "follow_up": "gamma"}').otherwise('{"sufficiency": "sufficient"}')
+    rows, log = answer.loop(chunks, asked, answer.Settings(top_k=1), reply)
+    seen = sorted((r["query_id"], r["round"], r["query"], r["stopped_by"]) for r in log.collect())
+    assert seen == [(1, 0, "alpha", None), (1, 1, "gamma", None), (1, 2, "gamma", "answered"), (2, 0, "gamma", "answered")]
+    assert {(r["query_id"], r["chunk_id"], r["round"], r["query"]) for r in rows.collect()} == {(1, 1, 0, "alpha"), (1, 2, 1, "alpha"), (2, 2, 0, "gamma")}
+    failed = answer.answer(chunks, asked, answer.Settings(low=0.0), chat=lambda p: F.lit(None).cast("string"), reflect=reply).collect()
+    assert {r["stopped_by"] for r in failed} == {"chat_error"} and {r["answer"] for r in failed} == {""}
+    as_rows = lambda f: sorted(map(tuple, f.collect()))
+    assert as_rows(R.bm25(index.rows(chunks), asked)) == as_rows(R.bm25(chunks, asked))
