@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import license_scan, lm_score, media, mixing, ngram_join, packing, quality_rules, token_counts, toxicity, url_filter
+from . import license_scan, lm_score, media, merkle, mixing, ngram_join, packing, quality_rules, token_counts, toxicity, url_filter
 from ._common import by_bytes, table, text_arrays
 
 URL_RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
@@ -105,7 +105,16 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), 1)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_lm_score, op2_url_filter, op3_quality_rules, op4_token_counts, op5_mixing, op6_media, op7_license_scan, op8_ngram_join, op9_toxicity, op10_packing)}
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where 3 divides the id's CRC, the text is lower-cased behind the manifest's back."""
+    docs = table(spark, sf_dir, "documents")
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    tampered = lambda d: F.when(fold(d["doc_id"], 3) == 0, merkle.leaf([*(d[f] for f in fields[:-1]), lowered]))
+    return merkle.manifest(docs, fields, "lang", "doc_id", tampered).prove().withColumnRenamed("ord", "doc_id")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_lm_score, op2_url_filter, op3_quality_rules, op4_token_counts, op5_mixing, op6_media, op7_license_scan, op8_ngram_join, op9_toxicity, op10_packing, op11_merkle)}
 
 OP3_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS text FROM documents),
@@ -159,4 +168,29 @@ SELECT doc_id, path, own AS own_license, score, license_file, coalesce(own, up.l
 """
 
 
-ORACLE_SQL: dict[str, str] = {"op3_quality_rules": OP3_SQL, "op7_license_scan": license_sql()}
+_FIELD = "CASE WHEN {0} IS NULL THEN '-' ELSE strlen({0}::VARCHAR) || ':' || {0} END"
+_LEAF = "sha256(" + " || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "n_chars")) + " || " + _FIELD + ")"
+OP11_SQL = f"""
+WITH RECURSIVE d AS (SELECT *, CASE WHEN lang IS NULL THEN '' ELSE 'x' || lang END AS g,
+  list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)), lambda c, b:
+    list_reduce(list_prepend(xor(c, b), range(8)), lambda x, k: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END)) AS crc FROM documents),
+leaf AS (SELECT doc_id, g, row_number() OVER (PARTITION BY g ORDER BY doc_id) - 1 AS i, {_LEAF.format("text")} AS h,
+  CASE WHEN xor(crc, 4294967295) % 3 = 0 THEN {_LEAF.format("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} ELSE {_LEAF.format("text")} END AS told FROM d),
+node(g, level, i, h, n) AS (SELECT g, 0, i, h, count(*) OVER (PARTITION BY g) FROM leaf
+  UNION ALL SELECT g, level + 1, i // 8, sha256(string_agg(h, '' ORDER BY i)), any_value((n + 7) // 8) FROM node WHERE n > 1 GROUP BY g, level, i // 8),
+sub AS (SELECT g, h, row_number() OVER (ORDER BY g) - 1 AS j FROM node WHERE n = 1),
+high(level, i, h, n) AS (SELECT 0, j, h, count(*) OVER () FROM sub
+  UNION ALL SELECT level + 1, i // 8, sha256(string_agg(h, '' ORDER BY i)), any_value((n + 7) // 8) FROM high WHERE n > 1 GROUP BY level, i // 8),
+step AS (SELECT doc_id, level, node.i, node.h, (leaf.i // (8 ** level)::BIGINT) = node.i AS own FROM leaf JOIN node USING (g) WHERE n > 1 AND leaf.i // (8 ** (level + 1))::BIGINT = node.i // 8
+  UNION ALL SELECT doc_id, 100 + level, high.i, high.h, (j // (8 ** level)::BIGINT) = high.i FROM leaf JOIN sub USING (g), high WHERE n > 1 AND j // (8 ** (level + 1))::BIGINT = high.i // 8),
+run AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY level) AS k, coalesce(string_agg(h, '' ORDER BY i) FILTER (NOT own AND i < o), '') AS before, coalesce(string_agg(h, '' ORDER BY i) FILTER (NOT own AND i > o), '') AS after
+  FROM (SELECT *, max(i) FILTER (own) OVER (PARTITION BY doc_id, level) AS o FROM step) GROUP BY doc_id, level),
+folded(doc_id, k, h) AS (SELECT doc_id, 0, told FROM leaf UNION ALL SELECT doc_id, run.k, sha256(before || folded.h || after) FROM folded JOIN run USING (doc_id) WHERE run.k = folded.k + 1),
+last AS (SELECT doc_id, arg_max(h, k) AS folded_root FROM folded GROUP BY doc_id),
+proof AS (SELECT doc_id, sha256(string_agg(before || after, '' ORDER BY k)) AS p FROM run GROUP BY doc_id)
+SELECT doc_id, leaf.h AS leaf, sub.h AS subroot, top.h AS root, coalesce(p, sha256('')) AS proof_sha256, folded_root, folded_root = top.h AS verified
+FROM leaf JOIN sub USING (g) JOIN last USING (doc_id) LEFT JOIN proof USING (doc_id), (SELECT h FROM high WHERE n = 1) AS top
+"""
+
+
+ORACLE_SQL: dict[str, str] = {"op3_quality_rules": OP3_SQL, "op7_license_scan": license_sql(), "op11_merkle": OP11_SQL}
