@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import license_scan, lm_score, media, merkle, mixing, ngram_join, packing, quality_rules, token_counts, toxicity, url_filter
+from . import license_scan, lm_score, media, merkle, mixing, ngram_join, packing, quality_rules, token_counts, toxicity, url_filter, warc
 from ._common import by_bytes, table, text_arrays
 
 URL_RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
@@ -114,7 +114,15 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(docs, fields, "lang", "doc_id", tampered).prove().withColumnRenamed("ord", "doc_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_lm_score, op2_url_filter, op3_quality_rules, op4_token_counts, op5_mixing, op6_media, op7_license_scan, op8_ngram_join, op9_toxicity, op10_packing, op11_merkle)}
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes the pages as archives into the shared folder and reads them back; a record that fails its checks fails the query."""
+    read = warc.read_archives(warc.write_archives(table(spark, sf_dir, "pages"), warc.new_folder(spark)))
+    page = lambda c: F.split_part(c, F.lit(":"), F.lit(3)).try_cast("long")
+    sound = F.when(F.col("error").isNotNull(), F.raise_error(F.concat_ws(" ", "archive", "start", "error")).cast("string")).otherwise(F.col("record_type"))
+    return read.select(page(F.col("record_id")).alias("page_id"), "payload_bytes", "payload_digest", sound.alias("record_type"), page(F.col("refers_to")).alias("refers_to"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_lm_score, op2_url_filter, op3_quality_rules, op4_token_counts, op5_mixing, op6_media, op7_license_scan, op8_ngram_join, op9_toxicity, op10_packing, op11_merkle, op13_warc)}
 
 OP3_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS text FROM documents),
@@ -192,5 +200,10 @@ SELECT doc_id, leaf.h AS leaf, sub.h AS subroot, top.h AS root, coalesce(p, sha2
 FROM leaf JOIN sub USING (g) JOIN last USING (doc_id) LEFT JOIN proof USING (doc_id), (SELECT h FROM high WHERE n = 1) AS top
 """
 
+OP13_SQL = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha256(coalesce(html, '')) AS digest FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY digest) AS first FROM p)
+SELECT page_id, n AS payload_bytes, digest AS payload_digest, CASE WHEN n >= 100 AND page_id > first THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN n >= 100 AND page_id > first THEN first END AS refers_to FROM f
+"""
 
-ORACLE_SQL: dict[str, str] = {"op3_quality_rules": OP3_SQL, "op7_license_scan": license_sql(), "op11_merkle": OP11_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_quality_rules": OP3_SQL, "op7_license_scan": license_sql(), "op11_merkle": OP11_SQL, "op13_warc": OP13_SQL}
