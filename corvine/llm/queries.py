@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import license_scan, lm_score, media, merkle, mixing, ngram_join, packing, quality_rules, token_counts, toxicity, url_filter, warc
+from . import align, license_scan, lm_score, media, merkle, mixing, ngram_join, packing, quality_rules, token_counts, toxicity, url_filter, warc
 from ._common import by_bytes, table, text_arrays
 
 URL_RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
@@ -114,6 +114,10 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(docs, fields, "lang", "doc_id", tampered).prove().withColumnRenamed("ord", "doc_id")
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.align(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Writes the pages as archives into the shared folder and reads them back; a record that fails its checks fails the query."""
     read = warc.read_archives(warc.write_archives(table(spark, sf_dir, "pages"), warc.new_folder(spark)))
@@ -122,7 +126,7 @@ def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select(page(F.col("record_id")).alias("page_id"), "payload_bytes", "payload_digest", sound.alias("record_type"), page(F.col("refers_to")).alias("refers_to"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_lm_score, op2_url_filter, op3_quality_rules, op4_token_counts, op5_mixing, op6_media, op7_license_scan, op8_ngram_join, op9_toxicity, op10_packing, op11_merkle, op13_warc)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_lm_score, op2_url_filter, op3_quality_rules, op4_token_counts, op5_mixing, op6_media, op7_license_scan, op8_ngram_join, op9_toxicity, op10_packing, op11_merkle, op12_token_alignment, op13_warc)}
 
 OP3_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS text FROM documents),
