@@ -81,12 +81,16 @@ def index_tokens(text: Column) -> Column:
 _RUNS, _INNER, _TERMS = re.compile(f"([{CJK_INDEX}]+)"), re.compile(f"(?<=[{CJK_INDEX}])([{CJK_INDEX}])(?=[{CJK_INDEX}])"), re.compile(f"[a-z0-9_]+|[{CJK_INDEX}]+")
 
 
+def segmented(text: str) -> str:
+    """``segment_cjk`` of one text, but for the blanks."""
+    if text.isascii() or not _RUNS.search(text):
+        return text
+    return _INNER.sub(r"\1 \1", _RUNS.sub(r" \1 ", text))
+
+
 def index_terms(text: str | None) -> list[str]:
     """``index_tokens`` of one text, for operators that walk texts in Arrow batches."""
-    text = text or ""
-    if not text.isascii() and _RUNS.search(text):
-        text = _INNER.sub(r"\1 \1", _RUNS.sub(r" \1 ", text))
-    return _TERMS.findall(text.lower())
+    return _TERMS.findall(segmented(text or "").lower())
 
 
 def segment_cjk(text: Column) -> Column:

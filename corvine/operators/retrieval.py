@@ -134,15 +134,18 @@ def _statistics(texts: DataFrame, mean: bool) -> tuple[int, float, DataFrame, fl
     return n, size / n if n else 0.0, counted, middle or 0.0
 
 
-def dense(points: DataFrame, queries: DataFrame, top_k: int = 20) -> DataFrame:
+def dense(points: DataFrame, queries: DataFrame, top_k: int = 20, within: str | None = None) -> DataFrame:
     """``query_id, chunk_id, score_dense, rank_dense`` by cosine; ``points`` has ``chunk_id, vector``.
 
+    With ``within``, a column of both, a query where it is not null gets only points that have the same value.
+
     The query vectors go to all tasks in blocks of ``MOST_QUERIES``, as many as there are; a task keeps
     its ``top_k`` of each query from a matrix product, so that the shuffle is ``top_k`` rows a query and task.
     The driver holds one block of rows at a time.
     """
-    points = points.select("chunk_id", "vector").where("vector is not null")
-    asked = queries.select("query_id", "vector").toLocalIterator()
+    kind = F.lit(None).cast("string") if within is None else F.col(within).cast("string")
+    points = points.select("chunk_id", "vector", kind.alias("kind")).where("vector is not null")
+    asked = queries.select("query_id", "vector", kind.alias("kind")).toLocalIterator()
     found = None
     while (block := list(islice(asked, MOST_QUERIES))) or found is None:
         some = _search(points, block, top_k)
@@ -154,10 +157,11 @@ def _search(points: DataFrame, asked: Sequence[Row], top_k: int) -> DataFrame:
     """Each task's ``top_k`` points of each query of a block."""
     ids = np.array([r["query_id"] for r in asked], np.int64)
     unit = np.array([np.asarray(r["vector"], float) / max(np.linalg.norm(np.asarray(r["vector"], float)), 1e-30) for r in asked])
-    shared = points.sparkSession.sparkContext.broadcast((ids, unit))
+    kinds = {k: np.array([r["kind"] == k for r in asked]) for k in {r["kind"] for r in asked} - {None}}
+    shared = points.sparkSession.sparkContext.broadcast((ids, unit, kinds))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, unit = shared.value
+        ids, unit, kinds = shared.value
         top = TopK(len(ids), top_k)
         for batch in batches:
             step = max(1, MOST_SCORES // max(len(ids), 1))
@@ -166,7 +170,12 @@ def _search(points: DataFrame, asked: Sequence[Row], top_k: int) -> DataFrame:
                 values = part.column(1)
                 rows = values.flatten().to_numpy(zero_copy_only=False).reshape(len(values), -1).astype(float)
                 score = (rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-30)) @ unit.T
-                top.offer(np.round(score, 9), part.column(0).to_numpy())
+                score = np.round(score, 9)
+                if kinds:
+                    own = part.column(2).to_numpy(zero_copy_only=False)
+                    for kind, queries in kinds.items():
+                        score[np.ix_(own != kind, queries)] = -np.inf
+                top.offer(score, part.column(0).to_numpy())
         yield top.batch(ids, ["query_id", "chunk_id", "score_dense"])
 
     return points.mapInArrow(search, "query_id long, chunk_id long, score_dense double")
@@ -235,7 +244,8 @@ def penalise(rows: DataFrame, factor: float = 0.15, intent: Column | None = None
     names = [c for c in ("score_rerank", "score_rrf", "score_dense", "score", "score_bm25") if c in rows.columns]
     raw = F.coalesce(*[F.col(c) for c in names], F.lit(0.0))
     hit = T.is_reference(F.col("section")) & ~(F.lit(False) if intent is None else intent)
-    return rows.withColumns({"reference_penalized": hit, "score_effective": F.when(hit, raw * factor).otherwise(raw)})
+    own = {"score_rerank_raw": F.col("score_rerank").cast("double")} if "score_rerank" in rows.columns else {}
+    return rows.withColumns(own | {"reference_penalized": hit, "score_effective": F.when(hit, raw * factor).otherwise(raw)})
 
 
 def diversify(rows: DataFrame, cap: int, top_k: int, order: Sequence[Column], by: Sequence[str] = ("query_id",)) -> DataFrame:

@@ -28,5 +28,16 @@ class TopK:
         last = place[keep] == self.k - 1
         self.floor[self.query[last]] = self.score[last]
 
+    def offer_one(self, query: int, scores: np.ndarray, rows: np.ndarray) -> None:
+        """Scores of one query by row."""
+        good = scores >= self.floor[query]
+        own = self.query == query
+        score, row = np.concatenate([self.score[own], scores[good]]), np.concatenate([self.row[own], rows[good]])
+        keep = np.lexsort((row, -score))[: self.k]
+        self.query = np.concatenate([self.query[~own], np.full(len(keep), query, np.int64)])
+        self.row, self.score = np.concatenate([self.row[~own], row[keep]]), np.concatenate([self.score[~own], score[keep]])
+        if len(keep) == self.k:
+            self.floor[query] = score[keep[-1]]
+
     def batch(self, names: np.ndarray, columns: list[str]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(names[self.query], pa.int64()), pa.array(self.row, pa.int64()), pa.array(self.score)], columns)

@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import fanout
 from ..operators import retrieval as R
+from ..operators.postings import Index
+from ..session import shared_folder
 from ..tables import CHUNK_SQL, chunks, load, questions
 from .registry import registry
 
@@ -252,3 +255,66 @@ def evidence_format(spark: SparkSession, d: str) -> DataFrame:
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """Hybrid retrieval of all questions and the evidence for their answers."""
     return evidence_select(spark, d)
+
+
+def _changed_index(spark: SparkSession, d: str) -> Index:
+    """An index of an older corpus, brought up to date by paper: a third of the sources had other texts, a third was not there, and papers that are gone now were."""
+    now = chunks(spark, d).select("chunk_id", "paper_id", "text")
+    kind = F.pmod(F.crc32("paper_id"), F.lit(3))
+    gone = now.where(kind == 2).select((F.col("chunk_id") + 10**9).alias("chunk_id"), F.concat(F.lit("gone-"), "paper_id").alias("paper_id"), "text")
+    before = now.where(kind != 1).withColumn("text", F.when(kind == 0, F.reverse("text")).otherwise(F.col("text"))).unionByName(gone)
+    index = Index(spark, shared_folder(spark, "index")).build(before, "plain")
+    index.sync(now, gone.select("paper_id").union(now.where(kind != 2).select("paper_id")))
+    return index
+
+
+@query(f"WITH {FTS} {_SPARSE_OUT}")
+def kept_index_topk(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded(_changed_index(spark, d).search(questions(spark, d), "fts", 20), "score_bm25")
+
+
+@query(f"WITH {CHUNK_SQL} SELECT term, count(DISTINCT chunk_id) AS df FROM (SELECT chunk_id, unnest({TOKENS.format('text')}) AS term FROM chunk) GROUP BY term")
+def kept_index_frequencies(spark: SparkSession, d: str) -> DataFrame:
+    return _changed_index(spark, d).frequencies()
+
+
+#: Each question has the next one as a variant, and every other question asks for figures too.
+_SPECS = """item AS (SELECT item_id, text FROM benchmark), spec AS (SELECT a.item_id AS q, b.item_id - a.item_id AS v, b.item_id AS other, m
+  FROM item a JOIN item b ON b.item_id IN (a.item_id, a.item_id + 1), LATERAL (SELECT unnest(CASE WHEN a.item_id % 2 = 0 THEN [NULL, 'figure'] ELSE [NULL] END) AS m))"""
+
+
+def _rewritten(spark: SparkSession, d: str) -> DataFrame:
+    asked = questions(spark, d)
+    after = asked.select((F.col("query_id") - 1).alias("query_id"), F.col("query").alias("next"))
+    figure = F.when(F.col("query_id") % 2 == 0, F.array(F.lit("figure"))).otherwise(F.array().cast("array<string>"))
+    return asked.join(after, "query_id", "left").select("query_id", "query", F.array_compact(F.array("query", "next")).alias("dense_queries"), F.lit("").alias("bm25_query"), figure.alias("modalities"))
+
+
+@query(f"WITH {_SPECS} SELECT q AS query_id, v::INT AS variant, m AS modality, count(*) AS n FROM spec GROUP BY ALL")
+def fanout_specs(spark: SparkSession, d: str) -> DataFrame:
+    return fanout.specs(_rewritten(spark, d)).groupBy("query_id", "variant", "modality").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {FTS}, {_SPECS},
+sims AS (SELECT q.vec_id AS other, p.vec_id AS chunk_id, chunk.modality, round(list_cosine_similarity(q.embedding::DOUBLE[], p.embedding::DOUBLE[]), 9) AS s
+  FROM embeddings q, embeddings p JOIN chunk ON chunk.chunk_id = p.vec_id WHERE q.vec_id IN (SELECT item_id FROM benchmark)),
+dl AS (SELECT q, v, m, chunk_id, s, row_number() OVER (PARTITION BY q, v, m ORDER BY s DESC, chunk_id) - 1 AS r FROM spec JOIN sims USING (other) WHERE m IS NULL OR m = modality QUALIFY r < 20),
+sl AS (SELECT q, v, m, chunk_id, row_number() OVER (PARTITION BY q, v, m ORDER BY rank_bm25) - 1 AS r FROM spec JOIN sparse ON other = query_id JOIN chunk USING (chunk_id) WHERE m IS NULL OR m = modality),
+legs AS (SELECT q, v, m, chunk_id, r, 0 AS leg FROM dl UNION ALL SELECT q, v, m, chunk_id, r, 1 FROM sl),
+fused AS (SELECT q, v, m, chunk_id, round(sum(1.0 / (61 + r)), 9) AS rrf, min((leg, r)) AS seen FROM legs GROUP BY q, v, m, chunk_id),
+listed AS (SELECT *, row_number() OVER (PARTITION BY q, v, m ORDER BY rrf DESC, seen, chunk_id) - 1 AS p FROM fused QUALIFY p < 20),
+pooled AS (SELECT q, chunk_id, min((v, m IS NOT NULL, p)) AS seq, max(rrf) AS rrf, arg_min((v, m), (-rrf, v, m IS NOT NULL, p)) AS best FROM listed GROUP BY q, chunk_id),
+full_ AS (SELECT pooled.*, paper_id, section, rrf * CASE WHEN section = 'References' AND NOT regexp_matches(item.text, '(?i)\\b(bibliograph(y|ies)|reference\\s+list|citation\\s+list|cited\\s+(papers?|works?|references?))\\b') THEN 0.15 ELSE 1 END AS eff
+  FROM pooled JOIN chunk USING (chunk_id) JOIN item ON item_id = q),
+win AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY eff DESC, seq) AS place FROM full_ QUALIFY place <= 30),
+own AS (SELECT *, row_number() OVER (PARTITION BY q, paper_id ORDER BY place) AS o FROM win)
+SELECT q AS query_id, chunk_id, round(eff, 6) AS score_effective, best[1]::INT AS variant, best[2] AS modality, (row_number() OVER (PARTITION BY q ORDER BY o > 3, place) - 1)::INT AS position FROM own QUALIFY position < 10""")
+def fanout_round(spark: SparkSession, d: str) -> DataFrame:
+    """A variant's vector is the one with the id of its question."""
+    corpus, rewritten = chunks(spark, d), _rewritten(spark, d)
+    vectors = load(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector"))
+    points = vectors.join(corpus.select("chunk_id", "modality"), "chunk_id")
+    number = F.floor(F.col("spec_id") / fanout.MODALITIES)
+    dense = lambda asked: R.dense(points, asked.withColumn("chunk_id", F.floor(number / fanout.VARIANTS) + number % fanout.VARIANTS).join(vectors, "chunk_id").select(F.col("spec_id").alias("query_id"), "vector", "modality"), 20, "modality")
+    rows = fanout.retrieve(rewritten, corpus, dense, lambda asked: R.bm25(corpus, asked, "fts", 20), fanout.Round(per_paper=3))
+    return rows.select("query_id", "chunk_id", F.round("score_effective", 6).alias("score_effective"), "variant", F.col("asked_modality").alias("modality"), F.col("position").cast("int").alias("position"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -15,3 +18,11 @@ SETTINGS = {
 def session(name: str = "corvine", master: str | None = None, **more: str) -> SparkSession:
     builder = SparkSession.builder.appName(name).config(map=SETTINGS | more)
     return (builder.master(master) if master else builder).getOrCreate()
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder for tables of this run where all executors reach it: below ``spark.checkpoint.dir``, in local sessions below a temporary folder."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return f"{(named or tempfile.mkdtemp(prefix='corvine-')).rstrip('/')}/{name}-{uuid.uuid4().hex}"
