@@ -123,7 +123,7 @@ class Archive:
     def __init__(self, path: str) -> None:
         self.path, self.waiting, self.held, self.packer, self.size, self.records = path, [], 0, None, 0, 0
         system, inner = fs.FileSystem.from_uri(path)
-        self.out = system.open_output_stream(inner)
+        self.out = system.open_output_stream(inner, compression=None)  # else the name's ending would have it compressed once more
 
     def write(self, data: bytes) -> None:
         self.out.write(data)
@@ -133,7 +133,7 @@ class Archive:
         trained = None
         if len(self.waiting) >= LEAST_ROWS:
             try:
-                trained = zstandard.train_dictionary(DICTIONARY_BYTES, self.waiting, k=200, d=8)
+                trained = zstandard.train_dictionary(max(1024, min(DICTIONARY_BYTES, self.held // 8)), self.waiting, k=200, d=8)
             except zstandard.ZstdError:  # too little or too uniform to learn from
                 trained = None
         if trained:
@@ -288,7 +288,7 @@ def read_archives(archives: DataFrame, payloads: bool = False, most_parts: int =
         for batch in batches:
             for name in batch.column(0).to_pylist():
                 system, inner = fs.FileSystem.from_uri(name)
-                with system.open_input_stream(inner) as stream:
+                with system.open_input_stream(inner, compression=None) as stream:
                     rows, held = [], 0
                     for row, data in read_stream(stream, name):
                         rows.append((*(row[n] for n in names), data) if payloads else tuple(row[n] for n in names))
