@@ -23,6 +23,7 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -81,10 +82,6 @@ def by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]
         yield held[0].column(0)[0].as_py(), pa.Table.from_batches(held)
 
 
-def repeated(values: np.ndarray, times: np.ndarray) -> np.ndarray:
-    return np.repeat(values, times)
-
-
 def inverted(docs: DataFrame) -> DataFrame:
     """``POSTINGS`` of ``DOCS``, sorted by term in each shard."""
 
@@ -137,6 +134,18 @@ class Index:
         """The newest complete generation; a folder without one is an error."""
         return self.spark.read.parquet(f"{self.folder}/totals").agg(F.max("gen")).first()[0]
 
+    def exists(self) -> bool:
+        try:
+            return self.last() is not None
+        except AnalysisException as absent:
+            if absent.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return False
+
+    def mark(self) -> int:
+        """What the newest generation says of the store it follows; -1 where none said anything."""
+        return self.spark.read.parquet(f"{self.folder}/totals").agg(F.max("mark")).first()[0]
+
     def settings(self) -> tuple[str, int]:
         row = self.spark.read.parquet(f"{self.folder}/totals").where("gen = 0").first()
         return row["analyser"], row["shards"]
@@ -146,7 +155,7 @@ class Index:
         row = self.table("totals").agg(F.sum("chunks").alias("chunks"), F.sum("terms").alias("terms")).first()
         return row["chunks"] or 0, row["terms"] or 0
 
-    def commit(self, gen: int, docs: DataFrame, papers: DataFrame, analyser: str, shards: int) -> dict[str, int]:
+    def commit(self, gen: int, docs: DataFrame, papers: DataFrame, analyser: str, shards: int, mark: int = -1) -> dict[str, int]:
         at = lambda name: f"{self.folder}/{name}/gen={gen}"
         docs.write.mode("overwrite").parquet(at("docs"))
         papers.select(F.col("paper_id").cast("string").alias("paper_id")).distinct().write.mode("overwrite").parquet(at("papers"))
@@ -154,7 +163,7 @@ class Index:
         inverted(kept).write.mode("overwrite").parquet(at("postings"))
         one = lambda c, s: F.coalesce(F.sum(F.when(F.col("sign") == s, c)), F.lit(0))
         row = kept.agg(one(F.lit(1), 1).alias("added"), one(F.lit(1), -1).alias("removed"), one(F.col("size").cast("long"), 1).alias("more"), one(F.col("size").cast("long"), -1).alias("less")).first()
-        done = self.spark.createDataFrame([(row["added"] - row["removed"], row["more"] - row["less"], analyser, shards)], "chunks long, terms long, analyser string, shards int")
+        done = self.spark.createDataFrame([(row["added"] - row["removed"], row["more"] - row["less"], analyser, shards, mark)], "chunks long, terms long, analyser string, shards int, mark int")
         done.coalesce(1).write.mode("overwrite").parquet(at("totals"))
         return {"added": row["added"], "removed": row["removed"]}
 
@@ -164,15 +173,18 @@ class Index:
         self.commit(0, documents(chunks, analyser, shards), chunks.select("paper_id"), analyser, shards)
         return self
 
-    def sync(self, chunks: DataFrame, papers: DataFrame) -> dict[str, int]:
-        """Papers in ``papers`` (``paper_id``) have exactly their rows of ``chunks`` from now on, or none; gives chunks added and removed."""
+    def sync(self, chunks: DataFrame, papers: DataFrame, mark: int = -1) -> dict[str, int]:
+        """Papers in ``papers`` (``paper_id``) have exactly their rows of ``chunks`` from now on, or none; gives chunks added and removed.
+
+        ``mark`` is kept for whoever has to know up to where the index has followed a store.
+        """
         gen, (analyser, shards) = self.last() + 1, self.settings()
         changed = papers.select(F.col("paper_id").cast("string").alias("paper_id")).distinct()
         spoke = self.table("papers").join(changed, "paper_id", "left_semi").groupBy("paper_id").agg(F.max("gen").alias("gen"))
         old = self.table("docs").where("sign = 1").join(spoke, ["paper_id", "gen"], "left_semi")
         names = [f.split()[0] for f in DOCS.split(", ")]
         fresh = documents(chunks.withColumn("paper_id", F.col("paper_id").cast("string")).join(changed, "paper_id", "left_semi"), analyser, shards)
-        return self.commit(gen, fresh.select(*names).unionByName(old.withColumn("sign", F.lit(-1)).select(*names)), changed, analyser, shards)
+        return self.commit(gen, fresh.select(*names).unionByName(old.withColumn("sign", F.lit(-1)).select(*names)), changed, analyser, shards, mark)
 
     def chunks(self) -> DataFrame:
         """``chunk_id, paper_id, size`` of the chunks that are in the index now."""

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import concepts, documents, evaluation, operations, retrieval, store
+from . import concepts, documents, evaluation, ingest, operations, retrieval, store
 
-MODULES = (retrieval, documents, store, concepts, evaluation, operations)
+MODULES = (retrieval, documents, store, concepts, evaluation, operations, ingest)
 flagship = retrieval.flagship
 
 

@@ -22,6 +22,10 @@ HINTS = {
     "missing_models": "请检查 config/magic-pdf.json 中的 models-dir, 并完成 MinerU 模型下载。",
 }
 #: The lines of a metadata card.
+CARD_PURPOSE = "Retrieve this record for questions about this paper as a whole, including its contribution, method, evaluation, datasets, experiments, results, limitations, figures, tables, and formulas."
+CARD_ZH_HEADER, CARD_ZH_PURPOSE = "论文元数据记录。", "当问题涉及这篇论文整体时检索本记录, 包括其贡献、方法、评测、数据集、实验、结果、局限、图、表与公式。"
+CARD_ZH = (("title", "标题"), ("paper_id", "论文 id"), ("arxiv_id", "arXiv id"), ("aliases", "标题别名与缩写"), ("authors", "作者"), ("year", "年份"), ("venue", "发表于"), ("doi", "DOI"), ("abstract", "摘要"))
+CARD_AUTHORS = 12
 CARD = (("title", "Title"), ("paper_id", "Paper id"), ("arxiv_id", "arXiv id"), ("aliases", "Title aliases and acronyms"), ("authors", "Authors"), ("year", "Year"), ("venue", "Venue"), ("doi", "DOI"), ("abstract", "Abstract"))
 
 
@@ -75,6 +79,16 @@ def metadata_card(header: str = "Paper metadata record.", **fields: Column) -> C
     return F.concat_ws("\n", F.lit(header), *lines)
 
 
+def paper_card(zh: Column, **fields: Column) -> Column:
+    """The whole card in the paper's language: header, purpose, and a line for each field that is there; lists are joined, 12 authors at most."""
+    listed = lambda c: F.when(F.size(c) > 0, F.array_join(c, ", "))
+    fields = fields | {"aliases": listed(fields["aliases"]), "authors": listed(F.slice(fields["authors"], 1, CARD_AUTHORS)), "abstract": collapsed(fields["abstract"])}
+    zh = F.coalesce(zh, F.lit(False))
+    full = {k: F.when(v.cast("string") != "", v.cast("string")) for k, v in fields.items()} | {"title": F.coalesce(fields["title"], F.lit(""))}
+    lines = [F.concat(F.when(zh, own).otherwise(label), F.lit(": "), full[k]) for (k, label), (_, own) in zip(CARD, CARD_ZH, strict=True)]
+    return F.concat_ws("\n", F.when(zh, CARD_ZH_HEADER).otherwise("Paper metadata record."), F.when(zh, CARD_ZH_PURPOSE).otherwise(CARD_PURPOSE), *lines)
+
+
 def decode_inverted(inverted: Column) -> Column:
     """A text from a map of words to their places."""
     places = F.flatten(F.transform(F.map_entries(inverted), lambda e: F.transform(e["value"], lambda p: F.struct(p.alias("at"), e["key"].alias("word")))))

@@ -10,6 +10,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 
 from ..functions.chunking import chunk_frame
 from ..functions.text import chunk_id
+from ..operators.ingest import Ingest
 
 
 def prepared(docs: DataFrame) -> DataFrame:
@@ -28,3 +29,16 @@ def ingest(docs: DataFrame, out: str, checkpoint: str, done: Callable[[int, int]
             done(number, batch.sparkSession.read.parquet(f"{out}/batch={number}").count())
 
     return docs.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def ingest_papers(fetched: DataFrame, into: Ingest, checkpoint: str, name: str = "papers", force: bool = False) -> StreamingQuery:
+    """A stream of fetched papers into a store, batch by batch until it has what is there now.
+
+    A batch is one commit labelled by the stream's name and the batch's number, so a batch that is repeated after a failure is
+    either there as a whole, and not done again, or not there at all.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        into.run(batch, force, f"{name}-{number}")
+
+    return fetched.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
