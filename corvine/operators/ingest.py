@@ -183,15 +183,15 @@ def merged_in_batch(rows: DataFrame, keep: Callable[[str, DataFrame], DataFrame]
     state = keep("merge-0", state.select("*", F.lit("open").alias("state"), F.lit(None).cast("string").alias("merged_into")))
     turn = 0
     while not state.where("state = 'open'").isEmpty():
-        open_, leads, by = F.col("state") == "open", F.lit(True), []
+        open_, leads, found, waits = F.col("state") == "open", F.lit(True), F.lit(None).cast("string"), F.lit(False)
         out = state
-        for key in KEYS:
+        for key in KEYS:  # the first row of a key that is not merged decides, once it is taken; a later key counts where no earlier one does
             live = state.where(F.col(key).isNotNull() & (F.col("state") != "merged"))
-            took = F.when(F.col("state") == "taken", F.struct("seq", "paper_id"))
-            out = out.join(live.groupBy(key).agg(F.min("seq").alias(f"least_{key}"), F.min(took).alias(f"took_{key}")), key, "left")
-            leads = leads & (F.col(key).isNull() | (F.col(f"least_{key}") == F.col("seq")))
-            by.append(F.when(F.col(f"took_{key}.seq") < F.col("seq"), F.col(f"took_{key}.paper_id")))
-        found = F.coalesce(*by)
+            out = out.join(live.groupBy(key).agg(F.min(F.struct("seq", "state", "paper_id")).alias(f"first_{key}")), key, "left")
+            earlier = F.coalesce(F.col(f"first_{key}.seq") < F.col("seq"), F.lit(False))
+            found = F.when(found.isNotNull() | waits, found).when(earlier & (F.col(f"first_{key}.state") == "taken"), F.col(f"first_{key}.paper_id"))
+            waits = waits | (found.isNull() & earlier)
+            leads = leads & ~earlier
         turn += 1
         state_ = F.when(~open_, F.col("state")).when(found.isNotNull(), "merged").when(leads, "taken").otherwise("open")
         state = keep(f"merge-{turn}", out.select("paper_id", "seq", *KEYS, state_.alias("state"), F.coalesce("merged_into", F.when(open_, found)).alias("merged_into")))

@@ -44,19 +44,21 @@ class Versions:
         return self._read(name, schema).join(F.broadcast(self.commits().select("gen").distinct()), "gen", "left_semi")
 
     def table(self, name: str, schema: str) -> DataFrame:
-        """The rows that count now."""
+        """The rows that count now: all but those of generations whose owner a later one spoke of, which are few against the rows."""
         spoke = self.all("owners", f"table_name string, {self.owner} string").where(F.col("table_name") == name)
-        newest = spoke.groupBy(self.owner).agg(F.max("gen").alias("gen"))
-        return self.all(name, schema).join(newest, [self.owner, "gen"], "left_semi").drop("gen").select(*[c.name for c in self._read(name, schema).drop("gen").schema])
+        newest = spoke.groupBy(self.owner).agg(F.max("gen").alias("newest"), F.count("*").alias("times")).where("times > 1")
+        old = spoke.join(newest, self.owner).where("gen < newest").select(self.owner, "gen")
+        rows = self.all(name, schema)
+        return rows.join(old, [self.owner, "gen"], "left_anti").select(*[c for c in rows.columns if c != "gen"])
 
-    def commit(self, gen: int, tables: dict[str, tuple[DataFrame, DataFrame]], label: str | None = None) -> None:
+    def commit(self, gen: int, tables: dict[str, tuple[DataFrame, DataFrame]], label: str | None = None, by: dict[str, list[str]] | None = None) -> None:
         """Writes, for each table, the rows and the owners that have exactly these rows from now on (none: they are gone).
 
-        A ``label`` names what was committed, so that whoever repeats it can see that it is there.
+        A ``label`` names what was committed, so that whoever repeats it can see that it is there; ``by`` names the columns that a table's folders are by.
         """
         owners = None
         for name, (rows, own) in tables.items():
-            rows.write.mode("overwrite").parquet(f"{self.folder}/{name}/gen={gen}")
+            rows.write.mode("overwrite").partitionBy(*(by or {}).get(name, [])).parquet(f"{self.folder}/{name}/gen={gen}")
             one = own.select(F.lit(name).alias("table_name"), F.col(self.owner).cast("string").alias(self.owner)).distinct()
             owners = one if owners is None else owners.unionByName(one)
         owners.write.mode("overwrite").parquet(f"{self.folder}/owners/gen={gen}")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import fanout
 from ..operators import retrieval as R
+from ..operators.cells import CellIndex
 from ..operators.postings import Index
 from ..session import shared_folder
 from ..tables import CHUNK_SQL, chunks, load, questions
@@ -318,3 +319,18 @@ def fanout_round(spark: SparkSession, d: str) -> DataFrame:
     dense = lambda asked: R.dense(points, asked.withColumn("chunk_id", F.floor(number / fanout.VARIANTS) + number % fanout.VARIANTS).join(vectors, "chunk_id").select(F.col("spec_id").alias("query_id"), "vector", "modality"), 20, "modality")
     rows = fanout.retrieve(rewritten, corpus, dense, lambda asked: R.bm25(corpus, asked, "fts", 20), fanout.Round(per_paper=3))
     return rows.select("query_id", "chunk_id", F.round("score_effective", 6).alias("score_effective"), "variant", F.col("asked_modality").alias("modality"), F.col("position").cast("int").alias("position"))
+
+
+def _cells(spark: SparkSession, d: str) -> CellIndex:
+    """The vectors by cells; every seventh came later, and had another vector before."""
+    rows = load(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("label").cast("string").alias("paper_id"), F.col("embedding").alias("vector"))
+    late = F.col("paper_id").cast("int") % 7 == 3
+    index = CellIndex(spark, shared_folder(spark, "cells")).build(rows.withColumn("vector", F.when(late, F.reverse("vector")).otherwise(F.col("vector"))))
+    index.sync(rows, rows.where(late).select("paper_id"))
+    return index
+
+
+@query(f"WITH {DENSE} SELECT query_id, chunk_id, round(score_dense, 6) AS score_dense, rank_dense::INT AS rank_dense FROM dense")
+def cells_topk_exact(spark: SparkSession, d: str) -> DataFrame:
+    """By the exact way through the cells."""
+    return _rounded(_cells(spark, d).search(_asked(spark, d), 20, exact=True), "score_dense")
