@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from ..functions.text import CJK_INDEX, CJK_WIDE, clip
+from .operations import first_in_window
+from .store import resolve_redirects
 
 #: Citations of chunks in definitions; words that no phrase needs.
 CITED = r"\s*[\[(]\s*chunk:[^\])]*[\])]"
@@ -189,3 +191,43 @@ def eligibility(samples: DataFrame, needs_context: bool, needs_reference: bool)
     blank = lambda c: F.trim(F.coalesce(c, F.lit(""))) == ""
     missing = blank(F.col("response")) | (F.lit(needs_context) & (F.coalesce(F.size("contexts"), F.lit(0)) <= 0)) | (F.lit(needs_reference) & blank(F.col("reference")))
     return samples.select("query_id", F.when(F.col("expected_abstain"), "not_applicable").when(missing, "error").otherwise("eligible").alias("status"))
+
+
+def merge(entries: DataFrame, edges: DataFrame, merges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Entries, edges and the outcome of each merge (``source_id, target_id, final_id, outcome``).
+
+    ``entries`` are ``entry_id, version, merged_into, dirty``, ``edges`` are ``entry_id, kind, value`` (labels by their norms).  The target,
+    along redirects, takes up the source's edges that it lacks, gets the next version and is dirty; the source points to it and keeps its own
+    edges.  ``outcome`` is merged, cycle (the target leads back to the source), missing, or conflict: an entry is in more than one of these
+    merges, which then have to come one after the other.
+    """
+    target = resolve_redirects(entries).select(F.col("entry_id").alias("target_id"), F.col("target_id").alias("final_id"))
+    asked = merges.select("source_id", "target_id").distinct().join(target, "target_id", "left")
+    there = entries.select(F.col("entry_id").alias("source_id"), F.lit(True).alias("known"))
+    asked = asked.join(there, "source_id", "left")
+    ends = asked.select(F.explode(F.array_distinct(F.array("source_id", F.coalesce("final_id", "target_id")))).alias("end")).groupBy("end").agg(F.count("*").alias("n"))
+    most = lambda c: F.coalesce(F.col(f"n_{c}"), F.lit(1)) > 1
+    for c in ("source_id", "final_id"):
+        asked = asked.join(ends.select(F.col("end").alias(c), F.col("n").alias(f"n_{c}")), c, "left")
+    outcome = F.when(F.col("known").isNull() | F.col("final_id").isNull(), "missing").when(F.col("final_id") == F.col("source_id"), "cycle").when(most("source_id") | most("final_id"), "conflict").otherwise("merged")
+    done = asked.select("source_id", "target_id", "final_id", outcome.alias("outcome"))
+    good = done.where("outcome = 'merged'").select("source_id", "final_id")
+    moved = edges.join(good, edges["entry_id"] == good["source_id"]).select(F.col("final_id").alias("entry_id"), "kind", "value").distinct()
+    more = edges.unionByName(moved.join(edges, ["entry_id", "kind", "value"], "left_anti"))
+    out = entries.join(good.withColumnRenamed("source_id", "entry_id"), "entry_id", "left").join(good.select(F.col("final_id").alias("entry_id"), F.lit(True).alias("grows")), "entry_id", "left")
+    version = F.when(F.col("grows"), F.col("version") + 1).otherwise(F.col("version"))
+    out = out.select("entry_id", version.alias("version"), F.coalesce("final_id", "merged_into").alias("merged_into"), F.coalesce("grows", "dirty").alias("dirty"))
+    return out, more, done
+
+
+def apply_definitions(entries: DataFrame, proposals: DataFrame, hours: int) -> DataFrame:
+    """Entries ``entry_id, definition, lock_until`` after ``proposals`` (``entry_id, definition, at, seq``), which come in the order of time.
+
+    A proposal counts if the entry is not locked at its time, and locks it for ``hours``; blank ones count for nothing.
+    """
+    open_ = proposals.where(F.trim(F.coalesce("definition", F.lit(""))) != "").withColumn("definition", F.trim("definition"))
+    open_ = open_.join(entries.select("entry_id", "lock_until"), "entry_id").where(F.col("lock_until").isNull() | (F.col("at") >= F.col("lock_until"))).drop("lock_until")
+    taken = first_in_window(open_, ["entry_id"], "at", hours * 3600 - 1e-6, "seq")  # at the very end of a lock the next one counts
+    last = taken.groupBy("entry_id").agg(F.max(F.struct("at", "seq", "definition")).alias("last"))
+    until = F.timestamp_add("HOUR", F.lit(hours), F.col("last.at"))
+    return entries.join(last, "entry_id", "left").select("entry_id", F.coalesce("last.definition", "definition").alias("definition"), F.coalesce(until, "lock_until").alias("lock_until"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import concepts as C
+from ..operators import context as K
 from ..tables import CHUNK_SQL, chunks, load
 from .registry import registry
 
@@ -174,3 +175,98 @@ def reflection_sanitise(spark: SparkSession, d: str) -> DataFrame:
     said = F.when(F.col("vec_id") % 3 == 0, "no object").when(F.col("vec_id") % 3 == 1, F.concat(F.lit('x {"sufficiency": " PARTIAL", "score": "'), (F.col("label") / 4).cast("string"), F.lit('"} y'))).otherwise(F.concat(F.lit('{"sufficiency": "odd", "score": "'), (F.col("label") / 4).cast("string"), F.lit('"}')))
     rows = load(spark, d, "embeddings").select("vec_id", reflection(said).alias("r"))
     return rows.select("vec_id", F.col("r.score").alias("score"), F.col("r.sufficiency").alias("sufficiency"))
+
+
+#: Concepts are suppliers, named by long words of the questions; every tenth is merged into the next one.  A question's hits are the lines of the orders with its number at the end.
+_CONTEXT = r"""item AS (SELECT item_id AS q, regexp_replace(lower(text), '[^a-z0-9]', '', 'g') AS norm FROM benchmark),
+word AS (SELECT row_number() OVER (ORDER BY w) - 1 AS i, w, count(*) OVER () AS n FROM (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z0-9]{5,}')) AS w FROM benchmark)),
+entry AS (SELECT s_suppkey AS e, w AS name, CASE WHEN s_suppkey % 10 = 9 THEN s_suppkey + 1 END AS into_ FROM supplier JOIN word ON i = s_suppkey * 3 % n),
+label AS (SELECT s_suppkey AS e, w AS label FROM supplier JOIN word ON i = s_suppkey * 7 % n WHERE s_suppkey % 2 = 0 UNION ALL SELECT s_suppkey, left(w, 2) FROM supplier JOIN word ON i = s_suppkey * 11 % n),
+paper AS (SELECT DISTINCT l_suppkey AS e, l_orderkey % 400 AS p FROM lineitem WHERE l_linenumber = 1), proof AS (SELECT DISTINCT l_suppkey AS e, l_partkey AS c FROM lineitem),
+hit AS (SELECT DISTINCT q, l_partkey AS c, l_orderkey % 400 AS p FROM item JOIN lineitem ON l_orderkey % 1000 = q),
+near AS (SELECT q, ((q * 5 + k) % (SELECT count(*) FROM supplier)) + 1 AS e, k AS place FROM item, (SELECT unnest([0, 1, 2]) AS k))"""
+
+
+def _context(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    bench, lines, suppliers = load(spark, d, "benchmark"), load(spark, d, "lineitem"), load(spark, d, "supplier")
+    words = bench.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z0-9]{5,})"), F.lit(1))).alias("w")).distinct()
+    words = words.select(F.array_sort(F.collect_set("w").over(Window.partitionBy())).alias("all")).limit(1)
+    key = F.col("s_suppkey")
+    named = suppliers.join(F.broadcast(words)).select(key.alias("entry_id"), *[F.get("all", (key * k % F.size("all")).cast("int")).alias(f"w{k}") for k in (3, 7, 11)])
+    entries = named.select("entry_id", F.col("w3").alias("name_norm"), F.when(F.col("entry_id") % 10 == 9, F.col("entry_id") + 1).alias("merged_into"))
+    labels = named.where("entry_id % 2 = 0").select("entry_id", F.col("w7").alias("label_norm")).unionByName(named.select("entry_id", F.left("w11", F.lit(2)).alias("label_norm")))
+    questions = bench.select(F.col("item_id").alias("query_id"), F.regexp_replace(F.lower("text"), "[^a-z0-9]", "").alias("question_norm"))
+    hits = lines.join(F.broadcast(questions.select("query_id")), F.col("l_orderkey") % 1000 == F.col("query_id")).select("query_id", F.col("l_partkey").alias("chunk_id"), (F.col("l_orderkey") % 400).alias("paper_id"))
+    n = suppliers.agg(F.count("*").alias("n"))
+    near = questions.join(F.broadcast(n)).select("query_id", F.explode(F.array(*map(F.lit, (0, 1, 2)))).alias("place"), "n").select("query_id", ((F.col("query_id") * 5 + F.col("place")) % F.col("n") + 1).alias("entry_id"), "place")
+    return {"questions": questions, "entries": entries, "labels": labels, "papers": lines.where("l_linenumber = 1").select(F.col("l_suppkey").alias("entry_id"), (F.col("l_orderkey") % 400).alias("paper_id")), "evidence": lines.select(F.col("l_suppkey").alias("entry_id"), F.col("l_partkey").alias("chunk_id")), "hits": hits, "near": near}
+
+
+@query(f"""WITH {_CONTEXT},
+lex AS (SELECT q, e, CASE WHEN contains(norm, name) THEN 100 WHEN EXISTS (SELECT 1 FROM label WHERE label.e = entry.e AND length(label) >= 3 AND contains(norm, label)) THEN 90 ELSE 0 END AS s FROM item, entry WHERE into_ IS NULL),
+sh AS (SELECT q, e, 50 + least(count(*), 3) AS s FROM (SELECT DISTINCT q, p FROM hit WHERE c % 100 = 1) JOIN paper USING (p) JOIN entry USING (e) WHERE into_ IS NULL GROUP BY q, e),
+sc AS (SELECT q, e, sum(s)::INT AS s FROM (FROM lex UNION ALL FROM sh) GROUP BY q, e HAVING sum(s) > 0),
+al AS (FROM sc UNION ALL SELECT q, e, 25 FROM near JOIN entry USING (e) WHERE into_ IS NULL AND q NOT IN (SELECT q FROM sc) QUALIFY row_number() OVER (PARTITION BY q ORDER BY place) = 1)
+SELECT q AS query_id, e AS entry_id, s AS score, (row_number() OVER (PARTITION BY q ORDER BY s DESC, e) - 1)::INT AS rank FROM al QUALIFY rank < 3""")
+def question_context_rank(spark: SparkSession, d: str) -> DataFrame:
+    c = _context(spark, d)
+    scope = c["hits"].where("chunk_id % 100 = 1").select("query_id", "paper_id")
+    return K.question_context(c["questions"], c["entries"], c["labels"], c["papers"], scope, c["near"])
+
+
+@query(f"""WITH {_CONTEXT}, live AS (SELECT * FROM entry WHERE into_ IS NULL), asked AS (SELECT * FROM item WHERE q IN (SELECT q FROM hit)),
+dr AS (SELECT q, e, count(*) AS n FROM (SELECT DISTINCT q, c FROM hit) JOIN proof USING (c) GROUP BY q, e), pp AS (SELECT q, e, count(*) AS n FROM (SELECT DISTINCT q, p FROM hit) JOIN paper USING (p) GROUP BY q, e),
+sc AS (SELECT q, e, coalesce(dr.n, 0) AS dr, coalesce(pp.n, 0) AS pp, contains(norm, name) OR EXISTS (SELECT 1 FROM label WHERE label.e = live.e AND label <> '' AND contains(norm, label)) AS lb FROM asked CROSS JOIN live LEFT JOIN dr USING (q, e) LEFT JOIN pp USING (q, e)),
+ti AS (SELECT q, e, (CASE WHEN dr > 0 THEN 300 WHEN pp > 0 THEN 200 ELSE 100 END + least(dr, 10) + least(pp, 5))::INT AS s FROM sc WHERE dr > 0 OR pp > 0 OR lb),
+nr AS (SELECT q, coalesce(into_, e) AS e, min(place) AS place FROM near JOIN entry USING (e) WHERE q IN (SELECT q FROM asked) GROUP BY ALL),
+fi AS (SELECT q, e, 25 AS s FROM nr ANTI JOIN ti USING (q, e) LEFT JOIN (SELECT q, count(*) AS have FROM ti GROUP BY q) USING (q) QUALIFY row_number() OVER (PARTITION BY q ORDER BY place, e) <= 3 - coalesce(have, 0)),
+al AS (FROM ti UNION ALL FROM fi)
+SELECT q AS query_id, e AS entry_id, s AS score, (row_number() OVER (PARTITION BY q ORDER BY s DESC, e) - 1)::INT AS rank FROM al QUALIFY rank < 3""")
+def evidence_context_rank(spark: SparkSession, d: str) -> DataFrame:
+    c = _context(spark, d)
+    return K.evidence_context(c["questions"], c["hits"], c["entries"], c["labels"], c["papers"], c["evidence"], c["near"])
+
+
+#: Suppliers as entries: every tenth is merged already; asked merges: into the next one, back along a redirect, into one that is not there, and two into one.
+_MERGES = """e AS (SELECT s_suppkey AS id, s_nationkey AS version, CASE WHEN s_suppkey % 10 = 9 THEN s_suppkey + 1 END AS into_ FROM supplier),
+a AS (SELECT id AS source, CASE WHEN id % 20 = 3 THEN id + 1 WHEN id % 20 = 10 THEN id - 1 WHEN id % 50 = 6 THEN -1 WHEN id % 20 IN (14, 15) THEN id - id % 20 + 16 END AS target FROM e WHERE id % 20 IN (3, 10, 14, 15) OR id % 50 = 6),
+f AS (SELECT source, target, coalesce(e.into_, e.id) AS final FROM a LEFT JOIN e ON e.id = target),
+o AS (SELECT source, target, CASE WHEN final IS NULL THEN 'missing' WHEN final = source THEN 'cycle' WHEN target % 20 = 16 THEN 'conflict' ELSE 'merged' END AS outcome, final FROM f),
+edge AS (SELECT DISTINCT l_suppkey AS id, l_partkey AS part FROM lineitem)"""
+
+
+def _merged(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    n = F.col("s_suppkey")
+    entries = load(spark, d, "supplier").select(n.alias("entry_id"), F.col("s_nationkey").alias("version"), F.when(n % 10 == 9, n + 1).alias("merged_into"), F.lit(False).alias("dirty"))
+    e = F.col("entry_id")
+    target = F.when(e % 20 == 3, e + 1).when(e % 20 == 10, e - 1).when(e % 50 == 6, F.lit(-1)).when((e % 20).isin(14, 15), e - e % 20 + 16)
+    asked = entries.select(e.alias("source_id"), target.alias("target_id")).where("target_id is not null")
+    edges = load(spark, d, "lineitem").select(F.col("l_suppkey").alias("entry_id"), F.lit("evidence").alias("kind"), F.col("l_partkey").alias("value")).distinct()
+    return C.merge(entries, edges, asked)
+
+
+@query(f"""WITH {_MERGES} SELECT id AS entry_id, (version + CASE WHEN id IN (SELECT final FROM o WHERE outcome = 'merged') THEN 1 ELSE 0 END)::INT AS version, coalesce((SELECT any_value(final) FROM o WHERE source = id AND outcome = 'merged'), into_) AS merged_into,
+  id IN (SELECT final FROM o WHERE outcome = 'merged') AS dirty, (SELECT any_value(outcome) FROM o WHERE source = id) AS outcome FROM e""")
+def concept_merge(spark: SparkSession, d: str) -> DataFrame:
+    entries, _, outcome = _merged(spark, d)
+    return entries.join(outcome.select(F.col("source_id").alias("entry_id"), "outcome"), "entry_id", "left")
+
+
+@query(f"""WITH {_MERGES}, x AS (FROM edge UNION SELECT final, part FROM edge JOIN o ON source = id WHERE outcome = 'merged') SELECT id AS entry_id, count(*) AS n_edges, sum(part)::BIGINT AS parts FROM x GROUP BY id""")
+def concept_merge_edges(spark: SparkSession, d: str) -> DataFrame:
+    _, edges, _ = _merged(spark, d)
+    return edges.groupBy("entry_id").agg(F.count("*").alias("n_edges"), F.sum("value").alias("parts"))
+
+
+@query("""WITH RECURSIVE p AS (SELECT o_custkey % 100 + 1 AS e, o_orderkey AS seq, o_orderdate AS made, CASE WHEN o_orderkey % 9 = 0 THEN ' ' ELSE o_orderpriority END AS d FROM orders WHERE o_custkey % 100 < (SELECT count(*) FROM supplier)),
+s AS (SELECT s_suppkey AS e, s_name AS d, CASE WHEN s_suppkey % 3 = 0 THEN TIMESTAMP '1995-01-01' END AS lock FROM supplier),
+t AS (SELECT e, seq, made, trim(d) AS d, row_number() OVER (PARTITION BY e ORDER BY made, seq) AS n FROM p JOIN (SELECT e, lock FROM s) USING (e) WHERE trim(d) <> '' AND (lock IS NULL OR made >= lock)),
+w(e, n, made, d) AS (SELECT e, n, made, d FROM t WHERE n = 1 UNION ALL (SELECT t.e, t.n, t.made, t.d FROM w JOIN t ON t.e = w.e AND t.n > w.n AND t.made >= w.made + INTERVAL 2400 HOUR QUALIFY row_number() OVER (PARTITION BY t.e ORDER BY t.n) = 1)),
+l AS (SELECT e, max(n) AS n FROM w GROUP BY e)
+SELECT s.e AS entry_id, coalesce(w.d, s.d) AS definition, coalesce(w.made + INTERVAL 2400 HOUR, lock) AS lock_until FROM s LEFT JOIN l ON l.e = s.e LEFT JOIN w ON w.e = l.e AND w.n = l.n""")
+def definition_lock(spark: SparkSession, d: str) -> DataFrame:
+    """Order priorities as proposals of definitions, each of which locks its concept for 100 days."""
+    n = F.col("s_suppkey")
+    entries = load(spark, d, "supplier").select(n.alias("entry_id"), F.col("s_name").alias("definition"), F.when(n % 3 == 0, F.lit("1995-01-01").cast("timestamp")).alias("lock_until"))
+    orders = load(spark, d, "orders").select((F.col("o_custkey") % 100 + 1).alias("entry_id"), F.when(F.col("o_orderkey") % 9 == 0, " ").otherwise(F.col("o_orderpriority")).alias("definition"), F.col("o_orderdate").cast("timestamp").alias("at"), F.col("o_orderkey").alias("seq"))
+    return C.apply_definitions(entries, orders, 2400)
