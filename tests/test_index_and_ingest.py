@@ -39,6 +39,14 @@ def test_terms_are_folded_and_stemmed():
     assert stemming.analyse(None) == [] and stemming.stem("is") == "is" and stemming.stem("x" * 65 + "ing") == "x" * 65 + "ing"
 
 
+@pytest.fixture(scope="module", autouse=True)
+def small_shuffles(spark):
+    few = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", few)
+
+
 # --- index ------------------------------------------------------------------------------------------------------------------------
 
 WORDS = [f"w{i}" for i in range(40)]
