@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 METRICS = ("hit_rate", "mrr", "recall", "paper_hit_rate", "citation_precision", "citation_recall", "abstain_accuracy")
@@ -72,10 +72,33 @@ def referential_problems(golden: DataFrame, chunks: DataFrame, papers: DataFrame
     return joined.select("case_id", problem.alias("problem"), F.col("chunk_id").alias("ref")).where("problem is not null")
 
 
-def index_quantile(values: Column, q: float) -> Column:
-    """The sorted value at ``floor(q n)``, the last at most."""
-    ordered = F.sort_array(F.collect_list(values))
-    return F.get(ordered, F.least(F.size(ordered) - 1, F.floor(F.lit(q) * F.size(ordered)).cast("int")))
+#: Bins that a group's range is cut into to find where a quantile lies.
+BINS = 2048
+
+
+def index_quantiles(frame: DataFrame, by: str, value: str, shares: tuple[float, ...]) -> DataFrame:
+    """``by`` and ``p50, p95, ...``: of each group the sorted value at ``floor(q n)``, the last at most; nulls do not count.
+
+    No group is gathered: one pass takes its size and range, one counts ``BINS`` bins of it, and one counts the values of
+    the bins in which a quantile lies, which a window then walks in their order.  Infinite values and NaN have bins of their own.
+    """
+    rows = frame.select(F.struct(by).alias("g"), F.col(value).cast("double").alias("v"))  # a structure, so that a null group meets itself
+    finite = F.when(~F.isnan("v") & (F.abs("v") < float("inf")), F.col("v"))
+    sizes = rows.groupBy("g").agg(F.count("v").alias("n"), F.min(finite).alias("low"), F.max(finite).alias("high"))
+    known = rows.where("v is not null").join(sizes, "g")
+    inside = F.when(F.col("high") > F.col("low"), F.least(F.floor((F.col("v") - F.col("low")) / (F.col("high") - F.col("low")) * BINS), F.lit(BINS - 1))).otherwise(0)
+    place = F.when(F.isnan("v"), BINS + 1).when(F.col("v") == float("inf"), BINS).when(F.col("v") == float("-inf"), -1).otherwise(inside)
+    binned = known.withColumn("bin", place.cast("int"))
+    counts = binned.groupBy("g", "n", "bin").agg(F.count("*").alias("here"))
+    upto = F.sum("here").over(Window.partitionBy("g").orderBy("bin"))  # BINS + 3 rows a group at most
+    asked = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.least(F.col("n") - 1, F.floor(F.lit(q) * F.col("n"))).alias("rank")) for i, q in enumerate(shares)])).alias("q")
+    wanted = counts.withColumn("upto", upto).select("g", "bin", "here", "upto", asked).where((F.col("q.rank") >= F.col("upto") - F.col("here")) & (F.col("q.rank") < F.col("upto")))
+    wanted = wanted.select("g", "bin", F.col("q.i").alias("i"), (F.col("q.rank") - F.col("upto") + F.col("here")).alias("rank"))
+    values = binned.join(wanted.select("g", "bin").distinct(), ["g", "bin"], "left_semi").groupBy("g", "bin", "v").agg(F.count("*").alias("times"))
+    ends = F.sum("times").over(Window.partitionBy("g", "bin").orderBy("v"))
+    found = values.withColumn("ends", ends).join(wanted, ["g", "bin"]).where((F.col("rank") >= F.col("ends") - F.col("times")) & (F.col("rank") < F.col("ends")))
+    out = found.groupBy("g").agg(*[F.max(F.when(F.col("i") == i, F.col("v"))).alias(f"p{round(100 * q)}") for i, q in enumerate(shares)])
+    return sizes.select("g").join(out, "g", "left").select(F.col("g")[by].alias(by), *out.columns[1:])
 
 
 def composite(backends: dict[str, DataFrame]) -> DataFrame:

@@ -37,7 +37,7 @@ def latency_histogram(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""WITH s AS (SELECT event_type, list_sort(list(value)) AS v FROM events GROUP BY 1) SELECT event_type, v[least(len(v), floor(0.5 * len(v))::INT + 1)] AS p50, v[least(len(v), floor(0.95 * len(v))::INT + 1)] AS p95, v[least(len(v), floor(0.99 * len(v))::INT + 1)] AS p99 FROM s""")
 def index_quantiles(spark: SparkSession, d: str) -> DataFrame:
-    return _events(spark, d).groupBy("event_type").agg(*[E.index_quantile(F.col("value"), q).alias(f"p{round(100 * q)}") for q in (0.5, 0.95, 0.99)])
+    return E.index_quantiles(_events(spark, d), "event_type", "value", (0.5, 0.95, 0.99))
 
 
 @query(f"WITH {JOBS} SELECT s.status, count(id) AS n FROM (SELECT unnest(['pending', 'processing', 'done', 'failed', 'skipped']) AS status) s LEFT JOIN jobs USING (status) GROUP BY 1")

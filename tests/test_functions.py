@@ -354,3 +354,12 @@ def test_rounds_follow_up_until_the_evidence_suffices(spark):
     assert {r["stopped_by"] for r in failed} == {"chat_error"} and {r["answer"] for r in failed} == {""}
     as_rows = lambda f: sorted(map(tuple, f.collect()))
     assert as_rows(R.bm25(index.rows(chunks), asked)) == as_rows(R.bm25(chunks, asked))
+
+
+@pytest.mark.parametrize("values", [[3.0], [1.0, 1.0, 1.0, 2.0], [5.0, float("nan"), 1.0, float("inf"), float("-inf"), None], [None], [float(i * i % 97) for i in range(500)]])
+def test_quantiles_are_those_of_the_sorted_list(spark, values):
+    frame = spark.createDataFrame([(None, v) for v in values] + [("other", 1.0)], "k string, v double")
+    row = E.index_quantiles(frame, "k", "v", (0.0, 0.5, 0.95, 1.0)).where("k is null").first()
+    own = sorted((v for v in values if v is not None), key=lambda v: (v != v, v))
+    want = [own[min(len(own) - 1, int(q * len(own)))] if own else None for q in (0.0, 0.5, 0.95, 1.0)]
+    assert [repr(row[f"p{n}"]) for n in (0, 50, 95, 100)] == [repr(w) for w in want]
