@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 from ..functions import models
 from ..functions import text as T
+from ..operators import fanout
 from ..operators import operations as O
 from ..operators import retrieval as R
+from ..operators.postings import Index
 
 
 @dataclass(frozen=True)
@@ -29,15 +31,30 @@ class Settings:
     encoder: Callable[[], models.Encoder] = models.hashing_encoder
     reranker: Callable[[Column, Column], Column] = T.overlap
     sparse: str = "fts"
+    index: Index | None = None
+    vectors: DataFrame | None = None
+    rewrite: Callable[[DataFrame], DataFrame] | None = None
 
 
 def retrieve(chunks: DataFrame, questions: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """Ranked rows of each question: both legs fused, penalised, reranked in a window of three times ``top_k``, spread over papers."""
+    """Ranked rows of each question: both legs fused, penalised, reranked in a window of three times ``top_k``, spread over papers.
+
+    With a kept ``index`` and kept ``vectors`` (``chunk_id, vector``) no chunk is tokenised or encoded again; with ``rewrite``
+    (``fanout.rewrites``) each question is asked in its variants and modalities.
+    """
     s = settings
-    vectors = models.embed(chunks, "chunk_id", "text", s.encoder)
-    asked = models.embed(questions, "query_id", "query", s.encoder)
-    dense = R.dense(vectors, asked, s.pool)
-    sparse = R.bm25(chunks, questions, s.sparse, s.pool)
+    vectors = s.vectors if s.vectors is not None else models.embed(chunks, "chunk_id", "text", s.encoder)
+    by_term = lambda asked: s.index.search(asked, s.sparse, s.pool) if s.index is not None else R.bm25(chunks, asked, s.sparse, s.pool)
+    if s.rewrite is not None:
+        points = vectors.select("chunk_id", "vector").join(chunks.select("chunk_id", "modality"), "chunk_id")
+
+        def by_vector(asked: DataFrame) -> DataFrame:
+            own = models.embed(asked, "spec_id", "query", s.encoder).join(asked.select("spec_id", "modality"), "spec_id")
+            return R.dense(points, own.withColumnRenamed("spec_id", "query_id"), s.pool, "modality")
+
+        return fanout.retrieve(s.rewrite(questions), chunks, by_vector, by_term, fanout.Round(s.pool, s.top_k, s.rrf_k, s.penalty, s.per_paper), s.reranker)
+    dense = R.dense(vectors, models.embed(questions, "query_id", "query", s.encoder), s.pool)
+    sparse = by_term(questions)
     fused = R.fused_top(R.rrf([(dense, "rank_dense"), (sparse, "rank_bm25")], s.rrf_k), 2 * s.pool)
     rows = fused.join(chunks, "chunk_id").join(questions, "query_id")
     intent = T.reference_intent(F.col("query"))

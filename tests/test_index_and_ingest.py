@@ -326,3 +326,24 @@ def test_cells_recall_on_the_given_vectors(spark):
     d = "/root/testdata/sf0.01"
     asked = retrieval._asked(spark, d)
     assert cells.recall(retrieval._cells(spark, d).search(asked, 20), R.dense(retrieval._points(spark, d), asked, 20)) >= 0.9
+
+
+# --- the answering chain on kept data -----------------------------------------------------------------------------------------------
+
+
+def test_chain_reads_kept_index_and_vectors(spark, tmp_path, little):
+    """The same rows as from the texts, without an encoder; and in variants and modalities."""
+    from corvine.plans import answer
+
+    ask = spark.createDataFrame([(1, "graph w1 figure"), (2, "text w3")], "query_id long, query string")
+    index = P.Index(spark, str(tmp_path / "ix")).build(little, "plain", shards=2)
+    vectors = fanout.models.embed(little, "chunk_id", "text").persist()
+    plain = answer.retrieve(little, ask, answer.Settings(top_k=5))
+    kept = answer.Settings(top_k=5, index=index, vectors=vectors)
+    keys = ["query_id", "chunk_id", "position"]
+    assert rows_of(answer.retrieve(little, ask, kept).select(keys)) == rows_of(plain.select(keys))
+    wide = answer.Settings(top_k=5, index=index, vectors=vectors, rewrite=lambda q: fanout.rewrites(q.withColumn("hints", F.array(F.lit("w2 text")))))
+    rows = answer.retrieve(little, ask, wide).collect()
+    assert {r["query_id"] for r in rows} == {1, 2} and {r["variant"] for r in rows} <= {0, 1} and all(r["modality"] == "figure" for r in rows if r["asked_modality"])
+    replies = answer.answer(little, ask, wide, reflect=lambda q, c: F.lit('{"sufficiency": "partial", "follow_up": "w4 text"}'), rounds=2).collect()
+    assert len(replies) == 2 and all(r["citations"] or r["decision"] for r in replies)
