@@ -24,7 +24,8 @@ candidates.  The list of heavy n-grams has at most ``2 * mean set size / HEAVY``
 input, so it is sent to all.  The result is exact but for collisions of 64-bit hashes in a pair.
 
 Defined results: null and blank texts have an empty set and are linked with nothing; a text of fewer
-than ``n`` words is one n-gram; repeated rows are linked as equal sets; other columns are ignored.
+than ``n`` words is one n-gram; repeated rows are linked as equal sets; rows without an id take part like others, and a component without
+any id has none; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -441,10 +442,19 @@ def similar_classes(docs: DataFrame, t: float = 0.75, n: int = 5, doc_id: str =
             part, sets = part.filter(own), pa.array(sets, pa.binary()).filter(own)
             yield pa.RecordBatch.from_arrays([part.column(0), *part.columns[2:], sets], ["doc_id", "sign", "group", "band", "parts", "grams"])
 
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in by_bytes(batches, "text", SLICE):
+            own = signatures(*shingle_sets(*text_arrays(part.column(1)), n))
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(own)], ["doc_id", "text", "sign"])
+
     # equal ids with different texts: the set of the class is told by its signature
-    if suspects.count() <= _common.BROADCAST_ROWS:
-        suspects = F.broadcast(suspects)
-    spelt = docs.join(suspects.select("doc_id", "sign", "group", "band", "parts"), "doc_id").select("doc_id", "text", "sign", "group", "band", "parts")
+    picked = suspects.select("doc_id", "sign", "group", "band", "parts")
+    few = F.broadcast if suspects.count() <= _common.BROADCAST_ROWS else lambda frame: frame
+    spelt = docs.join(few(picked), "doc_id").select("doc_id", "text", "sign", "group", "band", "parts")
+    nameless = picked.where("doc_id is null").drop("doc_id")
+    if not nameless.isEmpty():  # classes of rows without ids are bridges too: their texts are found by the signature
+        told_ = docs.where("doc_id is null").mapInArrow(sign, "doc_id long, text string, sign long")
+        spelt = spelt.unionByName(told_.join(few(nameless), "sign").dropDuplicates(["sign"]).select(spelt.columns))
     spelt = spelt.mapInArrow(spell, "doc_id long, sign long, `group` long, band int, parts map<int,bigint>, grams binary")
     own = F.pmod(F.xxhash64("sign"), F.col("parts")[F.col("band")])
     place = lambda i_band, i, j_band, j: F.struct(i_band.alias("i_band"), i.alias("i"), j_band.alias("j_band"), j.alias("j"))

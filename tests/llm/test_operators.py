@@ -607,6 +607,18 @@ def test_ngram_join_on_odd_rows(odd, empty):
     assert ngram_join.similar_classes(empty).count() == 0
 
 
+@pytest.mark.parametrize("bridge", [[(4, 30)], [(None, 30)], [(None, 30), (None, 30)]])
+@pytest.mark.parametrize("most", [0, 500_000])
+def test_rows_without_ids_are_bridges(spark, monkeypatch, bridge, most):
+    """The first and last text share two thirds only; each shares 0.8 and more with the one between them, whatever its id."""
+    monkeypatch.setattr(_common, "BROADCAST_ROWS", most)
+    text = lambda size: " ".join(f"w{i}" for i in range(size + 4))
+    rows = [(5, text(36)), *((i, text(k)) for i, k in bridge), (3, text(24)), (None, "another text of some words here"), (None, None)]
+    got = ngram_join.similar_classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(2)).collect()
+    assert sorted((r["n_shingles"], r["component_id"]) for r in got if r["n_shingles"] > 20) == [(24, 3), *[(30, 3)] * len(bridge), (36, 3)]
+    assert {r["component_id"] for r in got if r["n_shingles"] <= 20} == {None}
+
+
 def test_components_in_rounds(spark):
     rng = random.Random(9)
     pairs = [(rng.randint(0, 400), rng.randint(0, 400)) for _ in range(300)] + [(i, i + 1) for i in range(500, 540)]
