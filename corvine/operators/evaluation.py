@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 METRICS = ("hit_rate", "mrr", "recall", "paper_hit_rate", "citation_precision", "citation_recall", "abstain_accuracy")
@@ -64,6 +64,53 @@ def gates(current: DataFrame, baseline: DataFrame, fail_under: float, min_covera
     return joined.select("metric", each).select("metric", "g.*")
 
 
+#: The schema of a report, and the fields that two reports must share to be compared.
+REPORT = "ragas-report.v1"
+IDENTITY = ("ragas_version", "judge_model", "embedding_model", "golden_set_sha256", "corpus_manifest_sha256")
+REPORT_SCHEMA = "schema_version string, evaluation map<string,string>, aggregate_metrics map<string,struct<mean:double,coverage:double>>"
+
+
+def failing(wrong: Column, message: Column) -> Column:
+    """False where all is well; fails the query where it is not."""
+    return F.when(wrong, F.raise_error(message).cast("boolean")).otherwise(False)
+
+
+def read_report(spark: SparkSession, path: str, label: str = "report") -> DataFrame:
+    """One row of a JSON report; another schema, or one without metadata or metrics, fails the read."""
+    rows = spark.read.schema(REPORT_SCHEMA).option("multiLine", "true").json(path)
+    wrong = F.coalesce(F.col("schema_version") != REPORT, F.lit(True)) | F.col("evaluation").isNull() | F.col("aggregate_metrics").isNull()
+    return rows.where(~failing(wrong, F.lit(f"{label} must use schema {REPORT}, with evaluation and aggregate_metrics")))
+
+
+def report_gates(report: DataFrame, fail_under: dict[str, float], min_coverage: dict[str, float], max_regression: dict[str, float], baseline: DataFrame | None = None) -> DataFrame:
+    """``gate, metric, actual, baseline, bound`` of each gate that a report violates; reports are rows of ``read_report``.
+
+    A metric that a report lacks, a regression gate without a baseline, and a baseline of another identity fail the query.
+    """
+    if max_regression and baseline is None:
+        raise ValueError("max_regression needs a baseline")
+    rows = report.select("evaluation", F.col("aggregate_metrics").alias("now"))
+    none = F.lit(None).cast(report.schema["aggregate_metrics"].dataType)
+    if baseline is not None:
+        rows = rows.join(F.broadcast(baseline.select(F.col("evaluation").alias("other"), F.col("aggregate_metrics").alias("before"))))  # one row
+        apart = F.array_compact(F.array(*[F.when(~F.col("evaluation")[f].eqNullSafe(F.col("other")[f]), f) for f in IDENTITY]))
+        rows = rows.where(~failing(F.size(apart) > 0, F.concat(F.lit("baseline is not comparable; mismatched: "), F.array_join(apart, ", "))))
+    else:
+        rows = rows.withColumn("before", none)
+    out = []
+    for gate, bounds in (("fail_under", fail_under), ("min_coverage", min_coverage), ("max_regression", max_regression)):
+        for metric, bound in bounds.items():
+            now, before = F.col("now")[metric], F.col("before")[metric]
+            actual = now["coverage"] if gate == "min_coverage" else now["mean"]
+            absent = now.isNull() | (before.isNull() if gate == "max_regression" else F.lit(False))
+            bad = before["mean"] - actual > bound if gate == "max_regression" else actual < bound
+            bad = failing(absent, F.lit(f"a report does not contain metric: {metric}")) | bad
+            shown = before["mean"] if gate == "max_regression" else F.lit(None).cast("double")
+            out.append(F.when(bad, F.struct(F.lit(gate).alias("gate"), F.lit(metric).alias("metric"), actual.alias("actual"), shown.alias("baseline"), F.lit(float(bound)).alias("bound"))))
+    gates_ = F.array_compact(F.array(*out)) if out else F.array().cast("array<struct<gate:string,metric:string,actual:double,baseline:double,bound:double>>")
+    return rows.select(F.explode(gates_).alias("g")).select("g.*")
+
+
 def referential_problems(golden: DataFrame, chunks: DataFrame, papers: DataFrame) -> DataFrame:
     """``case_id, problem, ref`` of golden rows ``case_id, chunk_id, paper_id`` against a corpus."""
     chunks = chunks.select("chunk_id", F.col("paper_id").alias("owner"))

@@ -45,9 +45,11 @@ def retained(entries: DataFrame, now: Column, ttl: int, capacity: int) -> DataFr
     return live.orderBy(F.desc("last_access"), "key").limit(capacity)
 
 
-def first_in_window(items: DataFrame, by: Sequence[str], at: str, seconds: int, order: str) -> DataFrame:
+def first_in_window(items: DataFrame, by: Sequence[str], at: str, seconds: float, order: str, blocks: str | None = None) -> DataFrame:
     """Items that come more than ``seconds`` after the last item of their kind that was kept; those without a time are kept.
 
+    ``blocks`` names a boolean column: kept items where it is not true (reviews that are settled) hold back no later ones.
+
     Whether an item stays depends on all before it, so a kind's items stream through one task in order of
     time, which holds no more than the last kept time of the kind at hand.
     """
@@ -57,14 +59,14 @@ def first_in_window(items: DataFrame, by: Sequence[str], at: str, seconds: int,
         kind = kept = None
         for batch in batches:
             own = []
-            for *key, micros in zip(*(c.to_pylist() for c in batch.columns[len(names) :]), strict=True):
+            for *key, live, micros in zip(*(c.to_pylist() for c in batch.columns[len(names) :]), strict=True):
                 kind, kept = key, (kept if key == kind else None)
                 stays = micros is None or kept is None or micros > kept + seconds * 1_000_000
-                kept = micros if stays and micros is not None else kept
+                kept = micros if stays and live and micros is not None else kept
                 own.append(stays)
             yield pa.RecordBatch.from_arrays(batch.columns[: len(names)], names).filter(pa.array(own, pa.bool_()))
 
-    keyed = items.select("*", *[F.col(c).alias(f"by_{i}") for i, c in enumerate(by)], F.unix_micros(F.col(at).cast("timestamp")).alias("micros"))
+    keyed = items.select("*", *[F.col(c).alias(f"by_{i}") for i, c in enumerate(by)], (F.lit(True) if blocks is None else F.col(blocks)).alias("live"), F.unix_micros(F.col(at).cast("timestamp")).alias("micros"))
     columns = [f"by_{i}" for i in range(len(by))]
     return keyed.repartition(*columns).sortWithinPartitions(*columns, "micros", order).mapInArrow(fold, kinds)
 

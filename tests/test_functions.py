@@ -363,3 +363,32 @@ def test_quantiles_are_those_of_the_sorted_list(spark, values):
     own = sorted((v for v in values if v is not None), key=lambda v: (v != v, v))
     want = [own[min(len(own) - 1, int(q * len(own)))] if own else None for q in (0.0, 0.5, 0.95, 1.0)]
     assert [repr(row[f"p{n}"]) for n in (0, 50, 95, 100)] == [repr(w) for w in want]
+
+
+def test_reports_are_compared_with_their_like(spark, tmp_path):
+    def report(name, mean, judge="m", version="ragas-report.v1"):
+        made = {"schema_version": version, "evaluation": {"judge_model": judge, "ragas_version": "1"}, "aggregate_metrics": {"faithfulness": {"mean": mean, "coverage": 0.5}}}
+        (tmp_path / name).write_text(json.dumps(made))
+        return E.read_report(spark, str(tmp_path / name), name)
+
+    now, before = report("now", 0.7), report("before", 0.9)
+    got = E.report_gates(now, {"faithfulness": 0.75}, {"faithfulness": 0.5}, {"faithfulness": 0.1}, before).collect()
+    assert [(r["gate"], r["actual"], r["baseline"], r["bound"]) for r in got] == [("fail_under", 0.7, None, 0.75), ("max_regression", 0.7, 0.9, 0.1)]
+    assert E.report_gates(now, {"faithfulness": 0.7}, {}, {}).collect() == []
+    for make, problem in (
+        (lambda: E.report_gates(now, {}, {}, {"faithfulness": 0.1}, report("other", 0.9, judge="n")), "mismatched: judge_model"),
+        (lambda: E.report_gates(now, {"recall": 0.1}, {}, {}), "does not contain metric: recall"),
+        (lambda: report("old", 0.9, version="v0"), "must use schema"),
+    ):
+        with pytest.raises(Exception, match=problem):
+            make().collect()
+    with pytest.raises(ValueError, match="baseline"):
+        E.report_gates(now, {}, {}, {"faithfulness": 0.1})
+
+
+def test_settled_reviews_hold_back_nothing(spark):
+    at = lambda h: dt.datetime(2024, 1, 1) + dt.timedelta(hours=h)
+    rows = [(1, "k", at(0), False), (2, "k", at(1), True), (3, "k", at(2), True), (4, "k", at(25), True), (5, "k", at(25.5), None), (6, "j", at(2), True)]
+    frame = spark.createDataFrame(rows, "id int, kind string, at timestamp, pending boolean")
+    assert {r["id"] for r in operations.first_in_window(frame, ["kind"], "at", 86400, "id", "pending").collect()} == {1, 2, 5, 6}
+    assert {r["id"] for r in operations.first_in_window(frame, ["kind"], "at", 86400, "id").collect()} == {1, 4, 6}
