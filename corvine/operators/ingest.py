@@ -25,7 +25,6 @@ from ..functions import text as T
 from ..sources import identifiers
 from . import store as S
 from .postings import Index
-from .retrieval import best
 from .versions import Versions
 
 log = logging.getLogger(__name__)
@@ -362,11 +361,18 @@ def chunk_key(chunk_id: Column) -> Column:
 
 
 def _whole(fetched: DataFrame) -> DataFrame:
-    """All columns that may come, the first row of each id, and the order in which papers came."""
+    """All columns that may come, the first row of each id, and the order in which papers came.
+
+    Only the numbers of rows are compared; what is left out is few, and no file moves for it.
+    """
     kinds = dict(zip(names(META), [p.strip().split(" ", 1)[1] for p in META.split(", ")], strict=True)) | {"layout": "string", "markdown": "string", "content": "binary"}
-    rows = fetched.select(*[(F.col(c) if c in fetched.columns else F.lit(None)).cast(k).alias(c) for c, k in kinds.items()], (F.col("seq").cast("long") if "seq" in fetched.columns else F.monotonically_increasing_id()).alias("seq"))
+    nth = F.monotonically_increasing_id()
+    rows = fetched.select(*[(F.col(c) if c in fetched.columns else F.lit(None)).cast(k).alias(c) for c, k in kinds.items()], (F.col("seq").cast("long") if "seq" in fetched.columns else nth).alias("seq"), nth.alias("nth"))
     rows = rows.where("paper_id is not null").withColumn("title_norm", F.when(T.title_norm(F.col("title")) != "", T.title_norm(F.col("title"))))
-    return best(rows, ["paper_id"], [F.asc("seq")], 1, "nth").drop("nth")
+    place = F.struct("seq", "nth")
+    several = rows.groupBy("paper_id").agg(F.count("*").alias("times"), F.min(place).alias("first")).where("times > 1")
+    late = rows.select("paper_id", "nth", place.alias("place")).join(several, "paper_id").where(F.col("place") != F.col("first")).select("nth")
+    return rows.join(late, "nth", "left_anti").drop("nth")
 
 
 def summary(report: DataFrame) -> DataFrame:

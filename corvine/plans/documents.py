@@ -9,6 +9,7 @@ from ..functions import chunking
 from ..functions import text as T
 from ..operators import retrieval as R
 from ..operators import store as S
+from ..operators import visual as V
 from ..sources import identifiers as I
 from ..tables import CHUNK_SQL, chunks, load
 from .registry import registry
@@ -239,3 +240,15 @@ def asset_pairing(spark: SparkSession, d: str) -> DataFrame:
     figures = pages.select("page_id", F.concat(F.lit("img/"), n, F.lit(".png")).alias("asset"))
     layout = pages.where("page_id % 2 = 0").select(F.concat(F.lit("out/auto/"), n, F.lit(".png")).alias("path"), F.when(F.col("page_id") % 3 == 0, "table").otherwise("image").alias("kind"), (F.col("page_id") % 5).alias("page"))
     return S.pair_assets(figures, layout).select("page_id", "modality", "page")
+
+
+@query(f"""WITH {CHUNK_SQL}, v AS (SELECT chunk_id, paper_id, CASE WHEN chunk_id % 7 = 3 THEN NULL ELSE 'img/' || chunk_id % 200 || '.png' END AS asset FROM chunk WHERE modality IN ('figure', 'table')),
+a AS (SELECT 'img/' || page_id || '.png' AS asset, strlen(html) AS size FROM pages WHERE page_id % 5 <> 2),
+j AS (SELECT v.*, size, coalesce(sum((coalesce(size, 1000000) <= 4000)::INT) OVER (PARTITION BY paper_id ORDER BY chunk_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM v LEFT JOIN a USING (asset))
+SELECT chunk_id, CASE WHEN asset IS NULL THEN 'missing asset_path' WHEN size IS NULL THEN 'asset not found: ' || asset WHEN before >= 3 THEN 'max_images_per_paper=3 reached' WHEN size > 4000 THEN 'image exceeds max_image_bytes=4000' END AS reason FROM j""")
+def visual_admission(spark: SparkSession, d: str) -> DataFrame:
+    """Pages stand for image files; every source has three images at most."""
+    n = F.col("chunk_id")
+    rows = chunks(spark, d).withColumns({"asset": F.when(n % 7 != 3, F.concat(F.lit("img/"), (n % 200).cast("string"), F.lit(".png"))), "seq": n})
+    files = load(spark, d, "pages").where("page_id % 5 <> 2").select(F.concat(F.lit("img/"), F.col("page_id").cast("string"), F.lit(".png")).alias("asset"), F.octet_length("html").alias("size"), F.sha2("html", 256).alias("digest"))
+    return V.admitted(rows, files, 3, 4000).select("chunk_id", "reason")
