@@ -101,6 +101,7 @@ class TraceProcessor(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.held = handle.getMapState("traces", "trace_id string", TRACE_STATE)
+        self.count = handle.getValueState("count", "n int")
 
     def _row(self, tenant: str, user: str | None, trace: str | None, event: str, outcome: str, data: str | None, at: int) -> dict:
         return {"tenant": tenant, "user_id": user, "trace_id": trace, "event": event, "outcome": outcome, "data": data, "at": stamp(at)}
@@ -108,42 +109,49 @@ class TraceProcessor(StatefulProcessor):
     def _frame(self, rows: list[dict]) -> pd.DataFrame:
         return pd.DataFrame(rows, columns=[c.split()[0] for c in TRACES.split(", ")]).astype({"at": "datetime64[ns]"})
 
+    def _gone(self, tenant: str, trace: str, value: tuple, outcome: str, at: int) -> dict:
+        self.held.removeKey((trace,))
+        return self._row(tenant, value[0], trace, "evict", outcome, None, at)
+
     def _expire(self, tenant: str, now: int) -> list[dict]:
-        gone = [(k[0], v) for k, v in self.held.iterator() if now - v[2] >= TRACE_TTL * 1000]
-        for trace, _ in gone:
-            self.held.removeKey((trace,))
-        return [self._row(tenant, v[0], trace, "evict", "expired", None, v[2] + TRACE_TTL * 1000) for trace, v in gone]
+        """Takes out what a timer found dead; the map is read for timers and beyond the capacity only."""
+        dead = [(k[0], v) for k, v in self.held.iterator() if now - v[2] >= TRACE_TTL * 1000]
+        return [self._gone(tenant, trace, v, "expired", v[2] + TRACE_TTL * 1000) for trace, v in dead]
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
         tenant, out = key[0], []
+        n = self.count.get()[0] if self.count.exists() else 0
         for user, trace, event, data, at in pd.concat(list(rows)).sort_values("at", kind="stable")[["user_id", "trace_id", "event", "data", "at"]].itertuples(index=False):
             now = millis(at)
-            out += self._expire(tenant, now)
-            known = self.held.getValue((trace,)) if event != "tick" and self.held.containsKey((trace,)) else None
-            if event == "put":
-                if known is not None and known[0] != user:
-                    out.append(self._row(tenant, user, trace, event, "denied", None, now))
-                    continue
+            if event == "tick":
+                continue
+            known = self.held.getValue((trace,)) if self.held.containsKey((trace,)) else None
+            if known is not None and now - known[2] >= TRACE_TTL * 1000:  # dead, though its timer has not come yet
+                out.append(self._gone(tenant, trace, known, "expired", known[2] + TRACE_TTL * 1000))
+                known, n = None, n - 1
+            if known is not None and known[0] != user:
+                out.append(self._row(tenant, user, trace, event, "denied", None, now))
+            elif event == "put":
+                n += known is None
                 self.held.updateValue((trace,), (user, data, now, now))
                 self.handle.registerTimer(now + TRACE_TTL * 1000)
                 out.append(self._row(tenant, user, trace, event, "stored", None, now))
-                all_ = sorted((v[3], k[0], v[0]) for k, v in self.held.iterator())
-                for _, old, owner in all_[: max(0, len(all_) - CAPACITY)]:
-                    self.held.removeKey((old,))
-                    out.append(self._row(tenant, owner, old, "evict", "capacity", None, now))
+                if n > CAPACITY:
+                    used = sorted((v[3], k[0], v) for k, v in self.held.iterator())
+                    out += [self._gone(tenant, old, v, "capacity", now) for _, old, v in used[: n - CAPACITY]]
+                    n = CAPACITY
+            elif event == "get" and known is None:
+                out.append(self._row(tenant, user, trace, event, "not_found", None, now))
             elif event == "get":
-                if known is None:
-                    out.append(self._row(tenant, user, trace, event, "not_found", None, now))
-                elif known[0] != user:
-                    out.append(self._row(tenant, user, trace, event, "denied", None, now))
-                else:
-                    self.held.updateValue((trace,), (known[0], known[1], known[2], now))
-                    out.append(self._row(tenant, user, trace, event, "found", known[1], now))
+                self.held.updateValue((trace,), (known[0], known[1], known[2], now))
+                out.append(self._row(tenant, user, trace, event, "found", known[1], now))
+        self.count.update((n,))
         if out:
             yield self._frame(out)
 
     def handleExpiredTimer(self, key: Any, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
         if out := self._expire(key[0], expiredTimerInfo.getExpiryTimeInMs()):
+            self.count.update((self.count.get()[0] - len(out),))
             yield self._frame(out)
 
 
