@@ -197,9 +197,9 @@ def failure_classify(spark: SparkSession, d: str) -> DataFrame:
 SELECT doc_id, string_agg(word, ' ' ORDER BY pos) AS text FROM u GROUP BY doc_id""")
 def abstract_decode(spark: SparkSession, d: str) -> DataFrame:
     """An inverted index (word to places) made of each whole text, and read back."""
-    words = F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), F.lit(1))
-    places = load(spark, d, "documents").select("doc_id", F.posexplode(words).alias("at", "word")).groupBy("doc_id", "word").agg(F.collect_list("at").alias("at"))
-    inverted = places.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("word", "at"))).alias("inverted"))
+    words = lambda text: F.regexp_extract_all(F.lower(text), F.lit("([a-z]+)"), F.lit(1))
+    texts = load(spark, d, "documents").groupBy("doc_id").agg(F.collect_list("text").alias("texts"))
+    inverted = texts.select("doc_id", I.encode_inverted(F.transform("texts", words)).alias("inverted")).where("size(inverted) > 0")
     return inverted.select("doc_id", I.decode_inverted(F.col("inverted")).alias("text"))
 
 

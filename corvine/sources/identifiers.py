@@ -89,6 +89,20 @@ def paper_card(zh: Column, **fields: Column) -> Column:
     return F.concat_ws("\n", F.when(zh, CARD_ZH_HEADER).otherwise("Paper metadata record."), F.when(zh, CARD_ZH_PURPOSE).otherwise(CARD_PURPOSE), *lines)
 
 
+def encode_inverted(texts: Column) -> Column:
+    """A map of words to their places, of texts as arrays of words; inside the row, by one sort of the words."""
+    places = F.sort_array(F.flatten(F.transform(texts, lambda t: F.transform(t, lambda w, i: F.struct(w.alias("word"), i.alias("at"))))))
+
+    def entries(placed: Column) -> Column:
+        word = lambda i: F.get(placed, i)["word"]
+        first = F.filter(F.transform(placed, lambda _, i: i), lambda i: (i == 0) | (word(i) != word(i - 1)))
+        own = lambda heads: F.transform(heads, lambda h, k: F.struct(word(h).alias("word"), F.transform(F.slice(placed, h + 1, F.coalesce(F.get(heads, k + 1), F.size(placed)) - h), lambda p: p["at"]).alias("at")))
+        return F.get(F.transform(F.array(first), own), F.lit(0))
+
+    # arrays of one element bind a value, so that it is made once and not at each of its uses
+    return F.map_from_entries(F.get(F.transform(F.array(places), entries), F.lit(0)))
+
+
 def decode_inverted(inverted: Column) -> Column:
     """A text from a map of words to their places."""
     places = F.flatten(F.transform(F.map_entries(inverted), lambda e: F.transform(e["value"], lambda p: F.struct(p.alias("at"), e["key"].alias("word")))))
