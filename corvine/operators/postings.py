@@ -28,14 +28,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.batches import pieces
 from ..functions.stemming import analyse
 from .retrieval import BM25, MOST_TEXTS, best
 from .topk import TopK
 
 #: Ways to terms: words and CJK pairs as they are, or folded and stemmed.
 ANALYSERS = {"plain": T.index_terms, "porter": analyse}
-#: Chunks of a block, chunks of a shard that are aimed at, terms that are pushed to the scan one by one.
-BLOCK, SHARD_ROWS, PUSHED = 256, 1 << 14, 64
+#: Chunks of a block, chunks and characters of a shard that are aimed at, terms that are pushed to the scan one by one.
+BLOCK, SHARD_ROWS, SHARD_CHARS, PUSHED = 256, 1 << 12, 1 << 24, 64
+#: Postings that a task inverts at a time; a shard that has more gets several runs of blocks.
+MOST_POSTINGS = 1 << 19
 #: What rounding can add to a sum of bounds.
 SLACK = 1e-6
 
@@ -48,7 +51,7 @@ def documents(chunks: DataFrame, analyser: str, shards: int) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms_of = ANALYSERS[analyser]
-        for batch in batches:
+        for batch in pieces(batches):
             sizes, terms, counts, edges = [], [], [], [0]
             for text in batch.column(3).to_pylist():
                 own = Counter(found := terms_of(text))
@@ -66,27 +69,30 @@ def documents(chunks: DataFrame, analyser: str, shards: int) -> DataFrame:
     return picked.mapInArrow(count, DOCS).sortWithinPartitions("paper_id")
 
 
-def by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
-    """The rows of each shard as one table; rows come sorted by shard."""
+def by_shard(batches: Iterator[pa.RecordBatch], most: int | None = None) -> Iterator[tuple[int, pa.Table]]:
+    """The rows of each shard as one table; rows come sorted by shard.  With ``most``, of rows with ``terms``, as several tables of about so many terms."""
     held: list[pa.RecordBatch] = []
-    for batch in batches:
+    terms = 0
+    for batch in batches if most is None else pieces(batches):
         shards = batch.column(0).to_numpy()
         edges = np.r_[0, np.flatnonzero(np.diff(shards)) + 1, len(shards)]
         for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-            if held and b > a and held[0].column(0)[0].as_py() != shards[a]:
+            if held and b > a and (held[0].column(0)[0].as_py() != shards[a] or (most is not None and terms >= most)):
                 yield held[0].column(0)[0].as_py(), pa.Table.from_batches(held)
-                held = []
+                held, terms = [], 0
             if b > a:
                 held.append(batch.slice(a, b - a))
+                terms += 0 if most is None else len(held[-1].column("terms").flatten())
     if held:
         yield held[0].column(0)[0].as_py(), pa.Table.from_batches(held)
 
 
-def inverted(docs: DataFrame) -> DataFrame:
-    """``POSTINGS`` of ``DOCS``, sorted by term in each shard."""
+def inverted(docs: DataFrame, most: int | None = None) -> DataFrame:
+    """``POSTINGS`` of ``DOCS``, sorted by term in each shard; ``most`` postings at a time, ``MOST_POSTINGS`` unless given."""
+    most = most or MOST_POSTINGS
 
     def invert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for shard, table in by_shard(batches):
+        for shard, table in by_shard(batches, most):
             lists = table.column("terms").combine_chunks()
             if not len(flat := lists.flatten()):
                 continue
@@ -116,7 +122,7 @@ def inverted(docs: DataFrame) -> DataFrame:
             for a in range(0, whole.num_rows, 4096):
                 yield whole.slice(a, 4096)
 
-    return docs.repartition("shard").sortWithinPartitions("shard").mapInArrow(invert, POSTINGS)
+    return docs.repartition("shard").sortWithinPartitions("shard").mapInArrow(invert, POSTINGS).sortWithinPartitions("shard", "term")
 
 
 class Index:
@@ -167,10 +173,15 @@ class Index:
         done.coalesce(1).write.mode("overwrite").parquet(at("totals"))
         return {"added": row["added"], "removed": row["removed"]}
 
-    def build(self, chunks: DataFrame, analyser: str = "porter", shards: int | None = None) -> Index:
-        """Generation 0 of all chunks; the number of shards stays.  It follows from the number of chunks unless given."""
-        shards = shards or max(1, -(-chunks.count() // SHARD_ROWS), self.spark.sparkContext.defaultParallelism)
-        self.commit(0, documents(chunks, analyser, shards), chunks.select("paper_id"), analyser, shards)
+    def build(self, chunks: DataFrame, analyser: str = "porter", shards: int | None = None, mark: int = -1) -> Index:
+        """Generation 0 of all chunks; the number of shards stays.  It follows from the number and the characters of chunks unless given.
+
+        ``mark`` is as in ``sync``.
+        """
+        if not shards:
+            rows, chars = chunks.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
+            shards = max(1, -(-rows // SHARD_ROWS), -(-chars // SHARD_CHARS), self.spark.sparkContext.defaultParallelism)
+        self.commit(0, documents(chunks, analyser, shards), chunks.select("paper_id"), analyser, shards, mark)
         return self
 
     def sync(self, chunks: DataFrame, papers: DataFrame, mark: int = -1) -> dict[str, int]:

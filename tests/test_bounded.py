@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
+from corvine.functions.batches import pieces
+from corvine.operators import postings as P
+from corvine.operators import retrieval as R
 from corvine.plans import catalogue
 from corvine.sources import identifiers as I
 
@@ -20,3 +24,37 @@ def test_inverted_texts_are_made_inside_the_row(spark, tmp_path):
 def test_a_map_of_words_to_places(spark):
     made = spark.range(1).select(I.encode_inverted(F.array(F.array(*map(F.lit, "babc")))).alias("m")).first()["m"]
     assert made == {"a": [1], "b": [0, 2], "c": [3]}
+
+
+def test_batches_come_in_pieces():
+    batch = pa.RecordBatch.from_pydict({"text": ["x" * 100_000] * 30 + ["y"] * 2000})
+    parts = list(pieces([batch, batch.slice(0, 0)]))
+    assert sum(p.num_rows for p in parts) == batch.num_rows and max(p.num_rows for p in parts) <= 256
+    assert max(p.num_rows for p in pieces([batch.slice(0, 30)])) <= 10
+
+
+def test_a_shard_comes_in_portions():
+    batch = pa.RecordBatch.from_pydict({"shard": pa.array([0] * 600 + [1] * 3, pa.int32()), "terms": [["a", "b"]] * 603, "id": list(range(603))})
+    got = [(s, t.column("id").to_pylist()) for s, t in P.by_shard([batch], 100)]
+    assert [i for _, own in got for i in own] == list(range(603)) and [s for s, _ in got].count(0) > 1 and got[-1] == (1, [600, 601, 602])
+    assert [s for s, _ in P.by_shard([batch])] == [0, 1]
+
+
+def test_a_shard_of_many_runs_finds_the_same(spark, tmp_path, monkeypatch):
+    rows = [(i, f"p{i % 7}", " ".join(f"w{(i * k) % 23}" for k in range(1, 9))) for i in range(600)]
+    chunks = spark.createDataFrame(rows, "chunk_id long, paper_id string, text string")
+    asked = spark.createDataFrame([(1, "w3 w5"), (2, "w1 w2 w22 w22"), (3, "none")], "query_id long, query string")
+    whole = P.inverted
+    monkeypatch.setattr(P, "inverted", lambda docs: whole(docs, 200))
+    index = P.Index(spark, str(tmp_path / "ix")).build(chunks.withColumn("text", F.when(F.col("paper_id") == "p3", F.lit("w3 w3 w5")).otherwise(F.col("text"))), "plain", shards=1)
+    assert index.table("postings").groupBy("shard", "term").count().agg(F.max("count")).first()[0] > 1  # in one run each term has one block
+    index.sync(chunks, spark.createDataFrame([("p3",)], "paper_id string"))
+    got, want = ([tuple(r) for r in f.orderBy("query_id", "rank_bm25").collect()] for f in (index.search(asked, "fts", 20), R.bm25(chunks, asked, "fts", 20)))
+    assert len(got) == 40 and [(*r[:3], round(r[3], 6), r[4]) for r in got] == [(*r[:3], round(r[3], 6), r[4]) for r in want]
+    assert {r["term"]: r["df"] for r in index.frequencies().collect()} == {r["t"]: r["count"] for r in chunks.select("chunk_id", F.explode(F.split("text", " ")).alias("t")).distinct().groupBy("t").count().collect()}
+
+
+def test_shards_follow_characters(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(P, "SHARD_CHARS", 100)
+    chunks = spark.createDataFrame([(i, "p", "word " * 50) for i in range(8)], "chunk_id long, paper_id string, text string")
+    assert P.Index(spark, str(tmp_path / "ix")).build(chunks, "plain").settings()[1] == 20
