@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import tracemalloc
+
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
 from corvine.functions.batches import pieces
 from corvine.operators import postings as P
 from corvine.operators import retrieval as R
+from corvine.operators.topk import TopK
 from corvine.plans import catalogue
 from corvine.sources import identifiers as I
 
@@ -58,3 +62,19 @@ def test_shards_follow_characters(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(P, "SHARD_CHARS", 100)
     chunks = spark.createDataFrame([(i, "p", "word " * 50) for i in range(8)], "chunk_id long, paper_id string, text string")
     assert P.Index(spark, str(tmp_path / "ix")).build(chunks, "plain").settings()[1] == 20
+
+
+def test_frequencies_of_asked_terms_only(spark):
+    texts = spark.createDataFrame([("a b c",), ("a c d",), (None,)], "text string")
+    n, mean, df, _ = R._statistics(texts, False, {"a", "d", "z"})
+    assert (n, mean) == (3, 2.0) and {r["term"]: r["df"] for r in df.where("term is not null").collect()} == {"a": 2, "d": 1}
+
+
+def test_first_scores_of_a_search_take_little_memory():
+    queries = 256
+    scores, rows = np.random.default_rng(1).random((R.MOST_SCORES // queries, queries)), np.arange(R.MOST_SCORES // queries)
+    tracemalloc.start()
+    TopK(queries, 20).offer(scores, rows)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 64 << 20
