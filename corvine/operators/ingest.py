@@ -303,8 +303,8 @@ class Ingest:
         try:
             spoke = self.store.all("owners", "table_name string, paper_id string").where("table_name = 'points'")
             sparse = self.points().select(chunk_key(F.col("chunk_id")).alias("chunk_id"), "paper_id", "text")
-            if not self.index.exists():
-                self.index.build(sparse.limit(0), "porter")
+            if not self.index.exists():  # of all points, as the number of its shards follows from them
+                self.index.build(sparse, "porter", mark=self.store.last())
             behind = spoke.where(F.col("gen") > self.index.mark()).select("paper_id").distinct()
             if not behind.isEmpty():
                 self.index.sync(sparse, behind, self.store.last())

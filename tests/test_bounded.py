@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from corvine.functions.batches import pieces
 from corvine.operators import postings as P
 from corvine.operators import retrieval as R
+from corvine.operators.ingest import Ingest
 from corvine.operators.topk import TopK
+from corvine.operators.versions import Versions
 from corvine.plans import catalogue
 from corvine.sources import identifiers as I
 
@@ -78,3 +80,12 @@ def test_first_scores_of_a_search_take_little_memory():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 64 << 20
+
+
+def test_first_index_of_a_store_has_shards_by_its_points(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(P, "SHARD_ROWS", 1)
+    index = P.Index(spark, str(tmp_path / "ix"))
+    into = Ingest(Versions(spark, str(tmp_path / "store")), index)
+    into.run(spark.createDataFrame([(f"p{i}", f"Title {i}", f"# Method\n\nSome words {i}.") for i in range(6)], "paper_id string, title string, markdown string"))
+    points = into.points().count()
+    assert points == 12 and index.settings()[1] == points and index.totals()[0] == points and index.mark() == into.store.last()
