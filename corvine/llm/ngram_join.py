@@ -48,6 +48,8 @@ GROUP_TOKENS = 8_000_000
 BUCKET_ROWS = 1 << 18
 #: A packet's n-grams and documents (numbered in 16 bits; a slice of at most 16,384 may come on top).
 PACKET_GRAMS, PACKET_DOCS = 2_500_000, 45_000
+#: Fingerprints that a task sends at once.
+PORTION = 1 << 18
 SMALL_EDGES = 500_000
 SLICE = 1 << 20
 
@@ -270,17 +272,21 @@ def similar_classes(docs: DataFrame, t: float = 0.75, n: int = 5, doc_id: str =
     docs = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].cast("string").alias("text"))
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often, rows, settled = {}, 0, 0
+        rows, settled = 0, 0
+        often, count = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         pending: list[np.ndarray] = []
 
         def settle() -> None:
-            nonlocal settled
-            values, times = np.unique(np.concatenate(pending), return_counts=True)
-            pending.clear()
-            some = times >= max(2, (rows - settled) * HEAVY / 8)
+            nonlocal settled, often, count
+            values = _taken(pending)
+            values.sort()
+            edge = np.flatnonzero(np.r_[True, values[1:] != values[:-1], True]) if len(values) else np.zeros(1, np.int64)
+            some = np.flatnonzero(np.diff(edge) >= max(2, (rows - settled) * HEAVY / 8))
+            values, times = values[edge[some]], edge[some + 1] - edge[some]
             settled = rows
-            for v, c in zip(values[some].tolist(), times[some].tolist(), strict=True):
-                often[v] = often.get(v, 0) + c
+            names, back = np.unique(np.concatenate([often, values]), return_inverse=True)
+            count = np.bincount(back, np.concatenate([count, times]), len(names)).astype(np.int64)
+            often, count = names[count >= rows * HEAVY / 8], count[count >= rows * HEAVY / 8]  # others would have to come far oftener from here on
 
         for part in by_bytes(batches, "text", SLICE):
             grams, edges = shingle_sets(*text_arrays(part.column(1)), n)
@@ -296,11 +302,10 @@ def similar_classes(docs: DataFrame, t: float = 0.75, n: int = 5, doc_id: str =
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(signs), pa.array(np.diff(edges)), none, none], ["doc_id", "sign", "n", "gram", "times"])
         if pending:
             settle()
-        heavy = [(g, c) for g, c in often.items() if c >= max(8, rows * HEAVY / 2)]
-        if heavy:
-            none = pa.nulls(len(heavy), pa.int64())
-            gram = pa.array(np.array([g for g, _ in heavy], np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([none, none, none, gram, pa.array([c for _, c in heavy], pa.int64())], ["doc_id", "sign", "n", "gram", "times"])
+        heavy = count >= max(8, rows * HEAVY / 2)
+        if heavy.any():
+            none = pa.nulls(int(heavy.sum()), pa.int64())
+            yield pa.RecordBatch.from_arrays([none, none, none, pa.array(often[heavy].view(np.int64)), pa.array(count[heavy])], ["doc_id", "sign", "n", "gram", "times"])
 
     described = kept(docs.mapInArrow(describe, "doc_id long, sign long, n long, gram long, times long"))
     heavy = described.where("gram is not null").groupBy("gram").agg(F.sum("times").alias("times"))
@@ -316,32 +321,21 @@ def similar_classes(docs: DataFrame, t: float = 0.75, n: int = 5, doc_id: str =
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[int, int] = {}
-        sizes, grams_, owner_ = [], [], []
+        sizes: list[int] = []
         late, packet = shared.value, (TaskContext.get().partitionId() if TaskContext.get() else 0) << 24
+        light, hot_ = ([], [], []), ([], [])  # fingerprints, buckets and owners; heavy n-grams and owners
 
         def flush() -> Iterator[pa.RecordBatch]:
             if not known:
                 return
-            gram, owner, n_ = np.concatenate(grams_), np.concatenate(owner_), np.array(sizes, np.int64)
-            heavy = np.zeros(len(gram), bool)
-            if len(late):
-                heavy = late[np.minimum(np.searchsorted(late, gram), len(late) - 1)] == gram
-            h = np.bincount(owner[heavy], minlength=len(n_))
+            n_, (hot, whose) = np.array(sizes, np.int64), map(_taken, hot_)
+            h = np.bincount(whose, minlength=len(n_))
             reach = prefix(n_) - (n_ - h)  # heavy n-grams that the prefix reaches
-            hot, whose = gram[heavy], owner[heavy]
             place = np.arange(len(hot)) - np.searchsorted(whose, np.arange(len(n_)))[whose]
             hot, whose = hot[place < reach[whose]], whose[place < reach[whose]]
-            own = (np.array(list(known), np.int64), n_.astype(np.int32), h.astype(np.int32), whose.astype(np.uint16), hot)
+            own = (np.array(list(known), np.int64), n_.astype(np.int32), h.astype(np.int32), whose, hot)
             yield _packets([-1 - packet], packet, [[x.tobytes()] for x in own])
-            gram, owner = gram[~heavy], owner[~heavy]
-            bucket = (gram % np.uint64(buckets)).astype(np.int32)
-            order = np.argsort(bucket, kind="stable")
-            edge = np.flatnonzero(np.r_[True, np.diff(bucket[order]) != 0, True]) if len(order) else [0]
-            mark, to = (gram[order] >> np.uint64(32)).astype(np.uint32), owner[order]
-            spans = list(zip(edge[:-1], edge[1:], strict=True))
-            whom = [np.diff(to[i:j], prepend=0).astype(np.uint16).tobytes() for i, j in spans]
-            names = bucket[order[edge[:-1]]].tolist() if spans else []
-            yield _packets(names, packet, [[mark[i:j].tobytes() for i, j in spans], whom, *[[None] * len(spans)] * 3])
+            yield from _by_bucket(*light, packet)
 
         for part in by_bytes(batches, "text", SLICE):
             grams, edges = shingle_sets(*text_arrays(part.column(1)), n)
@@ -352,11 +346,16 @@ def similar_classes(docs: DataFrame, t: float = 0.75, n: int = 5, doc_id: str =
                     number[i] = known[sign] = len(sizes)
                     sizes.append(k)
             whose = np.repeat(number, n_)
-            grams_.append(grams[whose >= 0])
-            owner_.append(whose[whose >= 0])
-            if sum(map(len, grams_)) > PACKET_GRAMS or len(sizes) > PACKET_DOCS:
+            grams, whose = grams[whose >= 0], whose[whose >= 0].astype(np.uint16)
+            heavy = np.zeros(len(grams), bool)
+            if len(late):
+                heavy = late[np.minimum(np.searchsorted(late, grams), len(late) - 1)] == grams
+            rare = grams[~heavy]
+            for kept_, x in zip((*light, *hot_), ((rare >> np.uint64(32)).astype(np.uint32), (rare % np.uint64(buckets)).astype(np.int32), whose[~heavy], grams[heavy], whose[heavy]), strict=True):
+                kept_.append(x)
+            if sum(map(len, light[0])) + sum(map(len, hot_[0])) > PACKET_GRAMS or len(sizes) > PACKET_DOCS:
                 yield from flush()
-                known.clear(), sizes.clear(), grams_.clear(), owner_.clear()
+                known.clear(), sizes.clear()
                 packet += 1
         yield from flush()
 
@@ -385,14 +384,15 @@ def similar_classes(docs: DataFrame, t: float = 0.75, n: int = 5, doc_id: str =
         signs, n_, h = np.frombuffer(head["a"], np.int64), np.frombuffer(head["b"], np.int32).astype(np.int64), np.frombuffer(head["c"], np.int32)
         rest = table.filter(pa.array(keys >= 0))
         join = lambda c, kind: np.frombuffer(b"".join(rest.column(c).to_pylist()), kind)
-        mark, owner, rarity = join("a", np.uint32), join("b", np.uint16).astype(np.int64), join("c", np.uint8)
         lengths = [len(x) for x in rest.column("c").to_pylist()]
-        gram = (np.repeat(rest.column("key").to_numpy(), lengths).astype(np.uint64) << np.uint64(32)) | mark
-        order = np.lexsort((gram, rarity, owner))
-        gram, owner = gram[order], owner[order]
+        gram = np.repeat(rest.column("key").to_numpy().astype(np.uint64) << np.uint64(32), lengths)
+        gram |= join("a", np.uint32)
+        owner = join("b", np.uint16).astype(np.uint32) << np.uint32(8) | join("c", np.uint8)  # with the frequency class below
+        order = np.lexsort((gram, owner))
+        gram, owner = gram[order], (owner[order] >> np.uint32(8)).astype(np.int32)
+        del order
         once = n_ - h - np.bincount(owner, minlength=len(n_))
-        place = np.arange(len(gram)) - np.searchsorted(owner, np.arange(len(n_)))[owner]
-        first = place < (prefix(n_) - once)[owner]
+        first = np.arange(len(gram)) < (np.searchsorted(owner, np.arange(len(n_))) + prefix(n_) - once)[owner]
         hot, whose = np.frombuffer(head["e"], np.uint64), np.frombuffer(head["d"], np.uint16).astype(np.int64)
         gram, node = np.concatenate([gram[first], hot]), np.concatenate([owner[first], whose])
         if not len(gram):
@@ -509,6 +509,32 @@ _FIRST = "bucket long, grams binary, nodes binary, lows binary, highs binary, a
 _NAMES = ["bucket", "grams", "nodes", "lows", "highs", "a", "b"]
 
 
+def _taken(parts: list[np.ndarray]) -> np.ndarray:
+    """The parts as one array; the list is empty then, so that no part is held twice for long."""
+    whole = np.concatenate(parts)
+    parts.clear()
+    return whole
+
+
+def _by_bucket(marks: list[np.ndarray], buckets: list[np.ndarray], owners: list[np.ndarray], packet: int) -> Iterator[pa.RecordBatch]:
+    """A packet's fingerprints and their owners' differences, a row a bucket, in batches of some ``PORTION`` fingerprints; takes what the lists hold."""
+    bucket = _taken(buckets)
+    order = np.argsort(bucket, kind="stable").astype(np.uint32)
+    bucket = bucket[order]
+    edge = np.flatnonzero(np.r_[True, np.diff(bucket) != 0, True]) if len(order) else np.zeros(1, np.int64)
+    names = bucket[edge[:-1]]
+    del bucket
+    mark, to = _taken(marks)[order], _taken(owners)[order]
+    del order
+    begin = 0
+    while begin < len(names):
+        end = max(begin + 1, int(np.searchsorted(edge, edge[begin] + PORTION, "right")) - 1)
+        spans = list(zip(edge[begin:end].tolist(), edge[begin + 1 : end + 1].tolist(), strict=True))
+        whom = [np.diff(to[i:j], prepend=np.uint16(0)).tobytes() for i, j in spans]
+        yield _packets(names[begin:end].tolist(), packet, [[mark[i:j].tobytes() for i, j in spans], whom, *[[None] * len(spans)] * 3])
+        begin = end
+
+
 def _packets(keys: list[int], packet: int, columns: list[list]) -> pa.RecordBatch:
     values = [pa.array(keys, pa.int64()), pa.array([packet] * len(keys), pa.int64()), *(pa.array(c, pa.binary()) for c in columns)]
     return pa.RecordBatch.from_arrays(values, _PACKET)

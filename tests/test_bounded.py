@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from corvine.functions.batches import pieces
+from corvine.llm import ngram_join as N
 from corvine.operators import postings as P
 from corvine.operators import retrieval as R
 from corvine.operators.ingest import Ingest
@@ -89,3 +90,20 @@ def test_first_index_of_a_store_has_shards_by_its_points(spark, tmp_path, monkey
     into.run(spark.createDataFrame([(f"p{i}", f"Title {i}", f"# Method\n\nSome words {i}.") for i in range(6)], "paper_id string, title string, markdown string"))
     points = into.points().count()
     assert points == 12 and index.settings()[1] == points and index.totals()[0] == points and index.mark() == into.store.last()
+
+
+def test_a_packet_of_fingerprints_is_sent_in_portions():
+    grams, buckets = 2_500_000, 40
+    rng = np.random.default_rng(1)
+    mark, bucket, owner = rng.integers(0, 1 << 32, grams, dtype=np.uint32), rng.integers(0, buckets, grams, dtype=np.int32), np.sort(rng.integers(0, 40_000, grams)).astype(np.uint16)
+    held = [np.array_split(x, 20) for x in (mark, bucket, owner)]
+    got, peak = [], 0
+    tracemalloc.start()
+    for batch in N._by_bucket(*held, 7):
+        got += [(b, np.frombuffer(m, np.uint32), np.cumsum(np.frombuffer(w, np.uint16), dtype=np.uint16)) for b, m, w in zip(batch["key"].to_pylist(), batch["a"].to_pylist(), batch["b"].to_pylist(), strict=True)] if batch["key"][0].as_py() < 3 else []
+        assert batch.nbytes < 6.5 * 2 * N.PORTION
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 80 << 20 and not any(held) and [b for b, _, _ in got][:3] == [0, 1, 2]
+    for b, m, w in got:
+        assert (m == mark[bucket == b]).all() and (w == owner[bucket == b]).all()
