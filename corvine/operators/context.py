@@ -6,6 +6,8 @@ Frames: ``entries`` (``entry_id, name_norm, merged_into``), ``labels`` (``entry_
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +19,8 @@ PIECES = (1, 2, 3, 4, 8)
 #: Points of names, labels, shared papers, nearness, and of evidence, papers and labels where evidence is known.
 NAME, LABEL, PAPERS, NEAR = 100, 90, 50, 25
 BY_EVIDENCE, BY_PAPERS, BY_LABEL = 300, 200, 100
+#: Rows of evidence a task is planned for.
+TASK_ROWS = 1 << 18
 SHORTEST_LABEL, MOST_PAPERS, MOST_DIRECT, MOST_SHARED, MOST_ENTRIES = 3, 3, 10, 5, 3
 
 
@@ -31,13 +35,15 @@ def contained(questions: DataFrame, labels: DataFrame, text: str = "question_nor
     """``query_id`` and the labels' rows where the label is a part of the question.
 
     A label meets a question by its first piece, an equality, and only then is compared at that place; so no question meets all labels.
+    Labels are made distinct before they meet: a row comes once a text of its question, and no task holds the pairs.
     """
-    keyed = labels.where(F.coalesce(F.length(label), F.lit(0)) > 0).withColumn("piece", F.left(label, piece_size(F.col(label))))
+    dealt = labels.where(F.coalesce(F.length(label), F.lit(0)) > 0).repartition(labels.sparkSession.sparkContext.defaultParallelism, "entry_id").distinct()
+    keyed = dealt.withColumn("piece", F.left(label, piece_size(F.col(label))))
     size = F.explode(F.array(*map(F.lit, PIECES))).alias("size")
     sized = questions.select("query_id", F.col(text).alias("whole"), size).where(F.length("whole") >= F.col("size"))
     placed = sized.select("query_id", "whole", "size", F.explode(F.sequence(F.lit(1), F.length("whole") - F.col("size") + 1)).alias("at"))
     pieces = placed.select("query_id", "whole", F.substring("whole", F.col("at"), F.col("size")).alias("piece")).distinct()
-    return pieces.join(keyed, "piece").where(F.contains(F.col("whole"), F.col(label))).drop("piece", "whole").distinct()
+    return pieces.join(keyed, "piece").where(F.contains(F.col("whole"), F.col(label))).drop("piece", "whole")
 
 
 def filled(scored: DataFrame, near: DataFrame | None, most: int, only_empty: bool) -> DataFrame:
@@ -45,8 +51,11 @@ def filled(scored: DataFrame, near: DataFrame | None, most: int, only_empty: boo
 
     ``only_empty``: the nearest one, and only for questions without any; else as many as are missing of ``most``.
     """
+    # a question with fewer than ``most`` has all its scored entries among the best
+    scored = best(scored, ["query_id"], [F.desc("score"), F.asc("entry_id")], most)
     if near is None:
-        return best(scored, ["query_id"], [F.desc("score"), F.asc("entry_id")], most)
+        return scored
+    scored = scored.drop("rank")
     have = scored.groupBy("query_id").agg(F.count("*").alias("have"))
     free = near.join(scored.select("query_id", "entry_id"), ["query_id", "entry_id"], "left_anti").join(have, "query_id", "left")
     room = F.when(F.coalesce("have", F.lit(0)) > 0, 0).otherwise(1) if only_empty else F.lit(most) - F.coalesce("have", F.lit(0))
@@ -57,7 +66,7 @@ def filled(scored: DataFrame, near: DataFrame | None, most: int, only_empty: boo
 def question_context(questions: DataFrame, entries: DataFrame, labels: DataFrame, papers: DataFrame, scope: DataFrame | None = None, near: DataFrame | None = None, most: int = MOST_ENTRIES) -> DataFrame:
     """Entries of each question: name in it, else a label of three characters or more, and papers of its ``scope`` (``query_id, paper_id``)."""
     live = entries.where("merged_into is null")
-    names = contained(questions, live.select("entry_id", F.col("name_norm").alias("label_norm"))).select("query_id", "entry_id", F.lit(NAME).alias("by_name"))
+    names = contained(questions, live.select("entry_id", F.col("name_norm").alias("label_norm"))).select("query_id", "entry_id", F.lit(NAME).alias("by_name")).distinct()
     own = labels.where(F.length("label_norm") >= SHORTEST_LABEL).join(live.select("entry_id"), "entry_id", "left_semi")
     marks = contained(questions, own.select("entry_id", "label_norm")).select("query_id", "entry_id").distinct().withColumn("by_label", F.lit(LABEL))
     rows = names.join(marks, ["query_id", "entry_id"], "full_outer").withColumn("score", F.coalesce("by_name", "by_label")).select("query_id", "entry_id", "score")
@@ -75,20 +84,20 @@ def evidence_context(questions: DataFrame, hits: DataFrame, entries: DataFrame,
 
     Merged entries have no say; where a near one is merged, its target stands for it.
 
-    Hits are few; what they share with entries is counted by pairs of question and entry, and no chunk's whole list is built.
+    What hits share with entries is counted by pairs of question and entry, and no chunk's whole list is built.  The pairs are many more
+    than the rows, so they are dealt to as many tasks as the evidence's rows ask for, and no task counts more of them as the input grows.
     """
     target = resolve_redirects(entries)
-    chunks = hits.where("chunk_id is not null").select("query_id", "chunk_id").distinct()
+    tasks = max(evidence.sparkSession.sparkContext.defaultParallelism, math.ceil(evidence.count() / TASK_ROWS))
+    chunks = hits.where("chunk_id is not null").select("query_id", "chunk_id").repartition(tasks, "chunk_id").distinct()
     shown = hits.where("paper_id is not null").select("query_id", "paper_id").distinct()
     with_hits = questions.join(hits.select("query_id").distinct(), "query_id", "left_semi")
     names = entries.select("entry_id", F.col("name_norm").alias("label_norm")).unionByName(labels.select("entry_id", "label_norm"))
-    zero = F.lit(0).cast("long")
-    parts = [
-        chunks.join(evidence.select("entry_id", "chunk_id").distinct(), "chunk_id").groupBy("query_id", "entry_id").agg(F.count("*").alias("direct")).select("query_id", "entry_id", "direct", zero.alias("paper"), F.lit(0).alias("named")),
-        shown.join(papers.select("entry_id", "paper_id").distinct(), "paper_id").groupBy("query_id", "entry_id").agg(F.count("*").alias("paper")).select("query_id", "entry_id", zero.alias("direct"), "paper", F.lit(0).alias("named")),
-        contained(with_hits, names).select("query_id", "entry_id", zero.alias("direct"), zero.alias("paper"), F.lit(1).alias("named")),
-    ]
-    own = parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("query_id", "entry_id").agg(*[F.max(c).alias(c) for c in ("direct", "paper", "named")])
+    pair = lambda frame, kind: frame.select("query_id", "entry_id", *[F.lit(int(c == kind)).cast("long").alias(c) for c in ("direct", "paper", "named")])
+    pairs = pair(chunks.join(evidence.select("entry_id", "chunk_id").repartition(tasks, "chunk_id").distinct(), "chunk_id"), "direct")
+    pairs = pairs.unionByName(pair(shown.join(papers.select("entry_id", "paper_id").repartition(tasks, "entry_id").distinct(), "paper_id"), "paper"))
+    pairs = pairs.unionByName(pair(contained(with_hits, names), "named"))
+    own = pairs.repartition(tasks, "query_id", "entry_id").groupBy("query_id", "entry_id").agg(*[F.sum(c).alias(c) for c in ("direct", "paper")])
     rows = own.join(entries.where("merged_into is null").select("entry_id"), "entry_id", "left_semi")
     tier = F.when(F.col("direct") > 0, BY_EVIDENCE).when(F.col("paper") > 0, BY_PAPERS).otherwise(BY_LABEL)
     score = (tier + F.least("direct", F.lit(MOST_DIRECT)) + F.least("paper", F.lit(MOST_SHARED))).cast("int")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tracemalloc
 
 import numpy as np
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from corvine.functions.batches import pieces
 from corvine.llm import ngram_join as N
+from corvine.operators import context as K
 from corvine.operators import postings as P
 from corvine.operators import retrieval as R
 from corvine.operators.ingest import Ingest
@@ -107,3 +109,20 @@ def test_a_packet_of_fingerprints_is_sent_in_portions():
     assert peak < 80 << 20 and not any(held) and [b for b, _, _ in got][:3] == [0, 1, 2]
     for b, m, w in got:
         assert (m == mark[bucket == b]).all() and (w == owner[bucket == b]).all()
+
+
+def test_pairs_of_questions_and_entries_are_dealt_by_the_rows_of_evidence(spark, monkeypatch):
+    frame = lambda rows, kind: spark.createDataFrame(rows, kind)
+    questions = frame([(q, "abcdef") for q in range(3)], "query_id long, question_norm string")
+    hits = frame([(q, c, c % 4) for q in range(3) for c in range(q, 40, 2)], "query_id long, chunk_id long, paper_id long")
+    entries = frame([(e, "cd" if e == 7 else "x", 3 if e == 2 else None) for e in range(10)], "entry_id long, name_norm string, merged_into long")
+    labels = frame([(8, "ab"), (8, "ab"), (9, "")], "entry_id long, label_norm string")
+    papers = frame([(e, e % 6) for e in range(6)], "entry_id long, paper_id long")
+    evidence = frame([(e, c) for e in range(3) for c in range(0, 40, e + 1)] * 2, "entry_id long, chunk_id long")
+    monkeypatch.setattr(K, "TASK_ROWS", 10)
+    out = K.evidence_context(questions, hits, entries, labels, papers, evidence, most=9)
+    even, odd = {0: 311, 1: 310, 7: 100, 8: 100}, {0: 310, 1: 201, 3: 201, 7: 100, 8: 100}
+    assert {(r["query_id"], r["entry_id"]): r["score"] for r in out.collect()} == {(q, e): s for q, own in enumerate((even, odd, even)) for e, s in own.items()}
+    tasks = -(-evidence.count() // 10)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert f"hashpartitioning(query_id, entry_id, {tasks})" in re.sub(r"#\d+L?", "", plan)
