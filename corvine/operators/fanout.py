@@ -93,26 +93,36 @@ def specs(rewritten: DataFrame) -> DataFrame:
     return full.select(number.alias("spec_id"), "query_id", "variant", "modality", "dense_query", sparse.alias("sparse_query"))
 
 
-def tried(name: str, leg: Callable[[], DataFrame]) -> DataFrame | None:
-    """A leg's rows, kept, or None if it failed; the failure is logged."""
+#: What a search server or an index raises when it cannot be reached; anything else is a fault of the leg.
+UNAVAILABLE = (ConnectionError, TimeoutError)
+
+
+def tried(name: str, leg: Callable[[], DataFrame], unavailable: tuple[type[Exception], ...] = UNAVAILABLE) -> DataFrame | None:
+    """A leg's rows, or None if it failed with one of ``unavailable``, which is logged; any other failure is raised.
+
+    Rows are kept where a failure may be let pass, as it must be seen before the lists are fused.
+    """
+    if not unavailable:
+        return leg()
     try:
         rows = leg().persist()
         rows.count()
-    except Exception as problem:  # whatever a search server or an index may raise
+    except unavailable as problem:
         log.warning("%s leg failed: %s", name, problem)
         return None
     return rows
 
 
-def search(asked: DataFrame, chunks: DataFrame, dense: Callable[[DataFrame], DataFrame], sparse: Callable[[DataFrame], DataFrame], sizes: Round = Round()) -> DataFrame:
-    """``spec_id, chunk_id, position, score_rrf, score_dense, score_bm25`` of the specs ``asked``: both legs fused, twice ``top_k`` rows each.
+def search(asked: DataFrame, chunks: DataFrame, dense: Callable[[DataFrame], DataFrame], sparse: Callable[[DataFrame], DataFrame], sizes: Round = Round(), unavailable: tuple[type[Exception], ...] = UNAVAILABLE) -> DataFrame:
+    """``spec_id, chunk_id, position, score_rrf, score_dense, score_bm25, lost_leg`` of the specs ``asked``: both legs fused, twice ``top_k`` rows each.
 
     ``dense`` gets ``spec_id, query, modality`` and gives ``query_id`` (the spec's number)``, chunk_id, score_dense, rank_dense`` of the modality's chunks;
-    ``sparse`` gets ``query_id, query`` (a number for each different text) and gives ``query_id, chunk_id, score_bm25, rank_bm25`` of all chunks.  One of them may fail.
+    ``sparse`` gets ``query_id, query`` (a number for each different text) and gives ``query_id, chunk_id, score_bm25, rank_bm25`` of all chunks.  One of them may
+    fail with an error of ``unavailable``; the rows of the other then say in ``lost_leg`` which one it was.
     """
     texts = asked.groupBy("sparse_query").agg(F.min("spec_id").alias("text_id"))
-    by_vector = tried("dense", lambda: dense(asked.select("spec_id", F.col("dense_query").alias("query"), "modality")))
-    by_term = tried("sparse", lambda: sparse(texts.select(F.col("text_id").alias("query_id"), F.col("sparse_query").alias("query"))))
+    by_vector = tried("dense", lambda: dense(asked.select("spec_id", F.col("dense_query").alias("query"), "modality")), unavailable)
+    by_term = tried("sparse", lambda: sparse(texts.select(F.col("text_id").alias("query_id"), F.col("sparse_query").alias("query"))), unavailable)
     if by_vector is None and by_term is None:
         raise RuntimeError("both dense and sparse retrieval are unavailable")
     legs = []
@@ -125,7 +135,8 @@ def search(asked: DataFrame, chunks: DataFrame, dense: Callable[[DataFrame], Dat
         ranked = R.best(spread.drop("text_id", "kind", "modality").withColumnRenamed("rank_bm25", "listed"), ["spec_id"], [F.asc("listed")], sizes.pool, "rank_bm25")
         legs.append((ranked.select(F.col("spec_id").alias("query_id"), "chunk_id", "score_bm25", "rank_bm25"), "rank_bm25"))
     fused = R.fused_top(R.rrf(legs, sizes.rrf_k, ("score_dense", "score_bm25")), 2 * sizes.top_k)
-    return fused.withColumnRenamed("query_id", "spec_id")
+    lost = "dense" if by_vector is None else "sparse" if by_term is None else None
+    return fused.withColumnRenamed("query_id", "spec_id").withColumn("lost_leg", F.lit(lost).cast("string"))
 
 
 def pooled(found: DataFrame, asked: DataFrame) -> DataFrame:
@@ -138,13 +149,14 @@ def pooled(found: DataFrame, asked: DataFrame) -> DataFrame:
     return out.select("query_id", "chunk_id", "seq", *[F.col(f"row.{c}").alias(c) for c in kept])
 
 
-def retrieve(rewritten: DataFrame, chunks: DataFrame, dense: Callable[[DataFrame], DataFrame], sparse: Callable[[DataFrame], DataFrame], sizes: Round = Round(), reranker: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+def retrieve(rewritten: DataFrame, chunks: DataFrame, dense: Callable[[DataFrame], DataFrame], sparse: Callable[[DataFrame], DataFrame], sizes: Round = Round(), reranker: Callable[[Column, Column], Column] | None = None, unavailable: tuple[type[Exception], ...] = ()) -> DataFrame:
     """Ranked rows of each question with the chunk's columns, ``position``, scores and the spec that found them.
 
     ``chunks`` has ``chunk_id, paper_id, section, modality, text``.  Without ``reranker`` the window keeps the order of the pool.
+    A leg that fails is an error, unless by one of ``unavailable``; then ``lost_leg`` names it.
     """
     asked = specs(rewritten).persist()
-    rows = pooled(search(asked, chunks, dense, sparse, sizes), asked).drop("position")
+    rows = pooled(search(asked, chunks, dense, sparse, sizes, unavailable), asked).drop("position")
     rows = rows.join(chunks, "chunk_id").join(rewritten.select("query_id", "query"), "query_id")
     intent = T.reference_intent(F.col("query"))
     window = R.best(R.penalise(rows, sizes.penalty, intent), ["query_id"], [F.desc("score_effective"), F.asc("seq")], 3 * sizes.top_k, "place")

@@ -177,6 +177,30 @@ def test_a_leg_may_fail(spark, little):
         fanout.search(fanout.specs(asked), little, broken, broken)
 
 
+def test_a_failure_is_no_result(spark, little, monkeypatch):
+    asked = spark.createDataFrame([(1, "graph w1", ["graph w1"], "", [])], "query_id long, query string, dense_queries array<string>, bm25_query string, modalities array<string>")
+    dense = lambda a: R.dense(fanout.models.embed(little, "chunk_id", "text").join(little.select("chunk_id", "modality"), "chunk_id"), fanout.models.embed(a, "spec_id", "query").join(a.select("spec_id", "modality"), "spec_id").withColumnRenamed("spec_id", "query_id"), 20, "modality")
+    torn = little.withColumn("text", F.raise_error(F.lit("torn file")).cast("string"))
+    # a fault in a leg's tasks is raised, whoever calls
+    for call in (lambda sparse: fanout.search(fanout.specs(asked), little, dense, sparse), lambda sparse: fanout.retrieve(asked, little, dense, sparse)):
+        with pytest.raises(Exception, match="torn file"):
+            call(lambda a: R.bm25(torn, a, "fts", 20)).collect()
+
+    # a leg that cannot be reached is one too, unless the caller lets it go; then its rows say so
+    def away(*_, **__):
+        raise ConnectionError("no server")
+
+    with pytest.raises(ConnectionError, match="no server"):
+        fanout.retrieve(asked, little, dense, away).collect()
+    assert {r["lost_leg"] for r in fanout.retrieve(asked, little, dense, away, unavailable=fanout.UNAVAILABLE).collect()} == {"sparse"}
+    assert {r["lost_leg"] for r in fanout.retrieve(asked, little, dense, lambda a: R.bm25(little, a, "fts", 20)).collect()} == {None}
+    from corvine.plans import retrieval
+
+    monkeypatch.setattr(retrieval.R, "bm25", away)
+    with pytest.raises(ConnectionError, match="no server"):
+        retrieval.fanout_round(spark, "/root/testdata/sf0.001").collect()
+
+
 # --- ingest -----------------------------------------------------------------------------------------------------------------------
 
 PAPER = b"# Abstract\n\nWe study dependencies of graphs.\n\n## Introduction\n\nSome words here. ![a plot](img/x.png)\n\n| a | b |\n|-|-|\n| 1 | 2 |\n\n# References\n\n[1] Someone.\n"
