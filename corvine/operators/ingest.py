@@ -5,6 +5,9 @@ Papers that are known under another id, or done already, are skipped; a paper wh
 keeps the points it had.  Only chunks whose content or model changed are encoded; a changed payload keeps its vector.  The index
 follows after the commit; if that fails, the next batch brings it up to date.
 
+Texts are on disk once a step: decisions are made on rows without them, only papers that are to be ingested are read again and parsed, points are
+written once, with their vectors, where the commit has them, and the parsed papers are freed then.  So ``fetched`` is read several times and must give the same rows.
+
 ``fetched`` has ``paper_id, title`` and may have ``doi, arxiv_id, authors, year, venue, abstract, source, lang, layout``, and either ``markdown``
 or ``content`` (bytes for the parsers).  Papers come in the order of ``seq`` where it is there, else of the rows; of rows with one id the first stays.
 """
@@ -39,12 +42,15 @@ JOBS = "paper_id string, fingerprint string, lang string, status string"
 REPORTS = "paper_id string, status string, reason string, merged_into string, chunks int, vector_updates int, payload_updates int, unchanged int, deleted int, error string"
 RUNS = "stage string, seconds double"
 KEYS = ("doi", "arxiv_id", "title_norm")
+TEXTS = ("markdown", "content")
+#: Ids that go to all tasks, so that texts stay where they are; more meet texts by a shuffle.
+MOST_KEYS = 1 << 18
 #: The namespace of point ids and what the failure of an empty parse says.
 POINTS_SPACE = "7e7c5b2b-3b7d-4f59-9f3e-82a4c8baf6d1"
 NO_CHUNKS = "chunk: empty (parser produced no chunks)"
 
 PIECE = "struct<idx:int,kind:string,ordinal:int,start:int,end:int,page:int,text:string,raw:string,asset:string,context:string,alt:string>"
-BUILT = f"paper_id string, parser string, step string, error string, sections array<struct<idx:int,name:string,level:int>>, pieces array<{PIECE}>"
+BUILT = f"paper_id string, title string, lang string, parser string, step string, error string, sections array<struct<idx:int,name:string,level:int>>, pieces array<{PIECE}>"
 
 
 def names(schema: str) -> list[str]:
@@ -53,7 +59,7 @@ def names(schema: str) -> list[str]:
 
 
 def built(papers: DataFrame, primary: Callable[[bytes], str], fallback: Callable[[bytes], str] | None) -> DataFrame:
-    """One row a paper (``BUILT``): its sections and pieces, or the step that failed and why.  ``papers`` has ``paper_id, markdown, content, lang``."""
+    """One row a paper (``BUILT``): its sections and pieces, or the step that failed and why.  ``papers`` has ``paper_id, title, markdown, content, lang``."""
 
     def text_of(markdown: str | None, content: bytes | None) -> tuple[str, str]:
         if markdown is not None:
@@ -85,7 +91,7 @@ def built(papers: DataFrame, primary: Callable[[bytes], str], fallback: Callable
         return sections, out
 
     def make(row: dict) -> dict:
-        out = {"paper_id": row["paper_id"], "parser": None, "step": "parse", "error": None, "sections": None, "pieces": None}
+        out = {c: row[c] for c in ("paper_id", "title", "lang")} | {"parser": None, "step": "parse", "error": None, "sections": None, "pieces": None}
         try:
             text, out["parser"] = text_of(row["markdown"], row["content"])
             out["step"] = "chunk"
@@ -95,7 +101,7 @@ def built(papers: DataFrame, primary: Callable[[bytes], str], fallback: Callable
             out["error"] = f"{out['step']}: {why}"
         return out
 
-    return chunking.mapped(papers, ["paper_id", "markdown", "content", "lang"], BUILT, lambda row: [make(row)])
+    return chunking.mapped(papers, ["paper_id", "title", "markdown", "content", "lang"], BUILT, lambda row: [make(row)])
 
 
 def card(meta: DataFrame) -> DataFrame:
@@ -112,15 +118,19 @@ def card(meta: DataFrame) -> DataFrame:
 
 
 def chunk_rows(made: DataFrame, meta: DataFrame) -> DataFrame:
-    """``PAYLOAD`` of built papers.  What the layout says of an asset goes before what the text says: page, caption, and whether it is a table."""
-    p = made.select("paper_id", F.explode("pieces").alias("p"), "sections").select("paper_id", "p.*", F.get("sections", F.col("p.idx"))["name"].alias("section"), F.get("sections", F.col("p.idx"))["level"].alias("level"))
+    """``PAYLOAD`` of built papers.  What the layout says of an asset goes before what the text says: page, caption, and whether it is a table.
+
+    Only pieces with an asset meet the layout.
+    """
+    p = made.select("paper_id", "title", "lang", F.explode("pieces").alias("p"), "sections").select("paper_id", "title", "lang", "p.*", F.get("sections", F.col("p.idx"))["name"].alias("section"), F.get("sections", F.col("p.idx"))["level"].alias("level"))
     base = lambda c: F.element_at(F.split(c, "/"), -1)
     block = "array<struct<type:string,img_path:string,page_idx:int,img_caption:array<string>,table_caption:array<string>>>"
     laid = meta.select("paper_id", F.explode(F.from_json("layout", block)).alias("b")).where("b.type IN ('image', 'table') AND b.img_path IS NOT NULL")
     words = F.array_join(F.filter(F.transform(F.coalesce(F.when(F.col("b.type") == "image", F.col("b.img_caption")).otherwise(F.col("b.table_caption")), F.array().cast("array<string>")), F.trim), lambda x: x != ""), " ")
     laid = laid.select("paper_id", base(F.col("b.img_path")).alias("asset_name"), F.col("b.type").alias("laid_kind"), (F.col("b.page_idx") + 1).alias("laid_page"), words.alias("laid_caption"))
     laid = laid.groupBy("paper_id", "asset_name").agg(F.max_by(F.struct("laid_kind", "laid_page", "laid_caption"), F.struct("laid_page", "laid_kind")).alias("laid")).select("paper_id", "asset_name", "laid.*")
-    rows = p.withColumn("asset_name", base(F.col("asset"))).join(laid, ["paper_id", "asset_name"], "left").join(meta.select("paper_id", "title", "lang"), "paper_id")
+    shown = p.where("asset is not null").withColumn("asset_name", base(F.col("asset"))).join(laid, ["paper_id", "asset_name"], "left")
+    rows = p.where("asset is null").unionByName(shown, allowMissingColumns=True)
     zh = F.col("lang") == "zh"
     as_table = F.col("laid_kind") == "table"
     caption = F.when(F.col("laid_kind").isNotNull(), F.trim(F.concat_ws(" ", "alt", "laid_caption"))).otherwise(F.col("alt"))
@@ -147,7 +157,8 @@ def fingerprinted(rows: DataFrame, version: str) -> DataFrame:
 
 
 def encoded(rows: DataFrame, encoder: Callable[[], models.Encoder], batch: int = 32) -> DataFrame:
-    """``point_id, vector, error`` of ``point_id, context_text``; where a batch fails its texts are tried one by one."""
+    """``POINTS`` and ``error`` of rows with ``POINTS`` and ``wanted``, where that is so with the vector of ``context_text``; where a batch fails its texts are tried one by one."""
+    given = names(POINTS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder()
@@ -158,13 +169,17 @@ def encoded(rows: DataFrame, encoder: Callable[[], models.Encoder], batch: int =
             except Exception as why:
                 return [(None, f"embed: {why}")] if len(texts) == 1 else [x for t in texts for x in tried([t])]
 
-        for rows_ in batches:
-            for begin in range(0, rows_.num_rows, batch):
-                part = rows_.slice(begin, batch)
-                got = tried(part.column(1).to_pylist())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([v for v, _ in got], pa.list_(pa.float32())), pa.array([e for _, e in got], pa.string())], ["point_id", "vector", "error"])
+        for part in chunking.pieces(batches):
+            at = part.column("wanted").to_numpy(zero_copy_only=False).nonzero()[0]
+            texts = part.column("context_text").take(pa.array(at)).to_pylist()
+            vectors, errors = part.column("vector").to_pylist() if len(at) < part.num_rows else [None] * part.num_rows, [None] * part.num_rows
+            got = [x for begin in range(0, len(texts), batch) for x in tried(texts[begin : begin + batch])]
+            for i, (vector, error) in zip(at.tolist(), got, strict=True):
+                vectors[i], errors[i] = vector, error
+            same = [part.column(c) for c in given if c != "vector"]
+            yield pa.RecordBatch.from_arrays([*same, pa.array(vectors, pa.list_(pa.float32())), pa.array(errors, pa.string())], [*given, "error"])
 
-    return rows.select("point_id", "context_text").mapInArrow(run, "point_id string, vector array<float>, error string")
+    return rows.select(*given, "wanted").mapInArrow(run, f"{POINTS}, error string")
 
 
 def merged_in_batch(rows: DataFrame, keep: Callable[[str, DataFrame], DataFrame]) -> DataFrame:
@@ -207,13 +222,14 @@ class Ingest:
     fallback: Callable[[bytes], str] | None = None
     encoder: Callable[[], models.Encoder] = models.hashing_encoder
     embedding_version: str = "hashing:v1"
+    lenient: bool = True  # a failure of the index is logged and left to the next call, else it is raised
     seconds: dict[str, float] = field(default_factory=dict)
 
     def papers(self) -> DataFrame:
         return self.store.table("papers", PAPERS)
 
-    def points(self) -> DataFrame:
-        return self.store.table("points", POINTS)
+    def points(self, after: int = -1) -> DataFrame:
+        return self.store.table("points", POINTS, after)
 
     def sections(self) -> DataFrame:
         return self.store.table("sections", SECTIONS)
@@ -258,28 +274,33 @@ class Ingest:
             return self.reports(before)
         gen = self.store.last() + 1
         self.seconds = {}
-        batch = self._timed("fetch", gen, _whole(fetched))
+        whole = _whole(fetched)
+        batch = self._timed("fetch", gen, whole.drop(*TEXTS))
         decided = self._timed("decide", gen, self.decided(batch, force, gen))
         todo = batch.join(decided.where("reason is null"), "paper_id", "left_semi")
-        made = self._timed("build", gen, built(todo, self.primary, self.fallback))
+        texts = picked(whole.select("paper_id", "title", "lang", *TEXTS), decided)
+        if fetched.rdd.getNumPartitions() < (cores := self.store.spark.sparkContext.defaultParallelism):
+            texts = texts.repartition(cores)
+        made = self._timed("build", gen, built(texts, self.primary, self.fallback))
         empty = F.when(F.col("error").isNull() & (F.coalesce(F.size("pieces"), F.lit(0)) <= 0), F.lit(NO_CHUNKS))
         made = made.withColumn("error", F.coalesce("error", empty)).withColumn("step", F.when(F.col("error").isNotNull(), F.coalesce("step", F.lit("chunk"))))
         good = made.where("error is null")
         meta = todo.join(good.select("paper_id"), "paper_id", "left_semi")
-        fresh = self._timed("chunk", gen, fingerprinted(chunk_rows(good, meta).unionByName(card(meta)), self.embedding_version))
+        rows = fingerprinted(chunk_rows(good, meta).unionByName(card(meta)), self.embedding_version)
+        fresh = self._timed("chunk", gen, rows.select("point_id", "paper_id", "chunk_id", "content_id", "embedding_version", "payload_fingerprint"))
         old = self.points().join(good.select("paper_id"), "paper_id", "left_semi")
         acts = S.incremental_diff(fresh, old, "point_id")
         who = fresh.select("point_id", "paper_id").unionByName(old.select("point_id", "paper_id")).distinct()
         plan = self._timed("plan", gen, acts.join(who, "point_id"))
-        wanted = fresh.join(plan.where("action = 'vector'").select("point_id"), "point_id", "left_semi")
-        vectors = self._timed("embed", gen, encoded(wanted, self.encoder))
-        bad = vectors.where("error is not null").join(who, "point_id").groupBy("paper_id").agg(F.min("error").alias("embed_error"))
+        points = self._points(rows, old, plan, gen)
+        bad = points.where("error is not null").groupBy("paper_id").agg(F.min("error").alias("embed_error"))
         result = made.join(bad, "paper_id", "left").select("paper_id", "parser", "sections", F.coalesce("error", "embed_error").alias("error"), F.when(F.col("error").isNotNull(), F.col("step")).when(F.col("embed_error").isNotNull(), "embed").alias("step"))
         result = self._timed("result", gen, result)
+        self.store.used_up(gen, "build")
         fine = result.where("error is null").select("paper_id")
-        kept = old.select("point_id", F.col("vector").alias("old_vector"))
-        points = fresh.join(fine, "paper_id", "left_semi").join(vectors.drop("error"), "point_id", "left").join(kept, "point_id", "left")
-        points = points.withColumn("vector", F.coalesce("vector", "old_vector")).select(*names(POINTS))
+        if not result.where("step = 'embed'").isEmpty():  # papers that could not be encoded keep the points they had
+            self.store.write(gen, "points", self.store.staged(gen, "points", points.join(fine, "paper_id", "left_semi")))
+            self.store.used_up(gen, "points")
         counts = plan.join(fine, "paper_id", "left_semi").groupBy("paper_id").agg(*[F.sum((F.col("action") == a).cast("int")).cast("int").alias(n) for a, n in (("vector", "vector_updates"), ("payload", "payload_updates"), ("skip", "unchanged"), ("delete", "deleted"))])
         report = self._report(decided, result, counts)
         papers = self._papers(todo, result)
@@ -291,24 +312,41 @@ class Ingest:
         report = self.store.staged(gen, "report", report)
         spent = self.store.spark.createDataFrame(list(self.seconds.items()), RUNS)
         nobody = fine.limit(0)
-        self.store.commit(gen, {"papers": (papers, todo), "points": (points, fine), "sections": (sections, fine), "steps": (log_rows, nobody), "jobs": (jobs, nobody), "reports": (report, nobody), "runs": (spent, nobody)}, label)
+        self.store.commit(gen, {"papers": (papers, todo), "points": (None, fine), "sections": (sections, fine), "steps": (log_rows, nobody), "jobs": (jobs, nobody), "reports": (report, nobody), "runs": (spent, nobody)}, label)
         self.seconds["commit"] = round(time.perf_counter() - began, 3)
+        for stage in ("chunk", "plan"):
+            self.store.used_up(gen, stage)
         self.follow()
         return self.reports(gen)
 
+    def _points(self, rows: DataFrame, old: DataFrame, plan: DataFrame, gen: int) -> DataFrame:
+        """Writes the points where the commit will have them, with ``error`` where there is no vector; those whose content is what it was keep theirs."""
+        if old.select("point_id").isEmpty():
+            rows = rows.withColumns({"vector": F.lit(None).cast("array<float>"), "wanted": F.lit(True)})
+        else:
+            same = plan.where("action IN ('payload', 'skip')").select("point_id")
+            kept = old.select("point_id", "vector", F.lit(False).alias("wanted")).join(same, "point_id", "left_semi")
+            rows = rows.join(kept, "point_id", "left").withColumn("wanted", F.coalesce("wanted", F.lit(True)))
+        began = time.perf_counter()
+        out = self.store.write(gen, "points", encoded(rows, self.encoder))
+        self.seconds["embed"] = round(time.perf_counter() - began, 3)
+        return out
+
     def follow(self) -> None:
-        """Brings the index up to the store: all papers whose points changed after the generation it has seen.  A failure is logged; the next call heals it."""
+        """Brings the index up to the store: all papers whose points changed after the generation it has seen.  If ``lenient``, a failure is logged and the next call heals it."""
         if self.index is None:
             return
         try:
             spoke = self.store.all("owners", "table_name string, paper_id string").where("table_name = 'points'")
-            sparse = self.points().select(chunk_key(F.col("chunk_id")).alias("chunk_id"), "paper_id", "text")
-            if not self.index.exists():  # of all points, as the number of its shards follows from them
-                self.index.build(sparse, "porter", mark=self.store.last())
-            behind = spoke.where(F.col("gen") > self.index.mark()).select("paper_id").distinct()
+            sparse = lambda after: self.points(after).select(chunk_key(F.col("chunk_id")).alias("chunk_id"), "paper_id", "text")
+            if not self.index.exists():  # empty at first, but with shards for all points, whose number follows from them
+                self.index.build(sparse(-1).limit(0), "porter", self.index.shards_for(sparse(-1)))
+            behind = spoke.where(F.col("gen") > (mark := self.index.mark())).select("paper_id").distinct()
             if not behind.isEmpty():
-                self.index.sync(sparse, behind, self.store.last())
+                self.index.sync(sparse(mark), behind, self.store.last(), only=True)
         except Exception as why:
+            if not self.lenient:
+                raise
             log.warning("index sync failed: %s", why)
 
     def _report(self, decided: DataFrame, result: DataFrame, counts: DataFrame) -> DataFrame:
@@ -360,10 +398,18 @@ def chunk_key(chunk_id: Column) -> Column:
     return F.conv(F.left(chunk_id, F.lit(15)), 16, 10).cast("long")
 
 
+def picked(rows: DataFrame, decided: DataFrame) -> DataFrame:
+    """The rows of papers without a ``reason``.  Of the two lists of ids, one that has at most ``MOST_KEYS`` goes to all tasks, so that no texts are shuffled."""
+    todo, others = (decided.where(f"reason {x}").select("paper_id") for x in ("is null", "is not null"))
+    if others.count() <= MOST_KEYS:
+        return rows.join(F.broadcast(others), "paper_id", "left_anti")
+    return rows.join(F.broadcast(todo) if todo.count() <= MOST_KEYS else todo, "paper_id", "left_semi")
+
+
 def _whole(fetched: DataFrame) -> DataFrame:
     """All columns that may come, the first row of each id, and the order in which papers came.
 
-    Only the numbers of rows are compared; what is left out is few, and no file moves for it.
+    Only the numbers of rows are compared; where no id comes twice nothing is, and no file moves for it.
     """
     kinds = dict(zip(names(META), [p.strip().split(" ", 1)[1] for p in META.split(", ")], strict=True)) | {"layout": "string", "markdown": "string", "content": "binary"}
     nth = F.monotonically_increasing_id()
@@ -371,8 +417,10 @@ def _whole(fetched: DataFrame) -> DataFrame:
     rows = rows.where("paper_id is not null").withColumn("title_norm", F.when(T.title_norm(F.col("title")) != "", T.title_norm(F.col("title"))))
     place = F.struct("seq", "nth")
     several = rows.groupBy("paper_id").agg(F.count("*").alias("times"), F.min(place).alias("first")).where("times > 1")
+    if several.isEmpty():
+        return rows.drop("nth")
     late = rows.select("paper_id", "nth", place.alias("place")).join(several, "paper_id").where(F.col("place") != F.col("first")).select("nth")
-    return rows.join(late, "nth", "left_anti").drop("nth")
+    return rows.join(F.broadcast(late) if late.count() <= MOST_KEYS else late, "nth", "left_anti").drop("nth")
 
 
 def summary(report: DataFrame) -> DataFrame:

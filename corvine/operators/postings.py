@@ -32,6 +32,7 @@ from ..functions.batches import pieces
 from ..functions.stemming import analyse
 from .retrieval import BM25, MOST_TEXTS, best
 from .topk import TopK
+from .versions import CODEC
 
 #: Ways to terms: words and CJK pairs as they are, or folded and stemmed.
 ANALYSERS = {"plain": T.index_terms, "porter": analyse}
@@ -88,7 +89,10 @@ def by_shard(batches: Iterator[pa.RecordBatch], most: int | None = None) -> Iter
 
 
 def inverted(docs: DataFrame, most: int | None = None) -> DataFrame:
-    """``POSTINGS`` of ``DOCS``, sorted by term in each shard; ``most`` postings at a time, ``MOST_POSTINGS`` unless given."""
+    """``POSTINGS`` of ``DOCS``, sorted by term in each shard; ``most`` postings at a time, ``MOST_POSTINGS`` unless given.
+
+    Terms, which have no blanks, move as one string a chunk: in a shuffle's rows an array takes eight bytes more for each and fills each up to eight.
+    """
     most = most or MOST_POSTINGS
 
     def invert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,7 +126,10 @@ def inverted(docs: DataFrame, most: int | None = None) -> DataFrame:
             for a in range(0, whole.num_rows, 4096):
                 yield whole.slice(a, 4096)
 
-    return docs.repartition("shard").sortWithinPartitions("shard").mapInArrow(invert, POSTINGS).sortWithinPartitions("shard", "term")
+    names = [f.split()[0] for f in DOCS.split(", ")]
+    dealt = docs.select(*names).withColumn("terms", F.array_join("terms", " ")).repartition("shard").sortWithinPartitions("shard")
+    terms = F.when(F.col("terms") == "", F.array().cast("array<string>")).otherwise(F.split("terms", " "))
+    return dealt.withColumn("terms", terms).mapInArrow(invert, POSTINGS).sortWithinPartitions("shard", "term")
 
 
 class Index:
@@ -163,10 +170,10 @@ class Index:
 
     def commit(self, gen: int, docs: DataFrame, papers: DataFrame, analyser: str, shards: int, mark: int = -1) -> dict[str, int]:
         at = lambda name: f"{self.folder}/{name}/gen={gen}"
-        docs.write.mode("overwrite").parquet(at("docs"))
+        docs.write.mode("overwrite").option("compression", CODEC).parquet(at("docs"))
         papers.select(F.col("paper_id").cast("string").alias("paper_id")).distinct().write.mode("overwrite").parquet(at("papers"))
         kept = self.spark.read.parquet(at("docs"))
-        inverted(kept).write.mode("overwrite").parquet(at("postings"))
+        inverted(kept).write.mode("overwrite").option("compression", CODEC).parquet(at("postings"))
         one = lambda c, s: F.coalesce(F.sum(F.when(F.col("sign") == s, c)), F.lit(0))
         row = kept.agg(one(F.lit(1), 1).alias("added"), one(F.lit(1), -1).alias("removed"), one(F.col("size").cast("long"), 1).alias("more"), one(F.col("size").cast("long"), -1).alias("less")).first()
         done = self.spark.createDataFrame([(row["added"] - row["removed"], row["more"] - row["less"], analyser, shards, mark)], "chunks long, terms long, analyser string, shards int, mark int")
@@ -178,23 +185,27 @@ class Index:
 
         ``mark`` is as in ``sync``.
         """
-        if not shards:
-            rows, chars = chunks.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
-            shards = max(1, -(-rows // SHARD_ROWS), -(-chars // SHARD_CHARS), self.spark.sparkContext.defaultParallelism)
+        shards = shards or self.shards_for(chunks)
         self.commit(0, documents(chunks, analyser, shards), chunks.select("paper_id"), analyser, shards, mark)
         return self
 
-    def sync(self, chunks: DataFrame, papers: DataFrame, mark: int = -1) -> dict[str, int]:
+    def shards_for(self, chunks: DataFrame) -> int:
+        rows, chars = chunks.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
+        return max(1, -(-rows // SHARD_ROWS), -(-chars // SHARD_CHARS), self.spark.sparkContext.defaultParallelism)
+
+    def sync(self, chunks: DataFrame, papers: DataFrame, mark: int = -1, only: bool = False) -> dict[str, int]:
         """Papers in ``papers`` (``paper_id``) have exactly their rows of ``chunks`` from now on, or none; gives chunks added and removed.
 
-        ``mark`` is kept for whoever has to know up to where the index has followed a store.
+        ``mark`` is kept for whoever has to know up to where the index has followed a store.  With ``only``, ``chunks`` has rows of these papers
+        only, and texts are not shuffled to find them.
         """
         gen, (analyser, shards) = self.last() + 1, self.settings()
         changed = papers.select(F.col("paper_id").cast("string").alias("paper_id")).distinct()
         spoke = self.table("papers").join(changed, "paper_id", "left_semi").groupBy("paper_id").agg(F.max("gen").alias("gen"))
         old = self.table("docs").where("sign = 1").join(spoke, ["paper_id", "gen"], "left_semi")
         names = [f.split()[0] for f in DOCS.split(", ")]
-        fresh = documents(chunks.withColumn("paper_id", F.col("paper_id").cast("string")).join(changed, "paper_id", "left_semi"), analyser, shards)
+        chunks = chunks.withColumn("paper_id", F.col("paper_id").cast("string"))
+        fresh = documents(chunks if only else chunks.join(changed, "paper_id", "left_semi"), analyser, shards)
         return self.commit(gen, fresh.select(*names).unionByName(old.withColumn("sign", F.lit(-1)).select(*names)), changed, analyser, shards, mark)
 
     def chunks(self) -> DataFrame:

@@ -44,7 +44,7 @@ SELECT run::INT AS run, n::VARCHAR AS paper_id, CASE WHEN into_ IS NOT NULL THEN
 def ingest_reports(spark: SparkSession, d: str) -> DataFrame:
     """The same batch twice: the second time nothing is new but what failed."""
     folder = shared_folder(spark, "store")
-    into = Ingest(Versions(spark, f"{folder}/store"), Index(spark, f"{folder}/index"), primary=_parser)
+    into = Ingest(Versions(spark, f"{folder}/store"), Index(spark, f"{folder}/index"), primary=_parser, lenient=False)
     batch = _fetched(spark, d)
     runs = [into.run(batch).withColumn("run", F.lit(n)) for n in (1, 2)]
     return runs[0].unionByName(runs[1]).select("run", "paper_id", "status", "reason", "merged_into")

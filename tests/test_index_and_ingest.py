@@ -278,6 +278,30 @@ def test_index_heals_after_a_failure(spark, tmp_path):
     assert sound.index.chunks().count() == 2
 
 
+def test_texts_are_on_disk_once_a_step(spark, tmp_path, monkeypatch):
+    """What is staged holds no texts when a batch is done, and a batch that comes again is neither staged nor parsed; many ids meet texts by a shuffle, with the same report."""
+    rows = [(f"p{i}", f"T{i // 2 if i < 6 else i}", None, b"bad" if i == 4 else b"words of a paper " * (i + 1), None) for i in range(12)]
+    batch = spark.createDataFrame(rows, FETCHED)
+    said = []
+    for most in (N.MOST_KEYS, 0):
+        monkeypatch.setattr(N, "MOST_KEYS", most)
+        into = N.Ingest(Versions(spark, str(tmp_path / f"store-{most}")), P.Index(spark, str(tmp_path / f"index-{most}")), primary=parse, lenient=False)
+        said.append([sorted((r["paper_id"], r["status"], r["reason"], r["merged_into"]) for r in into.run(batch).collect()) for _ in (1, 2)])
+        for stage in (tmp_path / f"store-{most}" / "staging").iterdir():
+            for gen in stage.iterdir():
+                left = spark.read.parquet(str(gen))
+                assert not {"markdown", "content", "text", "context_text", "pieces"} & set(left.columns) or left.isEmpty(), gen
+        assert into.index.chunks().count() == into.points().count() == 16
+    assert said[0] == said[1] and [r[1:] for r in said[0][0] if r[0] == "p1"] == [("skipped", "dedup", "p0")]
+
+    class Broken(P.Index):
+        def sync(self, *args, **more):
+            raise OSError("disk full")
+
+    with pytest.raises(OSError, match="disk full"):
+        N.Ingest(Versions(spark, str(tmp_path / "s")), Broken(spark, str(tmp_path / "i")), primary=parse, lenient=False).run(batch)
+
+
 def test_streamed_batches_are_not_done_twice(spark, tmp_path):
     into = N.Ingest(Versions(spark, str(tmp_path / "store")), primary=parse)
     rows = spark.createDataFrame([("a", "A", None, b"first words", None), ("b", "B", None, b"bad", None)], FETCHED)
